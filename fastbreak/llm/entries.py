@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from . import bpe
+from . import bpe, media, simhash
 
 QUERIES = {
+    "op5_golay_simhash": simhash.query,
     "op7_byte_bpe": bpe.query,
+    "op9_progressive_jpeg": media.query,
 }
 
 ORACLE_SQL: dict[str, str] = {}
