@@ -15,7 +15,7 @@ SALTS = 8
 def _nearest(links: DataFrame) -> DataFrame:
     """(u, v, m): each link with the smallest node among u and all of u's partners."""
     salted = links.withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(SALTS)))
-    least = links.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).cast("long").alias("salt"))
+    least = links.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("salt"))
     return salted.join(least, ["u", "salt"]).select("u", "v", "m")
 
 
