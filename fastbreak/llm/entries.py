@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import bpe, media, simhash
+from . import bpe, media, secrets, simhash, toxicity
 
 QUERIES = {
+    "op1_secret_novelty": secrets.query,
     "op5_golay_simhash": simhash.query,
     "op7_byte_bpe": bpe.query,
+    "op8_noisy_channel_toxicity": toxicity.query,
     "op9_progressive_jpeg": media.query,
 }
 
