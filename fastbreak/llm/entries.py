@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from . import bpe, media, secrets, simhash, toxicity
+from . import automaton, bpe, media, packing, secrets, simhash, suffix_array, toxicity
 
 QUERIES = {
     "op1_secret_novelty": secrets.query,
+    "op3_best_fit_packing": packing.query,
+    "op4_suffix_array_dedup": suffix_array.query,
     "op5_golay_simhash": simhash.query,
     "op7_byte_bpe": bpe.query,
     "op8_noisy_channel_toxicity": toxicity.query,
     "op9_progressive_jpeg": media.query,
+    "op10_suffix_automaton_dedup": automaton.query,
 }
 
 ORACLE_SQL: dict[str, str] = {}
