@@ -16,6 +16,7 @@ from __future__ import annotations
 import re
 import unicodedata
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -33,8 +34,8 @@ from .common import checkpoint, slices, table, texts, whole_runs
 CAPACITY, CLOSE = 4096, 1
 #: Pieces that one shard packs, on average.
 SHARD = 50_000
-#: Words, and pieces of words, that a worker remembers before it starts over.
-REMEMBERED = 500_000
+#: Words that a worker remembers before it starts over.
+REMEMBERED = 1_000_000
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -54,16 +55,17 @@ class WordTokenizer:
         # Bytes as printable characters: those that are not, from 256 on in order.
         odd = [b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255)]
         self.letters = {b: chr(256 + k) for k, b in enumerate(odd)}
-        self.words: dict[str, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
-
-    def _piece(self, piece: str) -> bytes:
-        found = self.pieces.get(piece)
-        if found is None:
-            if len(self.pieces) > REMEMBERED:
-                self.pieces = {}
-            mapped = piece.encode("utf-8", "replace").decode("latin-1").translate(self.letters)
-            found = self.pieces[piece] = np.array([t.id for t in self.model.tokenize(mapped)], "<u4").tobytes()
+        self.known: dict[str, bytes] = {}
+
+    def _learn(self, word: str) -> bytes:
+        """The ids of a word without white space; its pieces are words too."""
+        known = self.known
+        if not word.isalpha() and len(pieces := self.find(word)) != 1:
+            found = b"".join([known.get(p) or self._learn(p) for p in pieces])
+        else:
+            mapped = word if word.isascii() else word.encode("utf-8", "replace").decode("latin-1").translate(self.letters)
+            found = array("I", [t.id for t in self.model.tokenize(mapped)]).tobytes()
+        known[word] = found
         return found
 
     def encode(self, text: str) -> bytes:
@@ -72,13 +74,13 @@ class WordTokenizer:
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         if not text.isascii():
             text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
-        if len(self.words) > REMEMBERED:
-            self.words = {}
-        words, split = self.words, text.lower().split()
-        for w in split:
-            if w not in words:
-                words[w] = b"".join(map(self._piece, self.find(w)))
-        return b"".join(map(words.__getitem__, split))
+        if len(self.known) > REMEMBERED:
+            self.known = {}
+        known, words = self.known, text.lower().split()
+        for w in words:
+            if w not in known:
+                self._learn(w)
+        return b"".join(map(known.__getitem__, words))
 
 
 @lru_cache(maxsize=2)
