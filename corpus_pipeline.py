@@ -1,11 +1,71 @@
-"""The corpus pipeline: five stages over documents, each written as Parquet and read again by the next."""
+"""The corpus pipeline: five stages over documents, each written as Parquet and read again by the next.
+
+All stages but the last return the columns of documents, n_chars being the length of the text as it is then. Ids are
+keys here: of rows with the same id one stays in the near-duplicate stage; rows without id pass all stages.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from fastbreak.llm.common import checkpoint, free_name, table
+from fastbreak.llm.packing import pack
+from fastbreak.llm.secrets import scan_secrets
+from fastbreak.llm.simhash import simhash_groups
+from fastbreak.llm.suffix_array import remove_repeats
+from fastbreak.llm.toxicity import THRESHOLD, fit_toxicity, score_toxicity
+
+
+def _measured(docs: DataFrame, columns: list[str]) -> DataFrame:
+    return docs.withColumn("n_chars", F.length("text").cast("long")).select(columns)
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that score below the threshold, by a model of these documents and the given labels."""
+    model = fit_toxicity(docs, table(spark, sf_dir, "labels"))
+    score = free_name(docs, "score")
+    return score_toxicity(docs, model, out=score).where(F.col(score) < THRESHOLD).select(docs.columns)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near-duplicates the document with the smallest id."""
+    kept = simhash_groups(docs).where("doc_id = component_id").select("doc_id").distinct()
+    named = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return named.unionByName(docs.where("doc_id is null")).select(docs.columns)
+
+
+def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without the strings that a document with a smaller id has too."""
+    return _measured(remove_repeats(docs), docs.columns)
+
+
+def cut_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts with a mark in place of each finding."""
+    found = free_name(docs, "secrets")
+    return _measured(scan_secrets(docs, out=found, redacted="text"), docs.columns)
+
+
+def pack_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Where each piece of each document lies in the packed sequences."""
+    return pack(docs)
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("simhash_near_dedup", drop_near_duplicates),
+    ("suffix_array_dedup", cut_repeats),
+    ("secret_scans", cut_secrets),
+    ("best_fit_packing", pack_documents),
+]
+
+#: Neither models, components nor tokenizers can be said in SQL.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir: str):
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the whole documents table."""
-    raise NotImplementedError
+    docs = table(spark, sf_dir, "documents")
+    for _, stage in STAGES[:-1]:
+        docs = checkpoint(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from . import automaton, bpe, media, packing, secrets, simhash, suffix_array, toxicity
+from . import automaton, bpe, chat, embeddings, media, packing, secrets, simhash, suffix_array, toxicity
 
 QUERIES = {
     "op1_secret_novelty": secrets.query,
+    "op2_subspace_embeddings": embeddings.query,
     "op3_best_fit_packing": packing.query,
     "op4_suffix_array_dedup": suffix_array.query,
     "op5_golay_simhash": simhash.query,
+    "op6_prefix_tree_chat": chat.query,
     "op7_byte_bpe": bpe.query,
     "op8_noisy_channel_toxicity": toxicity.query,
     "op9_progressive_jpeg": media.query,
