@@ -28,11 +28,11 @@ from .common import checkpoint, table
 from .components import connected_components, forest
 
 #: Components of one block.
-BLOCK = 8
+BLOCK = 16
 #: Vectors that the centres are drawn from, at most; residents of one chunk; vectors compared with a chunk at once.
-SAMPLE, CHUNK, STRIP = 4096, 4096, 2048
+SAMPLE, CHUNK, STRIP = 4096, 8192, 2048
 #: A cell for about so many vectors, within these bounds.
-CELL, LEAST_CELLS, MOST_CELLS = 3000, 4, 1024
+CELL, LEAST_CELLS, MOST_CELLS = 6000, 4, 1024
 #: Slack of comparisons in single precision, and of distances in double precision.
 LOOSE, TIGHT = 1e-4, 1e-9
 
@@ -139,9 +139,12 @@ def _link(shared):
             k = (key >> 32) // MOST_CELLS
             other = unit(_matrix(strip.column("embedding")))
             other_turned, other_ids, copies = other @ turn, strip.column("rep").to_numpy(), strip.column("copies").to_numpy()
-            x, y = turned[:, blocks[k]].astype(np.float32), other_turned[:, blocks[k]].astype(np.float32)
-            near = (x * x).sum(1)[:, None] + (y * y).sum(1)[None] - 2 * x @ y.T <= cells.budgets[k] + LOOSE
-            i, j = np.nonzero(near)
+            x, y = turned[:, blocks[k]], other_turned[:, blocks[k]]
+            # Squared distances as one product: (x, |x|^2, 1) by (-2y, 1, |y|^2).
+            x = np.hstack([x, (x * x).sum(1, keepdims=True), np.ones((len(x), 1))]).astype(np.float32)
+            y = np.hstack([-2 * y, np.ones((len(y), 1)), (y * y).sum(1, keepdims=True)]).astype(np.float32)
+            flat = np.flatnonzero(x @ y.T <= np.float32(cells.budgets[k] + LOOSE))
+            i, j = flat // len(y), flat % len(y)
             us, vs, ns = [], [], []
             for a in range(0, len(i), 200_000):
                 p, q = i[a : a + 200_000], j[a : a + 200_000]
