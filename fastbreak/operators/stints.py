@@ -35,9 +35,18 @@ def stints(possessions: DataFrame, lookup: DataFrame) -> DataFrame:
     return both.withColumn("segment_id", F.dense_rank().over(Window.partitionBy("game_id").orderBy("final_start_id", "final_end_id")))
 
 
+#: Width, in ids, of the buckets that join actions to stints.
+BUCKET = 64
+
+
 def stamp(possessions: DataFrame, stint_rows: DataFrame) -> DataFrame:
-    """Every action with the stint in [start, end) of its own team, if there is one."""
-    p = possessions
-    s = stint_rows.select(*(F.col(c).alias(f"s_{c}") if c in ("team_id", "game_id", "q_bucket") else F.col(c) for c in stint_rows.columns))
-    inside = (p["team_id"] == s["s_team_id"]) & (p["game_id"] == s["s_game_id"]) & (p["q_bucket"] == s["s_q_bucket"]) & (p["id"] >= s["final_start_id"]) & (p["id"] < s["final_end_id"])
-    return p.join(s, inside, "left").drop("s_team_id", "s_game_id", "s_q_bucket")
+    """Every action with the stint in [start, end) of its own team, if there is one.
+
+    Both sides meet in buckets of ids, so an action is compared with the stints around it, not with all of its game.
+    A stint is in every bucket that it touches and an action in one, so no pair meets twice.
+    """
+    p = possessions.withColumn("bucket", F.expr(f"id div {BUCKET}"))
+    s = stint_rows.withColumn("s_bucket", F.explode(F.expr(f"sequence(cast(final_start_id div {BUCKET} as bigint), cast((final_end_id - 1) div {BUCKET} as bigint))")))
+    s = s.withColumnsRenamed({c: f"s_{c}" for c in ("team_id", "game_id", "q_bucket")})
+    inside = (p["team_id"] == s["s_team_id"]) & (p["game_id"] == s["s_game_id"]) & (p["q_bucket"] == s["s_q_bucket"]) & (p["bucket"] == s["s_bucket"]) & (p["id"] >= s["final_start_id"]) & (p["id"] < s["final_end_id"])
+    return p.join(s, inside, "left").drop("s_team_id", "s_game_id", "s_q_bucket", "s_bucket", "bucket")
