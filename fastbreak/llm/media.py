@@ -276,6 +276,8 @@ class Frame:
             code, size = data[at + 1], int.from_bytes(data[at + 2 : at + 4], "big")
             if code == 0xD9:
                 break
+            if code == 0xDA and not self.components:
+                raise ValueError("no frame")
             body, at = data[at + 4 : at + 2 + size], at + 2 + size
             if code == 0xDB:
                 while body:
@@ -292,10 +294,11 @@ class Frame:
             elif code == 0xC2:
                 self._size(body)
             elif code == 0xDA:
-                end = self._scan(body, data, at, tables, restart)
-                at = end
+                at = self._scan(body, data, at, tables, restart)
             elif 0xC0 <= code <= 0xCF and code != 0xCC:
                 raise ValueError("not progressive")
+        if not self.components:
+            raise ValueError("no frame")
 
     def _size(self, body: bytes) -> None:
         self.height, self.width = int.from_bytes(body[1:3], "big"), int.from_bytes(body[3:5], "big")

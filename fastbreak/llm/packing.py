@@ -35,7 +35,7 @@ CAPACITY, CLOSE = 4096, 1
 #: Pieces that one shard packs, on average.
 SHARD = 50_000
 #: Words that a worker remembers before it starts over.
-REMEMBERED = 1_000_000
+REMEMBERED = 700_000
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -113,9 +113,11 @@ def token_pieces(df: DataFrame, ident: str = "doc_id", text: str = "text", path:
 def best_fit(lengths: np.ndarray, capacity: int = CAPACITY) -> tuple[np.ndarray, np.ndarray]:
     """Sequence and offset of each piece; no length is over the capacity."""
     sequence, offset = np.zeros(len(lengths), np.int64), np.zeros(len(lengths), np.int64)
+    if not len(lengths):
+        return sequence, offset
     order = np.argsort(-lengths, kind="stable")
     sizes = lengths[order]
-    edges = np.flatnonzero(np.r_[True, sizes[1:] != sizes[:-1]]) if len(order) else np.zeros(0, np.int64)
+    edges = np.flatnonzero(np.r_[True, sizes[1:] != sizes[:-1]])
     gaps: dict[int, list[int]] = {}
     open_gaps = 0  # bit g: there are gaps of size g
     opened = 0
