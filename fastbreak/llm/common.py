@@ -13,8 +13,15 @@ from pyspark.sql import DataFrame, SparkSession
 SLICE_CHARS = 2_000_000
 
 
+#: Rows of an Arrow batch: texts are long, and a Python worker holds a batch several times over.
+BATCH_ROWS = 1_500
+_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One of the given tables, through Spark's own reader (any file system)."""
+    """One of the given tables, through Spark's own reader (any file system). Keeps the session's batches small."""
+    if not 0 < int(spark.conf.get(_ROWS, "10000")) <= BATCH_ROWS:
+        spark.conf.set(_ROWS, BATCH_ROWS)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -54,13 +61,13 @@ def slices(items: list, weight=len, limit: int = SLICE_CHARS) -> Iterator[list]:
 def whole_runs(batches: Iterable[pa.RecordBatch], key: str = "key", rows: int = 200_000) -> Iterator[pa.Table]:
     """Tables of whole runs of equal keys, from batches that are sorted by the key."""
     kept: list[pa.RecordBatch] = []
-    held = 0
+    held, limit = 0, rows
     for batch in batches:
         if not batch.num_rows:
             continue
         kept.append(batch)
         held += batch.num_rows
-        if held < rows:
+        if held < limit:
             continue
         whole = pa.Table.from_batches(kept).combine_chunks()
         keys = whole.column(key).to_numpy()
@@ -69,6 +76,7 @@ def whole_runs(batches: Iterable[pa.RecordBatch], key: str = "key", rows: int =
             yield whole.slice(0, cut)
         kept = whole.slice(cut).to_batches()
         held = whole.num_rows - cut
+        limit = max(rows, 2 * held)  # a long run is not put together again for every batch
     if kept:
         yield pa.Table.from_batches(kept).combine_chunks()
 

@@ -50,7 +50,7 @@ SEPARATORS = set(" .-_*~'`,:;/\\")
 #: Channel costs (negative log): a leet character, a dropped separator, a dropped repetition (long run, double letter), a character taken as it is though not a letter.
 COST_LEET, COST_SEPARATOR, COST_RUN, COST_DOUBLE, COST_ODD = 0.5, 0.3, 0.2, 8.0, 6.0
 #: Restored tokens that a worker remembers before it starts over.
-REMEMBERED = 400_000
+REMEMBERED = 150_000
 
 SPACED = re.compile(r"(?<![^\W_])[^\W\d_](?:[ ._*-][^\W_]){2,}(?![^\W_])")
 EDGES = " \t\r\n\x0b\x0c.,;:!?\"'()[]{}<>«»“”„…%&*#|~^=_-/\\"
