@@ -17,7 +17,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import checkpoint, run_bounds, slices, texts
@@ -26,9 +26,11 @@ from .common import checkpoint, run_bounds, slices, texts
 BASE = 0x9E3779B97F4A7C15
 INVERSE = pow(BASE, -1, 2**64)
 #: Bits of a place within a slice; hashes are compared above them.
-PLACE_BITS = 24
+PLACE_BITS = 31
 SPANS = "settled boolean, doc long, mark long, start int, n int, anchor long"
-_RECORDS = "bucket int, docs array<long>, marks array<long>, doc array<int>, start array<int>, n array<int>, anchor array<long>, context array<long>"
+#: A row is what one slice has for one bucket, in the narrowest types: 14 bytes a record. Of the anchor's hash the
+#: bucket and 32 bits are kept (chance collisions are settled by symbols later), of the context's 48 bits more.
+_RECORDS = "bucket int, docs array<long>, marks array<long>, doc array<smallint>, low array<smallint>, high array<smallint>, n array<tinyint>, anchor array<int>, context array<int>, more array<smallint>"
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -66,10 +68,8 @@ def records(symbols: np.ndarray, sizes: np.ndarray, window: int, k: int) -> tupl
     """Of documents end to end: document, first window, number of windows, anchor hash and context hash of each record."""
     n = len(symbols)
     none = np.zeros(0, np.int64)
-    if n < window or n >= 1 << PLACE_BITS:
-        if n < window:
-            return none, none, none, none, none
-        raise ValueError("slice too large")
+    if n < window:
+        return none, none, none, none, none
     up, down = POWERS.upto(n + 1)
     total = np.r_[np.uint64(0), np.cumsum(mixed(symbols + np.uint64(0x632BE59BD9B4E019)) * up[:n])]
     grams = mixed((total[k:] - total[:-k]) * down[: n - k + 1])
@@ -119,9 +119,12 @@ def _send(symbols_of: Callable, window: int, k: int, buckets: int):
                 edges = np.searchsorted(bucket[order], np.arange(buckets + 1))
                 for b in np.flatnonzero(np.diff(edges)):
                     mine = order[edges[b] : edges[b + 1]]
-                    used, where = np.unique(doc[mine], return_inverse=True)
-                    row = (b, docs[used], marks[used], where.astype(np.int32), start[mine].astype(np.int32), n[mine].astype(np.int32), anchor[mine], context[mine])
-                    yield pa.RecordBatch.from_arrays([pa.array([row[0]], pa.int32())] + [pa.ListArray.from_arrays([0, len(x)], pa.array(x)) for x in row[1:]], names=[c.split()[0] for c in _RECORDS.split(", ")])
+                    mine = mine[np.lexsort((start[mine], doc[mine]))]  # long runs of equal numbers compress
+                    for some in np.split(mine, np.flatnonzero(np.diff(doc[mine]) != 0)[30_000::30_000] + 1):
+                        used, where = np.unique(doc[some], return_inverse=True)
+                        at, a, c = start[some], anchor[some], context[some]
+                        row = (docs[used], marks[used], where.astype(np.int16), (at & 0xFFFF).astype(np.uint16).view(np.int16), (at >> 16).astype(np.int16), n[some].astype(np.int8), a.astype(np.int32), c.astype(np.int32), (c >> 32).astype(np.int16))
+                        yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32())] + [pa.ListArray.from_arrays([0, len(x)], pa.array(x)) for x in row], names=[c.split()[0] for c in _RECORDS.split(", ")])
 
     return run
 
@@ -136,12 +139,14 @@ def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def bucket(parts: list[pa.RecordBatch]):
         columns: list[list[np.ndarray]] = [[] for _ in range(6)]
+        number = np.int64(parts[0].column(0)[0].as_py()) << 32
         for part in parts:
-            lists = [part.column(j) for j in range(1, 8)]
+            lists = [part.column(j) for j in range(1, 10)]
             for i in range(part.num_rows):
-                docs, marks, where, *rest = (x[i].values.to_numpy() for x in lists)
-                for column, values in zip(columns, (docs[where], marks[where], *rest), strict=True):
-                    column.append(values)
+                docs, marks, where, low, high, n, anchor, context, more = (x[i].values.to_numpy() for x in lists)
+                values = (docs[where], marks[where], low.view(np.uint16) + (high.astype(np.int32) << 16), n.astype(np.int32), number | anchor.view(np.uint32), context.view(np.uint32) | (more.astype(np.int64) << 32))
+                for column, x in zip(columns, values, strict=True):
+                    column.append(x)
         doc, mark, start, n, anchor, context = (np.concatenate(x) for x in columns)
         gone = n < 0
         yield from spans(True, doc[gone], mark[gone], start[gone], -n[gone], anchor[gone])
@@ -189,11 +194,33 @@ def repeated_spans(df: DataFrame, symbols_of: Callable, window: int, k: int) ->
 
 
 def marked(df: DataFrame, ident: str, text: str) -> DataFrame:
-    """df with doc, mark and text: rows with the same id but other texts are told apart."""
-    return df.select(F.col(ident).cast("long").alias("doc"), F.xxhash64(text).alias("mark"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    """doc, mark (rows with the same id but other texts are told apart), text, and rest: all columns but the text.
+
+    Columns are renamed within rest, as names may clash there; see unmarked().
+    """
+    rest = [F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(df.columns) if c != text]
+    return df.select(F.col(ident).cast("long").alias("doc"), F.xxhash64(text).alias("mark"), F.coalesce(F.col(text), F.lit("")).alias("text"), F.struct(*rest, F.col(text).isNull().alias("none")).alias("rest"))
 
 
-def contexts(df: DataFrame, open_spans: DataFrame, cut: Callable, kind: str) -> DataFrame:
-    """(anchor, doc, mark, start, content: kind): the symbols that unsettled windows cover, from the documents' texts."""
+def unmarked(rows: DataFrame, columns: list[str], text: str, new: Column) -> DataFrame:
+    """The columns that marked() has hidden, with a new text where there was one.
+
+    new should read the whole of rest: else fields that nobody wants are pruned from one shuffle of the texts and not
+    from the other (see contexts()), and there are two.
+    """
+    return rows.select(*(F.when(~F.col("rest.none"), new).alias(c) if c == text else F.col(f"rest.c{i}").alias(c) for i, c in enumerate(columns)))
+
+
+def contexts(docs: DataFrame, open_spans: DataFrame, cut: Callable, kind: str) -> DataFrame:
+    """(anchor, doc, mark, start, content: kind): the symbols that unsettled windows cover, from the documents' texts.
+
+    cut gets doc, mark, text and spans, null for documents without any. A left join of all columns, as with_spans()
+    is, so that both read one shuffle of the texts.
+    """
     asked = open_spans.groupBy("doc", "mark").agg(F.collect_list(F.struct("anchor", "start", "n")).alias("spans"))
-    return df.join(asked, ["doc", "mark"]).select("doc", "mark", "text", "spans").mapInArrow(cut, f"anchor long, doc long, mark long, start int, content {kind}")
+    return docs.join(asked, ["doc", "mark"], "left").select("doc", "mark", "text", "spans", *docs.columns[3:]).mapInArrow(cut, f"anchor long, doc long, mark long, start int, content {kind}")
+
+
+def with_spans(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """docs (as marked() gives them, or without rest) with the spans that were found in each."""
+    return docs.join(found, ["doc", "mark"], "left")

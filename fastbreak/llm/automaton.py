@@ -25,9 +25,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .anchors import POWERS, SPANS, contexts, marked, mixed, repeated_spans
-from .common import free_name, run_bounds, table, whole_runs
-from .suffix_array import covered, joined_spans
+from .anchors import POWERS, SPANS, contexts, marked, mixed, repeated_spans, unmarked, with_spans
+from .common import run_bounds, table, whole_runs
+from .suffix_array import covered
 
 #: Words of the windows that may not repeat, and of the anchors in them.
 WINDOW, ANCHOR = 50, 8
@@ -151,6 +151,7 @@ def _settle_shard(shard, doc, mark, start, content) -> Iterator[pa.RecordBatch]:
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
+        batch = batch.filter(batch.column(3).is_valid())
         for doc, mark, text, spans in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
             words = word_hashes([text])[0].view(np.int64)
             rows = [(s["anchor"], doc, mark, s["start"], words[s["start"] : s["start"] + s["n"] + WINDOW - 1]) for s in spans]
@@ -158,42 +159,56 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], ["anchor", "doc", "mark", "start", "content"])
 
 
-def removal_spans(df: DataFrame, ident: str = "doc_id", text: str = "text") -> DataFrame:
+def removal_spans(docs: DataFrame) -> DataFrame:
     """(doc, mark, spans): for documents with something to remove, first windows and numbers of windows, in words."""
-    docs = marked(df, ident, text)
     spans = repeated_spans(docs, word_hashes, WINDOW, ANCHOR)
     asked = contexts(docs, spans.where("not settled"), _cut, "array<long>")
     more = asked.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_settle, SPANS)
     return spans.where("settled").unionByName(more).groupBy("doc", "mark").agg(F.collect_list(F.struct("start", "n")).alias("spans"))
 
 
-def remove_passages(df: DataFrame, ident: str = "doc_id", text: str = "text", digests: str | None = None) -> DataFrame:
-    """df with the text column cut, its kept words joined by single spaces (texts that lose nothing stay as they are);
-    with digests, that struct column (number of words, of removed words, digest of the kept ones) instead."""
-    name = free_name(df, "__spans")
-    joined = joined_spans(df, removal_spans(df, ident, text), ident, text, name)
-    kind = "struct<n_words:long,n_removed:long,kept_sha256:string>" if digests else "string"
+_DIGESTS = pa.struct([("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string())])
+
+
+def _cutter(kind: str, rows_of):
+    """A column from texts and their spans, by rows_of(text or null, number of words, kept words, whether any went)."""
 
-    @F.arrow_udf(kind)
-    def cut(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-        for column, spans in batches:
-            rows: list = []
+    def cut(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
+        for column, spans, *_ in batches:
+            rows = []
             for raw, found in zip(column.to_pylist(), spans.to_pylist(), strict=True):
                 words = WORD.findall(raw or "")
                 kept = words
                 if found:
-                    gone = covered(len(words), np.array([s["start"] for s in found], np.int64), np.array([s["n"] for s in found], np.int64), WINDOW)
+                    gone = covered(len(words), np.array([s["start"] for s in found]), np.array([s["n"] for s in found]), WINDOW)
                     kept = [w for w, g in zip(words, gone.tolist(), strict=True) if not g]
-                if digests:
-                    rows.append({"n_words": len(words), "n_removed": len(words) - len(kept), "kept_sha256": sha256(" ".join(kept).encode("utf-8", "surrogatepass")).hexdigest()})
-                else:
-                    rows.append(" ".join(kept) if found else raw)
-            yield pa.array(rows, pa.struct([("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string())]) if digests else pa.string())
+                rows.append(rows_of(raw, len(words), kept, bool(found)))
+            yield pa.array(rows, pa.string() if kind == "string" else _DIGESTS)
+
+    return F.arrow_udf(cut, kind)
+
+
+def _text(raw: str | None, n: int, kept: list[str], cut: bool) -> str | None:
+    return " ".join(kept) if cut else raw
+
+
+def _digest(raw: str | None, n: int, kept: list[str], cut: bool) -> dict:
+    return {"n_words": n, "n_removed": n - len(kept), "kept_sha256": sha256(" ".join(kept).encode("utf-8", "surrogatepass")).hexdigest()}
+
+
+def remove_passages(df: DataFrame, ident: str = "doc_id", text: str = "text") -> DataFrame:
+    """df with the text column cut, its kept words joined by single spaces; texts that lose nothing stay as they are."""
+    docs = marked(df, ident, text)
+    return unmarked(with_spans(docs, removal_spans(docs)), df.columns, text, _cutter("string", _text)("text", "spans", "rest"))
+
 
-    return joined.withColumn(digests or text, cut(F.col(text), F.col(name))).drop(name)
+def digest_passages(df: DataFrame, ident: str = "doc_id", text: str = "text") -> DataFrame:
+    """(ident, cut): number of words, of removed words, and a digest of the words that stay."""
+    docs = marked(df.select(ident, text), ident, text).drop("rest")
+    joined = with_spans(docs, removal_spans(docs))
+    return joined.select(F.col("doc").alias(ident), _cutter("struct<n_words:long,n_removed:long,kept_sha256:string>", _digest)("text", "spans").alias("cut"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op10_suffix_automaton_dedup: what is cut from every document, and a digest of what stays."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return remove_passages(docs, digests="cut").select("doc_id", "cut.*")
+    return digest_passages(table(spark, sf_dir, "documents")).select("doc_id", "cut.*")

@@ -24,11 +24,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .anchors import POWERS, SPANS, contexts, marked, mixed, repeated_spans
-from .common import free_name, run_bounds, spread, table, texts, whole_runs
+from .anchors import POWERS, SPANS, contexts, marked, mixed, repeated_spans, unmarked, with_spans
+from .common import run_bounds, spread, table, texts, whole_runs
 
 #: Bytes of the strings that may not repeat, and of the anchors in them.
-WINDOW, ANCHOR = 50, 20
+WINDOW, ANCHOR = 50, 16
 #: Bytes that one suffix array is built over.
 CHUNK = 400_000
 
@@ -150,33 +150,54 @@ def _chunks(anchor: np.ndarray, size: np.ndarray) -> Iterator[tuple[int, int]]:
         yield int(starts[first]), int(ends[-1])
 
 
+def _stretches(at: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First window and number of windows of each maximal stretch of consecutive windows."""
+    firsts = np.flatnonzero(np.r_[True, (np.diff(at) != 1) | (np.diff(owner) != 0)][: len(at)])
+    return firsts, np.diff(np.r_[firsts, len(at)])
+
+
+def _repeated(hashes: np.ndarray) -> np.ndarray:
+    _, where, count = np.unique(hashes, return_inverse=True, return_counts=True)
+    return count[where] > 1
+
+
 def _settle_chunk(doc, mark, start, content, size) -> Iterator[pa.RecordBatch]:
-    """Windows whose hash is of one stretch only can't repeat; the array is built over the others' bytes."""
+    """Windows without an equal can't repeat. What is left are stretches: of equal ones the smallest document's is
+    kept, and the suffix array is built over those that still have windows in common with others."""
     raw = np.frombuffer(b"".join(content), np.uint8)
     up, down = POWERS.upto(len(raw) + 1)
     total = np.r_[np.uint64(0), np.cumsum(mixed(raw.astype(np.uint64) + np.uint64(1)) * up[: len(raw)])]
     owner, place = spread(size - WINDOW + 1)
     at = (np.cumsum(size) - size)[owner] + place
     hashes = (total[at + WINDOW] - total[at]) * down[at]
-    _, where, count = np.unique(hashes, return_inverse=True, return_counts=True)
-    for k in range(parts := 1 + int((count[where] > 1).sum()) // (8 * CHUNK)):  # a very large group of one anchor, by hash
-        keep = np.flatnonzero((count[where] > 1) & ((hashes >> np.uint64(20)) % np.uint64(parts) == k))
-        if not len(keep):
+    keep = np.flatnonzero(_repeated(hashes))
+    at, owner, place, hashes = at[keep], owner[keep], place[keep], hashes[keep]
+    firsts, runs = _stretches(at, owner)
+    whole = (total[at[firsts] + runs + WINDOW - 1] - total[at[firsts]]) * down[at[firsts]]
+    by = np.lexsort((doc[owner[firsts]], runs, whole))
+    fresh = np.r_[True, (whole[by][1:] != whole[by][:-1]) | (runs[by][1:] != runs[by][:-1])][: len(by)]
+    least = doc[owner[firsts]][by][np.flatnonzero(fresh)[np.cumsum(fresh) - 1]] if len(by) else by
+    follows = np.zeros(len(firsts), bool)
+    follows[by] = least < doc[owner[firsts]][by]
+    gone = np.repeat(follows, runs)
+    # Windows of the others that are not alone there; a very large group of one anchor in parts, by hash.
+    left = np.flatnonzero(~gone)
+    left = left[_repeated(hashes[left])]
+    for k in range(parts := 1 + len(left) // (8 * CHUNK)):
+        some = left[(hashes[left] >> np.uint64(20)) % np.uint64(parts) == k]
+        if not len(some):
             continue
-        # Stretches of consecutive windows, one after the other, each with a separator behind it.
-        fresh = np.r_[True, (np.diff(at[keep]) != 1) | (np.diff(owner[keep]) != 0)]
-        firsts = np.flatnonzero(fresh)
-        runs = np.diff(np.r_[firsts, len(keep)])
+        # Stretches one after the other, each with a separator behind it.
+        firsts, runs = _stretches(at[some], owner[some])
         piece, inside = spread(runs + WINDOW)
-        source = at[keep][firsts][piece] + inside
+        source = at[some][firsts][piece] + inside
         symbols = np.where(inside < (runs + WINDOW - 1)[piece], raw[np.minimum(source, len(raw) - 1)].astype(np.int64) + 2, 1)
-        starts = np.flatnonzero(inside < runs[piece])
-        gone = keep[repeats(symbols, starts, doc[owner[keep]])]
-        if len(gone):
-            fresh = np.flatnonzero(np.r_[True, (np.diff(at[gone]) != 1) | (np.diff(owner[gone]) != 0)])
-            row = owner[gone][fresh]
-            n = np.diff(np.r_[fresh, len(gone)])
-            yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(row), bool)), pa.array(doc[row]), pa.array(mark[row]), pa.array((start[row] + place[gone][fresh]).astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(np.zeros(len(row), np.int64))], [c.split()[0] for c in SPANS.split(", ")])
+        gone[some] |= repeats(symbols, np.flatnonzero(inside < runs[piece]), doc[owner[some]])
+    away = np.flatnonzero(gone)
+    if len(away):
+        firsts, n = _stretches(at[away], owner[away])
+        row = owner[away][firsts]
+        yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(row), bool)), pa.array(doc[row]), pa.array(mark[row]), pa.array((start[row] + place[away][firsts]).astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(np.zeros(len(row), np.int64))], [c.split()[0] for c in SPANS.split(", ")])
 
 
 def _bytes_of(batch: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -186,6 +207,7 @@ def _bytes_of(batch: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
+        batch = batch.filter(batch.column(3).is_valid())
         for doc, mark, text, spans in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
             raw = text.encode("utf-8", "surrogatepass")
             rows = [(s["anchor"], doc, mark, s["start"], raw[s["start"] : s["start"] + s["n"] + WINDOW - 1]) for s in spans]
@@ -200,47 +222,54 @@ def covered(size: int, starts: np.ndarray, counts: np.ndarray, window: int = WIN
     return np.cumsum(change)[:size] > 0
 
 
-def removal_spans(df: DataFrame, ident: str = "doc_id", text: str = "text") -> DataFrame:
+def removal_spans(docs: DataFrame) -> DataFrame:
     """(doc, mark, spans): for documents with something to remove, first windows and numbers of windows."""
-    docs = marked(df, ident, text)
     spans = repeated_spans(docs, _bytes_of, WINDOW, ANCHOR)
     asked = contexts(docs, spans.where("not settled"), _cut, "binary")
     more = asked.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_settle, SPANS)
     return spans.where("settled").unionByName(more).groupBy("doc", "mark").agg(F.collect_list(F.struct("start", "n")).alias("spans"))
 
 
-def joined_spans(df: DataFrame, found: DataFrame, ident: str, text: str, name: str) -> DataFrame:
-    found = found.select(F.col("doc").alias("__doc"), F.col("mark").alias("__mark"), F.col("spans").alias(name))
-    return df.join(found, (F.col(ident).cast("long") == F.col("__doc")) & (F.xxhash64(text) == F.col("__mark")), "left").drop("__doc", "__mark")
+def _cutter(kind: str, rows_of):
+    """A column from texts and their spans, by rows_of(text or null, bytes, removed bytes or null)."""
 
+    def cut(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
+        for column, spans, *_ in batches:
+            rows = []
+            for raw, found in zip(column.to_pylist(), spans.to_pylist(), strict=True):
+                data = (raw or "").encode("utf-8", "surrogatepass")
+                rows.append(rows_of(raw, data, covered(len(data), np.array([s["start"] for s in found]), np.array([s["n"] for s in found])) if found else None))
+            yield pa.array(rows, pa.string() if kind == "string" else _DIGESTS)
 
-def remove_repeats(df: DataFrame, ident: str = "doc_id", text: str = "text", digests: str | None = None) -> DataFrame:
-    """df with the text column cut; with digests, that struct column (sizes and digest of the cut bytes) instead.
+    return F.arrow_udf(cut, kind)
 
-    Where a cut falls within a character, what is left of it is dropped from the text (not from the digested bytes).
-    """
-    name = free_name(df, "__spans")
-    joined = joined_spans(df, removal_spans(df, ident, text), ident, text, name)
-    kind = "struct<n_bytes:long,n_removed:long,n_spans:long,kept_sha256:string>" if digests else "string"
 
-    @F.arrow_udf(kind)
-    def cut(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-        for column, spans in batches:
-            rows: list = []
-            for raw, found in zip(column.to_pylist(), spans.to_pylist(), strict=True):
-                data = (raw or "").encode("utf-8", "surrogatepass")
-                gone = covered(len(data), np.array([s["start"] for s in found], np.int64), np.array([s["n"] for s in found], np.int64)) if found else None
-                kept = np.frombuffer(data, np.uint8)[~gone].tobytes() if found else data
-                if digests:
-                    rows.append({"n_bytes": len(data), "n_removed": len(data) - len(kept), "n_spans": int(np.count_nonzero(np.diff(np.r_[0, gone.astype(np.int8)]) == 1)) if found else 0, "kept_sha256": sha256(kept).hexdigest()})
-                else:
-                    rows.append(raw if not found else kept.decode("utf-8", "ignore"))
-            yield pa.array(rows, pa.struct([("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())]) if digests else pa.string())
+_DIGESTS = pa.struct([("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())])
+
+
+def _text(raw: str | None, data: bytes, gone: np.ndarray | None) -> str | None:
+    return raw if gone is None else np.frombuffer(data, np.uint8)[~gone].tobytes().decode("utf-8", "ignore")
+
+
+def _digest(raw: str | None, data: bytes, gone: np.ndarray | None) -> dict:
+    kept = data if gone is None else np.frombuffer(data, np.uint8)[~gone].tobytes()
+    spans = 0 if gone is None else int(np.count_nonzero(np.diff(np.r_[0, gone.astype(np.int8)]) == 1))
+    return {"n_bytes": len(data), "n_removed": len(data) - len(kept), "n_spans": spans, "kept_sha256": sha256(kept).hexdigest()}
+
+
+def remove_repeats(df: DataFrame, ident: str = "doc_id", text: str = "text") -> DataFrame:
+    """df with the text column cut. Where a cut falls within a character, what is left of it is dropped."""
+    docs = marked(df, ident, text)
+    return unmarked(with_spans(docs, removal_spans(docs)), df.columns, text, _cutter("string", _text)("text", "spans", "rest"))
+
 
-    return joined.withColumn(digests or text, cut(F.col(text), F.col(name))).drop(name)
+def digest_repeats(df: DataFrame, ident: str = "doc_id", text: str = "text") -> DataFrame:
+    """(ident, cut): sizes, number of maximal removed runs and a digest of the bytes that stay."""
+    docs = marked(df.select(ident, text), ident, text).drop("rest")
+    joined = with_spans(docs, removal_spans(docs))
+    return joined.select(F.col("doc").alias(ident), _cutter("struct<n_bytes:long,n_removed:long,n_spans:long,kept_sha256:string>", _digest)("text", "spans").alias("cut"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op4_suffix_array_dedup: what is cut from every document, and a digest of what stays."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return remove_repeats(docs, digests="cut").select("doc_id", "cut.*")
+    return digest_repeats(table(spark, sf_dir, "documents")).select("doc_id", "cut.*")
