@@ -318,7 +318,7 @@ def _(spark, sf):
 
 
 _TOTAL = f"""SELECT 0 AS is_total, '{report.TOTAL}' AS team, '{report.ALL_LINEUPS}' AS players, sum(off_poss) + sum(def_poss) AS total_poss, sum(off_pts) - sum(def_pts) AS plus_minus, sum(off_poss) AS off_poss, sum(def_poss) AS def_poss, sum(off_pts) AS off_pts, sum(def_pts) AS def_pts,
-    sum(off_pts) / sum(off_poss) * 100 AS off_ppp, sum(def_pts) / sum(def_poss) * 100 AS def_ppp, sum(off_pts) / sum(off_poss) * 100 - sum(def_pts) / sum(def_poss) * 100 AS net_rtg, NULL::INT AS num_lineup, '{report.TOTAL}' AS sub_lineup_hash FROM ({_REPORT})
+    sum(off_pts) / sum(off_poss) * 100 AS off_ppp, sum(def_pts) / sum(def_poss) * 100 AS def_ppp, sum(off_pts) / sum(off_poss) * 100 - sum(def_pts) / sum(def_poss) * 100 AS net_rtg, NULL::INT AS num_lineup, '{report.TOTAL}' AS sub_lineup_hash FROM ({_REPORT}) HAVING count(*) > 0
     UNION ALL SELECT 1, * FROM ({_REPORT})"""
 
 
@@ -331,7 +331,7 @@ def _average_rank(x: str) -> str:
     return f"CASE WHEN {x} IS NOT NULL AND count({x}) OVER () > 1 THEN (rank() OVER (ORDER BY {x} NULLS LAST) + (count(*) OVER (PARTITION BY {x}) - 1) / 2 - 1) / (count({x}) OVER () - 1) END"
 
 
-@register("k33_lineup_percentiles", f"SELECT sub_lineup_hash, is_total, CASE WHEN is_total = 1 THEN a END AS pr_ld_net, CASE WHEN is_total = 1 THEN b END AS pr_ld_off_ppp, CASE WHEN is_total = 1 THEN 1 - c END AS pr_ld_def_ppp_i FROM (SELECT *, {_average_rank('net_rtg')} AS a, {_average_rank('off_ppp')} AS b, {_average_rank('def_ppp')} AS c FROM (SELECT 1 AS is_total, * FROM ({_REPORT}))) UNION ALL SELECT '{report.TOTAL}', 0, NULL, NULL, NULL", "stats")
+@register("k33_lineup_percentiles", f"SELECT sub_lineup_hash, is_total, CASE WHEN is_total = 1 THEN a END AS pr_ld_net, CASE WHEN is_total = 1 THEN b END AS pr_ld_off_ppp, CASE WHEN is_total = 1 THEN 1 - c END AS pr_ld_def_ppp_i FROM (SELECT *, {_average_rank('net_rtg')} AS a, {_average_rank('off_ppp')} AS b, {_average_rank('def_ppp')} AS c FROM (SELECT 1 AS is_total, * FROM ({_REPORT}))) UNION ALL SELECT '{report.TOTAL}', 0, NULL, NULL, NULL WHERE EXISTS (SELECT 1 FROM ({_REPORT}))", "stats")
 def _(spark, sf):
     return report.with_percentiles(report.with_total(_report(spark, sf))).select("sub_lineup_hash", "is_total", "pr_ld_net", "pr_ld_off_ppp", "pr_ld_def_ppp_i")
 
