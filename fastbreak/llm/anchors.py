@@ -2,13 +2,13 @@
 
 A window of W symbols is assigned to the smallest k-gram in it (by hash, the leftmost of equals). The choice depends
 on the window's content alone, so equal windows have equal anchors at equal places. Consecutive windows with the
-same anchor occurrence make one record: the anchor's hash and a hash of the text that these windows cover. Records
-are the only thing that is shuffled of the whole corpus, packed as arrays, one per about ten symbols of the text's
-W / 2; equal records of a slice leave one leader, which is all that a passage in very many documents sends.
+same anchor occurrence make one record, 8 bytes. Anchors only route: no hash decides that something goes.
 
-By bucket of anchors: records whose anchor is in one document only are dropped; a record that some smaller document
-has as a whole is settled; what remains are leaders of anchors with several contexts, for the caller to settle by
-their symbols.
+Records whose anchor is in several documents of one slice are candidates already; they are dealt evenly, and of such
+an anchor only its least and greatest document are asked about. Of all others, those whose anchor is in one document
+only are dropped. The symbols of all candidates are then brought together by anchor, for the caller to compare.
+Before that shuffle equal contents of a task leave those of the smallest document (the others' windows are settled,
+symbol by symbol), and an anchor with more symbols than one task should hold is split by the hash of each window.
 """
 
 from __future__ import annotations
@@ -25,12 +25,16 @@ from .common import checkpoint, run_bounds, slices, texts
 #: An odd multiplier of rolling hashes, and its inverse modulo 2**64.
 BASE = 0x9E3779B97F4A7C15
 INVERSE = pow(BASE, -1, 2**64)
+#: Contents that a task remembers to settle equal ones before they are shuffled.
+KNOWN = 100_000
 #: Bits of a place within a slice; hashes are compared above them.
 PLACE_BITS = 31
-SPANS = "settled boolean, doc long, mark long, start int, n int, anchor long"
-#: A row is what one slice has for one bucket, in the narrowest types: 14 bytes a record. Of the anchor's hash the
-#: bucket and 32 bits are kept (chance collisions are settled by symbols later), of the context's 48 bits more.
-_RECORDS = "bucket int, docs array<long>, marks array<long>, doc array<smallint>, low array<smallint>, high array<smallint>, n array<tinyint>, anchor array<int>, context array<int>, more array<smallint>"
+SPANS = "doc long, mark long, start int, n int, anchor long"
+#: What goes: n windows of a document from `start` on.
+GONE = "doc long, mark long, start int, n int"
+#: A row is what one slice has for one bucket, in the narrowest types: 8 bytes a record. Of the anchor's hash the
+#: bucket and 32 bits are kept. Rows are dealt by bucket, or evenly where they are known to be candidates.
+_RECORDS = "dealt int, known boolean, bucket int, docs array<long>, marks array<long>, doc array<smallint>, low array<smallint>, high array<smallint>, n array<tinyint>, anchor array<int>"
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -65,11 +69,11 @@ def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
 
 
 def records(symbols: np.ndarray, sizes: np.ndarray, window: int, k: int) -> tuple[np.ndarray, ...]:
-    """Of documents end to end: document, first window, number of windows, anchor hash and context hash of each record."""
+    """Of documents end to end: document, first window, number of windows and anchor hash of each record."""
     n = len(symbols)
     none = np.zeros(0, np.int64)
     if n < window:
-        return none, none, none, none, none
+        return none, none, none, none
     up, down = POWERS.upto(n + 1)
     total = np.r_[np.uint64(0), np.cumsum(mixed(symbols + np.uint64(0x632BE59BD9B4E019)) * up[:n])]
     grams = mixed((total[k:] - total[:-k]) * down[: n - k + 1])
@@ -80,109 +84,97 @@ def records(symbols: np.ndarray, sizes: np.ndarray, window: int, k: int) -> tupl
     doc = np.repeat(np.arange(len(sizes)), sizes)[: len(at)]
     valid = np.flatnonzero(np.arange(len(at)) + window <= ends[doc])
     if not len(valid):
-        return none, none, none, none, none
+        return none, none, none, none
     at, doc = at[valid], doc[valid]
     fresh = np.flatnonzero(np.r_[True, (at[1:] != at[:-1]) | (doc[1:] != doc[:-1])])
     first = valid[fresh]
     count = np.diff(np.r_[fresh, len(valid)])
     anchor, doc = at[fresh], doc[fresh]
-    last = first + count - 1 + window
-    context = mixed((total[last] - total[first]) * down[first] + np.uint64(1))
-    return doc, first - (ends - sizes)[doc], count, grams[anchor].view(np.int64), context.view(np.int64)
+    return doc, first - (ends - sizes)[doc], count, grams[anchor].view(np.int64)
 
 
-def _leaders(anchor, context, ident) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """An order by anchor and context; and, in it, each record's smallest document of the same context, and whether it is larger itself."""
-    by = np.lexsort((ident, context, anchor))
-    a, c, d = anchor[by], context[by], ident[by]
-    fresh = np.r_[True, (a[1:] != a[:-1]) | (c[1:] != c[:-1])][: len(by)]
-    least = d[np.flatnonzero(fresh)[np.cumsum(fresh) - 1]] if len(by) else d
-    return by, least, d > least
+def _several(anchor: np.ndarray, ident: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """An order by anchor; and, of its runs, their starts, ends, and whether they are of several documents."""
+    by = np.lexsort((ident, anchor))
+    starts, ends = run_bounds(anchor[by])
+    return by, starts, ends, ident[by][starts] < ident[by][ends - 1]
 
 
 def _send(symbols_of: Callable, window: int, k: int, buckets: int):
     """Rows of records for each bucket. Input: doc, mark, text."""
 
+    def rows_of(docs, marks, doc, start, n, anchor, known: bool, deal: int):
+        bucket = (anchor.view(np.uint64) >> np.uint64(32)).astype(np.int64) % buckets
+        order = np.argsort(bucket, kind="stable")
+        edges = np.searchsorted(bucket[order], np.arange(buckets + 1))
+        for b in np.flatnonzero(np.diff(edges)):
+            mine = order[edges[b] : edges[b + 1]]
+            mine = mine[np.lexsort((start[mine], doc[mine]))]  # long runs of equal numbers compress
+            for some in np.split(mine, np.flatnonzero(np.diff(doc[mine]) != 0)[30_000::30_000] + 1):
+                used, where = np.unique(doc[some], return_inverse=True)
+                at = start[some]
+                row = (docs[used], marks[used], where.astype(np.int16), (at & 0xFFFF).astype(np.uint16).view(np.int16), (at >> 16).astype(np.int16), n[some].astype(np.int8), anchor[some].astype(np.int32))
+                head = [pa.array([(deal + b) % buckets if known else b], pa.int32()), pa.array([known]), pa.array([b], pa.int32())]
+                yield pa.RecordBatch.from_arrays(head + [pa.ListArray.from_arrays([0, len(x)], pa.array(x)) for x in row], names=[c.split()[0] for c in _RECORDS.split(", ")])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = [r for r in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), texts(batch.column(2)), strict=True) if r[0] is not None]
             for part in slices(rows, lambda r: len(r[2])):
                 docs, marks = (np.array([r[j] for r in part], np.int64) for j in (0, 1))
                 symbols, sizes = symbols_of([r[2] for r in part])
-                doc, start, n, anchor, context = records(symbols, sizes, window, k)
-                by, _, follows = _leaders(anchor, context, docs[doc])
-                doc, start, n, anchor, context = doc[by], start[by], n[by], anchor[by], context[by]
-                # A follower's windows are all in a smaller document of this slice: settled, marked by n < 0.
-                n = np.where(follows, -n, n)
-                bucket = (anchor.view(np.uint64) >> np.uint64(32)).astype(np.int64) % buckets
-                order = np.argsort(bucket, kind="stable")
-                edges = np.searchsorted(bucket[order], np.arange(buckets + 1))
-                for b in np.flatnonzero(np.diff(edges)):
-                    mine = order[edges[b] : edges[b + 1]]
-                    mine = mine[np.lexsort((start[mine], doc[mine]))]  # long runs of equal numbers compress
-                    for some in np.split(mine, np.flatnonzero(np.diff(doc[mine]) != 0)[30_000::30_000] + 1):
-                        used, where = np.unique(doc[some], return_inverse=True)
-                        at, a, c = start[some], anchor[some], context[some]
-                        row = (docs[used], marks[used], where.astype(np.int16), (at & 0xFFFF).astype(np.uint16).view(np.int16), (at >> 16).astype(np.int16), n[some].astype(np.int8), a.astype(np.int32), c.astype(np.int32), (c >> 32).astype(np.int16))
-                        yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32())] + [pa.ListArray.from_arrays([0, len(x)], pa.array(x)) for x in row], names=[c.split()[0] for c in _RECORDS.split(", ")])
+                doc, start, n, anchor = records(symbols, sizes, window, k)
+                by, starts, ends, several = _several(anchor, docs[doc])
+                doc, start, n, anchor = doc[by], start[by], n[by], anchor[by]
+                yield from rows_of(docs, marks, doc, start, n, anchor, False, 0)
 
     return run
 
 
-def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of SPANS from all records of the buckets, which come bucket by bucket."""
+def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of SPANS whose anchor is in several documents; buckets come one after the other."""
 
-    def spans(settled: bool, doc, mark, start, n, anchor):
+    def spans(doc, mark, start, n, anchor):
         for a in range(0, len(doc), 100_000):
             b = slice(a, a + 100_000)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(doc[b]), settled)), pa.array(doc[b]), pa.array(mark[b]), pa.array(start[b].astype(np.int32)), pa.array(n[b].astype(np.int32)), pa.array(anchor[b])], [c.split()[0] for c in SPANS.split(", ")])
-
-    def bucket(parts: list[pa.RecordBatch]):
-        columns: list[list[np.ndarray]] = [[] for _ in range(6)]
-        number = np.int64(parts[0].column(0)[0].as_py()) << 32
-        for part in parts:
-            lists = [part.column(j) for j in range(1, 10)]
-            for i in range(part.num_rows):
-                docs, marks, where, low, high, n, anchor, context, more = (x[i].values.to_numpy() for x in lists)
-                values = (docs[where], marks[where], low.view(np.uint16) + (high.astype(np.int32) << 16), n.astype(np.int32), number | anchor.view(np.uint32), context.view(np.uint32) | (more.astype(np.int64) << 32))
-                for column, x in zip(columns, values, strict=True):
-                    column.append(x)
-        doc, mark, start, n, anchor, context = (np.concatenate(x) for x in columns)
-        gone = n < 0
-        yield from spans(True, doc[gone], mark[gone], start[gone], -n[gone], anchor[gone])
-        keep = np.flatnonzero(~gone)
-        keep = keep[np.argsort(anchor[keep])]
-        starts, ends = run_bounds(anchor[keep])
-        if not len(starts):
-            return
-        several = np.minimum.reduceat(doc[keep], starts) < np.maximum.reduceat(doc[keep], starts)
-        keep = keep[np.repeat(several, ends - starts)]
-        doc, mark, start, n, anchor, context = (x[keep] for x in (doc, mark, start, n, anchor, context))
-        by, _, follows = _leaders(anchor, context, doc)
-        doc, mark, start, n, anchor, context = (x[by] for x in (doc, mark, start, n, anchor, context))
-        yield from spans(True, doc[follows], mark[follows], start[follows], n[follows], anchor[follows])
-        starts, ends = run_bounds(anchor)
-        if not len(starts):
-            return
-        many = np.repeat(np.minimum.reduceat(context, starts) < np.maximum.reduceat(context, starts), ends - starts) & ~follows
-        yield from spans(False, doc[many], mark[many], start[many], n[many], anchor[many])
-
-    held, of = [], None
+            yield pa.RecordBatch.from_arrays([pa.array(doc[b]), pa.array(mark[b]), pa.array(start[b].astype(np.int32)), pa.array(n[b].astype(np.int32)), pa.array(anchor[b])], [c.split()[0] for c in SPANS.split(", ")])
+
+    def unpacked(rows: pa.RecordBatch):
+        lists = [rows.column(j) for j in range(3, 10)]
+        for i in range(rows.num_rows):
+            docs, marks, where, low, high, n, anchor = (x[i].values.to_numpy() for x in lists)
+            number = np.int64(rows.column(2)[i].as_py()) << 32
+            yield docs[where], marks[where], low.view(np.uint16) + (high.astype(np.int32) << 16), n.astype(np.int32), number | anchor.view(np.uint32)
+
+    def bucket(parts: list):
+        doc, mark, start, n, anchor = (np.concatenate(x) for x in zip(*parts, strict=True))
+        by, starts, ends, several = _several(anchor, doc)
+        keep = by[np.repeat(several, ends - starts)]
+        keep = keep[n[keep] > 0]
+        yield from spans(doc[keep], mark[keep], start[keep], n[keep], anchor[keep])
+
+    held: list = []
+    of = None
     for batch in batches:
-        numbers = batch.column(0).to_numpy()
-        firsts, pasts = run_bounds(numbers)
-        for a, b in zip(firsts, pasts, strict=True):
-            if of is not None and numbers[a] != of:
+        known = batch.column(1).to_numpy(zero_copy_only=False)
+        for row in unpacked(batch.filter(pa.array(known))):
+            yield from spans(*row)
+        asked = batch.filter(pa.array(~known))
+        if not asked.num_rows:
+            continue
+        numbers = asked.column(2).to_numpy()
+        for a, b in zip(*run_bounds(numbers), strict=True):
+            if held and numbers[a] != of:
                 yield from bucket(held)
                 held = []
             of = numbers[a]
-            held.append(batch.slice(a, b - a))
+            held += unpacked(asked.slice(a, b - a))
     if held:
         yield from bucket(held)
 
 
-def repeated_spans(df: DataFrame, symbols_of: Callable, window: int, k: int) -> DataFrame:
-    """Rows of SPANS. settled: all n windows from `start` on also start in a smaller document. Others: to be settled.
+def candidate_spans(df: DataFrame, symbols_of: Callable, window: int, k: int) -> DataFrame:
+    """Rows of SPANS: windows that may also start in another document.
 
     df: doc (long), mark (long, a hash of the text), text. symbols_of gives the symbols of texts end to end, and
     how many each has.
@@ -190,7 +182,7 @@ def repeated_spans(df: DataFrame, symbols_of: Callable, window: int, k: int) ->
     # A bucket's records are held by one task: as many buckets as give each a few partitions' worth of symbols.
     buckets = 4 * max(df.rdd.getNumPartitions(), int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     sent = df.select("doc", "mark", "text").mapInArrow(_send(symbols_of, window, k, buckets), _RECORDS)
-    return checkpoint(sent.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_settle, SPANS))
+    return checkpoint(sent.repartition("dealt").sortWithinPartitions("bucket").mapInArrow(_candidates, SPANS))
 
 
 def marked(df: DataFrame, ident: str, text: str) -> DataFrame:
@@ -211,14 +203,49 @@ def unmarked(rows: DataFrame, columns: list[str], text: str, new: Column) -> Dat
     return rows.select(*(F.when(~F.col("rest.none"), new).alias(c) if c == text else F.col(f"rest.c{i}").alias(c) for i, c in enumerate(columns)))
 
 
-def contexts(docs: DataFrame, open_spans: DataFrame, cut: Callable, kind: str) -> DataFrame:
-    """(anchor, doc, mark, start, content: kind): the symbols that unsettled windows cover, from the documents' texts.
+def window_hashes(symbols: np.ndarray, window: int) -> np.ndarray:
+    up, down = POWERS.upto(len(symbols) + 1)
+    total = np.r_[np.uint64(0), np.cumsum(mixed(symbols.astype(np.uint64) + np.uint64(0x632BE59BD9B4E019)) * up[: len(symbols)])]
+    return mixed((total[window:] - total[:-window]) * down[: len(symbols) - window + 1])
+
+
+def _cut(symbols_of: Callable, window: int, hot: dict[int, int], kind: pa.DataType):
+    """Contents of candidate spans, (key, doc, mark, start, n, content), from rows of doc, mark, text, spans.
+
+    Equal windows have equal keys. Without content: windows that a smaller document of this task has, too.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            batch = batch.filter(batch.column(3).is_valid())
+            rows: list[tuple] = []
+            for doc, mark, text, spans in sorted(zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True), key=lambda r: r[0]):
+                symbols = symbols_of(text)
+                for s in spans:
+                    start, n, key = s["start"], s["n"], s["anchor"]
+                    pieces = [(key, start, n)]
+                    for key, start, n in pieces:
+                        content = symbols[start : start + n + window - 1]
+                        rows.append((key, doc, mark, start, n, content.tobytes() if kind == pa.binary() else content.view(np.int64)))
+            for part in slices(rows, lambda r: 1, 20_000):
+                columns = zip(*part, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), kind), strict=True)], ["key", "doc", "mark", "start", "n", "content"])
+
+    return run
+
+
+def contexts(docs: DataFrame, spans: DataFrame, symbols_of: Callable, window: int, limit: int, kind: str) -> DataFrame:
+    """Rows of _cut(), in runs of equal keys. symbols_of gives the symbols of one text.
 
-    cut gets doc, mark, text and spans, null for documents without any. A left join of all columns, as with_spans()
-    is, so that both read one shuffle of the texts.
+    limit: symbols that one anchor may bring to one task; what has more is split by the windows' hashes. A left join
+    of all columns, as with_spans() is, so that both read one shuffle of the texts.
     """
-    asked = open_spans.groupBy("doc", "mark").agg(F.collect_list(F.struct("anchor", "start", "n")).alias("spans"))
-    return docs.join(asked, ["doc", "mark"], "left").select("doc", "mark", "text", "spans", *docs.columns[3:]).mapInArrow(cut, f"anchor long, doc long, mark long, start int, content {kind}")
+    # There are at most (all symbols / limit) such anchors; the sum leaves tasks pre-aggregated.
+    hot: dict[int, int] = {}
+    cut = _cut(symbols_of, window, hot, pa.binary() if kind == "binary" else pa.list_(pa.int64()))
+    asked = spans.groupBy("doc", "mark").agg(F.collect_list(F.struct("anchor", "start", "n")).alias("spans"))
+    rows = docs.join(asked, ["doc", "mark"], "left").select("doc", "mark", "text", "spans", *docs.columns[3:]).mapInArrow(cut, f"key long, doc long, mark long, start int, n int, content {kind}")
+    return rows.repartition("key").sortWithinPartitions("key")
 
 
 def with_spans(docs: DataFrame, found: DataFrame) -> DataFrame:

@@ -1,10 +1,10 @@
 """Substring deduplication of words: windows of 50 words that also start in a document with a smaller id go.
 
-Anchors (see anchors.py) find the stretches of documents that may repeat and settle those that repeat as a whole
-behind the same anchor. The other candidate stretches are the reference: cut into shards of whole anchors, each with
-a suffix automaton whose states carry the smallest document they occur in. Stretches are streamed through their
-shard's automaton for matching statistics; where 50 words or more match, the state of the last 50 tells whether a
-smaller document has them.
+Anchors (see anchors.py) bring together the stretches of documents that may repeat. These are the reference: cut into
+shards of whole anchors (very common ones in parts), each with a suffix automaton whose states carry the smallest
+document they occur in. Equal stretches, compared word by word, are one sequence with several owners. Each sequence
+is streamed through its shard's automaton for matching statistics; where 50 words or more match, the state of the
+last 50 tells the smallest document that has them, and from that each owner's removals.
 
 A shard meets the stretches that can match it by a shuffle on the anchor, not by a broadcast of every shard to every
 task: all documents are reference here, so the shards together grow with the data.
@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .anchors import POWERS, SPANS, contexts, marked, mixed, repeated_spans, unmarked, with_spans
+from .anchors import GONE, POWERS, candidate_spans, contexts, marked, mixed, unmarked, with_spans
 from .common import run_bounds, table, whole_runs
 from .suffix_array import covered
 
@@ -104,8 +104,8 @@ class SuffixAutomaton:
             if self.least[v] < self.least[u]:
                 self.least[u] = self.least[v]
 
-    def repeated(self, sequence: list[int], owner: int, window: int) -> list[int]:
-        """Starts of the sequence's windows that a smaller owner has too."""
+    def classes(self, sequence: list[int], window: int) -> list[int]:
+        """The smallest owner of each window of a sequence that was added."""
         nexts, link, length, least = self.next, self.link, self.length, self.least
         out, v, matched = [], 0, 0
         for i, c in enumerate(sequence):
@@ -119,52 +119,61 @@ class SuffixAutomaton:
                 while length[link[v]] >= window:
                     v = link[v]
                 matched = window  # the state of exactly the last words, all that counts
-                if least[v] < owner:
-                    out.append(i - window + 1)
+                out.append(least[v])
         return out
 
 
 def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of SPANS for the unsettled stretches, which come sorted by anchor."""
-    for part in whole_runs(batches, "anchor", 5_000):
-        doc, mark, start, anchor = (part.column(c).to_numpy() for c in ("doc", "mark", "start", "anchor"))
-        content = [x.values.to_numpy().tolist() for chunk in part.column("content").chunks for x in chunk]
-        firsts, pasts = run_bounds(anchor)
+    """Rows of GONE from contents, which come sorted by key."""
+    for part in whole_runs(batches, "key", 5_000):
+        settled = part.filter(part.column("content").is_null()).select(["doc", "mark", "start", "n"])
+        yield from settled.combine_chunks().to_batches()
+        part = part.filter(part.column("content").is_valid())
+        if not part.num_rows:
+            continue
+        doc, mark, start, key = (part.column(c).to_numpy() for c in ("doc", "mark", "start", "key"))
+        content = [x.values.to_numpy().tobytes() for chunk in part.column("content").chunks for x in chunk]
+        firsts, pasts = run_bounds(key)
         shard: list[int] = []
+        held = 0
         for a, b in zip(firsts.tolist(), pasts.tolist(), strict=True):
             shard += range(a, b)
-            if sum(len(content[i]) for i in shard) >= SHARD or b == len(anchor):
+            held += sum(len(content[i]) for i in range(a, b)) // 8
+            if held >= SHARD or b == len(key):
                 yield from _settle_shard(shard, doc, mark, start, content)
-                shard = []
+                shard, held = [], 0
 
 
 def _settle_shard(shard, doc, mark, start, content) -> Iterator[pa.RecordBatch]:
-    automaton = SuffixAutomaton()
+    owners: dict[bytes, list[int]] = {}
     for i in shard:
-        automaton.add(content[i], int(doc[i]))
+        owners.setdefault(content[i], []).append(i)
+    automaton = SuffixAutomaton()
+    sequences = [np.frombuffer(c, np.int64).tolist() for c in owners]
+    for sequence, rows in zip(sequences, owners.values(), strict=True):
+        automaton.add(sequence, int(doc[rows].min()))
     automaton.finish()
-    rows = [(True, int(doc[i]), int(mark[i]), int(start[i]) + s, 1, 0) for i in shard for s in automaton.repeated(content[i], int(doc[i]), WINDOW)]
-    if rows:
-        types = (pa.bool_(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64())
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], [c.split()[0] for c in SPANS.split(", ")])
+    found = []
+    for sequence, rows in zip(sequences, owners.values(), strict=True):
+        least = np.array(automaton.classes(sequence, WINDOW), np.int64)
+        for i in rows:
+            gone = np.diff(np.r_[0, (least < doc[i]).astype(np.int8), 0])
+            for a, b in zip(np.flatnonzero(gone == 1).tolist(), np.flatnonzero(gone == -1).tolist(), strict=True):
+                found.append((int(doc[i]), int(mark[i]), int(start[i]) + a, b - a))
+    if found:
+        types = (pa.int64(), pa.int64(), pa.int32(), pa.int32())
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found, strict=True), types, strict=True)], [c.split()[0] for c in GONE.split(", ")])
 
 
-def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        batch = batch.filter(batch.column(3).is_valid())
-        for doc, mark, text, spans in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-            words = word_hashes([text])[0].view(np.int64)
-            rows = [(s["anchor"], doc, mark, s["start"], words[s["start"] : s["start"] + s["n"] + WINDOW - 1]) for s in spans]
-            types = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], ["anchor", "doc", "mark", "start", "content"])
+def _words_of_one(text: str) -> np.ndarray:
+    return word_hashes([text])[0]
 
 
 def removal_spans(docs: DataFrame) -> DataFrame:
     """(doc, mark, spans): for documents with something to remove, first windows and numbers of windows, in words."""
-    spans = repeated_spans(docs, word_hashes, WINDOW, ANCHOR)
-    asked = contexts(docs, spans.where("not settled"), _cut, "array<long>")
-    more = asked.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_settle, SPANS)
-    return spans.where("settled").unionByName(more).groupBy("doc", "mark").agg(F.collect_list(F.struct("start", "n")).alias("spans"))
+    spans = candidate_spans(docs, word_hashes, WINDOW, ANCHOR)
+    gone = contexts(docs, spans, _words_of_one, WINDOW, SHARD, "array<long>").mapInArrow(_settle, GONE)
+    return gone.groupBy("doc", "mark").agg(F.collect_list(F.struct("start", "n")).alias("spans"))
 
 
 _DIGESTS = pa.struct([("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string())])

@@ -1,8 +1,8 @@
 """Suffix-array deduplication of bytes: strings of 50 bytes that also start in a document with a smaller id go.
 
-Anchors (see anchors.py) find the stretches of documents that may repeat and settle those that repeat as a whole
-behind the same anchor. All other candidate stretches are brought together by anchor, and a suffix array of them
-orders their suffixes; neighbours that agree in 50 bytes form a class whose smallest document keeps its copy.
+Anchors (see anchors.py) bring together the stretches of documents that may repeat. Equal stretches, compared byte by
+byte, are one sequence with several owners; a suffix array of all sequences orders their suffixes; neighbours that
+agree in 50 bytes form a class whose smallest document keeps its copy. All removals are read from these classes.
 
 The array is built by linear grouping: suffixes are grouped by Lyndon prefix. Groups are processed in descending
 order; each member extends the Lyndon prefix of its previous smaller suffix, which moves to a group of its own above
@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .anchors import POWERS, SPANS, contexts, marked, mixed, repeated_spans, unmarked, with_spans
+from .anchors import GONE, candidate_spans, contexts, marked, unmarked, window_hashes, with_spans
 from .common import run_bounds, spread, table, texts, whole_runs
 
 #: Bytes of the strings that may not repeat, and of the anchors in them.
@@ -111,8 +111,8 @@ def suffix_array(symbols: list[int]) -> list[int]:
     return array
 
 
-def repeats(symbols: np.ndarray, starts: np.ndarray, owner: np.ndarray, window: int = WINDOW) -> np.ndarray:
-    """Which windows (first places in symbols, with their documents) equal one of a smaller document."""
+def least_owners(symbols: np.ndarray, starts: np.ndarray, owner: np.ndarray, window: int = WINDOW) -> np.ndarray:
+    """Of windows (first places in symbols, with their smallest documents) the smallest document with an equal one."""
     array = np.array(suffix_array(symbols.tolist()), np.int64)
     index = np.full(len(symbols), -1, np.int64)
     index[starts] = np.arange(len(starts))
@@ -121,21 +121,23 @@ def repeats(symbols: np.ndarray, starts: np.ndarray, owner: np.ndarray, window:
     rows = np.lib.stride_tricks.sliding_window_view(symbols.astype(np.uint16), window)[starts[found]]
     fresh = np.r_[True, (rows[1:] != rows[:-1]).any(axis=1)]
     least = np.minimum.reduceat(owner[found], np.flatnonzero(fresh))
-    out = np.zeros(len(starts), bool)
-    out[found] = least[np.cumsum(fresh) - 1] < owner[found]
+    out = np.zeros(len(starts), np.int64)
+    out[found] = least[np.cumsum(fresh) - 1]
     return out
 
 
 def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of SPANS for the unsettled stretches, which come sorted by anchor."""
-    for part in whole_runs(batches, "anchor", 20_000):
-        doc, mark, start, anchor = (part.column(c).to_numpy() for c in ("doc", "mark", "start", "anchor"))
-        content = part.column("content").combine_chunks()
-        if isinstance(content, pa.ChunkedArray):
-            content = pa.concat_arrays(content.chunks)
-        size = np.diff(np.frombuffer(content.buffers()[1], np.int32, len(content) + 1, content.offset * 4)).astype(np.int64)
-        for a, b in _chunks(anchor, size):
-            yield from _settle_chunk(doc[a:b], mark[a:b], start[a:b], [content[i].as_buffer() for i in range(a, b)], size[a:b])
+    """Rows of GONE from contents, which come sorted by key."""
+    for part in whole_runs(batches, "key", 20_000):
+        settled = part.filter(part.column("content").is_null()).select(["doc", "mark", "start", "n"])
+        yield from settled.combine_chunks().to_batches()
+        part = part.filter(part.column("content").is_valid())
+        if not part.num_rows:
+            continue
+        doc, mark, start, key, n = (part.column(c).to_numpy() for c in ("doc", "mark", "start", "key", "n"))
+        content = part.column("content").to_pylist()
+        for a, b in _chunks(key, n.astype(np.int64) + WINDOW - 1):
+            yield from _settle_chunk(doc[a:b], mark[a:b], start[a:b], content[a:b], n[a:b].astype(np.int64))
 
 
 def _chunks(anchor: np.ndarray, size: np.ndarray) -> Iterator[tuple[int, int]]:
@@ -161,43 +163,39 @@ def _repeated(hashes: np.ndarray) -> np.ndarray:
     return count[where] > 1
 
 
-def _settle_chunk(doc, mark, start, content, size) -> Iterator[pa.RecordBatch]:
-    """Windows without an equal can't repeat. What is left are stretches: of equal ones the smallest document's is
-    kept, and the suffix array is built over those that still have windows in common with others."""
+def _settle_chunk(doc, mark, start, content, n) -> Iterator[pa.RecordBatch]:
+    """Windows without an equal (by hash: equal ones have equal hashes) can't repeat. What is left are stretches;
+    equal ones, byte by byte, are one sequence of the suffix array, and each owner's removals come from its classes."""
     raw = np.frombuffer(b"".join(content), np.uint8)
-    up, down = POWERS.upto(len(raw) + 1)
-    total = np.r_[np.uint64(0), np.cumsum(mixed(raw.astype(np.uint64) + np.uint64(1)) * up[: len(raw)])]
-    owner, place = spread(size - WINDOW + 1)
+    size = n + WINDOW - 1
+    owner, place = spread(n)
     at = (np.cumsum(size) - size)[owner] + place
-    hashes = (total[at + WINDOW] - total[at]) * down[at]
-    keep = np.flatnonzero(_repeated(hashes))
-    at, owner, place, hashes = at[keep], owner[keep], place[keep], hashes[keep]
+    keep = np.flatnonzero(_repeated(window_hashes(raw, WINDOW)[at]))
+    if not len(keep):
+        return
+    at, owner, place = at[keep], owner[keep], place[keep]
     firsts, runs = _stretches(at, owner)
-    whole = (total[at[firsts] + runs + WINDOW - 1] - total[at[firsts]]) * down[at[firsts]]
-    by = np.lexsort((doc[owner[firsts]], runs, whole))
-    fresh = np.r_[True, (whole[by][1:] != whole[by][:-1]) | (runs[by][1:] != runs[by][:-1])][: len(by)]
-    least = doc[owner[firsts]][by][np.flatnonzero(fresh)[np.cumsum(fresh) - 1]] if len(by) else by
-    follows = np.zeros(len(firsts), bool)
-    follows[by] = least < doc[owner[firsts]][by]
-    gone = np.repeat(follows, runs)
-    # Windows of the others that are not alone there; a very large group of one anchor in parts, by hash.
-    left = np.flatnonzero(~gone)
-    left = left[_repeated(hashes[left])]
-    for k in range(parts := 1 + len(left) // (8 * CHUNK)):
-        some = left[(hashes[left] >> np.uint64(20)) % np.uint64(parts) == k]
-        if not len(some):
-            continue
-        # Stretches one after the other, each with a separator behind it.
-        firsts, runs = _stretches(at[some], owner[some])
-        piece, inside = spread(runs + WINDOW)
-        source = at[some][firsts][piece] + inside
-        symbols = np.where(inside < (runs + WINDOW - 1)[piece], raw[np.minimum(source, len(raw) - 1)].astype(np.int64) + 2, 1)
-        gone[some] |= repeats(symbols, np.flatnonzero(inside < runs[piece]), doc[owner[some]])
+    data = raw.tobytes()
+    number: dict[bytes, int] = {}
+    begins = at[firsts].tolist()
+    of = np.array([number.setdefault(data[a : a + k], len(number)) for a, k in zip(begins, (runs + WINDOW - 1).tolist(), strict=True)], np.int64)
+    least = np.full(len(number), np.iinfo(np.int64).max)
+    np.minimum.at(least, of, doc[owner[firsts]])
+    # Sequences one after the other, each with a separator behind it.
+    symbols = np.frombuffer(b"".join(x + b"\0" for x in number), np.uint8).astype(np.int64) + 2
+    long = np.fromiter(map(len, number), np.int64, len(number))
+    begin = np.cumsum(long + 1) - long - 1
+    symbols[begin + long] = 1
+    windows = long - WINDOW + 1
+    piece, inside = spread(windows)
+    classes = least_owners(symbols, begin[piece] + inside, least[piece])
+    stretch, inside = spread(runs)
+    gone = classes[(np.cumsum(windows) - windows)[of[stretch]] + inside] < doc[owner]
     away = np.flatnonzero(gone)
     if len(away):
         firsts, n = _stretches(at[away], owner[away])
         row = owner[away][firsts]
-        yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(row), bool)), pa.array(doc[row]), pa.array(mark[row]), pa.array((start[row] + place[away][firsts]).astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(np.zeros(len(row), np.int64))], [c.split()[0] for c in SPANS.split(", ")])
+        yield pa.RecordBatch.from_arrays([pa.array(doc[row]), pa.array(mark[row]), pa.array((start[row] + place[away][firsts]).astype(np.int32)), pa.array(n.astype(np.int32))], [c.split()[0] for c in GONE.split(", ")])
 
 
 def _bytes_of(batch: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -205,13 +203,8 @@ def _bytes_of(batch: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(raw), np.uint8).astype(np.uint64), np.fromiter(map(len, raw), np.int64, len(raw))
 
 
-def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        batch = batch.filter(batch.column(3).is_valid())
-        for doc, mark, text, spans in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-            raw = text.encode("utf-8", "surrogatepass")
-            rows = [(s["anchor"], doc, mark, s["start"], raw[s["start"] : s["start"] + s["n"] + WINDOW - 1]) for s in spans]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()), strict=True)], ["anchor", "doc", "mark", "start", "content"])
+def _bytes_of_one(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
 
 
 def covered(size: int, starts: np.ndarray, counts: np.ndarray, window: int = WINDOW) -> np.ndarray:
@@ -224,10 +217,9 @@ def covered(size: int, starts: np.ndarray, counts: np.ndarray, window: int = WIN
 
 def removal_spans(docs: DataFrame) -> DataFrame:
     """(doc, mark, spans): for documents with something to remove, first windows and numbers of windows."""
-    spans = repeated_spans(docs, _bytes_of, WINDOW, ANCHOR)
-    asked = contexts(docs, spans.where("not settled"), _cut, "binary")
-    more = asked.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_settle, SPANS)
-    return spans.where("settled").unionByName(more).groupBy("doc", "mark").agg(F.collect_list(F.struct("start", "n")).alias("spans"))
+    spans = candidate_spans(docs, _bytes_of, WINDOW, ANCHOR)
+    gone = contexts(docs, spans, _bytes_of_one, WINDOW, CHUNK, "binary").mapInArrow(_settle, GONE)
+    return gone.groupBy("doc", "mark").agg(F.collect_list(F.struct("start", "n")).alias("spans"))
 
 
 def _cutter(kind: str, rows_of):

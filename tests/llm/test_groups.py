@@ -6,11 +6,12 @@ from hashlib import sha256
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import xxhash
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from fastbreak.llm import automaton, chat, components, embeddings, packing, simhash, suffix_array, toxicity
+from fastbreak.llm import anchors, automaton, chat, components, embeddings, packing, simhash, suffix_array, toxicity
 
 
 def union(pairs):
@@ -185,6 +186,23 @@ def test_automaton_dedup_like_brute_force(spark, monkeypatch):
     assert automaton.digest_passages(df.limit(0)).collect() == []
 
 
+def test_hashes_alone_remove_nothing(monkeypatch):
+    """Contents whose hashes all collide: only what is equal byte by byte, or word by word, goes."""
+    for name in ("window_hashes", "mixed"):
+        for module in (suffix_array, anchors):
+            monkeypatch.setattr(module, name, lambda x, *a: np.zeros(max(0, len(x) - (a[0] - 1 if a else 0)), np.uint64), raising=False)
+    rng = np.random.default_rng(5)
+    x, y = (rng.integers(0, 256, 66).astype(np.uint8).tobytes() for _ in range(2))
+    content = [x, y, x, x[:60]]
+    doc = np.array([1, 2, 3, 4])
+    rows = pa.RecordBatch.from_arrays([pa.array([7] * 4), pa.array(doc), pa.array([0] * 4), pa.array([0] * 4, pa.int32()), pa.array([len(c) - 49 for c in content], pa.int32()), pa.array(content, pa.binary())], ["key", "doc", "mark", "start", "n", "content"])
+    gone = {(r["doc"], r["start"], r["n"]) for b in suffix_array._settle(iter([rows])) for r in b.to_pylist()}
+    assert gone == {(3, 0, 17), (4, 0, 11)}
+    words = [pa.array(np.frombuffer(c, np.uint8).astype(np.int64)) for c in content]
+    rows = rows.set_column(5, "content", pa.array([w.to_pylist() for w in words], pa.list_(pa.int64())))
+    assert {(r["doc"], r["start"], r["n"]) for b in automaton._settle(iter([rows])) for r in b.to_pylist()} == gone
+
+
 # ---------------------------------------------------------------- packing
 
 
