@@ -224,6 +224,11 @@ def _cut(symbols_of: Callable, window: int, hot: dict[int, int], kind: pa.DataTy
                 for s in spans:
                     start, n, key = s["start"], s["n"], s["anchor"]
                     pieces = [(key, start, n)]
+                    if parts := hot.get(key):
+                        sub = window_hashes(symbols[start : start + n + window - 1], window) % np.uint64(parts)
+                        a, b = run_bounds(sub)
+                        keys = mixed(np.uint64(key & (2**64 - 1)) ^ mixed(sub[a] + np.uint64(1))).view(np.int64)
+                        pieces = list(zip(keys.tolist(), (start + a).tolist(), (b - a).tolist(), strict=True))
                     for key, start, n in pieces:
                         content = symbols[start : start + n + window - 1]
                         rows.append((key, doc, mark, start, n, content.tobytes() if kind == pa.binary() else content.view(np.int64)))
@@ -241,7 +246,8 @@ def contexts(docs: DataFrame, spans: DataFrame, symbols_of: Callable, window: in
     of all columns, as with_spans() is, so that both read one shuffle of the texts.
     """
     # There are at most (all symbols / limit) such anchors; the sum leaves tasks pre-aggregated.
-    hot: dict[int, int] = {}
+    sizes = spans.groupBy("anchor").agg(F.sum(F.col("n") + F.lit(window - 1)).alias("size"))
+    hot = {r["anchor"]: int(r["size"] // limit) + 1 for r in sizes.where(F.col("size") > limit).collect()}
     cut = _cut(symbols_of, window, hot, pa.binary() if kind == "binary" else pa.list_(pa.int64()))
     asked = spans.groupBy("doc", "mark").agg(F.collect_list(F.struct("anchor", "start", "n")).alias("spans"))
     rows = docs.join(asked, ["doc", "mark"], "left").select("doc", "mark", "text", "spans", *docs.columns[3:]).mapInArrow(cut, f"key long, doc long, mark long, start int, n int, content {kind}")

@@ -203,6 +203,24 @@ def test_hashes_alone_remove_nothing(monkeypatch):
     assert {(r["doc"], r["start"], r["n"]) for b in automaton._settle(iter([rows])) for r in b.to_pylist()} == gone
 
 
+def test_a_hot_anchor_is_split():
+    rng = np.random.default_rng(6)
+    passage = rng.integers(97, 123, 90).astype(np.uint8).tobytes()
+    rows = [(i, 0, (rng.integers(97, 123, 30).astype(np.uint8).tobytes() + passage[i % 3 :]).decode(), [{"anchor": 7, "start": 0, "n": 60}]) for i in range(40)]
+    batch = pa.RecordBatch.from_pylist([dict(zip(("doc", "mark", "text", "spans"), r, strict=True)) for r in rows])
+    cut = anchors._cut(suffix_array._bytes_of_one, 50, {7: 16}, pa.binary())
+    pieces = [r for b in cut(iter([batch])) for r in b.to_pylist() if r["content"] is not None]
+    by: dict = {}
+    for r in pieces:
+        by.setdefault(r["key"], []).append(r["n"])
+    assert len(by) == 16 and max(map(sum, by.values())) < sum(map(sum, by.values())) / 4
+    keys: dict = {}
+    for r in pieces:
+        for k in range(r["n"]):
+            keys.setdefault(r["content"][k : k + 50], set()).add(r["key"])
+    assert {len(k) for k in keys.values()} == {1}
+
+
 # ---------------------------------------------------------------- packing
 
 
