@@ -126,7 +126,14 @@ def _send(symbols_of: Callable, window: int, k: int, buckets: int):
                 doc, start, n, anchor = records(symbols, sizes, window, k)
                 by, starts, ends, several = _several(anchor, docs[doc])
                 doc, start, n, anchor = doc[by], start[by], n[by], anchor[by]
-                yield from rows_of(docs, marks, doc, start, n, anchor, False, 0)
+                known = np.repeat(several, ends - starts)
+                deal = int(docs[0]) & 0xFFFF
+                yield from rows_of(docs, marks, doc[known], start[known], n[known], anchor[known], True, deal)
+                # Others are told of known ones by their least and greatest document, without windows.
+                told = np.r_[starts[several], ends[several] - 1]
+                n = np.where(known, 0, n)
+                asked = np.r_[np.flatnonzero(~known), told]
+                yield from rows_of(docs, marks, doc[asked], start[asked], n[asked], anchor[asked], False, deal)
 
     return run
 
@@ -216,6 +223,7 @@ def _cut(symbols_of: Callable, window: int, hot: dict[int, int], kind: pa.DataTy
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        least: dict[tuple[int, bytes], int] = {}
         for batch in batches:
             batch = batch.filter(batch.column(3).is_valid())
             rows: list[tuple] = []
@@ -231,7 +239,14 @@ def _cut(symbols_of: Callable, window: int, hot: dict[int, int], kind: pa.DataTy
                         pieces = list(zip(keys.tolist(), (start + a).tolist(), (b - a).tolist(), strict=True))
                     for key, start, n in pieces:
                         content = symbols[start : start + n + window - 1]
-                        rows.append((key, doc, mark, start, n, content.tobytes() if kind == pa.binary() else content.view(np.int64)))
+                        own = (key, content.tobytes())
+                        if least.setdefault(own, doc) < doc:
+                            rows.append((key ^ doc, doc, mark, start, n, None))  # dealt evenly
+                        else:
+                            least[own] = doc
+                            rows.append((key, doc, mark, start, n, own[1] if kind == pa.binary() else content.view(np.int64)))
+            if len(least) > KNOWN:
+                least = {}
             for part in slices(rows, lambda r: 1, 20_000):
                 columns = zip(*part, strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), kind), strict=True)], ["key", "doc", "mark", "start", "n", "content"])

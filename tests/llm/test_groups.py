@@ -221,6 +221,30 @@ def test_a_hot_anchor_is_split():
     assert {len(k) for k in keys.values()} == {1}
 
 
+def test_a_passage_in_all_documents_is_not_all_records():
+    rng = np.random.default_rng(7)
+    passage = bytes(rng.integers(97, 123, 200).astype(np.uint8)).decode()
+    batch = pa.RecordBatch.from_pylist([{"doc": i, "mark": 0, "text": passage} for i in range(50)])
+    sent = [r for b in anchors._send(suffix_array._bytes_of, 50, 16, 8)(iter([batch])) for r in b.to_pylist()]
+    asked: dict = {}
+    for r in sent:
+        if not r["known"]:
+            for a in r["anchor"]:
+                asked[a] = asked.get(a, 0) + 1
+    assert set(asked.values()) == {2}
+    spans = [s for r in sorted(sent, key=lambda r: r["bucket"]) for b in anchors._candidates(iter([pa.RecordBatch.from_pylist([r], anchors_schema(r))])) for s in b.to_pylist()]
+    assert sum(s["n"] for s in spans) == 50 * 151
+    anchor = spans[0]["anchor"]
+    rows = [{"doc": i, "mark": 0, "text": passage, "spans": [{"anchor": anchor, "start": 0, "n": 151}]} for i in range(50)]
+    cut = [r for b in anchors._cut(suffix_array._bytes_of_one, 50, {}, pa.binary())(iter([pa.RecordBatch.from_pylist(rows)])) for r in b.to_pylist()]
+    assert [r["doc"] for r in cut if r["content"] is not None] == [0] and len({r["key"] for r in cut}) == 50
+
+
+def anchors_schema(row):
+    types = {"dealt": pa.int32(), "known": pa.bool_(), "bucket": pa.int32(), "docs": pa.list_(pa.int64()), "marks": pa.list_(pa.int64()), "doc": pa.list_(pa.int16()), "low": pa.list_(pa.int16()), "high": pa.list_(pa.int16()), "n": pa.list_(pa.int8()), "anchor": pa.list_(pa.int32())}
+    return pa.schema([(k, types[k]) for k in row])
+
+
 # ---------------------------------------------------------------- packing
 
 
