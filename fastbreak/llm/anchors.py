@@ -261,8 +261,9 @@ def contexts(docs: DataFrame, spans: DataFrame, symbols_of: Callable, window: in
     of all columns, as with_spans() is, so that both read one shuffle of the texts.
     """
     # There are at most (all symbols / limit) such anchors; the sum leaves tasks pre-aggregated.
-    sizes = spans.groupBy("anchor").agg(F.sum(F.col("n") + F.lit(window - 1)).alias("size"))
-    hot = {r["anchor"]: int(r["size"] // limit) + 1 for r in sizes.where(F.col("size") > limit).collect()}
+    sizes = spans.groupBy("anchor").agg(F.sum(F.col("n") + F.lit(window - 1)).alias("size"), F.sum("n").alias("windows"))
+    # Split windows mostly come one by one, each with all its symbols.
+    hot = {r["anchor"]: int(r["windows"] * window // limit) + 1 for r in sizes.where(F.col("size") > limit).collect()}
     cut = _cut(symbols_of, window, hot, pa.binary() if kind == "binary" else pa.list_(pa.int64()))
     asked = spans.groupBy("doc", "mark").agg(F.collect_list(F.struct("anchor", "start", "n")).alias("spans"))
     rows = docs.join(asked, ["doc", "mark"], "left").select("doc", "mark", "text", "spans", *docs.columns[3:]).mapInArrow(cut, f"key long, doc long, mark long, start int, n int, content {kind}")
