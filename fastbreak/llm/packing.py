@@ -1,11 +1,11 @@
-"""Best-fit packing of tokenised documents into sequences, in bulk-synchronous steps.
+"""Best-fit packing of tokenised documents into sequences, in bulk steps.
 
-Documents are tokenised where they are read; only pieces (five numbers each) are shuffled. They are dealt by hash to
-shards of bounded size, so that any number of documents is packed side by side and a lost task redoes one shard. In
-a shard, pieces and gaps are ordered by length and matched in steps of descending length: all pieces of a length go
-to the smallest gaps they fit in (the successors), the k-th to the k-th place there is, gaps shrink, and the step
-repeats until the pieces are placed; new sequences open where no gap is left. A shard's last, less filled sequences
-are what it loses against one pass over all pieces.
+Documents are tokenised where they are read; only pieces (five numbers each) are shuffled. Best fit by descending
+length depends on how many pieces there are of each length alone, at most 4096 counts whatever the input. On these
+the steps are planned: all pieces of a length go to the smallest gaps they fit in (the successors), gaps shrink, and
+the step repeats until the pieces are placed; new sequences open where no gap is left. Pieces get their rank among
+those of their length from a range sort and the partitions' counts, and the plan says where that rank lies. All
+pieces of a table are packed against the same gaps, and the result is that of one pass over all of them.
 
 Defined cases: a null or empty text is the closing id alone; only texts longer than a sequence are cut; repeated
 rows are packed each; a row without id is packed too; other columns are not needed and not read.
@@ -24,16 +24,15 @@ import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import regex
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from .common import checkpoint, slices, table, texts, whole_runs
+from .common import checkpoint, run_bounds, slices, table, texts
 
 #: Ids a sequence holds, and the id that closes a document.
 CAPACITY, CLOSE = 4096, 1
-#: Pieces that one shard packs, on average.
-SHARD = 50_000
 #: Words that a worker remembers before it starts over.
 REMEMBERED = 500_000
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -110,68 +109,104 @@ def token_pieces(df: DataFrame, ident: str = "doc_id", text: str = "text", path:
     return df.select(F.col(ident).cast("long"), text).mapInArrow(run, _PIECES)
 
 
-def best_fit(lengths: np.ndarray, capacity: int = CAPACITY) -> tuple[np.ndarray, np.ndarray]:
-    """Sequence and offset of each piece; no length is over the capacity."""
-    sequence, offset = np.zeros(len(lengths), np.int64), np.zeros(len(lengths), np.int64)
-    if not len(lengths):
-        return sequence, offset
-    order = np.argsort(-lengths, kind="stable")
-    sizes = lengths[order]
-    edges = np.flatnonzero(np.r_[True, sizes[1:] != sizes[:-1]])
-    gaps: dict[int, list[int]] = {}
+#: Of lengths, more than the ranks of one.
+_LENGTH = 1 << 48
+
+
+def plan(counts: np.ndarray, capacity: int = CAPACITY) -> np.ndarray:
+    """Rows (length and first rank as one number, first rank, sequence, pieces in each sequence, offset) in ascending order.
+
+    counts: pieces of each length from 0 to the capacity. Gaps of a size are a stack of intervals of sequences.
+    """
+    rows = []
+    gaps: dict[int, list[tuple[int, int]]] = {}
     open_gaps = 0  # bit g: there are gaps of size g
     opened = 0
-    for first, past in zip(edges.tolist(), [*edges[1:].tolist(), len(order)], strict=True):
-        size, left = int(sizes[first]), order[first:past]
-        while len(left):
+    for size in np.flatnonzero(counts)[::-1].tolist():
+        rank, left = 0, int(counts[size])
+        while left:
             fitting = open_gaps >> size
             gap = size + (fitting & -fitting).bit_length() - 1 if fitting else capacity
             each = gap // size
-            need = -(-len(left) // each)
+            need = -(-left // each)
             if fitting:
-                stack = gaps[gap]
-                taken = stack[-need:]
-                del stack[-need:]
-                if not stack:
+                first, many = gaps[gap].pop()
+                taken = min(need, many)
+                if taken < many:
+                    gaps[gap].append((first + taken, many - taken))
+                elif not gaps[gap]:
                     open_gaps &= ~(1 << gap)
             else:
-                taken = list(range(opened, opened + need))
+                first, taken = opened, need
                 opened += need
-            now, left = left[: each * len(taken)], left[each * len(taken) :]
-            rank = np.arange(len(now))
-            sequence[now] = np.array(taken)[rank // each]
-            offset[now] = capacity - gap + rank % each * size
-            last = len(now) - each * (len(taken) - 1)  # pieces in the last sequence
-            for rest, those in ((gap - each * size, taken[:-1]), (gap - last * size, taken[-1:])):
-                if rest and those:
-                    gaps.setdefault(rest, []).extend(those)
+            rows.append((size * _LENGTH + rank, rank, first, each, capacity - gap))
+            now = min(left, each * taken)
+            last = now - each * (taken - 1)  # pieces in the last sequence
+            for rest, start, many in ((gap - each * size, first, taken - 1), (gap - last * size, first + taken - 1, 1)):
+                if rest and many:
+                    gaps.setdefault(rest, []).append((start, many))
                     open_gaps |= 1 << rest
-    return sequence, offset
+            rank, left = rank + now, left - now
+    return np.array(sorted(rows), np.int64).reshape(-1, 5)
 
 
-def _pack(capacity: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in whole_runs(batches, "shard", 1):
-            shard = part.column("shard").to_numpy()
-            sequence = np.zeros(len(shard), np.int64)
-            offset = np.zeros(len(shard), np.int64)
-            lengths = part.column("length").to_numpy()
-            for s in np.unique(shard):
-                mine = np.flatnonzero(shard == s)
-                sequence[mine], offset[mine] = best_fit(lengths[mine], capacity)
-                sequence[mine] += int(s) << 32
-            out = part.drop_columns(["shard"]).append_column("sequence_id", pa.array(sequence)).append_column("offset", pa.array(offset))
-            yield from out.combine_chunks().to_batches()
+def places(lengths: np.ndarray, ranks: np.ndarray, steps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sequence and offset of pieces, by their ranks among those of their length."""
+    if not len(lengths):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    _, first, sequence, each, offset = steps[np.searchsorted(steps[:, 0], lengths * _LENGTH + ranks, "right") - 1].T
+    nth = ranks - first
+    return sequence + nth // each, offset + nth % each * lengths
+
 
-    return run
+def best_fit(lengths: np.ndarray, capacity: int = CAPACITY) -> tuple[np.ndarray, np.ndarray]:
+    """Sequence and offset of each piece; no length is over the capacity."""
+    ranks = np.zeros(len(lengths), np.int64)
+    order = np.argsort(lengths, kind="stable")
+    starts, ends = run_bounds(lengths[order])
+    if len(starts):
+        ranks[order] = np.arange(len(lengths)) - np.repeat(starts, ends - starts)
+    return places(lengths, ranks, plan(np.bincount(lengths, minlength=capacity + 1), capacity))
+
+
+def _ranked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Add the partition's number and the rank among its pieces of the same length; pieces come by length."""
+    part, last, many = TaskContext.get().partitionId(), -1, 0
+    for batch in batches:
+        lengths = batch.column("length").to_numpy()
+        starts, ends = run_bounds(lengths)
+        if not len(lengths):
+            continue
+        nth = np.arange(len(lengths)) - np.repeat(starts, ends - starts)
+        if lengths[0] == last:
+            nth[: ends[0]] += many
+        last, many = lengths[-1], nth[-1] + 1
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(len(lengths), part, np.int32)), pa.array(nth)], [*batch.schema.names, "part", "nth"])
 
 
 def pack(df: DataFrame, ident: str = "doc_id", text: str = "text", path: str | None = None, capacity: int = CAPACITY) -> DataFrame:
     """Rows of _PIECES with sequence_id and offset: where each piece lies, gapless from 0 in each sequence."""
     pieces = checkpoint(token_pieces(df, ident, text, path, capacity))
-    shards = max(1, round(pieces.count() / SHARD))
-    dealt = pieces.withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(shards)))
-    return dealt.repartition(shards, "shard").sortWithinPartitions("shard", "doc_id", "piece").mapInArrow(_pack(capacity), _PIECES + ", sequence_id long, offset long")
+    by = ["length", F.xxhash64("doc_id", "piece"), "doc_id", "piece"]  # pieces of one length are spread, too
+    ranked = checkpoint(pieces.repartitionByRange(*by).sortWithinPartitions(*by).mapInArrow(_ranked, _PIECES + ", part int, nth long"))
+    # In a range sort there are at most (partitions + lengths) such rows.
+    found = ranked.groupBy("part", "length").count().orderBy("part").collect()
+    counts = np.zeros(capacity + 1, np.int64)
+    before: dict[int, dict[int, int]] = {}
+    for r in found:
+        before.setdefault(r["part"], {})[r["length"]] = int(counts[r["length"]])
+        counts[r["length"]] += r["count"]
+    shared = df.sparkSession.sparkContext.broadcast((before, plan(counts, capacity)))
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first, steps = shared.value
+        for batch in batches:
+            lengths, parts, nth = (batch.column(c).to_numpy() for c in ("length", "part", "nth"))
+            ranks = nth + np.array([first[p][n] for p, n in zip(parts.tolist(), lengths.tolist(), strict=True)], np.int64)
+            sequence, offset = places(lengths, ranks, steps)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(sequence), pa.array(offset)], [*batch.schema.names[:5], "sequence_id", "offset"])
+
+    return ranked.mapInArrow(place, _PIECES + ", sequence_id long, offset long")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

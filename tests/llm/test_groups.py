@@ -284,6 +284,14 @@ def test_best_fit_is_close_to_the_bound():
         assert n <= max(1.02 * -(-lengths.sum() // 4096) + 1, (lengths > 2048).sum())
 
 
+def test_packing_is_one_pass_over_all_pieces(spark):
+    """More pieces than the shards of before held: as few sequences as one pass leaves, at most one not filled."""
+    df = spark.range(0, 160_000, 1, 5).selectExpr("id as doc_id", "repeat('a ', 3) as text")
+    got = packing.pack(df, capacity=4096).select("sequence_id", "offset", "length").collect()
+    n = check_places([tuple(r) for r in got])
+    assert len(got) == 160_000 and {r.length for r in got} == {4} and n == -(-160_000 // 1024)
+
+
 # ---------------------------------------------------------------- chat
 
 
