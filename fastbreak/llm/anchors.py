@@ -2,13 +2,20 @@
 
 A window of W symbols is assigned to the smallest k-gram in it (by hash, the leftmost of equals). The choice depends
 on the window's content alone, so equal windows have equal anchors at equal places. Consecutive windows with the
-same anchor occurrence make one record, 8 bytes. Anchors only route: no hash decides that something goes.
-
-Records whose anchor is in several documents of one slice are candidates already; they are dealt evenly, and of such
-an anchor only its least and greatest document are asked about. Of all others, those whose anchor is in one document
-only are dropped. The symbols of all candidates are then brought together by anchor, for the caller to compare.
-Before that shuffle equal contents of a task leave those of the smallest document (the others' windows are settled,
-symbol by symbol), and an anchor with more symbols than one task should hold is split by the hash of each window.
+same anchor occurrence make one record of 11 bytes. Anchors only route: no hash decides that something goes.
+
+Records meet by anchor; those whose anchor is in one document only are dropped. What remains gets a key that depends
+on the anchor alone, so equal windows get equal keys:
+- Of an anchor with few records, the key is its leader, the smallest document that has it, and the leader's block of
+  BLOCK places in which the anchor is. Neighbouring anchors that several documents share mostly have one leader, so
+  what a document shares comes as one long stretch. A key has a bounded number of symbols, as a block has a bounded
+  number of anchors with FEW records each.
+- Of any other anchor the key is the anchor itself. An anchor that a slice has in HOT documents or more is not sent
+  by that slice but for its least and greatest document; its records are known to be candidates and are dealt evenly.
+
+The symbols of all candidates are then brought together by key, for the caller to compare. Before that shuffle equal
+contents of a task leave those of the smallest document (the others' windows are settled, symbol by symbol), and an
+anchor with more symbols than one task should hold is split by the hash of each window.
 """
 
 from __future__ import annotations
@@ -25,14 +32,21 @@ from .common import checkpoint, run_bounds, slices, texts
 #: An odd multiplier of rolling hashes, and its inverse modulo 2**64.
 BASE = 0x9E3779B97F4A7C15
 INVERSE = pow(BASE, -1, 2**64)
-#: Contents that a task remembers to settle equal ones before they are shuffled.
-KNOWN = 100_000
+#: Bytes of contents that a task remembers to settle equal ones before they are shuffled.
+KNOWN = 30_000_000
+#: Places of a leader that share a key; most records of an anchor that is keyed by its leader.
+BLOCK, FEW = 512, 32
+#: Documents of one slice from which an anchor is told of rather than sent.
+HOT = 8
+#: Split keys that are broadcast; more are joined.
+SPLIT = 50_000
 #: Bits of a place within a slice; hashes are compared above them.
 PLACE_BITS = 31
-SPANS = "doc long, mark long, start int, n int, anchor long"
+#: Keys of leaders are even, those of anchors odd.
+SPANS = "doc long, mark long, start int, n int, key long"
 #: What goes: n windows of a document from `start` on.
 GONE = "doc long, mark long, start int, n int"
-#: A row is what one slice has for one bucket, in the narrowest types: 8 bytes a record. Of the anchor's hash the
+#: A row is what one slice has for one bucket, in the narrowest types: 11 bytes a record. Of the anchor's hash the
 #: bucket and 32 bits are kept. Rows are dealt by bucket, or evenly where they are known to be candidates.
 _RECORDS = "dealt int, known boolean, bucket int, docs array<long>, marks array<long>, doc array<smallint>, low array<smallint>, high array<smallint>, n array<tinyint>, anchor array<int>"
 
@@ -93,13 +107,6 @@ def records(symbols: np.ndarray, sizes: np.ndarray, window: int, k: int) -> tupl
     return doc, first - (ends - sizes)[doc], count, grams[anchor].view(np.int64)
 
 
-def _several(anchor: np.ndarray, ident: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """An order by anchor; and, of its runs, their starts, ends, and whether they are of several documents."""
-    by = np.lexsort((ident, anchor))
-    starts, ends = run_bounds(anchor[by])
-    return by, starts, ends, ident[by][starts] < ident[by][ends - 1]
-
-
 def _send(symbols_of: Callable, window: int, k: int, buckets: int):
     """Rows of records for each bucket. Input: doc, mark, text."""
 
@@ -108,8 +115,7 @@ def _send(symbols_of: Callable, window: int, k: int, buckets: int):
         order = np.argsort(bucket, kind="stable")
         edges = np.searchsorted(bucket[order], np.arange(buckets + 1))
         for b in np.flatnonzero(np.diff(edges)):
-            mine = order[edges[b] : edges[b + 1]]
-            mine = mine[np.lexsort((start[mine], doc[mine]))]  # long runs of equal numbers compress
+            mine = np.sort(order[edges[b] : edges[b + 1]])  # by document and place: long runs of equal numbers compress
             for some in np.split(mine, np.flatnonzero(np.diff(doc[mine]) != 0)[30_000::30_000] + 1):
                 used, where = np.unique(doc[some], return_inverse=True)
                 at = start[some]
@@ -124,48 +130,70 @@ def _send(symbols_of: Callable, window: int, k: int, buckets: int):
                 docs, marks = (np.array([r[j] for r in part], np.int64) for j in (0, 1))
                 symbols, sizes = symbols_of([r[2] for r in part])
                 doc, start, n, anchor = records(symbols, sizes, window, k)
-                by, starts, ends, several = _several(anchor, docs[doc])
-                doc, start, n, anchor = doc[by], start[by], n[by], anchor[by]
-                known = np.repeat(several, ends - starts)
+                if not len(doc):
+                    continue
+                by = np.argsort(anchor, kind="stable")
+                starts, ends = run_bounds(anchor[by])
+                several = np.add.reduceat(np.r_[True, np.diff(doc[by]) != 0].astype(np.int64), starts) > HOT
+                known = np.zeros(len(doc), bool)
+                known[by[np.repeat(several, ends - starts)]] = True
                 deal = int(docs[0]) & 0xFFFF
                 yield from rows_of(docs, marks, doc[known], start[known], n[known], anchor[known], True, deal)
                 # Others are told of known ones by their least and greatest document, without windows.
-                told = np.r_[starts[several], ends[several] - 1]
+                told = [by[a:b][f(docs[doc[by[a:b]]])] for a, b in zip(starts[several], ends[several], strict=True) for f in (np.argmin, np.argmax)]
                 n = np.where(known, 0, n)
-                asked = np.r_[np.flatnonzero(~known), told]
+                asked = np.sort(np.r_[np.flatnonzero(~known), np.array(told, np.int64)])
                 yield from rows_of(docs, marks, doc[asked], start[asked], n[asked], anchor[asked], False, deal)
 
     return run
 
 
+def _keys(anchor: np.ndarray, doc: np.ndarray, start: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of a bucket's records: those that are candidates, and their keys."""
+    by = np.argsort(anchor, kind="stable")
+    starts, ends = run_bounds(anchor[by])
+    least = np.minimum.reduceat(doc[by], starts)
+    several = least < np.maximum.reduceat(doc[by], starts)
+    by = by[np.repeat(several, ends - starts)]
+    sizes, least = (ends - starts)[several], least[several]
+    if not len(by):
+        return by, by
+    starts = np.cumsum(sizes) - sizes
+    leads = doc[by] == np.repeat(least, sizes)
+    place = np.minimum.reduceat(np.where(leads, start[by], np.iinfo(np.int32).max), starts)
+    led = (sizes <= FEW) & (np.minimum.reduceat(n[by], starts) > 0)
+    leader = mixed(mixed(least.view(np.uint64)) + (place // BLOCK).astype(np.uint64)).view(np.int64) & ~1
+    key = np.repeat(np.where(led, leader, anchor[by][starts] | 1), sizes)
+    sent = n[by] > 0
+    return by[sent], key[sent]
+
+
 def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows of SPANS whose anchor is in several documents; buckets come one after the other."""
 
-    def spans(doc, mark, start, n, anchor):
+    def spans(doc, mark, start, n, key):
         for a in range(0, len(doc), 100_000):
             b = slice(a, a + 100_000)
-            yield pa.RecordBatch.from_arrays([pa.array(doc[b]), pa.array(mark[b]), pa.array(start[b].astype(np.int32)), pa.array(n[b].astype(np.int32)), pa.array(anchor[b])], [c.split()[0] for c in SPANS.split(", ")])
+            yield pa.RecordBatch.from_arrays([pa.array(doc[b]), pa.array(mark[b]), pa.array(start[b].astype(np.int32)), pa.array(n[b].astype(np.int32)), pa.array(key[b])], [c.split()[0] for c in SPANS.split(", ")])
 
     def unpacked(rows: pa.RecordBatch):
         lists = [rows.column(j) for j in range(3, 10)]
         for i in range(rows.num_rows):
             docs, marks, where, low, high, n, anchor = (x[i].values.to_numpy() for x in lists)
             number = np.int64(rows.column(2)[i].as_py()) << 32
-            yield docs[where], marks[where], low.view(np.uint16) + (high.astype(np.int32) << 16), n.astype(np.int32), number | anchor.view(np.uint32)
+            yield docs[where], marks[where], low.view(np.uint16) + (high.astype(np.int32) << 16), n, number | anchor.view(np.uint32)
 
     def bucket(parts: list):
         doc, mark, start, n, anchor = (np.concatenate(x) for x in zip(*parts, strict=True))
-        by, starts, ends, several = _several(anchor, doc)
-        keep = by[np.repeat(several, ends - starts)]
-        keep = keep[n[keep] > 0]
-        yield from spans(doc[keep], mark[keep], start[keep], n[keep], anchor[keep])
+        keep, key = _keys(anchor, doc, start, n)
+        yield from spans(doc[keep], mark[keep], start[keep], n[keep], key)
 
     held: list = []
     of = None
     for batch in batches:
         known = batch.column(1).to_numpy(zero_copy_only=False)
-        for row in unpacked(batch.filter(pa.array(known))):
-            yield from spans(*row)
+        for doc, mark, start, n, anchor in unpacked(batch.filter(pa.array(known))):
+            yield from spans(doc, mark, start, n, anchor | 1)
         asked = batch.filter(pa.array(~known))
         if not asked.num_rows:
             continue
@@ -186,8 +214,8 @@ def candidate_spans(df: DataFrame, symbols_of: Callable, window: int, k: int) ->
     df: doc (long), mark (long, a hash of the text), text. symbols_of gives the symbols of texts end to end, and
     how many each has.
     """
-    # A bucket's records are held by one task: as many buckets as give each a few partitions' worth of symbols.
-    buckets = 4 * max(df.rdd.getNumPartitions(), int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    # A bucket's records are held by one task: about a partition's worth of symbols, 11 bytes for some 18 of them.
+    buckets = max(df.rdd.getNumPartitions(), int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     sent = df.select("doc", "mark", "text").mapInArrow(_send(symbols_of, window, k, buckets), _RECORDS)
     return checkpoint(sent.repartition("dealt").sortWithinPartitions("bucket").mapInArrow(_candidates, SPANS))
 
@@ -216,57 +244,89 @@ def window_hashes(symbols: np.ndarray, window: int) -> np.ndarray:
     return mixed((total[window:] - total[:-window]) * down[: len(symbols) - window + 1])
 
 
-def _cut(symbols_of: Callable, window: int, hot: dict[int, int], kind: pa.DataType):
+def stretches(batch: pa.RecordBatch, column: int) -> Iterator[tuple[int, list[tuple[int, int, int]]]]:
+    """Row and (key, start, n) of consecutive windows with one key, from a column of lists of structs (start, n, key)."""
+    lists = batch.column(column)
+    filled = lists.filter(lists.is_valid())
+    rows = np.flatnonzero(lists.is_valid().to_numpy(zero_copy_only=False))
+    row = np.repeat(rows, filled.value_lengths().to_numpy())
+    flat = filled.flatten()
+    start, n, key = (flat.field(c).to_numpy(zero_copy_only=False) for c in ("start", "n", "key"))
+    by = np.lexsort((start, row))
+    row, start, n, key = row[by], start[by], n[by], key[by]
+    first = np.flatnonzero(np.r_[True, (row[1:] != row[:-1]) | (key[1:] != key[:-1]) | (start[1:] != start[:-1] + n[:-1])][: len(row)])
+    if not len(first):
+        return
+    n = np.add.reduceat(n, first)
+    edges = np.flatnonzero(np.r_[True, np.diff(row[first]) != 0, True])
+    key, start, row = key[first].tolist(), start[first].tolist(), row[first]
+    n = n.tolist()
+    for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+        yield int(row[a]), list(zip(key[a:b], start[a:b], n[a:b], strict=True))
+
+
+def _cut(opened: Callable, window: int, split: dict[int, int] | None):
     """Contents of candidate spans, (key, doc, mark, start, n, content), from rows of doc, mark, text, spans.
 
     Equal windows have equal keys. Without content: windows that a smaller document of this task has, too.
     """
 
+    def parted(key: int, start: int, n: int, parts: int, hashes: np.ndarray):
+        sub = hashes[start : start + n] % np.uint64(parts)
+        a, b = run_bounds(sub)
+        keys = (mixed(np.uint64(key & (2**64 - 1)) ^ mixed(sub[a] + np.uint64(1))).view(np.int64) | 1).tolist()
+        return zip(keys, (start + a).tolist(), (b - a).tolist(), strict=True)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         least: dict[tuple[int, bytes], int] = {}
+        held = 0
         for batch in batches:
-            batch = batch.filter(batch.column(3).is_valid())
+            docs, marks, column = batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)
+            hot = split if split is not None else dict(kv for m in batch.column(4).drop_null().to_pylist() for kv in m)
             rows: list[tuple] = []
-            for doc, mark, text, spans in sorted(zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True), key=lambda r: r[0]):
-                symbols = symbols_of(text)
-                for s in spans:
-                    start, n, key = s["start"], s["n"], s["anchor"]
-                    pieces = [(key, start, n)]
-                    if parts := hot.get(key):
-                        sub = window_hashes(symbols[start : start + n + window - 1], window) % np.uint64(parts)
-                        a, b = run_bounds(sub)
-                        keys = mixed(np.uint64(key & (2**64 - 1)) ^ mixed(sub[a] + np.uint64(1))).view(np.int64)
-                        pieces = list(zip(keys.tolist(), (start + a).tolist(), (b - a).tolist(), strict=True))
-                    for key, start, n in pieces:
-                        content = symbols[start : start + n + window - 1]
-                        own = (key, content.tobytes())
+            for i, found in sorted(stretches(batch, 3), key=lambda r: docs[r[0]]):
+                doc, mark = docs[i], marks[i]
+                content_of, hashes_of = opened(column[i].as_py())
+                hashes = window_hashes(hashes_of(), window) if hot and any(k in hot for k, _, _ in found) else None
+                for whole in found:
+                    parts = hot.get(whole[0])
+                    for key, start, n in parted(*whole, parts, hashes) if parts else (whole,):
+                        content = content_of(start, start + n + window - 1)
+                        own = (key, content)
                         if least.setdefault(own, doc) < doc:
                             rows.append((key ^ doc, doc, mark, start, n, None))  # dealt evenly
                         else:
                             least[own] = doc
-                            rows.append((key, doc, mark, start, n, own[1] if kind == pa.binary() else content.view(np.int64)))
-            if len(least) > KNOWN:
-                least = {}
-            for part in slices(rows, lambda r: 1, 20_000):
+                            held += len(content)
+                            rows.append((key, doc, mark, start, n, content))
+            if held > KNOWN:
+                least, held = {}, 0
+            for part in slices(rows, lambda r: len(r[5] or ""), 4_000_000):
                 columns = zip(*part, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), kind), strict=True)], ["key", "doc", "mark", "start", "n", "content"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()), strict=True)], ["key", "doc", "mark", "start", "n", "content"])
 
     return run
 
 
-def contexts(docs: DataFrame, spans: DataFrame, symbols_of: Callable, window: int, limit: int, kind: str) -> DataFrame:
-    """Rows of _cut(), in runs of equal keys. symbols_of gives the symbols of one text.
+def contexts(docs: DataFrame, spans: DataFrame, opened: Callable, window: int, limit: int) -> DataFrame:
+    """Rows of _cut(), in runs of equal keys. opened(text) gives two functions: the content (bytes) between two
+    symbols, and the symbols as numbers.
 
     limit: symbols that one anchor may bring to one task; what has more is split by the windows' hashes. A left join
     of all columns, as with_spans() is, so that both read one shuffle of the texts.
     """
-    # There are at most (all symbols / limit) such anchors; the sum leaves tasks pre-aggregated.
-    sizes = spans.groupBy("anchor").agg(F.sum(F.col("n") + F.lit(window - 1)).alias("size"), F.sum("n").alias("windows"))
+    # Leaders' keys are bounded as they are. The sums leave tasks pre-aggregated.
+    sizes = spans.where("key & 1 = 1").groupBy("key").agg(F.sum(F.col("n") + F.lit(window - 1)).alias("size"), F.sum("n").alias("windows")).where(F.col("size") > limit)
     # Split windows mostly come one by one, each with all its symbols.
-    hot = {r["anchor"]: int(r["windows"] * window // limit) + 1 for r in sizes.where(F.col("size") > limit).collect()}
-    cut = _cut(symbols_of, window, hot, pa.binary() if kind == "binary" else pa.list_(pa.int64()))
-    asked = spans.groupBy("doc", "mark").agg(F.collect_list(F.struct("anchor", "start", "n")).alias("spans"))
-    rows = docs.join(asked, ["doc", "mark"], "left").select("doc", "mark", "text", "spans", *docs.columns[3:]).mapInArrow(cut, f"key long, doc long, mark long, start int, n int, content {kind}")
+    sizes = sizes.select("key", (F.floor(F.col("windows") * window / limit) + 1).cast("long").alias("parts"))
+    few = sizes.limit(SPLIT + 1).collect()
+    asked, extra = spans, []
+    if len(few) > SPLIT:
+        asked, extra = spans.join(sizes, "key", "left"), [F.map_from_entries(F.array_distinct(F.collect_list(F.when(F.col("parts").isNotNull(), F.struct("key", "parts"))))).alias("split")]
+    split = None if extra else {r["key"]: r["parts"] for r in few}
+    asked = asked.groupBy("doc", "mark").agg(F.collect_list(F.struct("start", "n", "key")).alias("spans"), *extra)
+    rows = docs.join(asked, ["doc", "mark"], "left").select("doc", "mark", "text", "spans", *(["split"] if extra else []), *docs.columns[3:])
+    rows = rows.mapInArrow(_cut(opened, window, split), "key long, doc long, mark long, start int, n int, content binary")
     return rows.repartition("key").sortWithinPartitions("key")
 
 

@@ -131,14 +131,14 @@ def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = part.filter(part.column("content").is_valid())
         if not part.num_rows:
             continue
-        doc, mark, start, key = (part.column(c).to_numpy() for c in ("doc", "mark", "start", "key"))
-        content = [x.values.to_numpy().tobytes() for chunk in part.column("content").chunks for x in chunk]
+        doc, mark, start, key, n = (part.column(c).to_numpy() for c in ("doc", "mark", "start", "key", "n"))
+        content = part.column("content").to_pylist()
         firsts, pasts = run_bounds(key)
         shard: list[int] = []
         held = 0
         for a, b in zip(firsts.tolist(), pasts.tolist(), strict=True):
             shard += range(a, b)
-            held += sum(len(content[i]) for i in range(a, b)) // 8
+            held += int(n[a:b].sum()) + (WINDOW - 1) * (b - a)
             if held >= SHARD or b == len(key):
                 yield from _settle_shard(shard, doc, mark, start, content)
                 shard, held = [], 0
@@ -149,7 +149,8 @@ def _settle_shard(shard, doc, mark, start, content) -> Iterator[pa.RecordBatch]:
     for i in shard:
         owners.setdefault(content[i], []).append(i)
     automaton = SuffixAutomaton()
-    sequences = [np.frombuffer(c, np.int64).tolist() for c in owners]
+    number: dict[bytes, int] = {}
+    sequences = [[number.setdefault(w, len(number)) for w in c.split(b" ")] for c in owners]
     for sequence, rows in zip(sequences, owners.values(), strict=True):
         automaton.add(sequence, int(doc[rows].min()))
     automaton.finish()
@@ -165,14 +166,16 @@ def _settle_shard(shard, doc, mark, start, content) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found, strict=True), types, strict=True)], [c.split()[0] for c in GONE.split(", ")])
 
 
-def _words_of_one(text: str) -> np.ndarray:
-    return word_hashes([text])[0]
+def _opened(text: str):
+    """Contents between two words of a text, and hashes of its words."""
+    words = WORD.findall(text)
+    return lambda a, b: " ".join(words[a:b]).encode("utf-8", "surrogatepass"), lambda: word_hashes([text])[0]
 
 
 def removal_spans(docs: DataFrame) -> DataFrame:
     """(doc, mark, spans): for documents with something to remove, first windows and numbers of windows, in words."""
     spans = candidate_spans(docs, word_hashes, WINDOW, ANCHOR)
-    gone = contexts(docs, spans, _words_of_one, WINDOW, SHARD, "array<long>").mapInArrow(_settle, GONE)
+    gone = contexts(docs, spans, _opened, WINDOW, SHARD).mapInArrow(_settle, GONE)
     return gone.groupBy("doc", "mark").agg(F.collect_list(F.struct("start", "n")).alias("spans"))
 
 

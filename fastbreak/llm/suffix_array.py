@@ -1,13 +1,15 @@
 """Suffix-array deduplication of bytes: strings of 50 bytes that also start in a document with a smaller id go.
 
-Anchors (see anchors.py) bring together the stretches of documents that may repeat. Equal stretches, compared byte by
-byte, are one sequence with several owners; a suffix array of all sequences orders their suffixes; neighbours that
-agree in 50 bytes form a class whose smallest document keeps its copy. All removals are read from these classes.
+Anchors (see anchors.py) bring together, under one key, the stretches of documents that may repeat. Equal stretches,
+compared byte by byte, are one sequence with several owners; a suffix array of a key's sequences orders their
+suffixes; neighbours that agree in 50 bytes form a class whose smallest document keeps its copy. Removals are read
+from these classes.
 
 The array is built by linear grouping: suffixes are grouped by Lyndon prefix. Groups are processed in descending
 order; each member extends the Lyndon prefix of its previous smaller suffix, which moves to a group of its own above
 its old one. Then each group's order is emitted in one pass over the array, by the order of what follows the prefix;
-nothing is renamed or sorted again.
+nothing is renamed or sorted again. Keys are independent, so the arrays of many are built side by side, every step
+taking one group of each.
 
 Defined cases: null texts are empty; texts under 50 bytes, documents without id and first copies keep everything;
 rows with equal id and text are treated alike, rows with equal id and other text are told apart and do not take from
@@ -18,6 +20,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from hashlib import sha256
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -29,8 +32,12 @@ from .common import run_bounds, spread, table, texts, whole_runs
 
 #: Bytes of the strings that may not repeat, and of the anchors in them.
 WINDOW, ANCHOR = 50, 16
-#: Bytes that one suffix array is built over.
-CHUNK = 400_000
+#: Bytes that are looked through at once, that suffix arrays are built over at once, and that one anchor brings to a task.
+CHUNK, BUILT, LIMIT = 1_000_000, 2_500_000, 400_000
+#: Arrays of similar length that are built side by side, at least; fewer are built one by one.
+LANES = 16
+#: Of a key's sequences, the longest ones that others may be part of.
+LONGEST = 12
 
 
 def suffix_array(symbols: list[int]) -> list[int]:
@@ -111,15 +118,149 @@ def suffix_array(symbols: list[int]) -> list[int]:
     return array
 
 
-def least_owners(symbols: np.ndarray, starts: np.ndarray, owner: np.ndarray, window: int = WINDOW) -> np.ndarray:
-    """Of windows (first places in symbols, with their smallest documents) the smallest document with an equal one."""
-    array = np.array(suffix_array(symbols.tolist()), np.int64)
-    index = np.full(len(symbols), -1, np.int64)
+def _heads(x: np.ndarray) -> np.ndarray:
+    """Where runs of equal values begin."""
+    out = np.ones(len(x), bool)
+    np.not_equal(x[1:], x[:-1], out=out[1:])
+    return out
+
+
+def _tails(heads: np.ndarray) -> np.ndarray:
+    out = np.ones(len(heads), bool)
+    out[:-1] = heads[1:]
+    return out
+
+
+def _ranges(first: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Owners and members of ranges [first, first + count) end to end."""
+    owner = np.repeat(np.arange(len(count)), count)
+    shift = first - np.cumsum(count) + count
+    return owner, np.arange(len(owner)) + shift[owner]
+
+
+def suffix_arrays(symbols: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The suffix arrays of sequences end to end, side by side, as places among all symbols."""
+    total, kind = len(symbols), np.int32
+    ends_at = np.cumsum(sizes)
+    lane = np.repeat(np.arange(len(sizes)), sizes)
+    # Phase 1. A group's members lie in a range of `pool`; that some have left is seen by `group`.
+    value = lane * (int(symbols.max()) + 1) + symbols
+    pool = np.empty(2 * total, kind)
+    pool[:total] = by = np.argsort(value, kind="stable")
+    starts, ends = run_bounds(value[by])
+    used, groups = total, len(starts)
+    first, size, below, above, place, home = (np.empty(2 * total + 1, kind) for _ in range(6))
+    first[:groups], size[:groups], home[:groups] = starts, ends - starts, lane[by[starts]]
+    group = np.empty(total, kind)
+    group[by] = np.repeat(np.arange(groups, dtype=kind), ends - starts)
+    lowest = _heads(home[:groups])
+    highest = _tails(lowest)
+    below[:groups] = np.where(lowest, -1, np.arange(groups) - 1)
+    above[:groups] = np.where(highest, -1, np.arange(groups) + 1)
+    length = np.ones(total, kind)
+    before = np.arange(-1, total - 1, dtype=kind)  # previous smaller suffix, or a place on the way to it
+    before[ends_at - sizes] = -1
+    done = np.zeros(total + 1, bool)  # the last one is for -1
+    left = ends_at.astype(kind)
+    now = np.flatnonzero(highest)  # one group of each lane
+    while len(now):
+        owner, at = _ranges(first[now], size[now])
+        own = pool[at]
+        here = (group[own] == now[owner]).nonzero()[0]
+        own = own[here]
+        homes = home[now]
+        left[homes] -= np.bincount(owner[here], minlength=len(now)).astype(kind)
+        place[now] = left[homes]
+        done[own] = True
+        at = before[own]
+        passed = done[at]
+        while passed.any():  # halves the way each time
+            at = np.where(passed, before[at], at)
+            before[own] = at
+            passed = done[at]
+        some = (at >= 0).nonzero()[0]
+        if len(some):
+            up, by_size = at[some], length[own[some]]
+            order = up.argsort(kind="stable")
+            up = up[order]
+            a = _heads(up).nonzero()[0]
+            up, by_size, times = up[a], by_size[order[a]], np.append(a[1:], len(up)) - a
+            length[up] += (times * by_size).astype(kind)
+            # The more repetitions, the higher; all directly above the group they leave.
+            rank = group[up] * np.int64(1 << 31) + times
+            order = rank.argsort()
+            up, rank = up[order], rank[order]
+            fresh = _heads(rank).nonzero()[0]
+            many = np.append(fresh[1:], len(up)) - fresh
+            new = np.arange(groups, groups + len(fresh), dtype=kind)
+            old = group[up[fresh]]
+            pool[used : used + len(up)] = up
+            first[new], size[new], home[new] = used + fresh, many, home[old]
+            group[up] = new.repeat(many)
+            head = _heads(old)
+            tail = _tails(head)
+            below[new] = np.where(head, old, new - 1)
+            above[new] = np.where(tail, above[old], new + 1)
+            last = new[tail]
+            below[above[last]] = last
+            above[old[head]] = new[head]
+            used, groups = used + len(up), groups + len(new)
+        now = below[now]
+        now = now[now >= 0]
+    # Phase 2. What ends where the current suffix begins comes next in its group; ends of lanes are behind all places.
+    stops = np.arange(total) + length
+    stops = np.where(stops == ends_at[lane], total + lane, stops)
+    ending = stops.argsort(kind="stable").astype(kind)
+    edges = np.searchsorted(stops[ending], np.arange(total + len(sizes) + 1)).astype(kind)
+    array = np.empty(total, kind)
+
+    def emit(at: np.ndarray) -> None:
+        low = edges[at]
+        some = ending[_ranges(low, edges[at + 1] - low)[1]]
+        g = group[some]
+        to = place[g]
+        array[to] = some
+        place[g] = to + 1
+
+    emit(total + np.arange(len(sizes)))
+    order = np.argsort(-sizes, kind="stable")
+    begins, live = (ends_at - sizes)[order], np.searchsorted(-sizes[order], -np.arange(int(sizes.max())), "left")
+    for step in range(int(sizes.max())):
+        emit(array[begins[: live[step]] + step])
+    return array
+
+
+def arrays_of(symbols: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Suffix arrays of sequences end to end: side by side those of similar length, if there are enough."""
+    begins = np.cumsum(sizes) - sizes
+    array = np.empty(len(symbols), np.int64)
+    kind = np.ceil(np.log2(np.maximum(sizes, 64))).astype(np.int64)
+    for k in np.unique(kind):
+        some = np.flatnonzero(kind == k)
+        owner, nth = spread(sizes[some])
+        if len(some) < LANES:
+            for i in some:
+                array[begins[i] : begins[i] + sizes[i]] = begins[i] + np.array(suffix_array(symbols[begins[i] : begins[i] + sizes[i]].tolist()), np.int64)
+        else:
+            places = begins[some][owner] + nth
+            array[places] = places[suffix_arrays(symbols[places], sizes[some])]
+    return array
+
+
+def least_owners(data: np.ndarray, array: np.ndarray, lane: np.ndarray, starts: np.ndarray, owner: np.ndarray, window: int = WINDOW) -> np.ndarray:
+    """Of windows (first places in data, with their lanes and smallest documents) the smallest document with an equal
+    one, by the suffix arrays of all lanes."""
+    index = np.full(len(data), -1, np.int64)
     index[starts] = np.arange(len(starts))
     found = index[array]
     found = found[found >= 0]  # windows in the order of their suffixes
-    rows = np.lib.stride_tricks.sliding_window_view(symbols.astype(np.uint16), window)[starts[found]]
-    fresh = np.r_[True, (rows[1:] != rows[:-1]).any(axis=1)]
+    at = starts[found]
+    # Eight bytes at a time; the last eight overlap those before.
+    words = np.lib.stride_tricks.sliding_window_view(np.r_[data, np.zeros(7, np.uint8)], 8).copy().view(np.uint64)[:, 0]
+    fresh = np.r_[True, np.diff(lane[found]) != 0]
+    for step in [*range(0, window - 7, 8), window - 8]:
+        part = words[at + step]
+        fresh[1:] |= part[1:] != part[:-1]
     least = np.minimum.reduceat(owner[found], np.flatnonzero(fresh))
     out = np.zeros(len(starts), np.int64)
     out[found] = least[np.cumsum(fresh) - 1]
@@ -128,7 +269,8 @@ def least_owners(symbols: np.ndarray, starts: np.ndarray, owner: np.ndarray, win
 
 def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows of GONE from contents, which come sorted by key."""
-    for part in whole_runs(batches, "key", 20_000):
+    pending: list[_Sequences] = []
+    for part in whole_runs(batches, "key", 10_000):
         settled = part.filter(part.column("content").is_null()).select(["doc", "mark", "start", "n"])
         yield from settled.combine_chunks().to_batches()
         part = part.filter(part.column("content").is_valid())
@@ -137,65 +279,128 @@ def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         doc, mark, start, key, n = (part.column(c).to_numpy() for c in ("doc", "mark", "start", "key", "n"))
         content = part.column("content").to_pylist()
         for a, b in _chunks(key, n.astype(np.int64) + WINDOW - 1):
-            yield from _settle_chunk(doc[a:b], mark[a:b], start[a:b], content[a:b], n[a:b].astype(np.int64))
+            if (found := _Sequences.of_contents(key[a:b], doc[a:b], mark[a:b], start[a:b], content[a:b], n[a:b].astype(np.int64))) is not None:
+                pending.append(found)
+            if sum(len(x.data) for x in pending) > BUILT:
+                yield from _decide(pending)
+                pending = []
+    if pending:
+        yield from _decide(pending)
 
 
-def _chunks(anchor: np.ndarray, size: np.ndarray) -> Iterator[tuple[int, int]]:
-    starts, ends = run_bounds(anchor)
+def _chunks(key: np.ndarray, size: np.ndarray) -> Iterator[tuple[int, int]]:
+    starts, ends = run_bounds(key)
     total = np.r_[0, np.cumsum(size)]
     first = 0
     for k in range(len(starts)):
-        if k and total[ends[k]] - total[starts[first]] > CHUNK and k > first:
+        if total[ends[k]] - total[starts[first]] > CHUNK and k > first:
             yield int(starts[first]), int(starts[k])
             first = k
     if len(starts):
         yield int(starts[first]), int(ends[-1])
 
 
-def _stretches(at: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _runs(at: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """First window and number of windows of each maximal stretch of consecutive windows."""
     firsts = np.flatnonzero(np.r_[True, (np.diff(at) != 1) | (np.diff(owner) != 0)][: len(at)])
     return firsts, np.diff(np.r_[firsts, len(at)])
 
 
 def _repeated(hashes: np.ndarray) -> np.ndarray:
-    _, where, count = np.unique(hashes, return_inverse=True, return_counts=True)
-    return count[where] > 1
-
-
-def _settle_chunk(doc, mark, start, content, n) -> Iterator[pa.RecordBatch]:
-    """Windows without an equal (by hash: equal ones have equal hashes) can't repeat. What is left are stretches;
-    equal ones, byte by byte, are one sequence of the suffix array, and each owner's removals come from its classes."""
-    raw = np.frombuffer(b"".join(content), np.uint8)
-    size = n + WINDOW - 1
-    owner, place = spread(n)
-    at = (np.cumsum(size) - size)[owner] + place
-    keep = np.flatnonzero(_repeated(window_hashes(raw, WINDOW)[at]))
-    if not len(keep):
-        return
-    at, owner, place = at[keep], owner[keep], place[keep]
-    firsts, runs = _stretches(at, owner)
-    data = raw.tobytes()
-    number: dict[bytes, int] = {}
-    begins = at[firsts].tolist()
-    of = np.array([number.setdefault(data[a : a + k], len(number)) for a, k in zip(begins, (runs + WINDOW - 1).tolist(), strict=True)], np.int64)
-    least = np.full(len(number), np.iinfo(np.int64).max)
-    np.minimum.at(least, of, doc[owner[firsts]])
-    # Sequences one after the other, each with a separator behind it.
-    symbols = np.frombuffer(b"".join(x + b"\0" for x in number), np.uint8).astype(np.int64) + 2
-    long = np.fromiter(map(len, number), np.int64, len(number))
+    by = np.argsort(hashes)
+    same = hashes[by][1:] == hashes[by][:-1]
+    out = np.zeros(len(hashes), bool)
+    out[by] = np.r_[False, same] | np.r_[same, False]
+    return out
+
+
+class _Sequences(NamedTuple):
+    """What of some keys may repeat: sequences, and stretches of documents that are equal to a part of one."""
+
+    data: bytes  # the sequences, each with a separator behind it
+    long: np.ndarray  # of each sequence: its bytes and the number of its key
+    lane: np.ndarray
+    least: np.ndarray  # of each window of the sequences: the smallest document that has it there
+    window: np.ndarray  # of each stretch: its first window among those of all sequences, number of windows,
+    runs: np.ndarray
+    doc: np.ndarray  # document, mark, and first window in the document
+    mark: np.ndarray
+    start: np.ndarray
+
+    @classmethod
+    def of_contents(cls, key, doc, mark, start, content, n) -> _Sequences | None:
+        """Windows without an equal (by hash: equal ones have equal hashes) can't repeat. What is left are stretches;
+        those of a key that are equal, byte by byte, or part of a longer one share a sequence."""
+        raw = np.frombuffer(b"".join(content), np.uint8)
+        size = n + WINDOW - 1
+        owner, place = spread(n)
+        at = (np.cumsum(size) - size)[owner] + place
+        keep = np.flatnonzero(_repeated(window_hashes(raw, WINDOW)[at]))
+        if not len(keep):
+            return None
+        at, owner, place = at[keep], owner[keep], place[keep]
+        firsts, runs = _runs(at, owner)
+        at, owner, place = at[firsts], owner[firsts], place[firsts]
+        data = raw.tobytes()
+        number: dict[tuple[int, bytes], int] = {}
+        of = np.array([number.setdefault((k, data[a : a + m]), len(number)) for k, a, m in zip(key[owner].tolist(), at.tolist(), (runs + WINDOW - 1).tolist(), strict=True)], np.int64)
+        sequences, lanes, where = _joined([k for k, _ in number], [x for _, x in number])
+        long = np.fromiter(map(len, sequences), np.int64, len(sequences))
+        windows = long - WINDOW + 1
+        inside = np.array(where, np.int64)[of]
+        window = (np.cumsum(windows) - windows)[inside[:, 0]] + inside[:, 1]
+        least = np.full(int(windows.sum()), np.iinfo(np.int64).max)
+        stretch, nth = spread(runs)
+        np.minimum.at(least, window[stretch] + nth, doc[owner][stretch])
+        return cls(b"".join([x + b"\0" for x in sequences]), long, np.array(lanes), least, window, runs, doc[owner], mark[owner], start[owner] + place)
+
+
+def _joined(keys: list[int], contents: list[bytes]) -> tuple[list[bytes], list[int], list[tuple[int, int]]]:
+    """Sequences, the number of the key of each, and for each content the sequence and place where it is."""
+    out: list[bytes] = []
+    lanes: list[int] = []
+    where = [(0, 0)] * len(keys)
+    a = 0
+    while a < len(keys):
+        b, base = a + 1, len(out)
+        while b < len(keys) and keys[b] == keys[a]:
+            b += 1
+        for i in sorted(range(a, b), key=lambda i: -len(contents[i])):
+            x = contents[i]
+            for j in range(base, min(len(out), base + LONGEST)):
+                if (at := out[j].find(x)) >= 0:
+                    where[i] = (j, at)
+                    break
+            else:
+                where[i] = (len(out), 0)
+                out.append(x)
+                lanes.append(a)
+        a = b
+    return out, lanes, where
+
+
+def _decide(parts: list[_Sequences]) -> Iterator[pa.RecordBatch]:
+    """Rows of GONE: each key's sequences are one lane of suffix arrays, and each stretch's removals come from the
+    classes of its windows."""
+    data = np.frombuffer(b"".join(x.data for x in parts), np.uint8)
+    long = np.concatenate([x.long for x in parts])
+    lane = np.concatenate([x.lane + 1_000_000_000 * i for i, x in enumerate(parts)])
+    before = np.cumsum([0, *(len(x.least) for x in parts)])
+    window = np.concatenate([x.window + k for x, k in zip(parts, before[:-1], strict=True)])
+    least, runs, doc, mark, start = (np.concatenate([getattr(x, c) for x in parts]) for c in ("least", "runs", "doc", "mark", "start"))
     begin = np.cumsum(long + 1) - long - 1
+    symbols = data.astype(np.int64) + 2
     symbols[begin + long] = 1
-    windows = long - WINDOW + 1
-    piece, inside = spread(windows)
-    classes = least_owners(symbols, begin[piece] + inside, least[piece])
+    array = arrays_of(symbols, np.add.reduceat(long + 1, np.flatnonzero(_heads(lane))))
+    piece, inside = spread(long - WINDOW + 1)
+    classes = least_owners(data, array, lane[piece], begin[piece] + inside, least)
     stretch, inside = spread(runs)
-    gone = classes[(np.cumsum(windows) - windows)[of[stretch]] + inside] < doc[owner]
-    away = np.flatnonzero(gone)
+    away = np.flatnonzero(classes[window[stretch] + inside] < doc[stretch])
     if len(away):
-        firsts, n = _stretches(at[away], owner[away])
-        row = owner[away][firsts]
-        yield pa.RecordBatch.from_arrays([pa.array(doc[row]), pa.array(mark[row]), pa.array((start[row] + place[away][firsts]).astype(np.int32)), pa.array(n.astype(np.int32))], [c.split()[0] for c in GONE.split(", ")])
+        stretch, inside = stretch[away], inside[away]
+        firsts, n = _runs(inside, stretch)
+        stretch, inside = stretch[firsts], inside[firsts]
+        yield pa.RecordBatch.from_arrays([pa.array(doc[stretch]), pa.array(mark[stretch]), pa.array((start[stretch] + inside).astype(np.int32)), pa.array(n.astype(np.int32))], [c.split()[0] for c in GONE.split(", ")])
 
 
 def _bytes_of(batch: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -203,8 +408,10 @@ def _bytes_of(batch: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(raw), np.uint8).astype(np.uint64), np.fromiter(map(len, raw), np.int64, len(raw))
 
 
-def _bytes_of_one(text: str) -> np.ndarray:
-    return np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
+def _opened(text: str):
+    """Contents between two bytes of a text, and its bytes as numbers."""
+    raw = text.encode("utf-8", "surrogatepass")
+    return lambda a, b: raw[a:b], lambda: np.frombuffer(raw, np.uint8)
 
 
 def covered(size: int, starts: np.ndarray, counts: np.ndarray, window: int = WINDOW) -> np.ndarray:
@@ -218,7 +425,7 @@ def covered(size: int, starts: np.ndarray, counts: np.ndarray, window: int = WIN
 def removal_spans(docs: DataFrame) -> DataFrame:
     """(doc, mark, spans): for documents with something to remove, first windows and numbers of windows."""
     spans = candidate_spans(docs, _bytes_of, WINDOW, ANCHOR)
-    gone = contexts(docs, spans, _bytes_of_one, WINDOW, CHUNK, "binary").mapInArrow(_settle, GONE)
+    gone = contexts(docs, spans, _opened, WINDOW, LIMIT).mapInArrow(_settle, GONE)
     return gone.groupBy("doc", "mark").agg(F.collect_list(F.struct("start", "n")).alias("spans"))
 
 

@@ -117,6 +117,18 @@ def test_suffix_array_sorts_suffixes():
         assert suffix_array.suffix_array(s) == sorted(range(len(s)), key=lambda i: s[i:])
 
 
+def test_suffix_arrays_side_by_side():
+    rng = random.Random(4)
+    for _ in range(60):
+        rows = [[rng.randint(1, rng.choice([1, 2, 3, 26])) for _ in range(rng.randint(1, 70))] for _ in range(rng.randint(1, 40))]
+        want, base = [], 0
+        for s in rows:
+            want += [base + i for i in sorted(range(len(s)), key=lambda i: s[i:])]
+            base += len(s)
+        flat, sizes = np.array(sum(rows, [])), np.array([len(s) for s in rows])
+        assert suffix_array.suffix_arrays(flat, sizes).tolist() == want == suffix_array.arrays_of(flat, sizes).tolist()
+
+
 def removed(docs, units, window=50):
     """Kept units of each document, by comparing all windows."""
     seen: dict = {}
@@ -198,17 +210,16 @@ def test_hashes_alone_remove_nothing(monkeypatch):
     rows = pa.RecordBatch.from_arrays([pa.array([7] * 4), pa.array(doc), pa.array([0] * 4), pa.array([0] * 4, pa.int32()), pa.array([len(c) - 49 for c in content], pa.int32()), pa.array(content, pa.binary())], ["key", "doc", "mark", "start", "n", "content"])
     gone = {(r["doc"], r["start"], r["n"]) for b in suffix_array._settle(iter([rows])) for r in b.to_pylist()}
     assert gone == {(3, 0, 17), (4, 0, 11)}
-    words = [pa.array(np.frombuffer(c, np.uint8).astype(np.int64)) for c in content]
-    rows = rows.set_column(5, "content", pa.array([w.to_pylist() for w in words], pa.list_(pa.int64())))
+    rows = rows.set_column(5, "content", pa.array([" ".join(map(str, c)).encode() for c in content], pa.binary()))
     assert {(r["doc"], r["start"], r["n"]) for b in automaton._settle(iter([rows])) for r in b.to_pylist()} == gone
 
 
 def test_a_hot_anchor_is_split():
     rng = np.random.default_rng(6)
     passage = rng.integers(97, 123, 90).astype(np.uint8).tobytes()
-    rows = [(i, 0, (rng.integers(97, 123, 30).astype(np.uint8).tobytes() + passage[i % 3 :]).decode(), [{"anchor": 7, "start": 0, "n": 60}]) for i in range(40)]
+    rows = [(i, 0, (rng.integers(97, 123, 30).astype(np.uint8).tobytes() + passage[i % 3 :]).decode(), [{"start": 0, "n": 60, "key": 7}]) for i in range(40)]
     batch = pa.RecordBatch.from_pylist([dict(zip(("doc", "mark", "text", "spans"), r, strict=True)) for r in rows])
-    cut = anchors._cut(suffix_array._bytes_of_one, 50, {7: 16}, pa.binary())
+    cut = anchors._cut(suffix_array._opened, 50, {7: 16})
     pieces = [r for b in cut(iter([batch])) for r in b.to_pylist() if r["content"] is not None]
     by: dict = {}
     for r in pieces:
@@ -234,12 +245,40 @@ def test_a_passage_in_all_documents_is_not_all_records():
     assert set(asked.values()) == {2}
     spans = [s for r in sorted(sent, key=lambda r: r["bucket"]) for b in anchors._candidates(iter([pa.RecordBatch.from_pylist([r], anchors_schema(r))])) for s in b.to_pylist()]
     assert sum(s["n"] for s in spans) == 50 * 151
-    anchor = spans[0]["anchor"]
-    rows = [{"doc": i, "mark": 0, "text": passage, "spans": [{"anchor": anchor, "start": 0, "n": 151}]} for i in range(50)]
-    cut = [r for b in anchors._cut(suffix_array._bytes_of_one, 50, {}, pa.binary())(iter([pa.RecordBatch.from_pylist(rows)])) for r in b.to_pylist()]
+    assert all(s["key"] & 1 for s in spans)
+    rows = [{"doc": i, "mark": 0, "text": passage, "spans": [{"start": 0, "n": 151, "key": 7}]} for i in range(50)]
+    cut = [r for b in anchors._cut(suffix_array._opened, 50, {})(iter([pa.RecordBatch.from_pylist(rows)])) for r in b.to_pylist()]
     assert [r["doc"] for r in cut if r["content"] is not None] == [0] and len({r["key"] for r in cut}) == 50
 
 
+def test_many_split_keys_are_joined(spark, monkeypatch):
+    """Anchors that are split more than once a task are looked up by a join instead of a broadcast; nothing changes."""
+    rng = random.Random(9)
+    passage = "".join(rng.choices("abcdefgh", k=400))
+    docs = [(i, "".join(rng.choices("xyz ", k=60)) + passage[i % 7 :]) for i in range(60)]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
+    want = {i: sum(gone) for i, (_, gone) in removed(docs, lambda t: t.encode()).items()}
+    monkeypatch.setattr(suffix_array, "LIMIT", 300)
+    for split in (anchors.SPLIT, 0):
+        monkeypatch.setattr(anchors, "SPLIT", split)
+        assert {r.doc_id: r.cut.n_removed for r in suffix_array.digest_repeats(df).collect()} == want
+
+
+def test_leaders_keys_hold_few_symbols():
+    """Of anchors in few documents neighbours share a key; equal windows have equal keys."""
+    rng = np.random.default_rng(11)
+    text = rng.integers(97, 123, 3000).astype(np.uint8).tobytes().decode()
+    batches = [pa.RecordBatch.from_pylist([{"doc": i, "mark": 0, "text": text[i * 10 :]}]) for i in range(5)]
+    sent = [r for b in anchors._send(suffix_array._bytes_of, 50, 16, 1)(iter(batches)) for r in b.to_pylist()]
+    spans = [s for b in anchors._candidates(iter([pa.RecordBatch.from_pylist(sent, anchors_schema(sent[0]))])) for s in b.to_pylist()]
+    assert len({s["key"] for s in spans}) == 6 and not any(s["key"] & 1 for s in spans)
+    of: dict = {}
+    for s in spans:
+        for k in range(s["start"], s["start"] + s["n"]):
+            of.setdefault(text[s["doc"] * 10 :][k : k + 50], set()).add(s["key"])
+    assert {len(x) for x in of.values()} == {1}
+
+
 def anchors_schema(row):
     types = {"dealt": pa.int32(), "known": pa.bool_(), "bucket": pa.int32(), "docs": pa.list_(pa.int64()), "marks": pa.list_(pa.int64()), "doc": pa.list_(pa.int16()), "low": pa.list_(pa.int16()), "high": pa.list_(pa.int16()), "n": pa.list_(pa.int8()), "anchor": pa.list_(pa.int32())}
     return pa.schema([(k, types[k]) for k in row])
