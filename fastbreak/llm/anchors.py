@@ -42,8 +42,10 @@ HOT = 8
 SPLIT = 50_000
 #: Bits of a place within a slice; hashes are compared above them.
 PLACE_BITS = 31
-#: Keys of leaders are even, those of anchors odd.
-SPANS = "doc long, mark long, start int, n int, key long"
+#: A row is what one bucket has for one document, its candidate spans packed (see SPAN); or, without doc, the number of
+#: windows and of symbols that one bucket has for the anchor `mark`. Keys of leaders are even, those of anchors odd.
+SPANS = "doc long, mark long, spans binary, windows long, size long"
+SPAN = np.dtype([("start", "<i4"), ("n", "i1"), ("key", "<i8")])
 #: What goes: n windows of a document from `start` on.
 GONE = "doc long, mark long, start int, n int"
 #: A row is what one slice has for one bucket, in the narrowest types: 11 bytes a record. Of the anchor's hash the
@@ -168,14 +170,30 @@ def _keys(anchor: np.ndarray, doc: np.ndarray, start: np.ndarray, n: np.ndarray)
     return by[sent], key[sent]
 
 
-def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _packed(doc: np.ndarray, mark: np.ndarray, start: np.ndarray, n: np.ndarray, key: np.ndarray, window: int) -> Iterator[pa.RecordBatch]:
+    names = [c.split()[0] for c in SPANS.split(", ")]
+    by = np.lexsort((mark, doc))
+    doc, mark = doc[by], mark[by]
+    spans = np.empty(len(by), SPAN)
+    spans["start"], spans["n"], spans["key"] = start[by], n[by], key[by]
+    first = np.flatnonzero(np.r_[True, (doc[1:] != doc[:-1]) | (mark[1:] != mark[:-1])][: len(doc)])
+    edges, packed = np.r_[first, len(doc)] * SPAN.itemsize, spans.tobytes()
+    for a in range(0, len(first), 50_000):
+        rows = first[a : a + 50_000]
+        offsets = edges[a : a + len(rows) + 1]
+        data = pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer((offsets - offsets[0]).astype(np.int32).tobytes()), pa.py_buffer(packed[offsets[0] : offsets[-1]])])
+        yield pa.RecordBatch.from_arrays([pa.array(doc[rows]), pa.array(mark[rows]), data, pa.nulls(len(rows), pa.int64()), pa.nulls(len(rows), pa.int64())], names)
+    odd = np.flatnonzero(key & 1)
+    if len(odd):
+        key, where = np.unique(key[odd], return_inverse=True)
+        windows = np.bincount(where, n[odd]).astype(np.int64)
+        size = windows + (window - 1) * np.bincount(where)
+        yield pa.RecordBatch.from_arrays([pa.nulls(len(key), pa.int64()), pa.array(key), pa.nulls(len(key), pa.binary()), pa.array(windows), pa.array(size)], names)
+
+
+def _candidates(window: int):
     """Rows of SPANS whose anchor is in several documents; buckets come one after the other."""
 
-    def spans(doc, mark, start, n, key):
-        for a in range(0, len(doc), 100_000):
-            b = slice(a, a + 100_000)
-            yield pa.RecordBatch.from_arrays([pa.array(doc[b]), pa.array(mark[b]), pa.array(start[b].astype(np.int32)), pa.array(n[b].astype(np.int32)), pa.array(key[b])], [c.split()[0] for c in SPANS.split(", ")])
-
     def unpacked(rows: pa.RecordBatch):
         lists = [rows.column(j) for j in range(3, 10)]
         for i in range(rows.num_rows):
@@ -186,26 +204,30 @@ def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def bucket(parts: list):
         doc, mark, start, n, anchor = (np.concatenate(x) for x in zip(*parts, strict=True))
         keep, key = _keys(anchor, doc, start, n)
-        yield from spans(doc[keep], mark[keep], start[keep], n[keep], key)
+        yield from _packed(doc[keep], mark[keep], start[keep], n[keep], key, window)
 
-    held: list = []
-    of = None
-    for batch in batches:
-        known = batch.column(1).to_numpy(zero_copy_only=False)
-        for doc, mark, start, n, anchor in unpacked(batch.filter(pa.array(known))):
-            yield from spans(doc, mark, start, n, anchor | 1)
-        asked = batch.filter(pa.array(~known))
-        if not asked.num_rows:
-            continue
-        numbers = asked.column(2).to_numpy()
-        for a, b in zip(*run_bounds(numbers), strict=True):
-            if held and numbers[a] != of:
-                yield from bucket(held)
-                held = []
-            of = numbers[a]
-            held += unpacked(asked.slice(a, b - a))
-    if held:
-        yield from bucket(held)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list = []
+        of = None
+        for batch in batches:
+            known = batch.column(1).to_numpy(zero_copy_only=False)
+            if parts := list(unpacked(batch.filter(pa.array(known)))):
+                doc, mark, start, n, anchor = (np.concatenate(x) for x in zip(*parts, strict=True))
+                yield from _packed(doc, mark, start, n, anchor | 1, window)
+            asked = batch.filter(pa.array(~known))
+            if not asked.num_rows:
+                continue
+            numbers = asked.column(2).to_numpy()
+            for a, b in zip(*run_bounds(numbers), strict=True):
+                if held and numbers[a] != of:
+                    yield from bucket(held)
+                    held = []
+                of = numbers[a]
+                held += unpacked(asked.slice(a, b - a))
+        if held:
+            yield from bucket(held)
+
+    return run
 
 
 def candidate_spans(df: DataFrame, symbols_of: Callable, window: int, k: int) -> DataFrame:
@@ -217,7 +239,7 @@ def candidate_spans(df: DataFrame, symbols_of: Callable, window: int, k: int) ->
     # A bucket's records are held by one task: about a partition's worth of symbols, 11 bytes for some 18 of them.
     buckets = max(df.rdd.getNumPartitions(), int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     sent = df.select("doc", "mark", "text").mapInArrow(_send(symbols_of, window, k, buckets), _RECORDS)
-    return checkpoint(sent.repartition("dealt").sortWithinPartitions("bucket").mapInArrow(_candidates, SPANS))
+    return checkpoint(sent.repartition("dealt").sortWithinPartitions("bucket").mapInArrow(_candidates(window), SPANS))
 
 
 def marked(df: DataFrame, ident: str, text: str) -> DataFrame:
@@ -244,27 +266,36 @@ def window_hashes(symbols: np.ndarray, window: int) -> np.ndarray:
     return mixed((total[window:] - total[:-window]) * down[: len(symbols) - window + 1])
 
 
-def stretches(batch: pa.RecordBatch, column: int) -> Iterator[tuple[int, list[tuple[int, int, int]]]]:
-    """Row and (key, start, n) of consecutive windows with one key, from a column of lists of structs (start, n, key)."""
-    lists = batch.column(column)
-    filled = lists.filter(lists.is_valid())
+def stretches(lists: pa.Array) -> Iterator[tuple[int, list[tuple[int, int, int]]]]:
+    """Row and (key, start, n) of consecutive windows with one key, from lists of packed spans."""
     rows = np.flatnonzero(lists.is_valid().to_numpy(zero_copy_only=False))
-    row = np.repeat(rows, filled.value_lengths().to_numpy())
-    flat = filled.flatten()
-    start, n, key = (flat.field(c).to_numpy(zero_copy_only=False) for c in ("start", "n", "key"))
-    by = np.lexsort((start, row))
-    row, start, n, key = row[by], start[by], n[by], key[by]
+    filled = lists.filter(lists.is_valid())
+    packed = filled.flatten().to_pylist()
+    spans = np.frombuffer(b"".join(packed), SPAN)
+    row = np.repeat(np.repeat(rows, filled.value_lengths().to_numpy()), np.fromiter(map(len, packed), np.int64, len(packed)) // SPAN.itemsize)
+    by = np.lexsort((spans["start"], row))
+    row, spans = row[by], spans[by]
+    start, n, key = (spans[c].astype(np.int64) for c in ("start", "n", "key"))
     first = np.flatnonzero(np.r_[True, (row[1:] != row[:-1]) | (key[1:] != key[:-1]) | (start[1:] != start[:-1] + n[:-1])][: len(row)])
     if not len(first):
         return
-    n = np.add.reduceat(n, first)
+    n = np.add.reduceat(n, first).tolist()
     edges = np.flatnonzero(np.r_[True, np.diff(row[first]) != 0, True])
     key, start, row = key[first].tolist(), start[first].tolist(), row[first]
-    n = n.tolist()
     for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
         yield int(row[a]), list(zip(key[a:b], start[a:b], n[a:b], strict=True))
 
 
+def _anchors_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """doc, mark, key of each span whose key is an anchor."""
+    for batch in batches:
+        packed = batch.column(2).to_pylist()
+        key = np.frombuffer(b"".join(packed), SPAN)["key"]
+        row = np.repeat(np.arange(len(packed)), np.fromiter(map(len, packed), np.int64, len(packed)) // SPAN.itemsize)
+        odd = (key & 1).astype(bool)
+        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row[odd])), batch.column(1).take(pa.array(row[odd])), pa.array(key[odd])], ["doc", "mark", "key"])
+
+
 def _cut(opened: Callable, window: int, split: dict[int, int] | None):
     """Contents of candidate spans, (key, doc, mark, start, n, content), from rows of doc, mark, text, spans.
 
@@ -284,21 +315,23 @@ def _cut(opened: Callable, window: int, split: dict[int, int] | None):
             docs, marks, column = batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)
             hot = split if split is not None else dict(kv for m in batch.column(4).drop_null().to_pylist() for kv in m)
             rows: list[tuple] = []
-            for i, found in sorted(stretches(batch, 3), key=lambda r: docs[r[0]]):
+            for i, found in sorted(stretches(batch.column(3)), key=lambda r: docs[r[0]]):
                 doc, mark = docs[i], marks[i]
                 content_of, hashes_of = opened(column[i].as_py())
                 hashes = window_hashes(hashes_of(), window) if hot and any(k in hot for k, _, _ in found) else None
-                for whole in found:
-                    parts = hot.get(whole[0])
-                    for key, start, n in parted(*whole, parts, hashes) if parts else (whole,):
-                        content = content_of(start, start + n + window - 1)
-                        own = (key, content)
-                        if least.setdefault(own, doc) < doc:
-                            rows.append((key ^ doc, doc, mark, start, n, None))  # dealt evenly
-                        else:
-                            least[own] = doc
-                            held += len(content)
-                            rows.append((key, doc, mark, start, n, content))
+                pieces = [(key, start, n, hot.get(key)) for key, start, n in reversed(found)]
+                while pieces:
+                    key, start, n, parts = pieces.pop()
+                    own = (key, content_of(start, start + n + window - 1))
+                    if least.setdefault(own, doc) < doc:
+                        rows.append((key ^ doc, doc, mark, start, n, None))  # dealt evenly
+                        continue
+                    least[own] = doc
+                    held += len(own[1])
+                    if parts:
+                        pieces += [(*piece, None) for piece in parted(key, start, n, parts, hashes)]
+                    else:
+                        rows.append((key, doc, mark, start, n, own[1]))
             if held > KNOWN:
                 least, held = {}, 0
             for part in slices(rows, lambda r: len(r[5] or ""), 4_000_000):
@@ -315,17 +348,17 @@ def contexts(docs: DataFrame, spans: DataFrame, opened: Callable, window: int, l
     limit: symbols that one anchor may bring to one task; what has more is split by the windows' hashes. A left join
     of all columns, as with_spans() is, so that both read one shuffle of the texts.
     """
-    # Leaders' keys are bounded as they are. The sums leave tasks pre-aggregated.
-    sizes = spans.where("key & 1 = 1").groupBy("key").agg(F.sum(F.col("n") + F.lit(window - 1)).alias("size"), F.sum("n").alias("windows")).where(F.col("size") > limit)
-    # Split windows mostly come one by one, each with all its symbols.
+    # Leaders' keys are bounded as they are. Split windows mostly come one by one, each with all its symbols.
+    sizes = spans.where("doc is null").groupBy(F.col("mark").alias("key")).agg(F.sum("windows").alias("windows"), F.sum("size").alias("size")).where(F.col("size") > limit)
     sizes = sizes.select("key", (F.floor(F.col("windows") * window / limit) + 1).cast("long").alias("parts"))
     few = sizes.limit(SPLIT + 1).collect()
-    asked, extra = spans, []
-    if len(few) > SPLIT:
-        asked, extra = spans.join(sizes, "key", "left"), [F.map_from_entries(F.array_distinct(F.collect_list(F.when(F.col("parts").isNotNull(), F.struct("key", "parts"))))).alias("split")]
-    split = None if extra else {r["key"]: r["parts"] for r in few}
-    asked = asked.groupBy("doc", "mark").agg(F.collect_list(F.struct("start", "n", "key")).alias("spans"), *extra)
-    rows = docs.join(asked, ["doc", "mark"], "left").select("doc", "mark", "text", "spans", *(["split"] if extra else []), *docs.columns[3:])
+    split = {r["key"]: r["parts"] for r in few} if len(few) <= SPLIT else None
+    spans = spans.where("doc is not null")
+    asked = spans.groupBy("doc", "mark").agg(F.collect_list("spans").alias("spans"))
+    if split is None:
+        keys = spans.select("doc", "mark", "spans").mapInArrow(_anchors_of, "doc long, mark long, key long").join(sizes, "key")
+        asked = asked.join(keys.groupBy("doc", "mark").agg(F.map_from_entries(F.collect_set(F.struct("key", "parts"))).alias("split")), ["doc", "mark"], "left")
+    rows = docs.join(asked, ["doc", "mark"], "left").select("doc", "mark", "text", "spans", *(["split"] if split is None else []), *docs.columns[3:])
     rows = rows.mapInArrow(_cut(opened, window, split), "key long, doc long, mark long, start int, n int, content binary")
     return rows.repartition("key").sortWithinPartitions("key")
 

@@ -214,10 +214,18 @@ def test_hashes_alone_remove_nothing(monkeypatch):
     assert {(r["doc"], r["start"], r["n"]) for b in automaton._settle(iter([rows])) for r in b.to_pylist()} == gone
 
 
+def packed(*spans):
+    return [np.array(list(spans), anchors.SPAN).tobytes()]
+
+
+def unpacked(batch):
+    return [{"doc": r["doc"], **{c: int(x[c]) for c in ("start", "n", "key")}} for r in batch.to_pylist() if r["doc"] is not None for x in np.frombuffer(r["spans"], anchors.SPAN)]
+
+
 def test_a_hot_anchor_is_split():
     rng = np.random.default_rng(6)
     passage = rng.integers(97, 123, 90).astype(np.uint8).tobytes()
-    rows = [(i, 0, (rng.integers(97, 123, 30).astype(np.uint8).tobytes() + passage[i % 3 :]).decode(), [{"start": 0, "n": 60, "key": 7}]) for i in range(40)]
+    rows = [(i, 0, (rng.integers(97, 123, 30).astype(np.uint8).tobytes() + passage[i % 3 :]).decode(), packed((0, 60, 7))) for i in range(40)]
     batch = pa.RecordBatch.from_pylist([dict(zip(("doc", "mark", "text", "spans"), r, strict=True)) for r in rows])
     cut = anchors._cut(suffix_array._opened, 50, {7: 16})
     pieces = [r for b in cut(iter([batch])) for r in b.to_pylist() if r["content"] is not None]
@@ -243,10 +251,10 @@ def test_a_passage_in_all_documents_is_not_all_records():
             for a in r["anchor"]:
                 asked[a] = asked.get(a, 0) + 1
     assert set(asked.values()) == {2}
-    spans = [s for r in sorted(sent, key=lambda r: r["bucket"]) for b in anchors._candidates(iter([pa.RecordBatch.from_pylist([r], anchors_schema(r))])) for s in b.to_pylist()]
+    spans = [s for r in sorted(sent, key=lambda r: r["bucket"]) for b in anchors._candidates(50)(iter([pa.RecordBatch.from_pylist([r], anchors_schema(r))])) for s in unpacked(b)]
     assert sum(s["n"] for s in spans) == 50 * 151
     assert all(s["key"] & 1 for s in spans)
-    rows = [{"doc": i, "mark": 0, "text": passage, "spans": [{"start": 0, "n": 151, "key": 7}]} for i in range(50)]
+    rows = [{"doc": i, "mark": 0, "text": passage, "spans": packed((0, 127, 7), (127, 24, 7))} for i in range(50)]
     cut = [r for b in anchors._cut(suffix_array._opened, 50, {})(iter([pa.RecordBatch.from_pylist(rows)])) for r in b.to_pylist()]
     assert [r["doc"] for r in cut if r["content"] is not None] == [0] and len({r["key"] for r in cut}) == 50
 
@@ -270,7 +278,7 @@ def test_leaders_keys_hold_few_symbols():
     text = rng.integers(97, 123, 3000).astype(np.uint8).tobytes().decode()
     batches = [pa.RecordBatch.from_pylist([{"doc": i, "mark": 0, "text": text[i * 10 :]}]) for i in range(5)]
     sent = [r for b in anchors._send(suffix_array._bytes_of, 50, 16, 1)(iter(batches)) for r in b.to_pylist()]
-    spans = [s for b in anchors._candidates(iter([pa.RecordBatch.from_pylist(sent, anchors_schema(sent[0]))])) for s in b.to_pylist()]
+    spans = [s for b in anchors._candidates(50)(iter([pa.RecordBatch.from_pylist(sent, anchors_schema(sent[0]))])) for s in unpacked(b)]
     assert len({s["key"] for s in spans}) == 6 and not any(s["key"] & 1 for s in spans)
     of: dict = {}
     for s in spans:
