@@ -42,10 +42,10 @@ HOT = 8
 SPLIT = 50_000
 #: Bits of a place within a slice; hashes are compared above them.
 PLACE_BITS = 31
-#: A row is what one bucket has for one document, its candidate spans packed (see SPAN); or, without doc, the number of
-#: windows and of symbols that one bucket has for the anchor `mark`. Keys of leaders are even, those of anchors odd.
-SPANS = "doc long, mark long, spans binary, windows long, size long"
-SPAN = np.dtype([("start", "<i4"), ("n", "i1"), ("key", "<i8")])
+#: A candidate span, `at` being its first window and number of windows (see AT); or, without doc, the number of windows
+#: and of symbols that one task has for an anchor. Keys of leaders are even, those of anchors odd.
+SPANS = "doc long, mark long, at long, key long, windows long, size long"
+AT = 64
 #: What goes: n windows of a document from `start` on.
 GONE = "doc long, mark long, start int, n int"
 #: A row is what one slice has for one bucket, in the narrowest types: 11 bytes a record. Of the anchor's hash the
@@ -170,25 +170,20 @@ def _keys(anchor: np.ndarray, doc: np.ndarray, start: np.ndarray, n: np.ndarray)
     return by[sent], key[sent]
 
 
-def _packed(doc: np.ndarray, mark: np.ndarray, start: np.ndarray, n: np.ndarray, key: np.ndarray, window: int) -> Iterator[pa.RecordBatch]:
+def _spans(doc: np.ndarray, mark: np.ndarray, start: np.ndarray, n: np.ndarray, key: np.ndarray, window: int) -> Iterator[pa.RecordBatch]:
     names = [c.split()[0] for c in SPANS.split(", ")]
-    by = np.lexsort((mark, doc))
-    doc, mark = doc[by], mark[by]
-    spans = np.empty(len(by), SPAN)
-    spans["start"], spans["n"], spans["key"] = start[by], n[by], key[by]
-    first = np.flatnonzero(np.r_[True, (doc[1:] != doc[:-1]) | (mark[1:] != mark[:-1])][: len(doc)])
-    edges, packed = np.r_[first, len(doc)] * SPAN.itemsize, spans.tobytes()
-    for a in range(0, len(first), 50_000):
-        rows = first[a : a + 50_000]
-        offsets = edges[a : a + len(rows) + 1]
-        data = pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer((offsets - offsets[0]).astype(np.int32).tobytes()), pa.py_buffer(packed[offsets[0] : offsets[-1]])])
-        yield pa.RecordBatch.from_arrays([pa.array(doc[rows]), pa.array(mark[rows]), data, pa.nulls(len(rows), pa.int64()), pa.nulls(len(rows), pa.int64())], names)
+    at = start.astype(np.int64) * AT + n
+    for a in range(0, len(doc), 100_000):
+        b = slice(a, a + 100_000)
+        none = pa.nulls(len(doc[b]), pa.int64())
+        yield pa.RecordBatch.from_arrays([pa.array(doc[b]), pa.array(mark[b]), pa.array(at[b]), pa.array(key[b]), none, none], names)
     odd = np.flatnonzero(key & 1)
     if len(odd):
         key, where = np.unique(key[odd], return_inverse=True)
         windows = np.bincount(where, n[odd]).astype(np.int64)
         size = windows + (window - 1) * np.bincount(where)
-        yield pa.RecordBatch.from_arrays([pa.nulls(len(key), pa.int64()), pa.array(key), pa.nulls(len(key), pa.binary()), pa.array(windows), pa.array(size)], names)
+        none = pa.nulls(len(key), pa.int64())
+        yield pa.RecordBatch.from_arrays([none, none, none, pa.array(key), pa.array(windows), pa.array(size)], names)
 
 
 def _candidates(window: int):
@@ -204,7 +199,7 @@ def _candidates(window: int):
     def bucket(parts: list):
         doc, mark, start, n, anchor = (np.concatenate(x) for x in zip(*parts, strict=True))
         keep, key = _keys(anchor, doc, start, n)
-        yield from _packed(doc[keep], mark[keep], start[keep], n[keep], key, window)
+        yield from _spans(doc[keep], mark[keep], start[keep], n[keep], key, window)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list = []
@@ -213,7 +208,7 @@ def _candidates(window: int):
             known = batch.column(1).to_numpy(zero_copy_only=False)
             if parts := list(unpacked(batch.filter(pa.array(known)))):
                 doc, mark, start, n, anchor = (np.concatenate(x) for x in zip(*parts, strict=True))
-                yield from _packed(doc, mark, start, n, anchor | 1, window)
+                yield from _spans(doc, mark, start, n, anchor | 1, window)
             asked = batch.filter(pa.array(~known))
             if not asked.num_rows:
                 continue
@@ -266,16 +261,14 @@ def window_hashes(symbols: np.ndarray, window: int) -> np.ndarray:
     return mixed((total[window:] - total[:-window]) * down[: len(symbols) - window + 1])
 
 
-def stretches(lists: pa.Array) -> Iterator[tuple[int, list[tuple[int, int, int]]]]:
-    """Row and (key, start, n) of consecutive windows with one key, from lists of packed spans."""
-    rows = np.flatnonzero(lists.is_valid().to_numpy(zero_copy_only=False))
-    filled = lists.filter(lists.is_valid())
-    packed = filled.flatten().to_pylist()
-    spans = np.frombuffer(b"".join(packed), SPAN)
-    row = np.repeat(np.repeat(rows, filled.value_lengths().to_numpy()), np.fromiter(map(len, packed), np.int64, len(packed)) // SPAN.itemsize)
-    by = np.lexsort((spans["start"], row))
-    row, spans = row[by], spans[by]
-    start, n, key = (spans[c].astype(np.int64) for c in ("start", "n", "key"))
+def stretches(at: pa.Array, key: pa.Array) -> Iterator[tuple[int, list[tuple[int, int, int]]]]:
+    """Row and (key, start, n) of consecutive windows with one key, from lists of spans and their keys."""
+    rows = np.flatnonzero(at.is_valid().to_numpy(zero_copy_only=False))
+    row = np.repeat(rows, at.drop_null().value_lengths().to_numpy())
+    at, key = (x.drop_null().flatten().to_numpy() for x in (at, key))
+    by = np.lexsort((at, row))
+    row, at, key = row[by], at[by], key[by]
+    start, n = at // AT, at % AT
     first = np.flatnonzero(np.r_[True, (row[1:] != row[:-1]) | (key[1:] != key[:-1]) | (start[1:] != start[:-1] + n[:-1])][: len(row)])
     if not len(first):
         return
@@ -286,18 +279,8 @@ def stretches(lists: pa.Array) -> Iterator[tuple[int, list[tuple[int, int, int]]
         yield int(row[a]), list(zip(key[a:b], start[a:b], n[a:b], strict=True))
 
 
-def _anchors_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """doc, mark, key of each span whose key is an anchor."""
-    for batch in batches:
-        packed = batch.column(2).to_pylist()
-        key = np.frombuffer(b"".join(packed), SPAN)["key"]
-        row = np.repeat(np.arange(len(packed)), np.fromiter(map(len, packed), np.int64, len(packed)) // SPAN.itemsize)
-        odd = (key & 1).astype(bool)
-        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row[odd])), batch.column(1).take(pa.array(row[odd])), pa.array(key[odd])], ["doc", "mark", "key"])
-
-
 def _cut(opened: Callable, window: int, split: dict[int, int] | None):
-    """Contents of candidate spans, (key, doc, mark, start, n, content), from rows of doc, mark, text, spans.
+    """Contents of candidate spans, (key, doc, mark, start, n, content), from rows of doc, mark, text, at, keys.
 
     Equal windows have equal keys. Without content: windows that a smaller document of this task has, too.
     """
@@ -313,9 +296,9 @@ def _cut(opened: Callable, window: int, split: dict[int, int] | None):
         held = 0
         for batch in batches:
             docs, marks, column = batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)
-            hot = split if split is not None else dict(kv for m in batch.column(4).drop_null().to_pylist() for kv in m)
+            hot = split if split is not None else dict(kv for m in batch.column(5).drop_null().to_pylist() for kv in m)
             rows: list[tuple] = []
-            for i, found in sorted(stretches(batch.column(3)), key=lambda r: docs[r[0]]):
+            for i, found in sorted(stretches(batch.column(3), batch.column(4)), key=lambda r: docs[r[0]]):
                 doc, mark = docs[i], marks[i]
                 content_of, hashes_of = opened(column[i].as_py())
                 hashes = window_hashes(hashes_of(), window) if hot and any(k in hot for k, _, _ in found) else None
@@ -349,16 +332,17 @@ def contexts(docs: DataFrame, spans: DataFrame, opened: Callable, window: int, l
     of all columns, as with_spans() is, so that both read one shuffle of the texts.
     """
     # Leaders' keys are bounded as they are. Split windows mostly come one by one, each with all its symbols.
-    sizes = spans.where("doc is null").groupBy(F.col("mark").alias("key")).agg(F.sum("windows").alias("windows"), F.sum("size").alias("size")).where(F.col("size") > limit)
+    sizes = spans.where("doc is null").groupBy("key").agg(F.sum("windows").alias("windows"), F.sum("size").alias("size")).where(F.col("size") > limit)
     sizes = sizes.select("key", (F.floor(F.col("windows") * window / limit) + 1).cast("long").alias("parts"))
     few = sizes.limit(SPLIT + 1).collect()
     split = {r["key"]: r["parts"] for r in few} if len(few) <= SPLIT else None
     spans = spans.where("doc is not null")
-    asked = spans.groupBy("doc", "mark").agg(F.collect_list("spans").alias("spans"))
+    # Both lists of a document are in the order in which its rows come.
+    asked = spans.groupBy("doc", "mark").agg(F.collect_list("at").alias("at"), F.collect_list("key").alias("keys"))
     if split is None:
-        keys = spans.select("doc", "mark", "spans").mapInArrow(_anchors_of, "doc long, mark long, key long").join(sizes, "key")
+        keys = spans.where("key & 1 = 1").select("doc", "mark", "key").join(sizes, "key")
         asked = asked.join(keys.groupBy("doc", "mark").agg(F.map_from_entries(F.collect_set(F.struct("key", "parts"))).alias("split")), ["doc", "mark"], "left")
-    rows = docs.join(asked, ["doc", "mark"], "left").select("doc", "mark", "text", "spans", *(["split"] if split is None else []), *docs.columns[3:])
+    rows = docs.join(asked, ["doc", "mark"], "left").select("doc", "mark", "text", "at", "keys", *(["split"] if split is None else []), *docs.columns[3:])
     rows = rows.mapInArrow(_cut(opened, window, split), "key long, doc long, mark long, start int, n int, content binary")
     return rows.repartition("key").sortWithinPartitions("key")
 

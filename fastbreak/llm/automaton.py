@@ -31,8 +31,8 @@ from .suffix_array import covered
 
 #: Words of the windows that may not repeat, and of the anchors in them.
 WINDOW, ANCHOR = 50, 8
-#: Words of one shard.
-SHARD = 100_000
+#: Words of one shard, and most of them (equal stretches counted each) that one anchor brings to a task.
+SHARD, LIMIT = 100_000, 400_000
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -175,7 +175,7 @@ def _opened(text: str):
 def removal_spans(docs: DataFrame) -> DataFrame:
     """(doc, mark, spans): for documents with something to remove, first windows and numbers of windows, in words."""
     spans = candidate_spans(docs, word_hashes, WINDOW, ANCHOR)
-    gone = contexts(docs, spans, _opened, WINDOW, SHARD).mapInArrow(_settle, GONE)
+    gone = contexts(docs, spans, _opened, WINDOW, LIMIT).mapInArrow(_settle, GONE)
     return gone.groupBy("doc", "mark").agg(F.collect_list(F.struct("start", "n")).alias("spans"))
 
 

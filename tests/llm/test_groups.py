@@ -190,6 +190,7 @@ def test_automaton_dedup_like_brute_force(spark, monkeypatch):
     want = removed(docs, units)
     for shard in (automaton.SHARD, 100):
         monkeypatch.setattr(automaton, "SHARD", shard)
+        monkeypatch.setattr(automaton, "LIMIT", shard)
         for r in automaton.digest_passages(df).select("doc_id", "cut.*").collect():
             u, gone = want[r.doc_id]
             assert (r.n_words, r.n_removed) == (len(u), sum(gone))
@@ -214,19 +215,19 @@ def test_hashes_alone_remove_nothing(monkeypatch):
     assert {(r["doc"], r["start"], r["n"]) for b in automaton._settle(iter([rows])) for r in b.to_pylist()} == gone
 
 
-def packed(*spans):
-    return [np.array(list(spans), anchors.SPAN).tobytes()]
+def wanted(*spans):
+    return {"at": [start * anchors.AT + n for start, n, _ in spans], "keys": [key for _, _, key in spans]}
 
 
 def unpacked(batch):
-    return [{"doc": r["doc"], **{c: int(x[c]) for c in ("start", "n", "key")}} for r in batch.to_pylist() if r["doc"] is not None for x in np.frombuffer(r["spans"], anchors.SPAN)]
+    return [{"doc": r["doc"], "start": r["at"] // anchors.AT, "n": r["at"] % anchors.AT, "key": r["key"]} for r in batch.to_pylist() if r["doc"] is not None]
 
 
 def test_a_hot_anchor_is_split():
     rng = np.random.default_rng(6)
     passage = rng.integers(97, 123, 90).astype(np.uint8).tobytes()
-    rows = [(i, 0, (rng.integers(97, 123, 30).astype(np.uint8).tobytes() + passage[i % 3 :]).decode(), packed((0, 60, 7))) for i in range(40)]
-    batch = pa.RecordBatch.from_pylist([dict(zip(("doc", "mark", "text", "spans"), r, strict=True)) for r in rows])
+    rows = [(i, 0, (rng.integers(97, 123, 30).astype(np.uint8).tobytes() + passage[i % 3 :]).decode(), wanted((0, 60, 7))) for i in range(40)]
+    batch = pa.RecordBatch.from_pylist([dict(zip(("doc", "mark", "text"), r[:3], strict=True)) | r[3] for r in rows])
     cut = anchors._cut(suffix_array._opened, 50, {7: 16})
     pieces = [r for b in cut(iter([batch])) for r in b.to_pylist() if r["content"] is not None]
     by: dict = {}
@@ -254,7 +255,7 @@ def test_a_passage_in_all_documents_is_not_all_records():
     spans = [s for r in sorted(sent, key=lambda r: r["bucket"]) for b in anchors._candidates(50)(iter([pa.RecordBatch.from_pylist([r], anchors_schema(r))])) for s in unpacked(b)]
     assert sum(s["n"] for s in spans) == 50 * 151
     assert all(s["key"] & 1 for s in spans)
-    rows = [{"doc": i, "mark": 0, "text": passage, "spans": packed((0, 127, 7), (127, 24, 7))} for i in range(50)]
+    rows = [{"doc": i, "mark": 0, "text": passage, **wanted((0, 60, 7), (60, 60, 7), (120, 31, 7))} for i in range(50)]
     cut = [r for b in anchors._cut(suffix_array._opened, 50, {})(iter([pa.RecordBatch.from_pylist(rows)])) for r in b.to_pylist()]
     assert [r["doc"] for r in cut if r["content"] is not None] == [0] and len({r["key"] for r in cut}) == 50
 
