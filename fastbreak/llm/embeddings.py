@@ -10,14 +10,18 @@ A link counts in the first block that has it, so the blocks together count each
 Equal vectors are one class from the start. Cells with many residents are cut into chunks. Tasks return counts and
 spanning forests, never pairs.
 
-Defined cases: vectors that are null, zero, of another length than most, or with null or non-finite components link
-with nothing and are their own component; repeated rows are other vectors to each other; an empty table gives an
+Vectors of each length are joined among themselves, in the same shuffles; lengths that are not in the sample have one
+cell for all.
+
+Defined cases: vectors that are null, zero, or with null or non-finite components link with nothing and are their own
+component, and so do those without id; vectors of different length don't link; repeated rows are other vectors to each other; an empty table gives an
 empty result; other columns are not needed and not read.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -54,18 +58,23 @@ def blocks_of(size: int) -> list[slice]:
 
 
 class Cells:
-    """Centres of every block, and the part of the squared distance that each block may take."""
+    """Of vectors of one length: centres of every block, and the part of the squared distance that each block may take."""
 
-    def __init__(self, sample: np.ndarray, cells: int, cosine: float) -> None:
-        self.size, self.cosine = sample.shape[1], cosine
-        turned = unit(sample) @ rotation(self.size)
+    def __init__(self, size: int, cosine: float, sample: np.ndarray | None = None) -> None:
+        self.size, self.cosine, self.turn, self.blocks = size, cosine, rotation(size), blocks_of(size)
         # A proportional share: blocks may differ in size.
-        self.budgets = [(2 - 2 * cosine) * (b.stop - b.start) / self.size for b in blocks_of(self.size)]
-        self.centres = [turned[:cells, b] for b in blocks_of(self.size)]
+        self.budgets = [(2 - 2 * cosine) * (b.stop - b.start) / size for b in self.blocks]
+        centres = np.zeros((1, size)) if sample is None else unit(sample) @ self.turn
+        self.centres = [centres[:, b] for b in self.blocks]
+
+    @staticmethod
+    def of(samples: dict[int, np.ndarray], cosine: float) -> Callable[[int], Cells]:
+        """The cells of each length, made when they are first needed."""
+        return lru_cache(maxsize=64)(lambda size: Cells(size, cosine, samples.get(size)))
 
     def visits(self, turned: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
         """For each block: rows, cells, and whether the row lives there."""
-        for k, b in enumerate(blocks_of(self.size)):
+        for k, b in enumerate(self.blocks):
             c, x = self.centres[k], turned[:, b]
             far = np.maximum((x * x).sum(1)[:, None] + (c * c).sum(1)[None] - 2 * x @ c.T, 0)
             home = far.argmin(axis=1)
@@ -81,33 +90,40 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
 
 
+def _by_size(batch: pa.RecordBatch) -> Iterator[tuple[int, pa.RecordBatch]]:
+    """Slices of at most STRIP vectors of one length. Input: rep, embedding, copies."""
+    lengths = batch.column(1).value_lengths().to_numpy(zero_copy_only=False)
+    for size in np.unique(lengths).tolist():
+        mine = batch.filter(pa.array(lengths == size))
+        for start in range(0, mine.num_rows, STRIP):
+            yield size, mine.slice(start, STRIP)
+
+
 def _homes(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cells: Cells = shared.value
-        turn = rotation(cells.size)
+        cells_of = Cells.of(*shared.value)
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            for k, _, cell, home in cells.visits(unit(_matrix(batch.column(1))) @ turn):
-                number, count = np.unique(cell[home], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(k * MOST_CELLS + number), pa.array(count)], ["cell", "n"])
+            for size, piece in _by_size(batch):
+                cells = cells_of(size)
+                for k, _, cell, home in cells.visits(unit(_matrix(piece.column(1))) @ cells.turn):
+                    number, count = np.unique(cell[home], return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(number), size, np.int32)), pa.array(k * MOST_CELLS + number), pa.array(count)], ["size", "cell", "n"])
 
     return run
 
 
-def _visit(shared, parts: dict[int, int]):
+def _visit(shared, parts: dict[tuple[int, int], int]):
     """Rows for each chunk of each cell that a vector lives in or visits; residents of a chunk first (visitor 0)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cells: Cells = shared.value
-        turn = rotation(cells.size)
+        cells_of = Cells.of(*shared.value)
         for batch in batches:
-            for start in range(0, batch.num_rows, STRIP):
-                piece = batch.slice(start, STRIP)
+            for size, piece in _by_size(batch):
+                cells = cells_of(size)
                 ident = piece.column(0).to_numpy()
-                for k, row, cell, home in cells.visits(unit(_matrix(piece.column(1))) @ turn):
+                for k, row, cell, home in cells.visits(unit(_matrix(piece.column(1))) @ cells.turn):
                     number = k * MOST_CELLS + cell
-                    chunks = np.array([parts.get(x, 1) for x in number.tolist()], np.int64)
+                    chunks = np.array([parts.get((size, x), 1) for x in number.tolist()], np.int64)
                     mine = np.where(home, (ident[row].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64) % chunks, -1)
                     every = np.repeat(np.arange(len(row)), chunks)
                     chunk = np.arange(len(every)) - np.repeat(np.cumsum(chunks) - chunks, chunks)
@@ -115,22 +131,24 @@ def _visit(shared, parts: dict[int, int]):
                     keys = np.r_[number[every] * (1 << 32) + chunk, number[lives] * (1 << 32) + mine[lives]]
                     rows = np.r_[row[every], row[lives]]
                     visitor = np.r_[np.ones(len(every), np.int8), np.zeros(len(lives), np.int8)]
-                    yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(visitor), piece.column(0).take(pa.array(rows)), piece.column(1).take(pa.array(rows)), piece.column(2).take(pa.array(rows))], ["key", "visitor", "rep", "embedding", "copies"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), size, np.int32)), pa.array(keys), pa.array(visitor), *(piece.column(i).take(pa.array(rows)) for i in range(3))], ["size", "key", "visitor", "rep", "embedding", "copies"])
 
     return run
 
 
 def _link(shared):
-    """Counts (v null) and links of residents, from rows sorted by key with residents first."""
+    """Counts (v null) and links of residents, from rows sorted by length and key with residents first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cells: Cells = shared.value
-        turn, blocks = rotation(cells.size), blocks_of(cells.size)
-        key, held = None, []
+        cells_of = Cells.of(*shared.value)
+        of, held = None, []
         residents: tuple | None = None
 
         def compare(strip: pa.RecordBatch) -> pa.RecordBatch | None:
             nonlocal residents
+            size, key = of
+            cells = cells_of(size)
+            turn, blocks = cells.turn, cells.blocks
             if residents is None:
                 whole = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
                 raw = unit(_matrix(whole.column("embedding")))
@@ -166,11 +184,11 @@ def _link(shared):
             return pa.RecordBatch.from_arrays([pa.array(np.r_[ids[some], f]), pa.array(np.r_[np.zeros(len(some), np.int64), g], mask=np.r_[np.ones(len(some), bool), np.zeros(len(f), bool)]), pa.array(np.r_[counts[some], np.zeros(len(f), np.int64)])], ["u", "v", "n"])
 
         for batch in batches:
-            keys, visitor = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            edges = np.flatnonzero(np.r_[True, (keys[1:] != keys[:-1]) | (visitor[1:] != visitor[:-1])]) if len(keys) else []
+            sizes, keys, visitor = (batch.column(i).to_numpy() for i in range(3))
+            edges = np.flatnonzero(np.r_[True, (sizes[1:] != sizes[:-1]) | (keys[1:] != keys[:-1]) | (visitor[1:] != visitor[:-1])]) if len(keys) else []
             for a, b in zip(edges, [*edges[1:], len(keys)], strict=True):
-                if keys[a] != key:
-                    key, held, residents = int(keys[a]), [], None
+                if (int(sizes[a]), int(keys[a])) != of:
+                    of, held, residents = (int(sizes[a]), int(keys[a])), [], None
                 if not visitor[a]:
                     held.append(batch.slice(a, b - a))
                 elif held:
@@ -185,20 +203,21 @@ def embedding_links(df: DataFrame, ident: str = "vec_id", vector: str = "embeddi
     """(ident, n_links, component_id, kept) for each vector."""
     rows = df.select(F.col(ident).alias("vec_id"), F.col(vector).alias("embedding"))
     sound = F.coalesce(F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("embedding", lambda x: x != 0), F.lit(False))
-    usual = rows.where(sound).groupBy(F.size("embedding").alias("size")).count().orderBy(F.desc("count"), "size").first()
-    if usual is None:
-        return rows.select(F.col("vec_id").alias(ident), F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
-    fit = rows.where(sound & (F.size("embedding") == usual["size"]) & F.col("vec_id").isNotNull())
+    fit = rows.where(sound & F.col("vec_id").isNotNull())
     classes = checkpoint(fit.groupBy("embedding").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies")))
     vectors = classes.select("rep", "embedding", "copies")
-    n = vectors.count()
-    sample = vectors.orderBy(F.xxhash64("rep")).limit(SAMPLE).select("embedding").collect()
-    cells = Cells(np.array([r[0] for r in sample], np.float64), min(MOST_CELLS, max(LEAST_CELLS, n // CELL), len(sample)), cosine)
-    shared = df.sparkSession.sparkContext.broadcast(cells)  # at most MOST_CELLS centres
-    # One count for each cell: a number of rows bounded by blocks and MOST_CELLS.
-    homes = vectors.mapInArrow(_homes(shared), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).where(F.col("n") > CHUNK).collect()
-    visits = vectors.mapInArrow(_visit(shared, {r["cell"]: -(-r["n"] // CHUNK) for r in homes}), f"key long, visitor byte, rep long, embedding {dict(classes.dtypes)['embedding']}, copies long")
-    found = checkpoint(visits.repartition("key").sortWithinPartitions("key", "visitor").mapInArrow(_link(shared), "u long, v long, n long"))
+    drawn: dict[int, list] = {}
+    for r in vectors.orderBy(F.xxhash64("rep")).limit(SAMPLE).select("embedding").collect():
+        drawn.setdefault(len(r[0]), []).append(r[0])
+    # Of the lengths in the sample only, so at most SAMPLE rows.
+    sizes = {r["size"]: r["count"] for r in vectors.groupBy(F.size("embedding").alias("size")).count().where(F.col("size").isin(list(drawn))).collect()}
+    samples = {n: np.array(x[: min(MOST_CELLS, max(LEAST_CELLS, sizes[n] // CELL))], np.float64) for n, x in drawn.items()}
+    shared = df.sparkSession.sparkContext.broadcast((samples, cosine))  # at most SAMPLE vectors
+    # One count for each full cell: a number of rows bounded by blocks and MOST_CELLS.
+    homes = vectors.mapInArrow(_homes(shared), "size int, cell long, n long").groupBy("size", "cell").agg(F.sum("n").alias("n")).where(F.col("n") > CHUNK).collect()
+    parts = {(r["size"], r["cell"]): -(-r["n"] // CHUNK) for r in homes}
+    visits = vectors.mapInArrow(_visit(shared, parts), f"size int, key long, visitor byte, rep long, embedding {dict(classes.dtypes)['embedding']}, copies long")
+    found = checkpoint(visits.repartition("size", "key").sortWithinPartitions("size", "key", "visitor").mapInArrow(_link(shared), "u long, v long, n long"))
     counts = found.where("v is null").groupBy(F.col("u").alias("rep")).agg(F.sum("n").alias("n"))
     components = connected_components(found.where("v is not null").select("u", "v"))
     named = classes.join(counts, "rep", "left").join(components, F.col("rep") == F.col("node"), "left")

@@ -603,12 +603,21 @@ def decode_media(df: DataFrame, media: str = "media", out: str = "tensor") -> Da
     @F.arrow_udf("struct<height:int,width:int,rgb:binary>")
     def decode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
-            tensors = [t for part in slices(batch.to_pylist(), lambda x: len(x or b""), SLICE_BYTES) for t in pixels(*read(part))]
+            tensors = [t for part in slices(batch.to_pylist(), lambda x: len(x or b""), SLICE_BYTES) for t in decoded(part)]
             yield pa.array([None if t is None else {"height": t.shape[0], "width": t.shape[1], "rgb": t.tobytes()} for t in tensors], pa.struct([("height", pa.int32()), ("width", pa.int32()), ("rgb", pa.binary())]))
 
     return df.withColumn(out, decode(F.col(media)))
 
 
+def decoded(files: list[bytes | None]) -> list[np.ndarray | None]:
+    """RGB tensors of files; null where a file is missing or broken."""
+    try:
+        return pixels(*read(files))
+    except (ValueError, IndexError, KeyError, OverflowError, ZeroDivisionError, MemoryError):
+        # Some file of these has a good frame and broken scans: the others are decoded without it.
+        return [None] if len(files) == 1 else [t for f in files for t in decoded([f])]
+
+
 def describe(tensor: np.ndarray) -> str:
     """Height, width, and for each channel its sum, its sum of squares and how often it is at either limit."""
     flat = tensor.reshape(-1, 3)

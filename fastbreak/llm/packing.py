@@ -35,51 +35,59 @@ from .common import checkpoint, run_bounds, slices, table, texts
 CAPACITY, CLOSE = 4096, 1
 #: Words that a worker remembers before it starts over.
 REMEMBERED = 500_000
+#: Characters of the longest word that is remembered.
+LONG_WORD = 100
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
 class WordTokenizer:
-    """The ids of texts by a tokenizer that drops white space, word by word: words that were seen before are looked up."""
+    """The ids of texts by a tokenizer that drops white space, word by word: words that were seen before are looked up.
+
+    A new word goes through the library's model if all its characters are in FAMILIAR, where Python and the library
+    agree about letters, case and composition; else, and if it may hold a special token, through the whole library.
+    """
 
     #: Fixed value: the pre-tokenizer's pattern in the vocabulary file.
     PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
     #: Control characters that Python takes for white space and the tokenizer doesn't.
     ODD = re.compile(r"[\x1c-\x1f]")
+    #: Printable ASCII, Latin, Cyrillic, kana, Han, Hangul, general punctuation.
+    FAMILIAR = re.compile(r"[!-~\u00a1-\u024f\u0400-\u0481\u048a-\u04ff\u3041-\u3096\u30a1-\u30fa\u4e00-\u9fa5\uac00-\ud7a3\u2010-\u2027\u2030-\u2046]+")
 
     def __init__(self, path: str) -> None:
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.model = self.tokenizer.model
         self.find = regex.compile(self.PATTERN).findall
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         # Bytes as printable characters: those that are not, from 256 on in order.
         odd = [b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255)]
         self.letters = {b: chr(256 + k) for k, b in enumerate(odd)}
         self.known: dict[str, bytes] = {}
 
+    def _whole(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
     def _learn(self, word: str) -> bytes:
-        """The ids of a word without white space; its pieces are words too."""
-        known = self.known
-        if not word.isalpha() and len(pieces := self.find(word)) != 1:
-            found = b"".join([known.get(p) or self._learn(p) for p in pieces])
+        """The ids of a word without white space."""
+        if not self.FAMILIAR.fullmatch(word) or any(t in word for t in self.special):
+            found = self._whole(word)
         else:
-            mapped = word if word.isascii() else word.encode("utf-8", "replace").decode("latin-1").translate(self.letters)
-            found = array("I", [t.id for t in self.model.tokenize(mapped)]).tobytes()
-        known[word] = found
+            lowered = word.lower() if word.isascii() else unicodedata.normalize("NFC", word).lower()
+            pieces = [lowered] if lowered.isalpha() else self.find(lowered)
+            mapped = [p if p.isascii() else p.encode().decode("latin-1").translate(self.letters) for p in pieces]
+            found = array("I", [t.id for p in mapped for t in self.model.tokenize(p)]).tobytes()
+        if len(word) <= LONG_WORD:
+            self.known[word] = found
         return found
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
         if self.ODD.search(text):
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        if not text.isascii():
-            text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
+            return self._whole(text)
         if len(self.known) > REMEMBERED:
             self.known = {}
-        known, words = self.known, text.lower().split()
-        for w in words:
-            if w not in known:
-                self._learn(w)
-        return b"".join(map(known.__getitem__, words))
+        known, learn = self.known.get, self._learn
+        return b"".join([known(w) or learn(w) for w in text.split()])
 
 
 @lru_cache(maxsize=2)

@@ -7,6 +7,8 @@ the features. A decision list is fitted on a bounded, hashed sample of labelled
 almost only in toxic rows, those that explain most toxic rows not yet explained. A text's score is the noisy-or of
 the precisions of the features in it.
 
+Every token with a letter or a symbol that stands for one is decoded, however long; tokens of digits alone are numbers.
+
 Counting the language model is one aggregation with a bounded number of keys; scoring is row by row.
 
 Defined cases: a null or empty text gets the base score; without usable labels every score is the same small
@@ -51,10 +53,18 @@ SEPARATORS = set(" .-_*~'`,:;/\\")
 COST_LEET, COST_SEPARATOR, COST_RUN, COST_DOUBLE, COST_ODD = 0.5, 0.3, 0.2, 8.0, 6.0
 #: Restored tokens that a worker remembers before it starts over.
 REMEMBERED = 150_000
-
-SPACED = re.compile(r"(?<![^\W_])[^\W\d_](?:[ ._*-][^\W_]){2,}(?![^\W_])")
+#: Characters of the longest token that is remembered.
+LONG = 200
+
+#: Characters other than digits that stand for letters.
+SIGNS = "".join(c for c in LEET if not c.isdigit())
+#: Single characters with a separator between each two.
+_ONE = rf"(?:[^\W_]|[{re.escape(SIGNS)}])"
+SPACED = re.compile(rf"(?<![^\W_]){_ONE}(?:[ ._*-]{_ONE}){{2,}}(?![^\W_])")
 EDGES = " \t\r\n\x0b\x0c.,;:!?\"'()[]{}<>«»“”„…%&*#|~^=_-/\\"
 RUN = re.compile(r"(.)\1\1")
+#: A letter or a sign for one.
+SPEAKS = re.compile(rf"[^\W\d_]|[{re.escape(SIGNS)}]")
 _SIZE = len(LETTERS) + 1
 _CODE = np.full(0x250, _SIZE - 1, np.int64)
 for _i, _c in enumerate(LETTERS):
@@ -123,6 +133,7 @@ class Restorer:
             return word
         other = _SIZE - 1
         model, code = self.model, self.code
+        letters: list[str] = []
         best: dict[tuple[int, int], tuple[float, tuple]] = {(0, 0): (0.0, ())}
         for i in range(len(raw)):
             options = [(x, code.get(x, other), cost) for x, cost in self.options(raw, i)]
@@ -133,29 +144,37 @@ class Restorer:
                     if state not in after or t < after[state][0]:
                         after[state] = (t, way)
             best = after
+            if len(best) == 1 and i % 64 == 63:  # all ways have one past: it is settled, and long tokens take no memory
+                ((state, (_, path)),) = best.items()
+                letters += self._unrolled(path)
+                best = {state: (0.0, ())}
         _, path = min(((t + model[a][b][0], p) for (a, b), (t, p) in best.items()), key=lambda x: x[0])
+        word = "".join(letters + self._unrolled(path))
+        if len(raw) <= LONG:
+            if len(self.known) > REMEMBERED:
+                self.known = {}
+            self.known[raw] = word
+        return word
+
+    @staticmethod
+    def _unrolled(path: tuple) -> list[str]:
         letters = []
         while path:
             path, x = path
             letters.append(x)
-        if len(self.known) > REMEMBERED:
-            self.known = {}
-        word = self.known[raw] = "".join(reversed(letters))
-        return word
+        return letters[::-1]
 
     def word(self, token: str) -> str:
-        """The word behind a lower-case token: itself if it is plain, nothing if it has no letters."""
+        """The word behind a lower-case token: itself if it is plain, nothing if it has neither letters nor SIGNS."""
         plain = token.strip(EDGES)
         if plain.isalpha() and not RUN.search(plain):
             return plain
         token = token.rstrip(".,;:?\"')]}%&#").lstrip("\"'([{<")
-        if sum(c.isalpha() for c in token) * 3 < len(token) or len(token) > 200:
-            return plain if len(token) > 200 else ""
-        return self.decode(token)
+        return self.decode(token) if SPEAKS.search(token) else ""
 
     def spaced(self, lowered: str) -> list[str]:
         """Words written letter by letter."""
-        return [self.decode(m[0]) for m in SPACED.finditer(lowered)]
+        return [self.decode(m[0]) for m in SPACED.finditer(lowered) if SPEAKS.search(m[0])]
 
 
 def features_of(words: set[str], tokens: int) -> set[str]:
