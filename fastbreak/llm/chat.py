@@ -1,37 +1,49 @@
 """Chat formatting as a prefix tree: what conversations share from their first turn on is emitted once.
 
-A node is a turn with all turns before it. Equal nodes of any number of conversations are one row. Nodes are emitted
-in depth-first order (the order of their paths) as one long stream of template text, each with its place in the
-stream, its position (the number of characters before it in its own conversation) and the intervals of its
-ancestors in the stream, which with its own interval are all that it may attend to. The loss mask is an interval of
-a node's text. Sorting is by range, places come from sums of partitions, so no tree is ever one task's work.
+A node is a turn with all turns before it, named by a 128-bit hash of those. Equal nodes of any number of conversations
+are one row. Nodes are emitted in depth-first order as one long stream of token ids, each with its place in the
+stream and, on demand, its position (the tokens before it in its own conversation) and the intervals of the stream
+that it may attend to: those of its ancestors, then its own. The loss mask is an interval of a node's tokens.
 
-Control strings inside texts are escaped reversibly: a backslash is doubled, and "<|" becomes "<\\|".
+Names are running hashes, as a scan: turns are sorted by range, every partition hashes on its own, and what it begins
+with is put in front by the partitions' ends. No conversation is collected. A turn is a fork's child if other turns
+follow its parent too (or it is a first turn); from there to the next fork nodes lie one behind the other in the
+stream and are one interval. So a node's way from the root is a list of forks, not of turns, and depth-first order is
+the order of those lists, then of depth. Such a list has 16 bytes for each fork on the way.
+
+Control strings inside texts are escaped reversibly: a backslash is doubled, and "<|" becomes "<\\\\|".
 
 Defined cases: rows of a conversation are taken by turn, then role and text, nulls first; a null role or text is
-empty; repeated rows are turns of their own; conversations of equal turns share all nodes; other columns are not
-needed and not read; an empty table gives an empty result.
+empty; rows without conversation id are one conversation; repeated rows are turns of their own; conversations of equal
+turns share all nodes, and one may end within another; other columns are not needed and not read; an empty table
+gives an empty result; very long conversations stream through their tasks row by row.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from hashlib import md5, sha256
+from hashlib import sha256
 
+import numpy as np
+import public_tokenizers
 import pyarrow as pa
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpoint, table
+from .bpe import vocabulary
+from .common import checkpoint, slices, table
 
 # The template's marks.
 START, END = "<|im_start|>", "<|im_end|>\n"
 TURN = re.compile(r"<\|im_start\|>((?:[^\n])*)\n(.*?)<\|im_end\|>\n", re.DOTALL)
 #: The role whose texts are learned.
 LEARNED = "assistant"
-_ID = 32
+#: Odd multipliers of the two halves of running hashes.
+BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
+_MASK = (1 << 64) - 1
 
 
 def escape(text: str, line: bool = False) -> str:
@@ -44,34 +56,120 @@ def unescape(text: str, line: bool = False) -> str:
     return re.sub(r"\\(.)", lambda m: "\n" if line and m[1] == "n" else m[1], text, flags=re.DOTALL)
 
 
-def node_id(before: str, role: str, text: str) -> str:
-    """Of a turn and all turns before it."""
-    return md5(f"{before}\n{len(role)}\n{role}{text}".encode("utf-8", "surrogatepass")).hexdigest()
+# ---------------------------------------------------------------- names
+
+#: A turn's number and name counted from where its conversation begins in the partition, and the name before it.
+_SCANNED = "part int, last boolean, n long, name array<long>, before array<long>"
+_NAMED = "n long, node binary, parent binary"
+
+
+def _turn_hash(role: str, text: str) -> tuple[int, int]:
+    raw = xxhash.xxh3_128_intdigest(f"{len(role)}\n{role}{text}".encode("utf-8", "surrogatepass"))
+    return raw >> 64, raw & _MASK
+
+
+def _after(before: tuple[int, int], turns: int, own: tuple[int, int]) -> tuple[int, int]:
+    """The name of `own`, which covers so many turns, with `before` in front."""
+    a, b = (x * pow(base, turns, 1 << 64) + y & _MASK for x, y, base in zip(before, own, BASES, strict=True))
+    return a, b
 
 
-_TURN = pa.struct([("node", pa.string()), ("path", pa.string()), ("position", pa.int64()), ("segment", pa.string()), ("low", pa.int32()), ("high", pa.int32())])
+def _signed(x: int) -> int:
+    return x - (1 << 64) if x >> 63 else x
 
 
-_NODES = "array<struct<node:string,path:string,position:long,segment:string,low:int,high:int>>"
+def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Add _SCANNED to conv, turn, role, text, which come sorted; the partition's last row is marked."""
+    part = TaskContext.get().partitionId()
+    conv, n, name, first = None, 0, (0, 0), True
+    waiting: pa.RecordBatch | None = None
 
+    def marked(batch: pa.RecordBatch, end: bool) -> pa.RecordBatch:
+        last = np.zeros(batch.num_rows, bool)
+        last[-1] = end
+        return batch.set_column(batch.schema.get_field_index("last"), "last", pa.array(last))
 
-def _nodes(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
     for batch in batches:
         rows = []
-        for turns in batch.to_pylist():
-            out, path, before, position = [], "", "", 0
-            for turn in turns or []:
-                role, text = turn["role"] or "", turn["text"] or ""
-                before = node_id(before, role, text)
-                path += before
-                head = f"{START}{escape(role, True)}\n"
-                body = escape(text)
-                segment = head + body + END
-                low, high = (len(head), len(head) + len(body)) if role == LEARNED else (0, 0)
-                out.append({"node": before, "path": path, "position": position, "segment": segment, "low": low, "high": high})
-                position += len(segment)
-            rows.append(out)
-        yield pa.array(rows, pa.list_(_TURN))
+        for c, role, text in zip(*(batch.column(i).to_pylist() for i in (0, 2, 3)), strict=True):
+            if first or c != conv:
+                conv, n, name, first = c, 0, (0, 0), False
+            before, n = name, n + 1
+            name = _after(before, 1, _turn_hash(role, text))
+            rows.append((n, [_signed(x) for x in name], [_signed(x) for x in before]))
+        if not rows:
+            continue
+        if waiting is not None:
+            yield marked(waiting, False)
+        none = pa.array([False] * len(rows))
+        n_, name_, before_ = zip(*rows, strict=True)
+        columns = [*batch.columns, pa.array([part] * len(rows), pa.int32()), none, pa.array(n_, pa.int64()), pa.array(name_, pa.list_(pa.int64())), pa.array(before_, pa.list_(pa.int64()))]
+        waiting = pa.RecordBatch.from_arrays(columns, [*batch.schema.names, *(c.split()[0] for c in _SCANNED.split(", "))])
+    if waiting is not None:
+        yield marked(waiting, True)
+
+
+def _name(carried: dict[int, tuple]):
+    """conv, role, text and _NAMED from scanned rows; carried: by partition, the conversation that it goes on with."""
+
+    def whole(x: list[int]) -> tuple[int, int]:
+        return x[0] & _MASK, x[1] & _MASK
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for c, part, n, name, before in zip(*(batch.column(i).to_pylist() for i in (0, 3, 5, 6, 7)), strict=True):
+                ahead = carried.get(part)
+                if ahead is not None and ahead[0] == c:
+                    name, before = _after(ahead[2], n, whole(name)), _after(ahead[2], n - 1, whole(before))
+                    n += ahead[1]
+                else:
+                    name, before = whole(name), whole(before)
+                head = (n - 1).to_bytes(4, "big")
+                out.append((n, n.to_bytes(4, "big") + b"".join(x.to_bytes(8, "big") for x in name), head + b"".join(x.to_bytes(8, "big") for x in before) if n > 1 else None))
+            columns = zip(*out, strict=True) if out else ([], [], [])
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(3)), *(pa.array(x, t) for x, t in zip(columns, (pa.int64(), pa.binary(), pa.binary()), strict=True))], ["conv", "role", "text", "n", "node", "parent"])
+
+    return run
+
+
+def named_turns(df: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
+    """(conv, role, text, n, node, parent): every turn with its number from 1 on, its node and the one before it."""
+    rows = df.select(F.col(conv).alias("conv"), F.col(turn).alias("turn"), F.coalesce(role, F.lit("")).alias("role"), F.coalesce(text, F.lit("")).alias("text"))
+    by = ["conv", "turn", "role", "text"]
+    kinds = dict(rows.dtypes)
+    scanned = checkpoint(rows.repartitionByRange(*by).sortWithinPartitions(*by).mapInArrow(_scan, f"{', '.join(f'{c} {kinds[c]}' for c in by)}, {_SCANNED}").drop("turn"))
+    # One row for each partition.
+    carried, ahead = {}, None
+    for r in scanned.where("last").orderBy("part").collect():
+        carried[r["part"]] = ahead
+        name = tuple(x & _MASK for x in r["name"])
+        ahead = (r["conv"], ahead[1] + r["n"], _after(ahead[2], r["n"], name)) if ahead is not None and ahead[0] == r["conv"] else (r["conv"], r["n"], name)
+    carried = {p: x for p, x in carried.items() if x is not None}
+    return scanned.mapInArrow(_name(carried), f"conv {kinds['conv']}, role string, text string, {_NAMED}")
+
+
+# ---------------------------------------------------------------- tree
+
+_TOKENS = "struct<tokens:array<int>,low:int,high:int>"
+
+
+def _tokenize(path: str):
+    """The template's token ids of turns, and the interval of them that is learned."""
+
+    def run(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        bpe = vocabulary(path, public_tokenizers.PATTERN)
+        for roles, texts in batches:
+            rows = []
+            for part in slices(list(zip(roles.to_pylist(), texts.to_pylist(), strict=True)), lambda r: len(r[1])):
+                heads = bpe.encode([f"{START}{escape(role, True)}\n" for role, _ in part])
+                bodies, (end,) = bpe.encode([escape(text) for _, text in part]), bpe.encode([END])
+                for (role, _), head, body in zip(part, heads, bodies, strict=True):
+                    low, high = (len(head) // 4, (len(head) + len(body)) // 4) if role == LEARNED else (0, 0)
+                    rows.append({"tokens": np.frombuffer(head + body + end, "<u4").astype(np.int32), "low": low, "high": high})
+            yield pa.array(rows, pa.struct([("tokens", pa.list_(pa.int32())), ("low", pa.int32()), ("high", pa.int32())]))
+
+    return F.arrow_udf(run, _TOKENS)
 
 
 def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -85,73 +183,109 @@ def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([part] * batch.num_rows, pa.int32()), pa.array(places, pa.int64())], [*batch.schema.names, "part", "place"])
 
 
-def conversations_as_nodes(df: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
-    """(conv, nodes): each conversation's nodes from its first turn on."""
-    turns = F.sort_array(F.collect_list(F.struct(F.col(turn).alias("turn"), F.col(role).alias("role"), F.col(text).alias("text"))))
-    return df.groupBy(F.col(conv).alias("conv")).agg(turns.alias("turns")).select("conv", F.arrow_udf(_nodes, _NODES)("turns").alias("nodes"))
-
+def emit_tree(turns: DataFrame, path: str | None = None) -> DataFrame:
+    """The stream: (node, way, start, length, tokens, low, high), a row for each distinct node in depth-first order.
 
-def emit_tree(nodes: DataFrame) -> DataFrame:
-    """The stream: (node, path, start, length, position, segment, low, high), a row for each distinct node in depth-first order."""
-    each = nodes.select(F.explode("nodes").alias("n")).select("n.*")
-    distinct = each.groupBy("node").agg(*(F.first(c).alias(c) for c in ("path", "position", "segment", "low", "high"))).withColumn("length", F.length("segment").cast("long"))
-    kind = "node string, path string, position long, segment string, low int, high int, length long, part int, place long"
-    placed = checkpoint(distinct.select("node", "path", "position", "segment", "low", "high", "length").repartitionByRange("path").sortWithinPartitions("path").mapInArrow(_places, kind))
+    way: the forks' children from the root to the node, the last one being where the node's own interval begins.
+    """
+    nodes = turns.groupBy("node").agg(*(F.first(c).alias(c) for c in ("parent", "n", "role", "text")), F.min("conv").alias("conv"))
+    forks = nodes.where("parent is not null").groupBy("parent").count().where("count > 1").select("parent")
+    child = nodes.select("node", "parent").join(forks.withColumn("fork", F.lit(True)), "parent", "left").where("parent is null or fork").select("node")
+    ways = turns.select("conv", "n", "node").join(child, "node", "left_semi").groupBy("conv").agg(F.sort_array(F.collect_list(F.struct("n", "node"))).alias("forks"))
+    placed = nodes.join(ways.withColumnRenamed("conv", "of"), F.col("conv").eqNullSafe(F.col("of")))
+    placed = placed.select("node", "n", F.transform(F.filter("forks", lambda x: x["n"] <= F.col("n")), lambda x: x["node"]).alias("way"), _tokenize(path or public_tokenizers.path("byte_bpe_50k.tiktoken"))("role", "text").alias("t"))
+    placed = placed.select("node", "n", "way", "t.*").withColumn("length", F.size("tokens").cast("long"))
+    kind = "node binary, n long, way array<binary>, tokens array<int>, low int, high int, length long, part int, place long"
+    placed = checkpoint(placed.repartitionByRange("way", "n").sortWithinPartitions("way", "n").mapInArrow(_places, kind))
     # One row for each partition.
-    ends = placed.groupBy("part").agg(F.sum("length").alias("size"), F.min("path").alias("least")).orderBy("least").collect()
+    ends = placed.groupBy("part").agg(F.sum("length").alias("size")).orderBy("part").collect()
     total, first = 0, []
     for row in ends:
         first.append((row["part"], total))
         total += row["size"]
-    starts = nodes.sparkSession.createDataFrame(first, "part int, first long")
-    return placed.join(F.broadcast(starts), "part").select("node", "path", (F.col("first") + F.col("place")).alias("start"), "length", "position", "segment", "low", "high")
+    starts = turns.sparkSession.createDataFrame(first, "part int, first long")
+    return placed.join(F.broadcast(starts), "part").select("node", "way", (F.col("first") + F.col("place")).alias("start"), "length", "tokens", "low", "high")
+
+
+def _intervals(stream: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(node, k, head, start, end) of the intervals that nodes attend to: whole ones between forks, then up to the node."""
+    spans = stream.select(F.element_at("way", -1).alias("head"), "start", (F.col("start") + F.col("length")).alias("end"))
+    spans = spans.groupBy("head").agg(F.min("start").alias("start"), F.max("end").alias("whole"))
+    asked = wanted.select("node", (F.col("start") + F.col("length")).alias("own"), F.size("way").alias("forks"), F.posexplode("way").alias("k", "head"))
+    return asked.join(spans, "head").select("node", "k", "head", "start", F.when(F.col("k") == F.col("forks") - 1, F.col("own")).otherwise(F.col("whole")).alias("end"))
 
 
 def with_ancestors(stream: DataFrame, of: DataFrame | None = None) -> DataFrame:
-    """(node, attends): the intervals (start, end) in the stream of each node's ancestors and itself, first turn first.
+    """(node, position, attends): the tokens before each node in its conversation, and the intervals (start, end) of
+    the stream that hold its ancestors and itself, first turn first.
 
     of: the nodes that are asked for (column node); all without it.
     """
     wanted = stream if of is None else stream.join(of.select("node"), "node", "left_semi")
-    depth = F.length("path") / _ID
-    chain = F.transform(F.sequence(F.lit(0), depth.cast("int") - 1), lambda k: F.struct(k.alias("k"), F.substring("path", k * _ID + 1, F.lit(_ID)).alias("ancestor")))
-    links = wanted.select("node", F.explode(chain).alias("c")).select("node", "c.k", "c.ancestor")
-    spans = stream.select(F.col("node").alias("ancestor"), "start", (F.col("start") + F.col("length")).alias("end"))
-    found = links.join(spans, "ancestor").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("k", "start", "end"))).alias("found"))
-    return found.select("node", F.transform("found", lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"))).alias("attends"))
+    found = _intervals(stream, wanted).groupBy("node").agg(F.sort_array(F.collect_list(F.struct("k", "start", "end"))).alias("found"), F.sum(F.col("end") - F.col("start")).alias("all"))
+    attends = F.transform("found", lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end")))
+    return found.join(wanted.select("node", "length"), "node").select("node", (F.col("all") - F.col("length")).alias("position"), attends.alias("attends"))
 
 
-_READ = pa.struct([("n_turns", pa.int64()), ("turns_sha256", pa.string()), ("loss_chars", pa.int64()), ("loss_sha256", pa.string()), ("formatted_chars", pa.int64())])
+# ---------------------------------------------------------------- reading
 
+_READ = "node binary, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
 
-_SAID = "struct<n_turns:long,turns_sha256:string,loss_chars:long,loss_sha256:string,formatted_chars:long>"
 
+def _read_back(path: str):
+    """What conversations say, turn by turn from the tokens that their last nodes attend to, in the stream's order."""
 
-def _read_back(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-    """What conversations say, from the stretches of the stream that their last nodes attend to."""
-    for batch in batches:
-        rows = []
-        for parts in batch.to_pylist():
-            formatted = "".join(p["segment"] for p in parts)
-            turns = [(unescape(role, True), unescape(text)) for role, text in TURN.findall(formatted)]
-            loss = "".join(unescape(p["segment"][p["low"] : p["high"]]) for p in parts)
-            said = "".join(f"{role}\n{text}\n" for role, text in turns)
-            rows.append({"n_turns": len(turns), "turns_sha256": sha256(said.encode("utf-8", "surrogatepass")).hexdigest(), "loss_chars": len(loss), "loss_sha256": sha256(loss.encode("utf-8", "surrogatepass")).hexdigest(), "formatted_chars": len(formatted)})
-        yield pa.array(rows, _READ)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bpe = vocabulary(path, public_tokenizers.PATTERN)
+        node, state, out = None, None, []
+
+        def result() -> tuple:
+            n, said, chars, loss, formatted = state
+            return node, n, said.hexdigest(), chars, loss.hexdigest(), formatted
+
+        def batch_of(rows: list) -> pa.RecordBatch:
+            types = (pa.binary(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64())
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], [c.split()[0] for c in _READ.split(", ")])
+
+        for batch in batches:
+            for new, tokens, low, high in zip(batch.column("leaf").to_pylist(), batch.column("tokens"), batch.column("low").to_pylist(), batch.column("high").to_pylist(), strict=True):
+                if new != node:
+                    if state is not None:
+                        out.append(result())
+                    node, state = new, [0, sha256(), 0, sha256(), 0]
+                ids = tokens.values.to_numpy().astype("<u4")
+                formatted = bpe.decode(ids.tobytes()).decode("utf-8", "surrogatepass")
+                ((role, text),) = TURN.findall(formatted)
+                learned = unescape(bpe.decode(ids[low:high].tobytes()).decode("utf-8", "surrogatepass"))
+                state[0] += 1
+                state[1].update(f"{unescape(role, True)}\n{unescape(text)}\n".encode("utf-8", "surrogatepass"))
+                state[2] += len(learned)
+                state[3].update(learned.encode("utf-8", "surrogatepass"))
+                state[4] += len(formatted)
+            if len(out) > 5_000:
+                yield batch_of(out)
+                out = []
+        if state is not None:
+            out.append(result())
+        if out:
+            yield batch_of(out)
+
+    return run
 
 
-def read_conversations(stream: DataFrame, leaves: DataFrame) -> DataFrame:
-    """(node, read): for each leaf (column node), what its conversation says, read through the intervals it attends to."""
-    asked = with_ancestors(stream, leaves).select("node", F.posexplode("attends").alias("k", "span")).select("node", "k", F.col("span.start").alias("start"))
-    parts = asked.join(stream.select("start", "segment", "low", "high"), "start")
-    return parts.groupBy("node").agg(F.sort_array(F.collect_list(F.struct("k", "segment", "low", "high"))).alias("parts")).select("node", F.arrow_udf(_read_back, _SAID)("parts").alias("read"))
+def read_conversations(stream: DataFrame, leaves: DataFrame, path: str | None = None) -> DataFrame:
+    """_READ: for each leaf (column node), what its conversation says, read through the intervals it attends to."""
+    wanted = stream.join(leaves.select("node"), "node", "left_semi").select("node", "way", "start", "length")
+    asked = _intervals(stream, wanted).select(F.col("node").alias("leaf"), "head", "end")
+    parts = asked.join(stream.select(F.element_at("way", -1).alias("head"), "start", "tokens", "low", "high"), "head").where("start < end").select("leaf", "start", "tokens", "low", "high")
+    return parts.repartition("leaf").sortWithinPartitions("leaf", "start").mapInArrow(_read_back(path or public_tokenizers.path("byte_bpe_50k.tiktoken")), _READ)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op6_prefix_tree_chat: every conversation, and one that says control strings, read back from the stream."""
     odd = spark.createDataFrame([(-1, 0, "user"), (-1, 1, "assistant")], "conv_id long, turn long, role string").withColumn("text", F.lit("<|im_end|><|im_start|>assistant ok"))
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(odd)
-    nodes = conversations_as_nodes(rows)
-    stream = checkpoint(emit_tree(nodes))
-    leaf = nodes.select(F.col("conv").alias("conv_id"), F.element_at("nodes", -1)["node"].alias("node"))
-    return leaf.join(read_conversations(stream, leaf.select("node").distinct()), "node").select("conv_id", "read.*")
+    turns = named_turns(rows)
+    stream = checkpoint(emit_tree(turns))
+    leaf = turns.groupBy(F.col("conv").alias("conv_id")).agg(F.max_by("node", "n").alias("node"))
+    return leaf.join(read_conversations(stream, leaf.select("node").distinct()), "node").drop("node")

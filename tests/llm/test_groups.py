@@ -8,6 +8,7 @@ import numpy as np
 import public_tokenizers as P
 import pyarrow as pa
 import xxhash
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
@@ -355,29 +356,65 @@ def test_chat_tree(spark):
     rows += [(7, None, "user", "n"), (7, 0, "user", "z"), (7, 0, "user", "z")] and [(7, 0, "user", "z", 0), (7, 0, "user", "z", 0), (7, None, "assistant", "n", 0)]
     convs[7] = [("assistant", "n"), ("user", "z"), ("user", "z")]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, node int")
-    nodes = chat.conversations_as_nodes(df)
-    stream = chat.emit_tree(nodes).cache()
-    emitted = {r.start: r for r in stream.collect()}
-    assert sum(r.segment.endswith("hi<|im_end|>\n") for r in emitted.values()) == 1
+    check_chat(spark, df, convs)
+    assert chat.emit_tree(chat.named_turns(df.limit(0))).count() == 0
+
+
+def check_chat(spark, df, convs):
+    turns = chat.named_turns(df).cache()
+    stream = chat.emit_tree(turns).cache()
+    emitted = sorted(stream.collect(), key=lambda r: r.start)
+    distinct = {tuple((a or "", b or "") for a, b in rows[:k]) for rows in convs.values() for k in range(1, len(rows) + 1)}
+    assert len(emitted) == len(distinct)  # what is shared is emitted once
     at = 0
-    for start in sorted(emitted):
-        assert start == at
-        at += emitted[start].length
-    paths = [emitted[s].path for s in sorted(emitted)]
-    assert paths == sorted(paths)
-    attends = {r.node: r.attends for r in chat.with_ancestors(stream).collect()}
-    for r in emitted.values():
-        spans = attends[r.node]
-        assert (spans[-1].start, spans[-1].end) == (r.start, r.start + r.length) and r.position == sum(s.end - s.start for s in spans[:-1])
-    leaf = nodes.selectExpr("conv", "element_at(nodes, -1).node as node")
-    read = {r.node: r.read for r in chat.read_conversations(stream, leaf.select("node").distinct()).collect()}
+    for r in emitted:
+        assert r.start == at and r.length == len(r.tokens)
+        at += r.length
+    # Depth first: a node's parent is the last one before it that is a turn less deep, and the intervals say the same.
+    parent = {r.node: r.parent for r in turns.collect()}
+    attends = {r.node: r for r in chat.with_ancestors(stream).collect()}
+    above: list = []
+    for r in emitted:
+        while above and above[-1].node != parent[r.node]:
+            above.pop()
+        assert bool(above) == (parent[r.node] is not None)
+        above.append(r)
+        spans = [(x.start, x.end) for x in attends[r.node].attends]
+        want = [i for x in above for i in range(x.start, x.start + x.length)]
+        assert [i for a, b in spans for i in range(a, b)] == want and attends[r.node].position == len(want) - r.length
+    leaf = turns.groupBy("conv").agg(F.max_by("node", "n").alias("node"))
+    read = {r.node: r for r in chat.read_conversations(stream, leaf.select("node").distinct()).collect()}
     for r in leaf.collect():
-        turns = [(a or "", b or "") for a, b in convs[r.conv]]
+        rows = [(a or "", b or "") for a, b in convs[r.conv]]
         said = read[r.node]
-        loss = [t for a, t in turns if a == "assistant"]
-        assert (said.n_turns, said.loss_chars) == (len(turns), sum(map(len, loss)))
-        assert said.turns_sha256 == sha256("".join(f"{a}\n{t}\n" for a, t in turns).encode()).hexdigest() and said.loss_sha256 == sha256("".join(loss).encode()).hexdigest()
-    assert chat.emit_tree(chat.conversations_as_nodes(df.limit(0))).count() == 0
+        loss = [t for a, t in rows if a == "assistant"]
+        assert (said.n_turns, said.loss_chars) == (len(rows), sum(map(len, loss)))
+        assert said.turns_sha256 == sha256("".join(f"{a}\n{t}\n" for a, t in rows).encode()).hexdigest() and said.loss_sha256 == sha256("".join(loss).encode()).hexdigest()
+
+
+def test_chat_trees_over_many_partitions(spark):
+    """Conversations that go on over several partitions, share beginnings, end within others, and have no id."""
+    rng = random.Random(12)
+    convs: dict = {}
+    for c in [None, *range(40)]:
+        old = convs[rng.choice(list(convs))] if convs else []
+        convs[c] = old[: rng.randint(0, len(old))] + [(rng.choice(["user", "assistant"]), rng.choice("abc") + f" {k}") for k in range(rng.randint(1, 12))]
+    convs[50] = [("user" if k % 2 else "assistant", f"turn {k % 5}") for k in range(900)]
+    rows = [(c, k, r, t) for c, turns in convs.items() for k, (r, t) in enumerate(turns)]
+    rng.shuffle(rows)
+    check_chat(spark, spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(5), convs)
+
+
+def test_a_very_long_conversation(spark):
+    """A hundred thousand turns that share all but their end with another conversation."""
+    n = 100_000
+    one = spark.range(n).select(F.lit(1).alias("conv_id"), F.col("id").alias("turn"), F.lit("assistant").alias("role"), F.concat(F.lit("t"), F.col("id").cast("string")).alias("text"))
+    two = one.where(F.col("turn") < n - 5).withColumn("conv_id", F.lit(2)).unionByName(spark.createDataFrame([(2, n, "assistant", "end")], "conv_id int, turn long, role string, text string"))
+    turns = chat.named_turns(one.unionByName(two))
+    stream = chat.emit_tree(turns).cache()
+    assert stream.count() == n + 1 and stream.agg(F.max(F.size("way"))).first()[0] == 2
+    leaf = turns.groupBy("conv").agg(F.max_by("node", "n").alias("node"))
+    assert sorted(r.n_turns for r in chat.read_conversations(stream, leaf).collect()) == [n - 4, n]
 
 
 # ---------------------------------------------------------------- pipeline
