@@ -2,16 +2,19 @@
 
 A window of W symbols is assigned to the smallest k-gram in it (by hash, the leftmost of equals). The choice depends
 on the window's content alone, so equal windows have equal anchors at equal places. Consecutive windows with the
-same anchor occurrence make one record of 11 bytes. Anchors only route: no hash decides that something goes.
+same anchor occurrence make one record of 13 bytes. Anchors only route: no hash decides that something goes.
 
-Records meet by anchor; those whose anchor is in one document only are dropped. What remains gets a key that depends
-on the anchor alone, so equal windows get equal keys:
+Records meet by anchor. If two documents share a window, then its anchor, and half of what else a window holds to the
+left or to the right of that; so a record has 8 bits of a hash of each side, and those that agree with no other
+document's in one of them are dropped. What remains gets a key that depends on the anchor alone, so equal windows get
+equal keys:
 - Of an anchor with few records, the key is its leader, the smallest document that has it, and the leader's block of
   BLOCK places in which the anchor is. Neighbouring anchors that several documents share mostly have one leader, so
   what a document shares comes as one long stretch. A key has a bounded number of symbols, as a block has a bounded
   number of anchors with FEW records each.
-- Of any other anchor the key is the anchor itself. An anchor that a slice has in HOT documents or more is not sent
-  by that slice but for its least and greatest document; its records are known to be candidates and are dealt evenly.
+- Of any other anchor the key is the anchor itself. What a slice has in more than HOT documents (an anchor with one
+  side) is not sent by that slice but for its least and greatest document; its records are known to be candidates and
+  are dealt evenly. So are all of an anchor that a slice has in more than WILD documents, whatever the sides.
 
 The symbols of all candidates are then brought together by key, for the caller to compare. Before that shuffle equal
 contents of a task leave those of the smallest document (the others' windows are settled, symbol by symbol), and an
@@ -36,8 +39,8 @@ INVERSE = pow(BASE, -1, 2**64)
 KNOWN = 30_000_000
 #: Places of a leader that share a key; most records of an anchor that is keyed by its leader.
 BLOCK, FEW = 512, 32
-#: Documents of one slice from which an anchor is told of rather than sent.
-HOT = 8
+#: Documents of one slice from which an anchor with one side, or with any, is told of rather than sent.
+HOT, WILD = 8, 64
 #: Split keys that are broadcast; more are joined.
 SPLIT = 50_000
 #: Bits of a place within a slice; hashes are compared above them.
@@ -48,9 +51,9 @@ SPANS = "doc long, mark long, at long, key long, windows long, size long"
 AT = 64
 #: What goes: n windows of a document from `start` on.
 GONE = "doc long, mark long, start int, n int"
-#: A row is what one slice has for one bucket, in the narrowest types: 11 bytes a record. Of the anchor's hash the
+#: A row is what one slice has for one bucket, in the narrowest types: 13 bytes a record. Of the anchor's hash the
 #: bucket and 32 bits are kept. Rows are dealt by bucket, or evenly where they are known to be candidates.
-_RECORDS = "dealt int, known boolean, bucket int, docs array<long>, marks array<long>, doc array<smallint>, low array<smallint>, high array<smallint>, n array<tinyint>, anchor array<int>"
+_RECORDS = "dealt int, known boolean, bucket int, docs array<long>, marks array<long>, doc array<smallint>, low array<smallint>, high array<smallint>, n array<tinyint>, anchor array<int>, left array<tinyint>, right array<tinyint>"
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -85,11 +88,11 @@ def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
 
 
 def records(symbols: np.ndarray, sizes: np.ndarray, window: int, k: int) -> tuple[np.ndarray, ...]:
-    """Of documents end to end: document, first window, number of windows and anchor hash of each record."""
+    """Of documents end to end: document, first window, number of windows, anchor hash, and 8 bits of each side."""
     n = len(symbols)
     none = np.zeros(0, np.int64)
     if n < window:
-        return none, none, none, none
+        return (none,) * 6
     up, down = POWERS.upto(n + 1)
     total = np.r_[np.uint64(0), np.cumsum(mixed(symbols + np.uint64(0x632BE59BD9B4E019)) * up[:n])]
     grams = mixed((total[k:] - total[:-k]) * down[: n - k + 1])
@@ -100,19 +103,28 @@ def records(symbols: np.ndarray, sizes: np.ndarray, window: int, k: int) -> tupl
     doc = np.repeat(np.arange(len(sizes)), sizes)[: len(at)]
     valid = np.flatnonzero(np.arange(len(at)) + window <= ends[doc])
     if not len(valid):
-        return none, none, none, none
+        return (none,) * 6
     at, doc = at[valid], doc[valid]
     fresh = np.flatnonzero(np.r_[True, (at[1:] != at[:-1]) | (doc[1:] != doc[:-1])])
     first = valid[fresh]
     count = np.diff(np.r_[fresh, len(valid)])
     anchor, doc = at[fresh], doc[fresh]
-    return doc, first - (ends - sizes)[doc], count, grams[anchor].view(np.int64)
+    begin, end = (ends - sizes)[doc], ends[doc]
+    side = (window - k + 1) // 2
+
+    def hashed(a: np.ndarray) -> np.ndarray:
+        a = np.where((a >= begin) & (a + side <= end), a, begin)  # no such side: anything
+        b = np.minimum(a + side, end)
+        return (mixed((total[b] - total[a]) * down[a]) >> np.uint64(56)).astype(np.int64)
+
+    return doc, first - begin, count, grams[anchor].view(np.int64), hashed(anchor - side), hashed(anchor + k)
 
 
 def _send(symbols_of: Callable, window: int, k: int, buckets: int):
     """Rows of records for each bucket. Input: doc, mark, text."""
 
-    def rows_of(docs, marks, doc, start, n, anchor, known: bool, deal: int):
+    def rows_of(docs, marks, found, known: bool, deal: int):
+        doc, start, n, anchor, left, right = found
         bucket = (anchor.view(np.uint64) >> np.uint64(32)).astype(np.int64) % buckets
         order = np.argsort(bucket, kind="stable")
         edges = np.searchsorted(bucket[order], np.arange(buckets + 1))
@@ -121,7 +133,7 @@ def _send(symbols_of: Callable, window: int, k: int, buckets: int):
             for some in np.split(mine, np.flatnonzero(np.diff(doc[mine]) != 0)[30_000::30_000] + 1):
                 used, where = np.unique(doc[some], return_inverse=True)
                 at = start[some]
-                row = (docs[used], marks[used], where.astype(np.int16), (at & 0xFFFF).astype(np.uint16).view(np.int16), (at >> 16).astype(np.int16), n[some].astype(np.int8), anchor[some].astype(np.int32))
+                row = (docs[used], marks[used], where.astype(np.int16), (at & 0xFFFF).astype(np.uint16).view(np.int16), (at >> 16).astype(np.int16), n[some].astype(np.int8), anchor[some].astype(np.int32), left[some].astype(np.int8), right[some].astype(np.int8))
                 head = [pa.array([(deal + b) % buckets if known else b], pa.int32()), pa.array([known]), pa.array([b], pa.int32())]
                 yield pa.RecordBatch.from_arrays(head + [pa.ListArray.from_arrays([0, len(x)], pa.array(x)) for x in row], names=[c.split()[0] for c in _RECORDS.split(", ")])
 
@@ -131,36 +143,55 @@ def _send(symbols_of: Callable, window: int, k: int, buckets: int):
             for part in slices(rows, lambda r: len(r[2])):
                 docs, marks = (np.array([r[j] for r in part], np.int64) for j in (0, 1))
                 symbols, sizes = symbols_of([r[2] for r in part])
-                doc, start, n, anchor = records(symbols, sizes, window, k)
+                found = records(symbols, sizes, window, k)
+                doc, start, n, anchor, left, right = found
                 if not len(doc):
                     continue
-                by = np.argsort(anchor, kind="stable")
-                starts, ends = run_bounds(anchor[by])
-                several = np.add.reduceat(np.r_[True, np.diff(doc[by]) != 0].astype(np.int64), starts) > HOT
-                known = np.zeros(len(doc), bool)
-                known[by[np.repeat(several, ends - starts)]] = True
+                known, wild, told = np.zeros(len(doc), bool), np.zeros(len(doc), bool), [np.zeros(0, np.int64)]
+                for what, most in ((anchor, WILD), (_with(anchor, left), HOT), (_with(anchor, right), HOT)):
+                    by = np.argsort(what, kind="stable")
+                    starts, ends = run_bounds(what[by])
+                    several = np.add.reduceat(np.r_[True, np.diff(doc[by]) != 0].astype(np.int64), starts) > most
+                    known[(mine := by[np.repeat(several, ends - starts)])] = True
+                    told += [by[a:b][[f(docs[doc[by[a:b]]]) for f in (np.argmin, np.argmax)]] for a, b in zip(starts[several], ends[several], strict=True)]
+                    if most == WILD:
+                        wild[mine] = True
                 deal = int(docs[0]) & 0xFFFF
-                yield from rows_of(docs, marks, doc[known], start[known], n[known], anchor[known], True, deal)
-                # Others are told of known ones by their least and greatest document, without windows.
-                told = [by[a:b][f(docs[doc[by[a:b]]])] for a, b in zip(starts[several], ends[several], strict=True) for f in (np.argmin, np.argmax)]
-                n = np.where(known, 0, n)
-                asked = np.sort(np.r_[np.flatnonzero(~known), np.array(told, np.int64)])
-                yield from rows_of(docs, marks, doc[asked], start[asked], n[asked], anchor[asked], False, deal)
+                yield from rows_of(docs, marks, [x[known] for x in found], True, deal)
+                # Others are told of known ones by their least and greatest document: no windows, or fewer if any side will do.
+                n = np.where(wild, -1, np.where(known, 0, n))
+                asked = np.unique(np.concatenate([np.flatnonzero(~known), *told]))
+                yield from rows_of(docs, marks, [x[asked] for x in (doc, start, n, anchor, left, right)], False, deal)
 
     return run
 
 
-def _keys(anchor: np.ndarray, doc: np.ndarray, start: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _with(anchor: np.ndarray, side: np.ndarray) -> np.ndarray:
+    """Anchor and side as one number."""
+    return mixed(anchor.view(np.uint64) + (side.astype(np.uint64) << np.uint64(32))).view(np.int64)
+
+
+def _agree(what: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """Records for which another document has the same."""
+    by = np.argsort(what, kind="stable")
+    starts, ends = run_bounds(what[by])
+    several = np.minimum.reduceat(doc[by], starts) < np.maximum.reduceat(doc[by], starts)
+    out = np.zeros(len(what), bool)
+    out[by] = np.repeat(several, ends - starts)
+    return out
+
+
+def _keys(anchor: np.ndarray, doc: np.ndarray, start: np.ndarray, n: np.ndarray, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Of a bucket's records: those that are candidates, and their keys."""
-    by = np.argsort(anchor, kind="stable")
+    keep = np.flatnonzero(_agree(anchor, doc))
+    wild = np.isin(anchor[keep], np.unique(anchor[keep][n[keep] < 0]))
+    keep = keep[wild | _agree(_with(anchor[keep], left[keep]), doc[keep]) | _agree(_with(anchor[keep], right[keep]), doc[keep])] if len(keep) else keep
+    if not len(keep):
+        return keep, keep
+    by = keep[np.argsort(anchor[keep], kind="stable")]
     starts, ends = run_bounds(anchor[by])
+    sizes = ends - starts
     least = np.minimum.reduceat(doc[by], starts)
-    several = least < np.maximum.reduceat(doc[by], starts)
-    by = by[np.repeat(several, ends - starts)]
-    sizes, least = (ends - starts)[several], least[several]
-    if not len(by):
-        return by, by
-    starts = np.cumsum(sizes) - sizes
     leads = doc[by] == np.repeat(least, sizes)
     place = np.minimum.reduceat(np.where(leads, start[by], np.iinfo(np.int32).max), starts)
     led = (sizes <= FEW) & (np.minimum.reduceat(n[by], starts) > 0)
@@ -190,15 +221,15 @@ def _candidates(window: int):
     """Rows of SPANS whose anchor is in several documents; buckets come one after the other."""
 
     def unpacked(rows: pa.RecordBatch):
-        lists = [rows.column(j) for j in range(3, 10)]
+        lists = [rows.column(j) for j in range(3, 12)]
         for i in range(rows.num_rows):
-            docs, marks, where, low, high, n, anchor = (x[i].values.to_numpy() for x in lists)
+            docs, marks, where, low, high, n, anchor, left, right = (x[i].values.to_numpy() for x in lists)
             number = np.int64(rows.column(2)[i].as_py()) << 32
-            yield docs[where], marks[where], low.view(np.uint16) + (high.astype(np.int32) << 16), n, number | anchor.view(np.uint32)
+            yield docs[where], marks[where], low.view(np.uint16) + (high.astype(np.int32) << 16), n, number | anchor.view(np.uint32), left, right
 
     def bucket(parts: list):
-        doc, mark, start, n, anchor = (np.concatenate(x) for x in zip(*parts, strict=True))
-        keep, key = _keys(anchor, doc, start, n)
+        doc, mark, start, n, anchor, left, right = (np.concatenate(x) for x in zip(*parts, strict=True))
+        keep, key = _keys(anchor, doc, start, n, left, right)
         yield from _spans(doc[keep], mark[keep], start[keep], n[keep], key, window)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -207,7 +238,7 @@ def _candidates(window: int):
         for batch in batches:
             known = batch.column(1).to_numpy(zero_copy_only=False)
             if parts := list(unpacked(batch.filter(pa.array(known)))):
-                doc, mark, start, n, anchor = (np.concatenate(x) for x in zip(*parts, strict=True))
+                doc, mark, start, n, anchor, _, _ = (np.concatenate(x) for x in zip(*parts, strict=True))
                 yield from _spans(doc, mark, start, n, anchor | 1, window)
             asked = batch.filter(pa.array(~known))
             if not asked.num_rows:
@@ -302,12 +333,15 @@ def _cut(opened: Callable, window: int, split: dict[int, int] | None):
                 doc, mark = docs[i], marks[i]
                 content_of, hashes_of = opened(column[i].as_py())
                 hashes = window_hashes(hashes_of(), window) if hot and any(k in hot for k, _, _ in found) else None
-                pieces = [(key, start, n, hot.get(key)) for key, start, n in reversed(found)]
+                pieces, settled = [(key, start, n, hot.get(key)) for key, start, n in reversed(found)], []
                 while pieces:
                     key, start, n, parts = pieces.pop()
                     own = (key, content_of(start, start + n + window - 1))
                     if least.setdefault(own, doc) < doc:
-                        rows.append((key ^ doc, doc, mark, start, n, None))  # dealt evenly
+                        if settled and settled[-1][0] + settled[-1][1] == start:
+                            settled[-1][1] += n
+                        else:
+                            settled.append([start, n])
                         continue
                     least[own] = doc
                     held += len(own[1])
@@ -315,6 +349,7 @@ def _cut(opened: Callable, window: int, split: dict[int, int] | None):
                         pieces += [(*piece, None) for piece in parted(key, start, n, parts, hashes)]
                     else:
                         rows.append((key, doc, mark, start, n, own[1]))
+                rows += [(doc ^ start, doc, mark, start, n, None) for start, n in settled]  # dealt evenly
             if held > KNOWN:
                 least, held = {}, 0
             for part in slices(rows, lambda r: len(r[5] or ""), 4_000_000):
