@@ -32,5 +32,11 @@ def same_set(array: Column, ids: Iterable[int]) -> Column:
     return (F.size(F.array_except(array, wanted)) == 0) & (F.size(F.array_except(wanted, array)) == 0)
 
 
+def settle_choice(on: list[int], off: list[int], changed: str) -> tuple[list[int], list[int]]:
+    """Players chosen on and off court; one who is in both stays in the list that was changed last ("on" or "off")."""
+    both = set(on) & set(off)
+    return ([x for x in on if changed == "on" or x not in both], [x for x in off if changed == "off" or x not in both])
+
+
 def overlaps(array: Column, ids: Iterable[int]) -> Column:
     return F.arrays_overlap(array, F.array(*(F.lit(i) for i in ids)))

@@ -9,8 +9,8 @@ from datetime import date
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Bounds of seasons, by the year they end in.
-SEASON_MONTHS = ((9, 1), (8, 31))
+#: Month and day of a season's first and last day, in the year before and in the year that it is named by.
+SEASON_MONTHS = ((10, 1), (7, 1))
 
 
 def season_bounds(game_year: int) -> tuple[date, date]:

@@ -20,7 +20,7 @@ def lineups_lookup(rosters: DataFrame, subs: DataFrame) -> DataFrame:
     players = rosters.select("player_id", "game_id", "team_id", "game_year").distinct()
     events = subs.select("game_id", "team_id", "id", "quarter", "quarter_time", "end_game_seconds_remaining", "user_time", "parameters_player_in", "parameters_player_out")
     order = ["id", "quarter", F.desc("end_game_seconds_remaining"), "user_time"]
-    rows = players.join(events, ["game_id", "team_id"])
+    rows = players.join(events, ["game_id", "team_id"]).repartition("game_id")  # serves all windows
     rows = rows.withColumn("is_on", F.expr("case when player_id = parameters_player_in then 1 when player_id = parameters_player_out then 0 end"))
     by_player = Window.partitionBy("game_id", "player_id").orderBy(*order)
     rows = rows.withColumns({"is_on": F.last("is_on", ignorenulls=True).over(by_player.rowsBetween(Window.unboundedPreceding, 0)), "nth": F.row_number().over(by_player)})

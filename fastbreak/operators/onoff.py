@@ -10,7 +10,10 @@ from pyspark.sql import functions as F
 from ..functions.rounding import rounded_ratio, tenths
 from ..functions.windows import percent_rank
 from .facts import ended
-from .filters import GameFilter, filter_games
+from .filters import GameFilter, filter_games, season_bounds
+
+#: Possessions that a player needs in all four sums, and on court.
+MIN_ALL, MIN_ON = 100, 300
 
 COLUMNS = (
     "team_name", "firstname", "lastname", "net_rtg_diff", "off_on_diff", "def_on_diff", "off_on_ppp", "def_on_ppp", "on_net_rtg", "off_off_ppp", "def_off_ppp", "off_net_rtg", "on_poss", "off_poss",
@@ -24,7 +27,7 @@ class OnOffParams:
 
     games: GameFilter = GameFilter()
     min_all: int = 0
-    min_on: int = 300
+    min_on: int = MIN_ON
     min_net: float | None = None
 
 
@@ -82,7 +85,7 @@ def _core(sums: DataFrame, names: DataFrame, min_all: int | None, min_on: int |
     return out.select(*COLUMNS)
 
 
-def onoff_default(long: DataFrame, lookup: DataFrame, rosters: DataFrame, schedule: DataFrame, games: DataFrame, min_on: int = 300) -> DataFrame:
+def onoff_default(long: DataFrame, lookup: DataFrame, rosters: DataFrame, schedule: DataFrame, games: DataFrame, min_on: int = MIN_ON) -> DataFrame:
     """Whole seasons, players with min_on possessions on court; percentiles are among all players."""
     rows = _core(player_sums(long, lookup, schedule, False), player_names(rosters, games), None, None)
     return rows.where(F.col("on_poss") >= min_on)
@@ -116,13 +119,15 @@ def onoff_compute(long: DataFrame, lookup: DataFrame, rosters: DataFrame, games:
     return rows if p.min_net is None else rows.where(F.col("net_rtg_diff") >= p.min_net)
 
 
-def onoff(default: DataFrame, compute, p: OnOffParams) -> DataFrame:
-    """From the precomputed season if only season, teams and thresholds are given, else computed by the given function."""
-    f = replace(p.games, game_year=None, team_ids=None)
-    if not f.is_default or p.min_all:
-        return compute(p)
-    rows = default.where(F.col("on_poss") >= p.min_on)
-    for column, values in (("game_year", [p.games.game_year] if p.games.game_year is not None else None), ("team_id", p.games.team_ids)):
-        if values is not None:
-            rows = rows.where(F.col(column).isin(list(values)))
-    return rows if p.min_net is None else rows.where(F.col("net_rtg_diff") >= p.min_net)
+def onoff(default: DataFrame, compute, p: OnOffParams, bounds=season_bounds, min_all: int = MIN_ALL, min_on: int = MIN_ON) -> DataFrame:
+    """The precomputed season if nothing but the season is chosen, else what the given function computes.
+
+    Chosen is a team, a threshold other than the defaults, a date other than the season's bounds (or none), or any
+    other filter: percentiles are among the rows of an answer, so a precomputed one can't be cut down to such a choice.
+    """
+    f = p.games
+    whole = f.game_year is not None and (f.start, f.end) == tuple(bounds(f.game_year))
+    plain = replace(f, start=None, end=None, team_ids=None).is_default and not f.team_ids and f.opp_rank_side is None and f.opp_rank_n is None
+    if whole and plain and p.min_all == min_all and p.min_on == min_on and p.min_net is None:
+        return default.where(F.col("game_year") == f.game_year)
+    return compute(p)

@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Iterable
+from datetime import date
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 
 from ..operators import advanced, clean, facts, groups, lineups, onoff, possessions, ratings, stints
-from ..operators.filters import GameFilter
+from ..operators.filters import GameFilter, season_bounds
 from ..operators.groups import LineupParams
 from ..operators.onoff import OnOffParams
 from ..sources import fixture
@@ -20,8 +21,12 @@ TABLES = ("actions", "rosters", "schedule", "team_dict", "possessions", "lookup"
 class Model:
     """Every table as an attribute, from base tables that a source gives."""
 
-    def __init__(self, spark: SparkSession, excluded: Iterable[int] = (), min_on: int = 300) -> None:
-        self.spark, self.excluded, self.min_on = spark, list(excluded), min_on
+    def __init__(self, spark: SparkSession, excluded: Iterable[int] = (), min_on: int = onoff.MIN_ON, min_all: int = onoff.MIN_ALL) -> None:
+        self.spark, self.excluded, self.min_on, self.min_all = spark, list(excluded), min_on, min_all
+
+    def season(self, game_year: int) -> tuple[date, date]:
+        """First and last day."""
+        return season_bounds(game_year)
 
     def view(self, name: str) -> None:
         """Register a table as a temporary view."""
@@ -88,7 +93,7 @@ class Model:
         return advanced.player_advanced_stats(self.long, self.lookup, self.rosters, self.schedule)
 
     def onoff(self, p: OnOffParams) -> DataFrame:
-        return onoff.onoff(self.onoff_default, self.onoff_computed, p)
+        return onoff.onoff(self.onoff_default, self.onoff_computed, p, self.season, self.min_all, self.min_on)
 
     def onoff_computed(self, p: OnOffParams) -> DataFrame:
         return onoff.onoff_compute(self.long, self.lookup, self.rosters, self.games, p)
@@ -133,10 +138,13 @@ class Model:
 class FixtureModel(Model):
     """From the driver's events."""
 
-    def __init__(self, spark: SparkSession, sf_dir: str, min_on: int = 300) -> None:
-        super().__init__(spark, fixture.EXCLUDED, min_on)
+    def __init__(self, spark: SparkSession, sf_dir: str, min_on: int = onoff.MIN_ON, min_all: int = onoff.MIN_ALL) -> None:
+        super().__init__(spark, fixture.EXCLUDED, min_on, min_all)
         self.events = spark.read.parquet(f"{sf_dir}/events.parquet")
 
+    def season(self, game_year: int) -> tuple[date, date]:
+        return fixture.season(game_year)
+
     @cached_property
     def actions(self) -> DataFrame:
         return clean.clean_actions(fixture.raw_actions(self.events))

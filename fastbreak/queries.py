@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 from datetime import date
 
@@ -15,8 +17,11 @@ from .operators.filters import GameFilter, filter_by_opponent_rank, filter_games
 from .operators.groups import LineupParams
 from .operators.onoff import OnOffParams
 from .oracles import ENDED, STATES, core, half_up, lineup_filter, query, rated, sums
+from .plans import jobs
 from .plans.model import FixtureModel
-from .sources.feeds import merge_by_key, unseen
+from .schemas import KEYS
+from .sources import fixture
+from .sources.feeds import append, games_to_load, merge_by_key, play_by_play_actions, read_play_by_play, read_schedule, unseen, write_merged
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -37,17 +42,17 @@ def register(name: str, sql: str | None = None, last: str | None = None):
 
 #: Tables that many others are made from; they are kept, as materialised views would be.
 KEPT = ("actions", "possessions", "lookup", "stints", "long", "members", "subs", "stats")
-_models: dict[tuple[int, str], FixtureModel] = {}
+_models: dict[tuple[str, str], FixtureModel] = {}
 
 
 def model(spark: SparkSession, sf_dir: str) -> FixtureModel:
     """The tables of one folder. Those KEPT are cached until another folder or session is asked for."""
-    key = (id(spark), sf_dir)
+    key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _models:
         for old in _models.values():
             old.forget()
         _models.clear()
-        _models[key] = FixtureModel(spark, sf_dir, min_on=100).keep(KEPT)
+        _models[key] = FixtureModel(spark, sf_dir, min_on=100, min_all=50).keep(KEPT)
     return _models[key]
 
 
@@ -70,6 +75,49 @@ def _(spark, sf):
     return model(spark, sf).rosters.drop("team_name_local")
 
 
+def landed(spark: SparkSession, documents: DataFrame) -> str:
+    """Documents as lines of JSON in a new folder."""
+    path = scratch(spark, "landed")
+    documents.write.json(path)
+    return path
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder: where checkpoints go if the session names a place, else (on one machine) a temporary one."""
+    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}" if shared else f"{tempfile.mkdtemp(prefix='tables-')}/{name}"
+
+
+@register("k01_schedule_feed", "SELECT game_id, game_date, gn, game_type, team1, team2, score_team1, score_team2, 'https://box/' || game_id AS box_url, '2024' AS season FROM schedule WHERE score_team1 > 0")
+def _(spark, sf):
+    """The schedule, landed as JSON and read again."""
+    path = landed(spark, fixture.schedule_documents(model(spark, sf).schedule))
+    return read_schedule(spark, path, season="2024", box_url="https://box/", lines=True).select("game_id", "game_date", "gn", "game_type", "team1", "team2", "score_team1", "score_team2", "box_url", "season")
+
+
+@register("k02_landed_actions", f"SELECT {ACTION_COLUMNS}, made AS parameters_made, ptype AS parameters_type, points AS parameters_points FROM actions", "actions")
+def _(spark, sf):
+    """Play-by-play documents, landed as JSON, read and cleaned."""
+    path = landed(spark, fixture.documents(model(spark, sf).events))
+    return clean.clean_actions(play_by_play_actions(read_play_by_play(spark, path, lines=True))).select(*ACTION_COLUMNS.split(", "), "parameters_made", "parameters_type", "parameters_points")
+
+
+@register("k02_first_of_repeated", f"SELECT {ACTION_COLUMNS} FROM actions", "actions")
+def _(spark, sf):
+    """Every action comes again later with other points; the first one counts."""
+    raw = fixture.raw_actions(model(spark, sf).events)
+    later = raw.withColumns({"user_time": F.concat("user_time", F.lit("z")), "parameters_points": F.lit(9), "parameters_made": F.lit("made")})
+    return clean.clean_actions(later.unionByName(raw)).select(*ACTION_COLUMNS.split(", "))
+
+
+@register("k03_extract_rosters", "SELECT game_id, team_id, player_id, firstname, lastname, team_name, 2026 AS game_year FROM rosters WHERE game_year = 2026")
+def _(spark, sf):
+    """Rosters out of landed documents of one season."""
+    path = landed(spark, fixture.documents(model(spark, sf).events))
+    rows = clean.extract_rosters(read_play_by_play(spark, path, lines=True), 2026)
+    return rows.join(model(spark, sf).schedule.where("game_year = 2026").select("game_id"), "game_id", "left_semi").drop("team_name_local")
+
+
 @register("k04_substitutions", "SELECT game_id, id, team_id, player_in AS parameters_player_in, player_out AS parameters_player_out FROM actions WHERE type = 'substitution'", "actions")
 def _(spark, sf):
     return clean.substitutions(model(spark, sf).actions).select("game_id", "id", "team_id", "parameters_player_in", "parameters_player_out")
@@ -106,6 +154,12 @@ def _(spark, sf):
     return unseen(m.actions, m.schedule.where("game_date < date'2024-01-16'")).select("game_id", "id")
 
 
+@register("k10_given_games", "SELECT game_id, game_year, gn FROM schedule WHERE game_id IN (3, 5, 8, 13, 21)")
+def _(spark, sf):
+    m = model(spark, sf)
+    return games_to_load(m.schedule, m.actions, [21, 3, 5, 8, 13, 3]).select("game_id", "game_year", "gn")
+
+
 @register("k11_merge_by_key", """
     SELECT l_orderkey, l_linenumber, l_suppkey, l_quantity FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_shipdate DESC, l_suppkey, l_partkey, l_quantity, l_extendedprice) AS r FROM lineitem) WHERE r = 1 AND l_shipdate >= DATE '1996-01-01'
     UNION ALL SELECT l_orderkey, l_linenumber, l_suppkey, l_quantity FROM lineitem WHERE l_shipdate < DATE '1996-01-01' AND (l_orderkey, l_linenumber) NOT IN (
@@ -197,6 +251,32 @@ def _(spark, sf):
 # ---------------------------------------------------------------- filters
 
 
+@register("k12_members_appended", "SELECT * FROM members")
+def _(spark, sf):
+    """The table of members after one season was loaded, then all, then nothing new."""
+    m, path = model(spark, sf), scratch(spark, "members")
+    append(m.members.where("game_year = 2025"), path)
+    jobs.append_members(m, path)
+    return jobs.append_members(m, path)
+
+
+@register("k13_sub_lineups_appended", "SELECT team_id, lineup_hash, game_year, array_to_string(player_ids, '_') AS lineup_id, true AS dated FROM subs")
+def _(spark, sf):
+    """The table of groups after one season was loaded, then all; rows carry the time of their run."""
+    m, path = model(spark, sf), scratch(spark, "subs")
+    append(m.subs.where("game_year = 2025").withColumn("created_at", F.current_timestamp()), path)
+    return jobs.append_sub_lineups(m, path).select("team_id", "lineup_hash", "game_year", "lineup_id", F.col("created_at").isNotNull().alias("dated"))
+
+
+@register("k21_refreshed_stats", "SELECT team_id, sub_lineup_hash, num_lineup, array_to_string(player_ids, '_') AS player_ids, player_names_str, off_poss, off_pts, off_ppp, def_poss, def_pts, def_ppp, game_year FROM stats", "stats")
+def _(spark, sf):
+    """Group totals merged into a table that has stale ones, and ones of a season that is gone by then."""
+    m, path = model(spark, sf), scratch(spark, "stats")
+    write_merged(spark, path, m.stats.where("game_year = 2025").withColumns({"off_pts": F.col("off_pts") + 7, "player_names_str": F.lit("?")}), KEYS["sub_lineups_stats"])
+    jobs.refresh_group_stats(m, path, [2025])
+    return jobs.refresh_group_stats(m, path).select("team_id", "sub_lineup_hash", "num_lineup", joined(), "player_names_str", "off_poss", "off_pts", "off_ppp", "def_poss", "def_pts", "def_ppp", "game_year")
+
+
 @register("k22_filter_games", f"SELECT * FROM games WHERE game_year = 2025 AND {WINDOW_SQL} AND game_type IN (5, 34) AND opp_team_id IN (1, 2, 3) AND is_home AND has_won IS NOT DISTINCT FROM false")
 def _(spark, sf):
     return filter_games(model(spark, sf).games, GameFilter(game_year=2025, start=START, end=END, game_types=[5, 34], opponents=[1, 2, 3], home_away="home", outcome="loss"))
@@ -258,6 +338,12 @@ def _(spark, sf):
     return _lineups(spark, sf, LineupParams(3, players=[102], without=[104], exact=True, min_poss=10, games=GameFilter(game_year=2025)))
 
 
+@register("k26_lineups_exact", f"{_PRECOMPUTED} WHERE num_lineup = 3 AND player_ids = [101, 103, 106]")
+def _(spark, sf):
+    """As many players as the group has: exactly those."""
+    return _lineups(spark, sf, LineupParams(3, players=[106, 101, 103], exact=True))
+
+
 @register("k26_lineups_filtered", lineup_filter(f"{WINDOW_SQL} AND NOT is_home", "SELECT * FROM every WHERE num_lineup = 2", 10))
 def _(spark, sf):
     return _lineups(spark, sf, LineupParams(2, min_poss=10, games=GameFilter(start=START, end=END, home_away="away")))
@@ -341,9 +427,44 @@ def _(spark, sf):
     return report.onoff_report(model(spark, sf).onoff_default)
 
 
-@register("k35_answer_routing", "SELECT * FROM onoff_season WHERE on_poss >= 120 AND game_year = 2026 AND team_id IN (2, 4)")
+@register("k35_answer_routing", "SELECT * FROM onoff_season WHERE on_poss >= 100 AND game_year = 2026")
+def _(spark, sf):
+    """Nothing but the season is chosen: the precomputed rows, with percentiles among all players."""
+    m = model(spark, sf)
+    return m.onoff(OnOffParams(GameFilter(2026, *m.season(2026)), min_all=50, min_on=100))
+
+
+_SEASON = "game_year = 2026 AND game_date BETWEEN DATE '2024-01-16' AND DATE '2024-01-30'"
+
+
+@register("k35_routing_teams", f"SELECT * FROM ({_filtered_core(f'{_SEASON} AND team_id IN (2, 4)', 'WHERE min_poss_all >= 50 AND coalesce(on_poss, 0) >= 100')}) WHERE net_rtg_diff IS NOT NULL", "members")
+def _(spark, sf):
+    """Teams are chosen: computed, with percentiles among their players."""
+    m = model(spark, sf)
+    return m.onoff(OnOffParams(GameFilter(2026, *m.season(2026), team_ids=[2, 4]), min_all=50, min_on=100))
+
+
+@register("k35_routing_thresholds", f"SELECT * FROM ({_filtered_core(_SEASON, 'WHERE min_poss_all >= 50 AND coalesce(on_poss, 0) >= 120')}) WHERE net_rtg_diff IS NOT NULL", "members")
+def _(spark, sf):
+    """Another threshold is chosen: computed, with percentiles among those who pass it."""
+    m = model(spark, sf)
+    return m.onoff(OnOffParams(GameFilter(2026, *m.season(2026)), min_all=50, min_on=120))
+
+
+_LATER = "game_year = 2026 AND game_date BETWEEN DATE '2024-01-18' AND DATE '2024-01-30'"
+
+
+@register("k35_routing_dates", f"SELECT * FROM ({_filtered_core(_LATER, 'WHERE min_poss_all >= 50 AND coalesce(on_poss, 0) >= 100')}) WHERE net_rtg_diff IS NOT NULL", "members")
+def _(spark, sf):
+    """Another first day is chosen: computed from the games since then."""
+    m = model(spark, sf)
+    return m.onoff(OnOffParams(GameFilter(2026, date(2024, 1, 18), m.season(2026)[1]), min_all=50, min_on=100))
+
+
+@register("k35_routing_ratings", "SELECT * FROM ratings WHERE game_year = 2026")
 def _(spark, sf):
-    return model(spark, sf).onoff(OnOffParams(GameFilter(game_year=2026, team_ids=[2, 4]), min_on=120))
+    """Nothing but the season is chosen: the precomputed ratings."""
+    return model(spark, sf).team_ratings(GameFilter(game_year=2026))
 
 
 # ---------------------------------------------------------------- primitives on the base tables

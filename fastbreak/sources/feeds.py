@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,9 +13,9 @@ from pyspark.sql import types as T
 from ..schemas import PLAY_BY_PLAY, SCHEDULE_FEED
 
 
-def read_play_by_play(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """One row per landed game document."""
-    return spark.read.schema(PLAY_BY_PLAY).json(paths, multiLine=True)
+def read_play_by_play(spark: SparkSession, paths: str | list[str], lines: bool = False) -> DataFrame:
+    """One row per landed game document: a file each, or with lines a line each, so that large files are split."""
+    return spark.read.schema(PLAY_BY_PLAY).json(paths, multiLine=not lines)
 
 
 def play_by_play_actions(documents: DataFrame) -> DataFrame:
@@ -25,12 +26,12 @@ def play_by_play_actions(documents: DataFrame) -> DataFrame:
     return a.select("game_id", *(F.col(f"a.{k}").alias(v) for k, v in plain.items()), *(F.col(f"a.parameters.{k}").alias(f"parameters_{v}") for k, v in nested.items()))
 
 
-def read_schedule(spark: SparkSession, paths: str | list[str], season: str | None = None, competition: str | None = None, game_url: str = "", box_url: str = "") -> DataFrame:
+def read_schedule(spark: SparkSession, paths: str | list[str], season: str | None = None, competition: str | None = None, game_url: str = "", box_url: str = "", lines: bool = False) -> DataFrame:
     """Games that have been played (the first team has points), with typed ids and dates.
 
     game_url and box_url are put before the game's id. A date that is none is null.
     """
-    g = spark.read.schema(SCHEDULE_FEED).json(paths, multiLine=True).select(F.explode("games").alias("g")).select("g.*").where("score_team1 > 0")
+    g = spark.read.schema(SCHEDULE_FEED).json(paths, multiLine=not lines).select(F.explode("games").alias("g")).select("g.*").where("score_team1 > 0")
     out = g.withColumn("game_id", F.expr("try_cast(ExternalID as int)")).withColumn("game_date", F.expr("to_date(try_to_timestamp(game_date_txt, 'd/M/yyyy'))"))
     out = out.withColumn("pbp_url", F.concat(F.lit(game_url), "ExternalID")).withColumn("box_url", F.concat(F.lit(box_url), "ExternalID"))
     for name, value in (("season", season), ("competition", competition)):
@@ -52,6 +53,13 @@ def unseen(candidates: DataFrame, loaded: DataFrame, keys: list[str] | str = "ga
     return candidates.join(loaded.select(*keys).distinct(), keys, "left_anti")
 
 
+def games_to_load(schedule: DataFrame, loaded: DataFrame, game_ids: Iterable[int] | None = None) -> DataFrame:
+    """Schedule rows whose games are to be loaded: the given ones, loaded or not; without ids, those not loaded yet."""
+    if game_ids is None:
+        return unseen(schedule, loaded)
+    return schedule.where(F.col("game_id").isin(sorted(set(game_ids))))
+
+
 def merge_by_key(target: DataFrame, source: DataFrame, keys: list[str], order: list | None = None) -> DataFrame:
     """The target with the source's rows in place of those with the same keys.
 
@@ -82,10 +90,20 @@ def write_merged(spark: SparkSession, path: str, source: DataFrame, keys: list[s
     return new
 
 
+def _folder(spark: SparkSession, path: str):
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where, where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a writer has finished a table at path."""
+    where, files = _folder(spark, path)
+    return files.exists(spark._jvm.org.apache.hadoop.fs.Path(where, "_SUCCESS"))
+
+
 def latest_version(spark: SparkSession, path: str) -> int | None:
     jvm = spark._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    files = where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    where, files = _folder(spark, path)
     if not files.exists(where):
         return None
     names = [s.getPath() for s in files.listStatus(where)]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import date
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -68,3 +70,28 @@ def team_dict(spark: SparkSession) -> DataFrame:
 
 #: The one game that the fact leaves out here.
 EXCLUDED = [14]
+
+
+def season(game_year: int) -> tuple[date, date]:
+    """First and last day of the mapping's seasons."""
+    return (date(2024, 1, 1), date(2024, 1, 15)) if game_year < 2026 else (date(2024, 1, 16), date(2024, 1, 30))
+
+
+def documents(events: DataFrame) -> DataFrame:
+    """One play-by-play document per game, as the feed lands it."""
+    parameters = {"made": "made", "type": "type", "points": "points", "playerIn": "player_in", "playerOut": "player_out", "freeThrowNumber": "free_throw_number", "freeThrowsAwarded": "free_throws_awarded"}
+    plain = {"id": "id", "parentActionId": "parent_action_id", "type": "type", "quarter": "quarter", "quarterTime": "quarter_time", "userTime": "user_time", "teamId": "team_id", "playerId": "player_id"}
+    action = F.struct(*(F.col(v).alias(k) for k, v in plain.items()), F.struct(*(F.col(f"parameters_{v}").alias(k) for k, v in parameters.items())).alias("parameters"))
+    actions = raw_actions(events).groupBy("game_id").agg(F.sort_array(F.collect_list(action)).alias("actions"))
+    player = F.struct(F.col("player_id").alias("id"), F.col("firstname").alias("firstName"), F.col("lastname").alias("lastName"))
+    teams = rosters(events).groupBy("game_id", "team_id", "team_name").agg(F.sort_array(F.collect_list(player)).alias("players"))
+    team = F.struct(F.col("team_id").alias("id"), F.col("team_name").alias("name"), "players")
+    both = teams.groupBy("game_id").agg(F.min(team).alias("homeTeam"), F.max(team).alias("awayTeam"))
+    info = F.struct(F.col("game_id").alias("gameId"), "homeTeam", "awayTeam").alias("gameInfo")
+    return actions.join(both, "game_id").select(F.struct(info, "actions").alias("result"))
+
+
+def schedule_documents(schedule: DataFrame) -> DataFrame:
+    """The schedule feed, one document per season."""
+    game = F.struct(F.col("game_id").cast("string").alias("ExternalID"), F.date_format("game_date", "d/M/yyyy").alias("game_date_txt"), "score_team1", "score_team2", "team1", "team2", "team_name_eng_1", "team_name_eng_2", "gn", "game_type")
+    return schedule.groupBy("game_year").agg(F.collect_list(game).alias("games")).select("games")

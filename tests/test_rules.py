@@ -5,11 +5,11 @@ from datetime import date
 import pytest
 from pyspark.sql import functions as F
 
-from fastbreak.functions.ids import contains_all, csv_ids_column, overlaps, parse_csv_ids, same_set
+from fastbreak.functions.ids import contains_all, csv_ids_column, overlaps, parse_csv_ids, same_set, settle_choice
 from fastbreak.functions.rounding import rounded_ratio
 from fastbreak.functions.windows import average_rank_percentile, percent_rank
-from fastbreak.operators import clean, facts, groups, lineups, possessions, report, stints
-from fastbreak.operators.filters import GameFilter, filter_games
+from fastbreak.operators import clean, facts, groups, lineups, onoff, possessions, report, stints
+from fastbreak.operators.filters import GameFilter, filter_games, season_bounds
 from fastbreak.operators.groups import LineupParams
 from fastbreak.plans.model import FixtureModel
 from fastbreak.schemas import ACTIONS, KEYS
@@ -201,3 +201,33 @@ def test_materialise_and_load(spark, tmp_path):
     m = FixtureModel(spark, "/root/testdata/sf0.001").materialise(str(tmp_path), ["actions", "possessions"])
     n = FixtureModel(spark, "/root/testdata/sf0.001").load(str(tmp_path), ["possessions"])
     assert m.possessions.count() == n.possessions.count() == 1000
+
+
+def test_a_player_is_on_or_off():
+    assert settle_choice([1, 2, 3], [3, 4], "on") == ([1, 2, 3], [4])
+    assert settle_choice([1, 2, 3], [3, 4], "off") == ([1, 2], [3, 4])
+    assert settle_choice([], [3], "off") == ([], [3])
+
+
+def test_season_bounds_decide_the_route():
+    assert season_bounds(2026) == (date(2025, 10, 1), date(2026, 7, 1))
+    asked = []
+
+    class Rows:
+        def where(self, condition):
+            return "precomputed"
+
+    def route(**choice):
+        choice = {"start": date(2025, 10, 1), "end": date(2026, 7, 1)} | choice
+        thresholds = {k: choice.pop(k) for k in ("min_all", "min_on") if k in choice}
+        return onoff.onoff(Rows(), lambda p: asked.append(p) or "computed", onoff.OnOffParams(GameFilter(2026, **choice), **({"min_all": 100} | thresholds)))
+
+    assert route() == "precomputed"
+    for choice in ({"team_ids": [1]}, {"min_all": 0}, {"min_on": 299}, {"end": date(2026, 6, 30)}, {"start": None}, {"outcome": "win"}, {"opp_rank_n": 3}, {"game_types": [5]}):
+        assert route(**choice) == "computed"
+    assert len(asked) == 8
+
+
+def test_one_shuffle_serves_all_windows_of_possessions(spark):
+    plan = possessions.possession_ends(actions(spark, [MADE]))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
