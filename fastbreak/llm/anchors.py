@@ -310,6 +310,17 @@ def stretches(at: pa.Array, key: pa.Array) -> Iterator[tuple[int, list[tuple[int
         yield int(row[a]), list(zip(key[a:b], start[a:b], n[a:b], strict=True))
 
 
+def _joined(spans: list[tuple[int, int]]) -> list[list[int]]:
+    """The union of spans, as few and ascending ones."""
+    out: list[list[int]] = []
+    for a, b in sorted(spans):
+        if out and a <= out[-1][1]:
+            out[-1][1] = max(b, out[-1][1])
+        else:
+            out.append([a, b])
+    return out
+
+
 def _cut(opened: Callable, window: int, split: dict[int, int] | None):
     """Contents of candidate spans, (key, doc, mark, start, n, content), from rows of doc, mark, text, at, keys.
 
@@ -338,10 +349,7 @@ def _cut(opened: Callable, window: int, split: dict[int, int] | None):
                     key, start, n, parts = pieces.pop()
                     own = (key, content_of(start, start + n + window - 1))
                     if least.setdefault(own, doc) < doc:
-                        if settled and settled[-1][0] + settled[-1][1] == start:
-                            settled[-1][1] += n
-                        else:
-                            settled.append([start, n])
+                        settled.append((start, start + n))
                         continue
                     least[own] = doc
                     held += len(own[1])
@@ -349,7 +357,7 @@ def _cut(opened: Callable, window: int, split: dict[int, int] | None):
                         pieces += [(*piece, None) for piece in parted(key, start, n, parts, hashes)]
                     else:
                         rows.append((key, doc, mark, start, n, own[1]))
-                rows += [(doc ^ start, doc, mark, start, n, None) for start, n in settled]  # dealt evenly
+                rows += [(doc ^ start, doc, mark, start, end - start, None) for start, end in _joined(settled)]  # dealt evenly
             if held > KNOWN:
                 least, held = {}, 0
             for part in slices(rows, lambda r: len(r[5] or ""), 4_000_000):
