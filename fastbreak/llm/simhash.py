@@ -195,17 +195,42 @@ def fingerprint_links(prints: DataFrame, most: int = 3) -> DataFrame:
     return cells.repartition("key").sortWithinPartitions("key").mapInArrow(_links(most), "u long, v long")
 
 
+def _least_of_groups(rows: DataFrame, key: str, most: int) -> DataFrame:
+    """(print, least): for each fingerprint the smallest key of its group. rows: key, print."""
+    nodes = rows.groupBy("print").agg(F.min(key).alias("least"))
+    found = connected_components(fingerprint_links(nodes.select("print"), most))
+    member = nodes.join(found, nodes["print"] == found["node"], "left").select("print", F.coalesce("component", "print").alias("root"), "least")
+    roots = member.groupBy("root").agg(F.min("least").alias("least"))
+    return member.select("print", "root").join(roots, "root").select("print", "least")
+
+
 def simhash_groups(df: DataFrame, ident: str = "doc_id", text: str = "text", most: int = 3) -> DataFrame:
     """(ident, fingerprint: 16 hex digits, component_id: smallest ident reachable by links) for each row."""
     rows = checkpoint(with_fingerprint(df.select(ident, text), text, "print").select(ident, "print"))
-    nodes = rows.groupBy("print").agg(F.min(ident).alias("least"))
-    found = connected_components(fingerprint_links(nodes.select("print"), most))
-    member = nodes.join(found, nodes["print"] == found["node"], "left").select("print", F.coalesce("component", "print").alias("root"), "least")
-    roots = member.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = member.join(roots, "root").select("print", "component_id")
+    named = _least_of_groups(rows, ident, most).withColumnRenamed("least", "component_id")
     return rows.join(named, "print").select(ident, F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def smallest_of_groups(df: DataFrame, ident: str = "doc_id", text: str = "text", most: int = 3) -> DataFrame:
+    """df with one row of each group of near-duplicates.
+
+    It is the one with the smallest id, rows without id coming last; of those with the same id the one whose text has
+    the smallest hash; of those with the same id and text the smallest by all columns. So no row goes but for another
+    one that stays and is linked to it.
+    """
+    names = [f"c{i}" for i in range(len(df.columns))]
+    row = df.select(*(F.col(f"`{c}`").alias(n) for c, n in zip(df.columns, names, strict=True)))
+    at, said = names[df.columns.index(ident)], names[df.columns.index(text)]
+    # Three columns name a row; none of them is null, so rows without id meet in joins as others do.
+    named = row.select(F.col(at).isNull().alias("k0"), F.coalesce(F.col(at).cast("long"), F.lit(0).cast("long")).alias("k1"), F.xxhash64(said).alias("k2"), *names)
+    key = F.struct("k0", "k1", "k2").alias("key")
+    prints = checkpoint(with_fingerprint(named.select("k0", "k1", "k2", said), said, "print").select(key, "print"))
+    least = _least_of_groups(prints, "key", most).select("least.*").distinct()
+    kept = named.join(least, ["k0", "k1", "k2"], "left_semi")
+    one = kept.groupBy("k0", "k1", "k2").agg(F.min(F.struct(*names)).alias("row"))
+    return one.select(*(F.col(f"row.{n}").alias(c) for c, n in zip(df.columns, names, strict=True)))
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op5_golay_simhash: fingerprint and near-duplicate component of every document."""
     return simhash_groups(table(spark, sf_dir, "documents"))

@@ -417,9 +417,33 @@ def test_a_very_long_conversation(spark):
     assert sorted(r.n_turns for r in chat.read_conversations(stream, leaf).collect()) == [n - 4, n]
 
 
+def test_one_row_of_each_group_stays(spark):
+    """Repeated ids with other texts, rows without id, repeated rows that differ elsewhere, clashing names."""
+    text = [" ".join(f"{w}{k}" for k in range(40)) for w in ("a", "b", "c")]
+    rows = [(2, text[0], "z", 1), (1, text[0], "y", 2), (1, text[1], "y", 3), (None, text[1], "x", 4), (None, text[2], "w", 5), (None, text[2], "v", 6), (3, None, "u", 7), (4, "", "t", 8), (5, text[2] + " tail", "s", 9), (1, text[0], "a", 10)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, print string, key int")
+    got = simhash.smallest_of_groups(df)
+    assert got.columns == df.columns
+    linked = bin(print_of(text[2]) ^ print_of(text[2] + " tail")).count("1") <= 3
+    want = {(1, text[0], "a", 10), (1, text[1], "y", 3), (3, None, "u", 7), (5, text[2] + " tail", "s", 9)}
+    assert {tuple(r) for r in got.collect()} == (want if linked else want | {(None, text[2], "v", 6)})
+    assert simhash.smallest_of_groups(df.limit(0)).collect() == []
+
+
 # ---------------------------------------------------------------- pipeline
 
 
+def test_pipeline_of_nothing_and_of_odd_rows(spark, tmp_path):
+    """Empty tables, and rows with the same id or none, null texts and columns with clashing names."""
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    odd = [(1, "one text of some words", "en", "s", 1, 0.5), (1, "quite another text with the same id", "en", "s", 2, 0.5), (None, "no id here", None, None, None, None), (None, None, None, None, None, None), (2, "", "", "", 0, 0.0), (2, "", "", "", 0, 0.0)]
+    for name, rows in (("none", []), ("odd", odd)):
+        path = tmp_path / name
+        spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, score int, doc double").write.parquet(str(path / "documents.parquet"))
+        labels.write.parquet(str(path / "labels.parquet"))
+        packed = corpus_pipeline.run(spark, str(path)).collect()
+        assert sorted((r.doc_id or 0) for r in packed) == ([0, 1, 1, 2] if rows else [])
+
 def test_pipeline_stages(spark, tmp_path):
     rng = random.Random(11)
     words = [a + b for a in ("the", "and", "re", "on", "ti") for b in ("sha", "in", "ed", "is", "ou", "ly")]
