@@ -1,7 +1,7 @@
 """The corpus pipeline: five stages over documents, each written as Parquet and read again by the next.
 
-All stages but the last return the columns of documents, n_chars being the length of the text as it is then. Ids are
-keys here: of rows with the same id one stays in the near-duplicate stage; rows without id pass all stages.
+All stages but the last return the columns of documents, n_chars being the length of the text as it is then. Rows with
+the same id are told apart by their texts; rows without id are treated like others.
 """
 
 from __future__ import annotations
@@ -12,13 +12,13 @@ from pyspark.sql import functions as F
 from fastbreak.llm.common import checkpoint, free_name, table
 from fastbreak.llm.packing import pack
 from fastbreak.llm.secrets import scan_secrets
-from fastbreak.llm.simhash import simhash_groups
+from fastbreak.llm.simhash import smallest_of_groups
 from fastbreak.llm.suffix_array import remove_repeats
 from fastbreak.llm.toxicity import THRESHOLD, fit_toxicity, score_toxicity
 
 
 def _measured(docs: DataFrame, columns: list[str]) -> DataFrame:
-    return docs.withColumn("n_chars", F.length("text").cast("long")).select(columns)
+    return (docs.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in columns else docs).select(columns)
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,9 +30,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates the document with the smallest id."""
-    kept = simhash_groups(docs).where("doc_id = component_id").select("doc_id").distinct()
-    named = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return named.unionByName(docs.where("doc_id is null")).select(docs.columns)
+    return smallest_of_groups(docs)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
