@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from . import automaton, bpe, chat, embeddings, media, packing, secrets, simhash, suffix_array, toxicity
+from .oracles import ORACLE_SQL as ORACLE_SQL
 
 QUERIES = {
     "op1_secret_novelty": secrets.query,
@@ -16,5 +17,3 @@ QUERIES = {
     "op9_progressive_jpeg": media.query,
     "op10_suffix_automaton_dedup": automaton.query,
 }
-
-ORACLE_SQL: dict[str, str] = {}
