@@ -38,7 +38,7 @@ KINDS = ("assign", "access", "hex", "novel")
 #: Words that make a context sensitive, searched in the SIGHT characters on each side of a candidate.
 SENSITIVE = re.compile(r"key|secret|token|passw|passphrase|auth|bearer|credential|private|signature|sig=|cert|session|cookie", re.IGNORECASE)
 SIGHT = 48
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
+CANDIDATE = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
 #: Characters of code on each side that a candidate is measured against.
 AROUND = 1500
 #: Least added bytes for each character of the candidate.

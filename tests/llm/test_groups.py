@@ -7,6 +7,7 @@ from hashlib import sha256
 import numpy as np
 import public_tokenizers as P
 import pyarrow as pa
+import pytest
 import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -59,6 +60,21 @@ def test_embeddings_like_brute_force(spark):
     assert all(got[1000 + i] == (0, 1000 + i, True) for i in range(len(odd)))
 
 
+def test_vectors_of_every_length_are_compared(spark):
+    rows = [(1, [1.0, 0.0]), (2, [2.0, 0.01]), (3, [0.0, 1.0]), (4, [1.0, 0.0, 0.0]), (5, [1.0]), (6, [3.0]), (7, [-1.0]), (None, [1.0, 0.0])]
+    rows += [(10 + i, [1.0, float(i), 0.0, 2.0]) for i in range(5)]
+    df = spark.createDataFrame([(*r, "x", 0, 0) for r in rows], "vec_id long, embedding array<float>, rep string, copies int, node int")
+    for sample in (embeddings.SAMPLE, 2):  # with few drawn, most lengths have one cell
+        with pytest.MonkeyPatch.context() as patch:
+            patch.setattr(embeddings, "SAMPLE", sample)
+            got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in embeddings.embedding_links(df).collect()}
+        x = {i: np.array(v) / np.linalg.norm(v) for i, v in rows if i is not None}
+        links = [(i, j) for i in x for j in x if i != j and len(x[i]) == len(x[j]) and x[i] @ x[j] >= 0.95]
+        comp = union(links)
+        assert all(got[i] == (sum(a == i for a, _ in links), comp.get(i, i), comp.get(i, i) == i) for i in x)
+        assert got[None] == (0, None, True) and got[1][0] == 1 and got[5][0] == 1
+
+
 def test_embeddings_in_small_chunks(spark, monkeypatch):
     rng = np.random.default_rng(1)
     centre = rng.standard_normal(24)
@@ -177,6 +193,20 @@ def test_suffix_array_dedup_like_brute_force(spark):
     assert suffix_array.digest_repeats(df.limit(0)).collect() == []
 
 
+def test_very_long_texts(spark):
+    """Texts longer than a slice, whose passages repeat within and across them."""
+    rng = random.Random(13)
+    words = [f"w{k}" for k in range(5000)]
+    long = " ".join(rng.choices(words, k=450_000))
+    part = long[1_000_000:1_300_000]
+    docs = [(1, long), (2, "start " + part + " end"), (3, long[:2_000_000] + " more"), (4, part)]
+    assert len(long) > 2_400_000
+    got = {r.doc_id: r.cut for r in suffix_array.digest_repeats(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert (got[1].n_removed, got[1].n_spans) == (0, 0) and got[4].n_removed == len(part)
+    assert (got[2].n_removed, got[2].n_spans) == (len(part), 1) or got[2].n_removed in range(len(part), len(part) + 3)
+    assert got[3].n_removed in range(2_000_000, 2_000_003)
+
+
 def test_same_id_other_text(spark):
     df = spark.createDataFrame([(1, "x" * 80), (2, "x" * 80), (2, "something else that is long enough to have windows of its own, surely")], "doc_id long, text string")
     assert sorted(len(r.text) for r in suffix_array.remove_repeats(df).collect()) == [0, 69, 80]
@@ -298,10 +328,9 @@ def anchors_schema(row):
 
 
 def test_packing(spark):
-    texts = [None, "", "don't stop", "Ω ΣΑΣ İstanbul ﬁ é 12ab\x1cx", "word " * 9000, "a b c", "a b c"]
+    texts = [None, "", "don't stop", "Ω ΣΑΣ İstanbul ﬁ é 12ab\x1cx a\x01b", "a<|endoftext|>b <|startoftext|> |endoftext|", "word " * 9000, "a b c", "a b c"]
     df = spark.createDataFrame([(i, t, 1) for i, t in enumerate(texts)] + [(None, "no id", 1)], "doc_id long, text string, offset int")
     t = Tokenizer.from_file(P.path("word_bpe_49k.json"))
-    t.encode_special_tokens = True
     got = packing.pack(df).collect()
     for i, x in enumerate(texts):
         ids = t.encode(x or "", add_special_tokens=False).ids + [1]
@@ -312,6 +341,19 @@ def test_packing(spark):
     assert packing.pack(df.limit(0)).collect() == []
 
 
+def test_ids_are_the_librarys_for_every_character():
+    """Each character between letters, alone, beside controls and signs, and before a combining one."""
+    theirs = Tokenizer.from_file(P.path("word_bpe_49k.json"))
+    mine = packing.WordTokenizer(P.path("word_bpe_49k.json"))
+    points = [c for c in [*range(1, 0x3200), *range(0x3200, 0x110000, 61), *range(0xA640, 0xAB70), *range(0xF900, 0x10000), *range(0x1F000, 0x1FB00)] if not 0xD800 <= c < 0xE000]
+    for context in ("a{0}b", "{0}", "x {0}\x01{0}1", "É'{0}s {0}Σ {0}\u0301"):
+        for some in np.array_split(np.array(points), 40):
+            text = "\n".join(context.format(chr(c)) for c in some)
+            if np.frombuffer(mine.encode(text), "<u4").tolist() != theirs.encode(text, add_special_tokens=False).ids:
+                assert [hex(c) for c in some.tolist() if np.frombuffer(mine.encode(context.format(chr(c))), "<u4").tolist() != theirs.encode(context.format(chr(c)), add_special_tokens=False).ids] == []
+        mine.known = {}
+
+
 def check_places(rows):
     by: dict = {}
     for s, o, n in rows:
@@ -325,6 +367,23 @@ def check_places(rows):
     return len(by)
 
 
+def test_bulk_steps_are_best_fit_by_descending_length():
+    """As a plain loop over single pieces packs them: each into the smallest gap it fits in."""
+    rng = np.random.default_rng(3)
+    for capacity, lengths in ((16, rng.integers(1, 17, 300)), (50, rng.integers(1, 30, 300)), (64, np.repeat(rng.integers(1, 65, 12), 20))):
+        gaps: list[int] = []
+        for n in sorted(lengths.tolist(), reverse=True):
+            fitting = [g for g in gaps if g >= n]
+            if fitting:
+                gaps.remove(min(fitting))
+                gaps.append(min(fitting) - n)
+            else:
+                gaps.append(capacity - n)
+        sequence, offset = packing.best_fit(lengths, capacity)
+        filled = np.bincount(sequence, lengths)
+        assert sorted((capacity - filled).tolist()) == sorted(gaps)
+
+
 def test_best_fit_is_close_to_the_bound():
     rng = np.random.default_rng(0)
     for lengths in (rng.integers(1, 4097, 4000), rng.integers(1, 800, 4000), np.full(100, 2049), np.full(7, 4096), np.zeros(0, np.int64)):

@@ -1,5 +1,6 @@
 """Operators that work row by row: BPE, media, secrets, toxicity."""
 
+import itertools
 import re
 import zlib
 from hashlib import sha256
@@ -71,6 +72,32 @@ def test_broken_files_decode_to_null(spark):
     assert got[1] is got[2] is got[3] is None
 
 
+def test_damaged_files_never_end_a_task(spark):
+    """Bytes changed, cut and dropped anywhere, beside a sound file that is decoded all the same."""
+    rng = np.random.default_rng(4)
+    sound = media.store([bytes(rng.integers(32, 127, 192 * 3).astype(np.uint8))])[0]
+    files = [sound]
+    for k in range(150):
+        data = bytearray(sound)
+        if k % 3 == 0:
+            data[int(rng.integers(2, len(data)))] ^= int(rng.integers(1, 256))
+        elif k % 3 == 1:
+            del data[int(rng.integers(2, len(data))) :]
+        else:
+            at = int(rng.integers(2, len(data) - 70))
+            del data[at : at + int(rng.integers(1, 70))]
+        files.append(bytes(data))
+    at = sound.index(b"\xff\xdb")
+    files.append(sound[:at] + sound[at + 2 + int.from_bytes(sound[at + 2 : at + 4], "big") :])  # without its quantiser table
+    tensors = media.decoded(files)
+    assert len(tensors) == len(files) and tensors[-1] is None
+    (alone,) = media.decoded([sound])
+    assert (tensors[0] == alone).all()
+    df = spark.createDataFrame([(i, bytearray(f), "x") for i, f in enumerate(files[:40])], "i int, media binary, tensor string")
+    assert media.decode_media(df, out="pixels").where("i = 0 and pixels is not null").count() == 1
+    assert media.decode_media(df.limit(0)).count() == 0 and media.store_text(spark.createDataFrame([(1, "a", 5)], "i int, text string, media int")).columns == ["i", "text", "media"]
+
+
 def _spec_encode(v: np.ndarray, now: int) -> list[tuple[int, int, int]]:
     """A block's refinement by the standard's own steps: (value, bits) in order, for coefficients v, bit `now`."""
     codes, lengths = media.canonical(list(media.AC_SPEC[:16]), list(media.AC_SPEC[16:]))
@@ -140,6 +167,24 @@ def test_novelty_needs_randomness_and_context():
     assert secrets.added_bytes(f"key {KEY}", 4, 4 + len(KEY)) > 0.7 * len(KEY)
 
 
+def test_candidates_overlap_base_spans_and_have_words_behind(spark):
+    found = secrets.spans_of(f"password={KEY}")
+    assert [k for _, _, k in found] == ["assign", "novel"] and secrets.redact(f"password={KEY}", found) == "[SECRET]"
+    assert [k for _, _, k in secrets.spans_of(f"{KEY} is the key")] == ["novel"]
+    assert [k for _, _, k in secrets.spans_of("bearer KqZvTgYwRbNmXcLpQsWd")] == ["novel"]  # letters alone
+    many = "token: abcdefgh " * 20_000
+    assert len(secrets.spans_of(many)) == 20_000  # in time that grows with the text
+
+
+def test_the_dictionary_is_drawn_from_the_corpus(spark):
+    texts = ["some_handler(payload) " * 3 + KEY, "handler of theREQUEST payload", None, ""]
+    found = secrets.identifier_dictionary(frame(spark, texts, False), size=3)
+    assert found == secrets.IDENTIFIERS + " some payload handler"  # equally frequent words by name, the most frequent last
+    assert secrets.identifier_dictionary(frame(spark, texts, False).limit(0)) == secrets.IDENTIFIERS
+    df = frame(spark, [f"the key is {KEY}"]).withColumnRenamed("bpe", "scan")
+    assert secrets.scan_secrets(df).columns == ["doc_id", "text", "scan", "score", "secrets"]
+
+
 def test_secret_digests_of_odd_rows(spark):
     texts = [None, "", "password=abcdef", "password=abcdef", "x" * 50_000 + " api_key: 123456"]
     got = {r.doc_id: r.found for r in secrets.secret_digests(frame(spark, texts)).collect()}
@@ -187,6 +232,42 @@ def test_toxicity_held_out_and_obfuscated(spark):
     assert all(0 <= s <= 1 for s in got.values())
 
 
+def test_viterbi_is_the_best_of_all_ways():
+    rng = np.random.default_rng(0)
+    model = rng.random((toxicity._SIZE,) * 3) * 8 + 0.1
+    restorer = toxicity.Restorer(model)
+    for _ in range(400):
+        raw = "".join(rng.choice(list("abcd013@$!.|-1l"), int(rng.integers(1, 7))))
+        best = None
+        for way in itertools.product(*(restorer.options(raw, i) for i in range(len(raw)))):
+            a = b = 0
+            cost = sum(c for _, c in way)
+            for x in (x for x, _ in way if x):
+                c = restorer.code.get(x, toxicity._SIZE - 1)
+                cost += model[a][b][c]
+                a, b = b, c
+            cost += model[a][b][0]
+            if best is None or cost < best[0]:
+                best = (cost, "".join(x for x, _ in way))
+        assert restorer.decode(raw) == best[1]
+
+
+def test_tokens_of_any_length_and_of_signs(spark):
+    docs, labels = toxic_corpus(spark)
+    model = toxicity.fit_toxicity(docs, labels)
+    odd = ["you i" + "d" * 250 + "iot", "you " + "i" * 5000 + "diot", "y 1d10+ z", "x" * 100_000 + " fine", "1 2 3 4 5 and 2024-01-01"]
+    got = {r.doc_id: r.score >= toxicity.THRESHOLD for r in toxicity.score_toxicity(frame(spark, odd), model).collect()}
+    assert [got[i] for i in range(5)] == [True, True, True, False, False]
+
+
+def test_recall_on_the_given_labels(spark):
+    """Held-out rows of the given tables. Some toxic rows hold no toxic word, so not all are found."""
+    sf = "/root/testdata/sf0.01"
+    rows = toxicity.query(spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet").where("toxic is not null"), "doc_id").where("held_out")
+    n = {(r.toxic, r.predicted): r["count"] for r in rows.groupBy("toxic", "predicted").count().collect()}
+    assert n.get((0, 1), 0) <= 0.01 * n[0, 0] and n.get((1, 1), 0) >= 0.8 * (n.get((1, 1), 0) + n.get((1, 0), 0))
+
+
 def test_toxicity_without_labels_or_rows(spark):
     docs, labels = toxic_corpus(spark, 20)
     model = toxicity.fit_toxicity(docs, labels.limit(0))
