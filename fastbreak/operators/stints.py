@@ -8,8 +8,11 @@ from pyspark.sql import functions as F
 
 def segments(possessions: DataFrame, lookup: DataFrame) -> DataFrame:
     """One team's lineup from a substitution to its next one, by clock and by action id."""
+    # By game, as possessions and lookup come dealt already: no shuffle is needed for this join or the windows.
     last = possessions.where("quarter >= 4").groupBy("game_id", "quarter").agg(F.max("id").alias("last_id"))
-    rows = lookup.select("id", "game_id", "team_id", "quarter", "quarter_time", "end_game_seconds_remaining", "lineup_id", "lineup_hash").distinct().join(last, ["game_id", "quarter"], "left")
+    last = last.groupBy("game_id").agg(F.map_from_entries(F.collect_list(F.struct("quarter", "last_id"))).alias("lasts"))
+    rows = lookup.select("id", "game_id", "team_id", "quarter", "quarter_time", "end_game_seconds_remaining", "lineup_id", "lineup_hash").distinct()
+    rows = rows.join(last, "game_id", "left").withColumn("last_id", F.col("lasts")[F.col("quarter")])
     w = Window.partitionBy("game_id", "team_id").orderBy("quarter", F.desc("end_game_seconds_remaining"), "id")
     rows = rows.withColumns({"next_q": F.lead("quarter").over(w), "next_s": F.lead("end_game_seconds_remaining").over(w), "next_id": F.lead("id").over(w)})
     return rows.selectExpr(
