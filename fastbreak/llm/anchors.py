@@ -49,6 +49,9 @@ PLACE_BITS = 31
 #: and of symbols that one task has for an anchor. Keys of leaders are even, those of anchors odd.
 SPANS = "doc long, mark long, at long, key long, windows long, size long"
 AT = 64
+#: Windows of a document that may repeat, also those from the starts in `more` on, and their symbols; without content,
+#: windows that a smaller document of the same task has, symbol by symbol.
+CONTENTS = "key long, doc long, mark long, start int, n int, more array<int>, content binary"
 #: What goes: n windows of a document from `start` on.
 GONE = "doc long, mark long, start int, n int"
 #: A row is what one slice has for one bucket, in the narrowest types: 13 bytes a record. Of the anchor's hash the
@@ -322,10 +325,7 @@ def _joined(spans: list[tuple[int, int]]) -> list[list[int]]:
 
 
 def _cut(opened: Callable, window: int, split: dict[int, int] | None):
-    """Contents of candidate spans, (key, doc, mark, start, n, content), from rows of doc, mark, text, at, keys.
-
-    Equal windows have equal keys. Without content: windows that a smaller document of this task has, too.
-    """
+    """CONTENTS of candidate spans, from rows of doc, mark, text, at, keys. Equal windows have equal keys."""
 
     def parted(key: int, start: int, n: int, parts: int, hashes: np.ndarray):
         sub = hashes[start : start + n] % np.uint64(parts)
@@ -344,25 +344,29 @@ def _cut(opened: Callable, window: int, split: dict[int, int] | None):
                 doc, mark = docs[i], marks[i]
                 content_of, hashes_of = opened(column[i].as_py())
                 hashes = window_hashes(hashes_of(), window) if hot and any(k in hot for k, _, _ in found) else None
-                pieces, settled = [(key, start, n, hot.get(key)) for key, start, n in reversed(found)], []
+                pieces, settled, again = [(key, start, n, hot.get(key)) for key, start, n in reversed(found)], [], {}
                 while pieces:
                     key, start, n, parts = pieces.pop()
                     own = (key, content_of(start, start + n + window - 1))
                     if least.setdefault(own, doc) < doc:
                         settled.append((start, start + n))
                         continue
+                    if own in again:  # once more in the same document
+                        again[own].append(start)
+                        continue
                     least[own] = doc
                     held += len(own[1])
                     if parts:
                         pieces += [(*piece, None) for piece in parted(key, start, n, parts, hashes)]
                     else:
-                        rows.append((key, doc, mark, start, n, own[1]))
-                rows += [(doc ^ start, doc, mark, start, end - start, None) for start, end in _joined(settled)]  # dealt evenly
+                        again[own] = []
+                        rows.append((key, doc, mark, start, n, again[own], own[1]))
+                rows += [(doc ^ start, doc, mark, start, end - start, None, None) for start, end in _joined(settled)]  # dealt evenly
             if held > KNOWN:
                 least, held = {}, 0
-            for part in slices(rows, lambda r: len(r[5] or ""), 4_000_000):
+            for part in slices(rows, lambda r: len(r[6] or ""), 4_000_000):
                 columns = zip(*part, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()), strict=True)], ["key", "doc", "mark", "start", "n", "content"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int32()), pa.binary()), strict=True)], [c.split()[0] for c in CONTENTS.split(", ")])
 
     return run
 
@@ -386,7 +390,7 @@ def contexts(docs: DataFrame, spans: DataFrame, opened: Callable, window: int, l
         keys = spans.where("key & 1 = 1").select("doc", "mark", "key").join(sizes, "key")
         asked = asked.join(keys.groupBy("doc", "mark").agg(F.map_from_entries(F.collect_set(F.struct("key", "parts"))).alias("split")), ["doc", "mark"], "left")
     rows = docs.join(asked, ["doc", "mark"], "left").select("doc", "mark", "text", "at", "keys", *(["split"] if split is None else []), *docs.columns[3:])
-    rows = rows.mapInArrow(_cut(opened, window, split), "key long, doc long, mark long, start int, n int, content binary")
+    rows = rows.mapInArrow(_cut(opened, window, split), CONTENTS)
     return rows.repartition("key").sortWithinPartitions("key")
 
 

@@ -132,7 +132,7 @@ def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not part.num_rows:
             continue
         doc, mark, start, key, n = (part.column(c).to_numpy() for c in ("doc", "mark", "start", "key", "n"))
-        content = part.column("content").to_pylist()
+        content, more = part.column("content").to_pylist(), part.column("more").to_pylist()
         firsts, pasts = run_bounds(key)
         shard: list[int] = []
         held = 0
@@ -140,11 +140,11 @@ def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             shard += range(a, b)
             held += int(n[a:b].sum()) + (WINDOW - 1) * (b - a)
             if held >= SHARD or b == len(key):
-                yield from _settle_shard(shard, doc, mark, start, content)
+                yield from _settle_shard(shard, doc, mark, start, more, content)
                 shard, held = [], 0
 
 
-def _settle_shard(shard, doc, mark, start, content) -> Iterator[pa.RecordBatch]:
+def _settle_shard(shard, doc, mark, start, more, content) -> Iterator[pa.RecordBatch]:
     owners: dict[bytes, list[int]] = {}
     for i in shard:
         owners.setdefault(content[i], []).append(i)
@@ -160,7 +160,7 @@ def _settle_shard(shard, doc, mark, start, content) -> Iterator[pa.RecordBatch]:
         for i in rows:
             gone = np.diff(np.r_[0, (least < doc[i]).astype(np.int8), 0])
             for a, b in zip(np.flatnonzero(gone == 1).tolist(), np.flatnonzero(gone == -1).tolist(), strict=True):
-                found.append((int(doc[i]), int(mark[i]), int(start[i]) + a, b - a))
+                found += [(int(doc[i]), int(mark[i]), at + a, b - a) for at in (int(start[i]), *(more[i] or ()))]
     if found:
         types = (pa.int64(), pa.int64(), pa.int32(), pa.int32())
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found, strict=True), types, strict=True)], [c.split()[0] for c in GONE.split(", ")])

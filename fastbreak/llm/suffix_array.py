@@ -277,9 +277,9 @@ def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not part.num_rows:
             continue
         doc, mark, start, key, n = (part.column(c).to_numpy() for c in ("doc", "mark", "start", "key", "n"))
-        content = part.column("content").to_pylist()
+        content, more = part.column("content").to_pylist(), part.column("more").to_pylist()
         for a, b in _chunks(key, n.astype(np.int64) + WINDOW - 1):
-            if (found := _Sequences.of_contents(key[a:b], doc[a:b], mark[a:b], start[a:b], content[a:b], n[a:b].astype(np.int64))) is not None:
+            if (found := _Sequences.of_contents(key[a:b], doc[a:b], mark[a:b], start[a:b], more[a:b], content[a:b], n[a:b].astype(np.int64))) is not None:
                 pending.append(found)
             if sum(len(x.data) for x in pending) > BUILT:
                 yield from _decide(pending)
@@ -328,7 +328,7 @@ class _Sequences(NamedTuple):
     start: np.ndarray
 
     @classmethod
-    def of_contents(cls, key, doc, mark, start, content, n) -> _Sequences | None:
+    def of_contents(cls, key, doc, mark, start, more, content, n) -> _Sequences | None:
         """Windows without an equal (by hash: equal ones have equal hashes) can't repeat. What is left are stretches;
         those of a key that are equal, byte by byte, or part of a longer one share a sequence."""
         raw = np.frombuffer(b"".join(content), np.uint8)
@@ -352,7 +352,12 @@ class _Sequences(NamedTuple):
         least = np.full(int(windows.sum()), np.iinfo(np.int64).max)
         stretch, nth = spread(runs)
         np.minimum.at(least, window[stretch] + nth, doc[owner][stretch])
-        return cls(b"".join([x + b"\0" for x in sequences]), long, np.array(lanes), least, window, runs, doc[owner], mark[owner], start[owner] + place)
+        # A content that a document has several times is several stretches of it.
+        starts = np.array([x for a, others in zip(start.tolist(), more, strict=True) for x in (a, *(others or ()))], np.int64)
+        times = np.array([1 + len(x or ()) for x in more], np.int64)
+        each, nth = spread(times[owner])
+        owner, place, window, runs = owner[each], place[each], window[each], runs[each]
+        return cls(b"".join([x + b"\0" for x in sequences]), long, np.array(lanes), least, window, runs, doc[owner], mark[owner], starts[(np.cumsum(times) - times)[owner] + nth] + place)
 
 
 def _joined(keys: list[int], contents: list[bytes]) -> tuple[list[bytes], list[int], list[tuple[int, int]]]:

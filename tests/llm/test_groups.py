@@ -239,10 +239,10 @@ def test_hashes_alone_remove_nothing(monkeypatch):
     x, y = (rng.integers(0, 256, 66).astype(np.uint8).tobytes() for _ in range(2))
     content = [x, y, x, x[:60]]
     doc = np.array([1, 2, 3, 4])
-    rows = pa.RecordBatch.from_arrays([pa.array([7] * 4), pa.array(doc), pa.array([0] * 4), pa.array([0] * 4, pa.int32()), pa.array([len(c) - 49 for c in content], pa.int32()), pa.array(content, pa.binary())], ["key", "doc", "mark", "start", "n", "content"])
+    rows = pa.RecordBatch.from_arrays([pa.array([7] * 4), pa.array(doc), pa.array([0] * 4), pa.array([0] * 4, pa.int32()), pa.array([len(c) - 49 for c in content], pa.int32()), pa.array([None, [], [200, 300], []], pa.list_(pa.int32())), pa.array(content, pa.binary())], ["key", "doc", "mark", "start", "n", "more", "content"])
     gone = {(r["doc"], r["start"], r["n"]) for b in suffix_array._settle(iter([rows])) for r in b.to_pylist()}
-    assert gone == {(3, 0, 17), (4, 0, 11)}
-    rows = rows.set_column(5, "content", pa.array([" ".join(map(str, c)).encode() for c in content], pa.binary()))
+    assert gone == {(3, 0, 17), (3, 200, 17), (3, 300, 17), (4, 0, 11)}
+    rows = rows.set_column(6, "content", pa.array([" ".join(map(str, c)).encode() for c in content], pa.binary()))
     assert {(r["doc"], r["start"], r["n"]) for b in automaton._settle(iter([rows])) for r in b.to_pylist()} == gone
 
 
