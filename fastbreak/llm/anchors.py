@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, run_bounds, slices, texts
+from .common import checkpoint, release, run_bounds, slices, texts
 
 #: An odd multiplier of rolling hashes, and its inverse modulo 2**64.
 BASE = 0x9E3779B97F4A7C15
@@ -380,6 +380,7 @@ def contexts(docs: DataFrame, spans: DataFrame, opened: Callable, window: int, l
     """
     # Leaders' keys are bounded as they are. Split windows mostly come one by one, each with all its symbols.
     sizes = spans.where("doc is null").groupBy("key").agg(F.sum("windows").alias("windows"), F.sum("size").alias("size")).where(F.col("size") > limit)
+    release(spans.sparkSession)  # the records' shuffle
     sizes = sizes.select("key", (F.floor(F.col("windows") * window / limit) + 1).cast("long").alias("parts"))
     few = sizes.limit(SPLIT + 1).collect()
     split = {r["key"]: r["parts"] for r in few} if len(few) <= SPLIT else None

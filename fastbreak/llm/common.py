@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import re
 import tempfile
 from collections.abc import Iterable, Iterator
@@ -37,6 +38,13 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def release(spark: SparkSession) -> None:
+    """Let go of what nothing refers to any more: shuffles that end in a checkpoint need no disk beyond it, but Spark
+    drops their files only when the driver happens to collect its garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def free_name(df: DataFrame, name: str) -> str:
     """A column name that df does not have yet."""
     while name.lower() in {c.lower() for c in df.columns}:

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .anchors import GONE, candidate_spans, contexts, marked, unmarked, window_hashes, with_spans
+from .anchors import GONE, candidate_spans, contexts, marked, mixed, unmarked, window_hashes, with_spans
 from .common import run_bounds, spread, table, texts, whole_runs
 
 #: Bytes of the strings that may not repeat, and of the anchors in them.
@@ -386,7 +386,7 @@ def _joined(keys: list[int], contents: list[bytes]) -> tuple[list[bytes], list[i
 
 def _decide(parts: list[_Sequences]) -> Iterator[pa.RecordBatch]:
     """Rows of GONE: each key's sequences are one lane of suffix arrays, and each stretch's removals come from the
-    classes of its windows."""
+    classes of its windows. A lane of one sequence whose windows are all different has nothing to sort out."""
     data = np.frombuffer(b"".join(x.data for x in parts), np.uint8)
     long = np.concatenate([x.long for x in parts])
     lane = np.concatenate([x.lane + 1_000_000_000 * i for i, x in enumerate(parts)])
@@ -396,9 +396,22 @@ def _decide(parts: list[_Sequences]) -> Iterator[pa.RecordBatch]:
     begin = np.cumsum(long + 1) - long - 1
     symbols = data.astype(np.int64) + 2
     symbols[begin + long] = 1
-    array = arrays_of(symbols, np.add.reduceat(long + 1, np.flatnonzero(_heads(lane))))
     piece, inside = spread(long - WINDOW + 1)
-    classes = least_owners(data, array, lane[piece], begin[piece] + inside, least)
+    first = np.flatnonzero(_heads(lane))
+    lane = np.cumsum(_heads(lane)) - 1  # from 0 on
+    at, of_lane = begin[piece] + inside, lane[piece]
+    single = np.bincount(lane) == 1
+    alone = np.flatnonzero(single[of_lane])
+    hashes = mixed(window_hashes(data, WINDOW)[at[alone]] + of_lane[alone].astype(np.uint64))
+    single[of_lane[alone[_repeated(hashes)]]] = False
+    classes = least.copy()
+    sizes = np.add.reduceat(long + 1, first)
+    if not single.all():
+        some = ~single[np.repeat(np.arange(len(sizes)), sizes)]
+        index = np.cumsum(some) - 1  # places among the symbols that are sorted
+        windows = np.flatnonzero(~single[of_lane])
+        array = arrays_of(symbols[some], sizes[~single])
+        classes[windows] = least_owners(data[some], array, of_lane[windows], index[at[windows]], least[windows])
     stretch, inside = spread(runs)
     away = np.flatnonzero(classes[window[stretch] + inside] < doc[stretch])
     if len(away):
