@@ -36,7 +36,9 @@ from .common import checkpoint, release, run_bounds, slices, texts
 BASE = 0x9E3779B97F4A7C15
 INVERSE = pow(BASE, -1, 2**64)
 #: Bytes of contents that a task remembers to settle equal ones before they are shuffled.
-KNOWN = 30_000_000
+KNOWN = 10_000_000
+#: Characters of text that one slice of records is made from, unless a single text is longer.
+SENT = 1_000_000
 #: Places of a leader that share a key; most records of an anchor that is keyed by its leader.
 BLOCK, FEW = 512, 32
 #: Documents of one slice from which an anchor with one side, or with any, is told of rather than sent.
@@ -143,7 +145,7 @@ def _send(symbols_of: Callable, window: int, k: int, buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = [r for r in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), texts(batch.column(2)), strict=True) if r[0] is not None]
-            for part in slices(rows, lambda r: len(r[2])):
+            for part in slices(rows, lambda r: len(r[2]), SENT):
                 docs, marks = (np.array([r[j] for r in part], np.int64) for j in (0, 1))
                 symbols, sizes = symbols_of([r[2] for r in part])
                 found = records(symbols, sizes, window, k)

@@ -35,6 +35,8 @@ SEGMENTS = ((0, 22), (22, 21), (43, 21))
 PAIRS = ((0, 1), (0, 2), (1, 2))
 #: Fingerprints of one key that one cell compares; more are split.
 CELL = 4096
+#: Pairs that are verified at once.
+PAIRED = 500_000
 #: Keys with more fingerprints than a cell takes: up to so many are broadcast, beyond that they are joined by shuffle.
 HOT_KEYS = 50_000
 
@@ -155,7 +157,7 @@ def _links(most: int):
             run_of = np.repeat(np.arange(len(starts)), ends - starts)
             partners = (past - first)[run_of]
             u, v = [], []
-            cuts = np.searchsorted(np.cumsum(partners), np.arange(0, partners.sum() + 2_000_000, 2_000_000), "left")
+            cuts = np.searchsorted(np.cumsum(partners), np.arange(0, partners.sum() + PAIRED, PAIRED), "left")
             for a, b in zip(cuts, np.r_[cuts[1:], len(key)], strict=True):
                 row, place = spread(partners[a:b])
                 x, y = prints[a:b][row], prints[mine[first[run_of[a:b]][row] + place]]

@@ -79,7 +79,7 @@ _CODE[[ord(c) for c in " \t\n\r\x0b\x0c.,;:!?\"'()-"]] = 0
 def _trigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total = np.zeros(_SIZE**3, np.int64)
     for batch in batches:
-        for part in slices(texts(batch.column(0))):
+        for part in slices(texts(batch.column(0)), limit=500_000):
             points = np.frombuffer((" " + " ".join(part).lower() + " ").encode("utf-32-le", "surrogatepass"), np.uint32)
             code = _CODE[np.minimum(points, len(_CODE) - 1)]
             total += np.bincount((code[:-2] * _SIZE + code[1:-1]) * _SIZE + code[2:], minlength=_SIZE**3)
