@@ -151,36 +151,37 @@ def named_turns(df: DataFrame, conv: str = "conv_id", turn: str = "turn", role:
 
 # ---------------------------------------------------------------- tree
 
-_TOKENS = "struct<tokens:array<int>,low:int,high:int>"
+_PLACED = "node binary, way array<binary>, tokens array<int>, low int, high int, length long, part int, place long"
 
 
-def _tokenize(path: str):
-    """The template's token ids of turns, and the interval of them that is learned."""
+def _place(path: str):
+    """The template's token ids of turns, the interval of them that is learned, and their place in the partition's
+    part of the stream. Input: node, n, way, role, text, in the stream's order."""
 
-    def run(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = vocabulary(path, public_tokenizers.PATTERN)
-        for roles, texts in batches:
-            rows = []
-            for part in slices(list(zip(roles.to_pylist(), texts.to_pylist(), strict=True)), lambda r: len(r[1])):
-                heads = bpe.encode([f"{START}{escape(role, True)}\n" for role, _ in part])
-                bodies, (end,) = bpe.encode([escape(text) for _, text in part]), bpe.encode([END])
-                for (role, _), head, body in zip(part, heads, bodies, strict=True):
+        part, at = TaskContext.get().partitionId(), 0
+        for batch in batches:
+            first = 0
+            for some in slices(list(zip(batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True)), lambda r: len(r[1])):
+                heads = bpe.encode([f"{START}{escape(role, True)}\n" for role, _ in some])
+                bodies, (end,) = bpe.encode([escape(text) for _, text in some]), bpe.encode([END])
+                rows = []
+                for (role, _), head, body in zip(some, heads, bodies, strict=True):
+                    ids = np.frombuffer(head + body + end, "<u4").astype(np.int32)
                     low, high = (len(head) // 4, (len(head) + len(body)) // 4) if role == LEARNED else (0, 0)
-                    rows.append({"tokens": np.frombuffer(head + body + end, "<u4").astype(np.int32), "low": low, "high": high})
-            yield pa.array(rows, pa.struct([("tokens", pa.list_(pa.int32())), ("low", pa.int32()), ("high", pa.int32())]))
+                    rows.append((ids, low, high, len(ids), part, at))
+                    at += len(ids)
+                types = (pa.list_(pa.int32()), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int64())
+                here = batch.slice(first, len(some))
+                first += len(some)
+                yield pa.RecordBatch.from_arrays([here.column(0), here.column(2), *(pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True))], [c.split()[0] for c in _PLACED.split(", ")])
 
-    return F.arrow_udf(run, _TOKENS)
+    return run
 
 
-def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Add the partition's number and the place of each node in the partition's part of the stream."""
-    part, at = TaskContext.get().partitionId(), 0
-    for batch in batches:
-        places = []
-        for n in batch.column("length").to_pylist():
-            places.append(at)
-            at += n
-        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([part] * batch.num_rows, pa.int32()), pa.array(places, pa.int64())], [*batch.schema.names, "part", "place"])
+#: Children of one node are dealt over so many keys when they are told whether it is a fork.
+SALTS = 8
 
 
 def emit_tree(turns: DataFrame, path: str | None = None) -> DataFrame:
@@ -190,13 +191,14 @@ def emit_tree(turns: DataFrame, path: str | None = None) -> DataFrame:
     """
     nodes = turns.groupBy("node").agg(*(F.first(c).alias(c) for c in ("parent", "n", "role", "text")), F.min("conv").alias("conv"))
     forks = nodes.where("parent is not null").groupBy("parent").count().where("count > 1").select("parent")
-    child = nodes.select("node", "parent").join(forks.withColumn("fork", F.lit(True)), "parent", "left").where("parent is null or fork").select("node")
+    salt = F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int").alias("salt")
+    forks = forks.select("parent", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"), F.lit(True).alias("fork"))
+    child = nodes.select("node", "parent", salt).join(forks, ["parent", "salt"], "left").where("parent is null or fork").select("node")
     ways = turns.select("conv", "n", "node").join(child, "node", "left_semi").groupBy("conv").agg(F.sort_array(F.collect_list(F.struct("n", "node"))).alias("forks"))
     placed = nodes.join(ways.withColumnRenamed("conv", "of"), F.col("conv").eqNullSafe(F.col("of")))
-    placed = placed.select("node", "n", F.transform(F.filter("forks", lambda x: x["n"] <= F.col("n")), lambda x: x["node"]).alias("way"), _tokenize(path or public_tokenizers.path("byte_bpe_50k.tiktoken"))("role", "text").alias("t"))
-    placed = placed.select("node", "n", "way", "t.*").withColumn("length", F.size("tokens").cast("long"))
-    kind = "node binary, n long, way array<binary>, tokens array<int>, low int, high int, length long, part int, place long"
-    placed = checkpoint(placed.repartitionByRange("way", "n").sortWithinPartitions("way", "n").mapInArrow(_places, kind))
+    placed = placed.select("node", "n", F.transform(F.filter("forks", lambda x: x["n"] <= F.col("n")), lambda x: x["node"]).alias("way"), "role", "text")
+    placed = placed.repartitionByRange("way", "n").sortWithinPartitions("way", "n")
+    placed = checkpoint(placed.mapInArrow(_place(path or public_tokenizers.path("byte_bpe_50k.tiktoken")), _PLACED))
     # One row for each partition.
     ends = placed.groupBy("part").agg(F.sum("length").alias("size")).orderBy("part").collect()
     total, first = 0, []
