@@ -33,7 +33,7 @@ from .common import run_bounds, spread, table, texts, whole_runs
 #: Bytes of the strings that may not repeat, and of the anchors in them.
 WINDOW, ANCHOR = 50, 16
 #: Bytes that are looked through at once, that suffix arrays are built over at once, and that one anchor brings to a task.
-CHUNK, BUILT, LIMIT = 400_000, 800_000, 1_000_000
+CHUNK, BUILT, LIMIT = 400_000, 1_000_000, 1_000_000
 #: Arrays of similar length that are built side by side, at least; fewer are built one by one.
 LANES = 16
 #: Of a key's sequences, the longest ones that others may be part of.
@@ -140,7 +140,7 @@ def _ranges(first: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 def suffix_arrays(symbols: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """The suffix arrays of sequences end to end, side by side, as places among all symbols."""
-    total, kind = len(symbols), np.int32
+    total, kind = len(symbols), np.int64  # as indices are: narrower ones would be widened by every use
     ends_at = np.cumsum(sizes)
     lane = np.repeat(np.arange(len(sizes)), sizes)
     # Phase 1. A group's members lie in a range of `pool`; that some have left is seen by `group`.
