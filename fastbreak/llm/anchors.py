@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, release, run_bounds, slices, texts
+from .common import checkpoint, release, run_bounds, slices, texts, tidy
 
 #: An odd multiplier of rolling hashes, and its inverse modulo 2**64.
 BASE = 0x9E3779B97F4A7C15
@@ -269,8 +269,8 @@ def candidate_spans(df: DataFrame, symbols_of: Callable, window: int, k: int) ->
     """
     # A bucket's records are held by one task: about a partition's worth of symbols, 11 bytes for some 18 of them.
     buckets = max(df.rdd.getNumPartitions(), int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    sent = df.select("doc", "mark", "text").mapInArrow(_send(symbols_of, window, k, buckets), _RECORDS)
-    return checkpoint(sent.repartition("dealt").sortWithinPartitions("bucket").mapInArrow(_candidates(window), SPANS))
+    sent = df.select("doc", "mark", "text").mapInArrow(tidy(_send(symbols_of, window, k, buckets)), _RECORDS)
+    return checkpoint(sent.repartition("dealt").sortWithinPartitions("bucket").mapInArrow(tidy(_candidates(window)), SPANS))
 
 
 def marked(df: DataFrame, ident: str, text: str) -> DataFrame:
@@ -393,7 +393,7 @@ def contexts(docs: DataFrame, spans: DataFrame, opened: Callable, window: int, l
         keys = spans.where("key & 1 = 1").select("doc", "mark", "key").join(sizes, "key")
         asked = asked.join(keys.groupBy("doc", "mark").agg(F.map_from_entries(F.collect_set(F.struct("key", "parts"))).alias("split")), ["doc", "mark"], "left")
     rows = docs.join(asked, ["doc", "mark"], "left").select("doc", "mark", "text", "at", "keys", *(["split"] if split is None else []), *docs.columns[3:])
-    rows = rows.mapInArrow(_cut(opened, window, split), CONTENTS)
+    rows = rows.mapInArrow(tidy(_cut(opened, window, split)), CONTENTS)
     return rows.repartition("key").sortWithinPartitions("key")
 
 

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .anchors import GONE, POWERS, candidate_spans, contexts, marked, mixed, unmarked, with_spans
-from .common import run_bounds, table, whole_runs
+from .common import run_bounds, table, tidy, whole_runs
 from .suffix_array import covered
 
 #: Words of the windows that may not repeat, and of the anchors in them.
@@ -175,7 +175,7 @@ def _opened(text: str):
 def removal_spans(docs: DataFrame) -> DataFrame:
     """(doc, mark, spans): for documents with something to remove, first windows and numbers of windows, in words."""
     spans = candidate_spans(docs, word_hashes, WINDOW, ANCHOR)
-    gone = contexts(docs, spans, _opened, WINDOW, LIMIT).mapInArrow(_settle, GONE)
+    gone = contexts(docs, spans, _opened, WINDOW, LIMIT).mapInArrow(tidy(_settle), GONE)
     return gone.groupBy("doc", "mark").agg(F.collect_list(F.struct("start", "n")).alias("spans"))
 
 

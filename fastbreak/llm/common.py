@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import re
 import tempfile
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -45,6 +46,21 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def tidy(run: Callable) -> Callable:
+    """The same function of batches; when it ends, what it has freed goes back to the system. Python workers are used
+    again by later stages, and else each keeps the most memory that it ever had."""
+
+    def whole(batches: Iterator) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            if (trim := getattr(ctypes.CDLL(None), "malloc_trim", None)) is not None:  # glibc has it
+                trim(0)
+
+    return whole
+
+
 def free_name(df: DataFrame, name: str) -> str:
     """A column name that df does not have yet."""
     while name.lower() in {c.lower() for c in df.columns}:

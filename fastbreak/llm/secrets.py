@@ -26,7 +26,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import free_name, slices, table, texts
+from .common import free_name, slices, table, texts, tidy
 
 # The patterns of the base kinds.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -122,7 +122,7 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def identifier_dictionary(df: DataFrame, text: str = "text", size: int = DICTIONARY) -> str:
     """The fixed part, then the `size` most frequent words of all texts, the most frequent last."""
-    counted = df.select(text).mapInArrow(_count_words, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    counted = df.select(text).mapInArrow(tidy(_count_words), "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
     top = counted.orderBy(F.desc("n"), "word").limit(size).collect()
     return " ".join([IDENTIFIERS, *(r["word"] for r in reversed(top))])
 

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpoint, run_bounds, slices, spread, table, texts, whole_runs
+from .common import checkpoint, run_bounds, slices, spread, table, texts, tidy, whole_runs
 from .components import connected_components, forest
 
 #: Generator polynomial of the binary Golay code, x^11 + x^10 + x^6 + x^5 + x^4 + x^2 + 1.
@@ -76,7 +76,7 @@ def with_fingerprint(df: DataFrame, text: str = "text", out: str = "fingerprint"
     @F.arrow_udf("long")
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
-            parts = [fingerprints(p, words, seed) for p in slices(texts(batch))]
+            parts = [fingerprints(p, words, seed) for p in slices(texts(batch), limit=500_000)]
             yield pa.array(np.concatenate([np.zeros(0, np.uint64), *parts]).view(np.int64))
 
     return df.withColumn(out, run(F.col(text)))
@@ -190,11 +190,11 @@ def fingerprint_links(prints: DataFrame, most: int = 3) -> DataFrame:
     if most > 3:
         raise ValueError("three segments find up to 3 differing bits")
     # Arrow batches follow the input; both uses compute the keys anew rather than store them.
-    every = prints.mapInArrow(_emit(False), "key long, print long, own boolean")
-    decoded = prints.mapInArrow(_emit(True), "key long, print long, own boolean")
+    every = prints.mapInArrow(tidy(_emit(False)), "key long, print long, own boolean")
+    decoded = prints.mapInArrow(tidy(_emit(True)), "key long, print long, own boolean")
     hot = checkpoint(decoded.groupBy("key").count().where(F.col("count") > CELL).select("key", F.ceil(F.col("count") / CELL).alias("parts")))
     cells = _cells(every, hot, hot.count())
-    return cells.repartition("key").sortWithinPartitions("key").mapInArrow(_links(most), "u long, v long")
+    return cells.repartition("key").sortWithinPartitions("key").mapInArrow(tidy(_links(most)), "u long, v long")
 
 
 def _least_of_groups(rows: DataFrame, key: str, most: int) -> DataFrame:

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .anchors import GONE, candidate_spans, contexts, marked, mixed, unmarked, window_hashes, with_spans
-from .common import run_bounds, spread, table, texts, whole_runs
+from .common import run_bounds, spread, table, texts, tidy, whole_runs
 
 #: Bytes of the strings that may not repeat, and of the anchors in them.
 WINDOW, ANCHOR = 50, 16
@@ -443,7 +443,7 @@ def covered(size: int, starts: np.ndarray, counts: np.ndarray, window: int = WIN
 def removal_spans(docs: DataFrame) -> DataFrame:
     """(doc, mark, spans): for documents with something to remove, first windows and numbers of windows."""
     spans = candidate_spans(docs, _bytes_of, WINDOW, ANCHOR)
-    gone = contexts(docs, spans, _opened, WINDOW, LIMIT).mapInArrow(_settle, GONE)
+    gone = contexts(docs, spans, _opened, WINDOW, LIMIT).mapInArrow(tidy(_settle), GONE)
     return gone.groupBy("doc", "mark").agg(F.collect_list(F.struct("start", "n")).alias("spans"))
 
 

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import slices, table, texts
+from .common import slices, table, texts, tidy
 
 #: Labelled rows that the decision list is fitted on, about (chosen by the hash of their id).
 SAMPLE = 8_000
@@ -90,7 +90,7 @@ def _trigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def language_model(df: DataFrame, text: str = "text") -> np.ndarray:
     """Negative log-probabilities [before last, last, next] of letters, from all texts; the size is fixed by LETTERS."""
     counts = np.zeros(_SIZE**3)
-    for gram, n in df.select(text).mapInArrow(_trigrams, "gram long, n long").groupBy("gram").agg(F.sum("n")).collect():
+    for gram, n in df.select(text).mapInArrow(tidy(_trigrams), "gram long, n long").groupBy("gram").agg(F.sum("n")).collect():
         counts[gram] = n
     three = counts.reshape(_SIZE, _SIZE, _SIZE)
     two = three.sum(axis=0)
@@ -236,7 +236,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, ident: str = "doc_id", text
     chosen = usable.where(F.pmod(F.xxhash64(ident), F.lit(1_000_000)) < int(share * 1_000_000))
     # The sample has about `sample` rows of two numbers, whatever the size of the labels.
     rows = docs.select(ident, text).join(F.broadcast(chosen), ident)
-    counted = rows.select(F.col(ident).cast("long"), text, F.col("__label") == 1).mapInArrow(_count_features(model), "feature string, clean long, toxic array<long>")
+    counted = rows.select(F.col(ident).cast("long"), text, F.col("__label") == 1).mapInArrow(tidy(_count_features(model)), "feature string, clean long, toxic array<long>")
     found = counted.groupBy("feature").agg(F.sum("clean").alias("clean"), F.flatten(F.collect_list("toxic")).alias("toxic"))
     found = found.where((F.size("toxic") >= SUPPORT) & (F.size("toxic") >= PRECISION * (F.size("toxic") + F.col("clean"))))
     toxic_rows = chosen.where("__label = 1").count()
