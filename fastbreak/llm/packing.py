@@ -68,16 +68,20 @@ class WordTokenizer:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def _learn(self, word: str) -> bytes:
-        """The ids of a word without white space."""
-        if not self.FAMILIAR.fullmatch(word) or any(t in word for t in self.special):
+        """The ids of a word without white space; its pieces are words too."""
+        known = self.known
+        familiar = word.isprintable() if word.isascii() else self.FAMILIAR.fullmatch(word)
+        if not familiar or ("<" in word and any(t in word for t in self.special)):
             found = self._whole(word)
+        elif (lowered := word.lower() if word.isascii() else unicodedata.normalize("NFC", word).lower()) != word:
+            found = known.get(lowered) or self._learn(lowered)
+        elif not word.isalpha() and len(pieces := self.find(word)) != 1:
+            found = b"".join([known.get(p) or self._learn(p) for p in pieces])
         else:
-            lowered = word.lower() if word.isascii() else unicodedata.normalize("NFC", word).lower()
-            pieces = [lowered] if lowered.isalpha() else self.find(lowered)
-            mapped = [p if p.isascii() else p.encode().decode("latin-1").translate(self.letters) for p in pieces]
-            found = array("I", [t.id for p in mapped for t in self.model.tokenize(p)]).tobytes()
+            mapped = word if word.isascii() else word.encode().decode("latin-1").translate(self.letters)
+            found = array("I", [t.id for t in self.model.tokenize(mapped)]).tobytes()
         if len(word) <= LONG_WORD:
-            self.known[word] = found
+            known[word] = found
         return found
 
     def encode(self, text: str) -> bytes:
