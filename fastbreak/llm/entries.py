@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import automaton, bpe, chat, embeddings, media, packing, secrets, simhash, suffix_array, toxicity
+from . import automaton, bpe, chat, embeddings, media, merkle, packing, polytope, secrets, simhash, suffix_array, toxicity, whitening
 from .oracles import ORACLE_SQL as ORACLE_SQL
 
 QUERIES = {
@@ -16,4 +16,7 @@ QUERIES = {
     "op8_noisy_channel_toxicity": toxicity.query,
     "op9_progressive_jpeg": media.query,
     "op10_suffix_automaton_dedup": automaton.query,
+    "op11_cross_polytope": polytope.query,
+    "op12_merkle_manifest": merkle.query,
+    "op13_chebyshev_whitening": whitening.query,
 }
