@@ -1,9 +1,8 @@
 """A Merkle manifest of a dataset: leaves, subroots of groups, the root, and a proof for every row.
 
 Every level is a self-join of the nodes with their siblings: a node at place i of its group has the slot i mod 8, and
-the sibling of slot zero is at i minus the slot. Nodes are dealt once by that place; the slots then join on it one
-after another, and the rows of slot zero emit the parents, with their children's digests. Subroots become the leaves of
-one more tree. On the way down each parent's row is joined with what its own parent is proved by, so a proof is put
+those of slot zero ask for the places i + 1 to i + 7 as far as there are nodes. The rows of slot zero then emit the
+parents, with their children's digests. Subroots become the leaves of one more tree. On the way down each parent's row is joined with what its own parent is proved by, so a proof is put
 together beside the eight leaves that need it and never shuffled for each of them.
 
 Leaves get their places by a range sort and the counts of its partitions, so a group of any size is many tasks' work.
@@ -52,18 +51,16 @@ def placed(rows: DataFrame, group: str, order: list[str]) -> DataFrame:
 
 
 def _parents(nodes: DataFrame) -> DataFrame:
-    """(tree, at, n, digest, children) from nodes (tree, at, n, node: a struct with a digest): n counts a tree's nodes.
+    """(tree, at, n, lone, digest, children) from nodes (tree, at, n, node: a struct with a digest): n counts a tree's nodes.
 
-    A tree's only node stays what it is: its row has itself as the only child.
+    A tree's only node stays what it is: its row has itself as the only child (lone).
     """
-    slot = F.col("at") % WIDTH
-    # The place of the sibling with slot zero; one exchange serves all the joins below.
-    dealt = nodes.withColumn("zero", F.col("at") - slot).repartition("tree", "zero")
-    whole = dealt.where(slot == 0).select("tree", "zero", "n", F.col("node").alias("s0"))
-    for k in range(1, WIDTH):
-        sibling = dealt.where(slot == k).select("tree", "zero", F.col("node").alias(f"s{k}"))
-        whole = whole.join(sibling, ["tree", "zero"], "left")
-    children = F.filter(F.array(*(f"s{k}" for k in range(WIDTH))), lambda x: x.isNotNull())
+    first = nodes.where(F.col("at") % WIDTH == 0).withColumnsRenamed({"at": "zero", "node": "own"})
+    offsets = F.filter(F.array(*(F.lit(k).cast("long") for k in range(1, WIDTH))), lambda k: F.col("zero") + k < F.col("n"))
+    asked = first.select("tree", "zero", "n", "own", F.explode_outer(offsets).alias("slot")).withColumn("at", F.col("zero") + F.col("slot"))
+    siblings = asked.join(nodes.select("tree", "at", "node"), ["tree", "at"], "left")
+    whole = siblings.groupBy("tree", "zero").agg(F.first("n").alias("n"), F.first("own").alias("own"), F.sort_array(F.collect_list(F.when(F.col("slot").isNotNull(), F.struct("slot", "node")))).alias("rest"))
+    children = F.concat(F.array("own"), F.transform("rest", lambda x: x["node"]))
     whole = whole.select("tree", (F.col("zero") / WIDTH).cast("long").alias("at"), F.ceil(F.col("n") / WIDTH).alias("n"), (F.col("n") == 1).alias("lone"), children.alias("children"))
     joined = F.array_join(F.transform("children", lambda x: x["digest"]), "")
     return whole.withColumn("digest", F.when(F.col("lone"), F.col("children")[0]["digest"]).otherwise(digest(joined)))
@@ -71,8 +68,9 @@ def _parents(nodes: DataFrame) -> DataFrame:
 
 def _levels(leaves: DataFrame) -> list[DataFrame]:
     """Parents of every level from the lowest, each written; a tree that has its top is in no higher level."""
+    most = leaves.agg(F.max("n")).first()[0] or 0
     levels = [checkpoint(_parents(leaves))]
-    while not levels[-1].where("n > 1").isEmpty():
+    while (most := -(-most // WIDTH)) > 1:
         nodes = levels[-1].where("n > 1").select("tree", "at", "n", F.struct("digest").alias("node"))
         levels.append(checkpoint(_parents(nodes)))
     return levels
@@ -120,14 +118,14 @@ def manifest(leaves: DataFrame, group: str = "lang", order: str = "doc_id") -> D
     named = F.when(F.col(group).isNull(), "-").otherwise(F.concat(F.lit(":"), F.col(group).cast("string")))
     rows = checkpoint(leaves.select(named.alias("tree"), F.col(order).alias("id"), "leaf", "tampered"))
     low = placed(rows, "tree", ["id", "leaf"])
-    levels = _levels(low.select("tree", "at", "n", F.struct(F.col("leaf").alias("digest"), "id", "tampered").alias("node")))
+    levels = _levels(checkpoint(low.select("tree", "at", "n", F.struct(F.col("leaf").alias("digest"), "id", "tampered").alias("node"))))
     subroots = reduce(DataFrame.unionByName, (x.where("n = 1").select("tree", "digest") for x in levels))
     # The groups' subroots are the leaves of one more tree.
     high = placed(subroots.select(F.lit("").alias("top"), F.col("tree").alias("id"), F.col("digest").alias("leaf")), "top", ["id"])
-    upper = _levels(high.select(F.col("top").alias("tree"), "at", "n", F.struct(F.col("leaf").alias("digest"), "id").alias("node")))
+    upper = _levels(checkpoint(high.select(F.col("top").alias("tree"), "at", "n", F.struct(F.col("leaf").alias("digest"), "id").alias("node"))))
     roots = reduce(DataFrame.unionByName, (x.where("n = 1").select("tree", F.col("digest").alias("root")) for x in upper))
     tops = _leaf_rows(_paths(upper, roots.withColumn("path", F.array().cast(_STEP))), ["root"])
-    tops = tops.select(F.col("node.id").alias("tree"), F.col("node.digest").alias("subroot"), "root", "path")
+    tops = checkpoint(tops.select(F.col("node.id").alias("tree"), F.col("node.digest").alias("subroot"), "root", "path"))
     found = _leaf_rows(_paths(levels, tops), ["subroot", "root"])
     fold = folded(F.coalesce("node.tampered", "node.digest"), F.col("path"))
     proof = F.array_join(F.transform("path", lambda x: x["others"]), "")
