@@ -41,8 +41,15 @@ def ended(column: str = "final_end_poss"):
     return F.coalesce(F.col(column), F.lit(False)).cast("int")
 
 
-def lineup_totals_by_day(long: DataFrame, schedule: DataFrame) -> DataFrame:
-    """Possessions and points of each team's lineup by side and game."""
-    sums = long.groupBy("team_id", "lineup_hash", "type_lineup", "game_id").agg(F.sum(ended()).alias("total_poss"), F.sum(F.coalesce("team_score", F.lit(0))).alias("total_pts"))
-    games = schedule.select("game_id", F.col("game_date").alias("g_date"), "game_year").distinct()
-    return sums.join(games, "game_id")
+def lineup_cube(long: DataFrame, schedule: DataFrame) -> DataFrame:
+    """Possessions and points (null if nothing was scored) of each team's lineup by side and game.
+
+    All sums by lineup, team, player or group are sums of these rows; nothing else needs the actions again.
+    """
+    sums = long.groupBy("team_id", "lineup_hash", "type_lineup", "game_id").agg(F.sum(ended()).alias("poss"), F.sum("team_score").alias("pts"))
+    return sums.join(schedule.select("game_id", "game_date", "game_year").distinct(), "game_id")
+
+
+def lineup_totals_by_day(cube: DataFrame) -> DataFrame:
+    """The same with no points as 0."""
+    return cube.select("game_id", "team_id", "lineup_hash", "type_lineup", F.col("poss").alias("total_poss"), F.coalesce("pts", F.lit(0)).alias("total_pts"), F.col("game_date").alias("g_date"), "game_year")

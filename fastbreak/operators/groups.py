@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.ids import contains_all, overlaps, parse_csv_ids, same_set
+from ..functions.ids import contains_all, overlaps, parse_csv_ids, same_set, settle_choice
 from ..functions.rounding import rounded_ratio, tenths
 from .facts import ended
 from .filters import GameFilter, filter_by_opponent_rank, filter_games
@@ -28,16 +28,30 @@ class LineupParams:
     min_poss: int = 0
     games: GameFilter = GameFilter()
 
+    @classmethod
+    def chosen(cls, size: int, on: Sequence[int], off: Sequence[int], changed: str, **more) -> LineupParams:
+        """From the lists of players on and off court of which the one named was changed last: it keeps who is in both."""
+        on, off = settle_choice(list(on), list(off), changed)
+        return cls(size, on or None, off or None, **more)
+
     @classmethod
     def from_csv(cls, size: int, teams: str | None = None, players: str | None = None, without: str | None = None, exact: bool = False, min_poss: int = 0, game_types: str | None = None, opponents: str | None = None, **games) -> LineupParams:
         """The same from comma-separated ids."""
         return cls(size, parse_csv_ids(players), parse_csv_ids(without), exact, min_poss, GameFilter(team_ids=parse_csv_ids(teams), game_types=parse_csv_ids(game_types), opponents=parse_csv_ids(opponents), **games))
 
 
+def season_names(rosters: DataFrame) -> DataFrame:
+    """One name for each player of a team and season."""
+    name = F.min(F.concat(F.trim("firstname"), F.lit(" "), F.trim("lastname")))
+    return rosters.groupBy("team_id", "player_id", "game_year").agg(name.alias("name"))
+
+
 def group_names(groups: DataFrame, rosters: DataFrame) -> DataFrame:
     """Names of each group's players in the order of their ids; '#' and the id where there is none."""
-    name = F.min(F.concat(F.trim("firstname"), F.lit(" "), F.trim("lastname")))
-    names = rosters.groupBy("team_id", "player_id", "game_year").agg(name.alias("name"))
+    return _named(groups, season_names(rosters))
+
+
+def _named(groups: DataFrame, names: DataFrame) -> DataFrame:
     keys = ["team_id", "sub_lineup_hash", "game_year"]
     each = groups.select(*keys, F.posexplode("player_ids").alias("ord", "player_id")).join(names, ["team_id", "player_id", "game_year"], "left")
     shown = F.coalesce("name", F.concat(F.lit("#"), F.col("player_id").cast("string")))
@@ -45,25 +59,41 @@ def group_names(groups: DataFrame, rosters: DataFrame) -> DataFrame:
     return listed.select(*keys, F.transform("l", lambda x: x["name"]).alias("player_names")).withColumn("player_names_str", F.array_join("player_names", ", "))
 
 
-def sub_lineups_stats(long: DataFrame, subs: DataFrame, members: DataFrame, rosters: DataFrame, schedule: DataFrame) -> DataFrame:
-    """Season totals of every group that any lineup contains.
+_IDENTITY = ("team_id", "sub_lineup_hash", "game_year")
+_SUMS = ("off_poss", "off_pts", "def_poss", "def_pts")
+
 
-    The fact is reduced to the lineups that are needed, then summed by lineup and season, before groups join it.
+def group_sums(mapped: DataFrame, cube: DataFrame) -> DataFrame:
+    """Sums of groups (team_id, game_year, sub_lineup_hash, player_ids, num_lineup) over the lineups that contain them.
+
+    Lineups are added up to a row each, both sides beside each other, before the groups meet them; a group whose
+    lineups have no sums has zeros.
     """
-    every = subs.select("team_id", "lineup_hash", "game_year", "sub_lineup_hash", "player_ids", "num_lineup").unionByName(full_lineups(members).select("team_id", "lineup_hash", "game_year", "sub_lineup_hash", "player_ids", "num_lineup"))
-    identity = every.select("team_id", "sub_lineup_hash", "player_ids", "num_lineup", "game_year").distinct()
-    needed = every.select("lineup_hash").distinct()
-    by_lineup = long.join(needed, "lineup_hash", "left_semi").groupBy("lineup_hash", "type_lineup", "game_id").agg(F.sum(ended()).alias("poss"), F.sum("team_score").alias("pts"))
-    by_season = by_lineup.join(schedule.select("game_id", "game_year").distinct(), "game_id").groupBy("lineup_hash", "type_lineup", "game_year").agg(F.sum("poss").alias("poss"), F.sum("pts").alias("pts"))
-    mapped = every.select("team_id", "sub_lineup_hash", "lineup_hash", "game_year").distinct()
-    sides = mapped.join(by_season, ["lineup_hash", "game_year"]).groupBy("team_id", "sub_lineup_hash", "game_year").agg(*_sides("poss", "pts"))
-    keys = ["team_id", "sub_lineup_hash", "game_year"]
-    out = identity.join(sides, keys, "left").join(group_names(identity, rosters), keys)
-    out = out.withColumns({c: F.coalesce(c, F.lit(0)) for c in ("off_poss", "off_pts", "def_poss", "def_pts")})
-    # No points make a rating null.
+    wide = cube.groupBy("lineup_hash", "game_year").agg(*_sides("poss", "pts"))
+    rows = mapped.join(wide, ["lineup_hash", "game_year"], "left")
+    return rows.groupBy(*_IDENTITY).agg(F.first("player_ids").alias("player_ids"), F.first("num_lineup").alias("num_lineup"), *(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in _SUMS))
+
+
+def add_sums(old: DataFrame, more: DataFrame) -> DataFrame:
+    """Both tables' groups with their sums added."""
+    columns = [*_IDENTITY, "player_ids", "num_lineup", *_SUMS]
+    both = old.select(*columns).unionByName(more.select(*columns))
+    return both.groupBy(*_IDENTITY).agg(F.first("player_ids").alias("player_ids"), F.first("num_lineup").alias("num_lineup"), *(F.sum(c).alias(c) for c in _SUMS))
+
+
+def rated_groups(sums: DataFrame, names: DataFrame) -> DataFrame:
+    """Groups with names and points per 100 possessions; no points make a rating null."""
+    out = sums.join(_named(sums, names), list(_IDENTITY))
     return out.withColumns({f"{k}_ppp": tenths(F.nullif(f"{k}_pts", F.lit(0)), F.col(f"{k}_poss")) / 10 for k in ("off", "def")})
 
 
+def sub_lineups_stats(cube: DataFrame, subs: DataFrame, members: DataFrame, rosters: DataFrame) -> DataFrame:
+    """Season totals of every group that any lineup contains."""
+    columns = ["team_id", "lineup_hash", "game_year", "sub_lineup_hash", "player_ids", "num_lineup"]
+    mapped = subs.select(*columns).unionByName(full_lineups(members).select(*columns))
+    return rated_groups(group_sums(mapped, cube), season_names(rosters))
+
+
 def _sides(poss: str, pts: str) -> list[Column]:
     return [F.coalesce(F.sum(F.when(F.col("type_lineup") == kind, F.col(c))), F.lit(0)).alias(f"{kind[:3]}_{name}") for kind in ("offense", "defense") for name, c in (("poss", poss), ("pts", pts))]
 

@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from ..functions.rounding import rounded_ratio, tenths
 from ..functions.windows import percent_rank
-from .facts import ended
 from .filters import GameFilter, filter_games, season_bounds
 
 #: Possessions that a player needs in all four sums, and on court.
@@ -35,17 +34,20 @@ def _states(lookup: DataFrame) -> DataFrame:
     return lookup.select("player_id", "team_id", "lineup_hash", F.coalesce("is_on_verdict", F.lit(0)).alias("is_on")).where("lineup_hash is not null").distinct()
 
 
-def player_sums(long: DataFrame, lookup: DataFrame, games: DataFrame, by_team: bool) -> DataFrame:
-    """Points and possessions of (player, team, on/off, side, season).
+def player_sums(cube: DataFrame, lookup: DataFrame, games: DataFrame | None = None) -> DataFrame:
+    """Points and possessions of (player, team, on/off, side, season); with games, of those (game_id, team_id).
 
-    Sums are additive, so the fact is reduced to lineup and game before about twelve players join each lineup.
+    Sums are additive: whole seasons are added up by lineup before about twelve players join each lineup.
     """
-    by_lineup = long.groupBy("lineup_hash", "game_id", "type_lineup").agg(F.sum("team_score").alias("pts"), F.sum(ended()).alias("poss"))
-    if by_team:
-        rows = _states(lookup).join(by_lineup, "lineup_hash").join(games.select("game_id", "team_id", "game_year").distinct(), ["game_id", "team_id"])
-    else:
-        by_season = by_lineup.join(games.select("game_id", "game_year").distinct(), "game_id").groupBy("lineup_hash", "type_lineup", "game_year").agg(F.sum("pts").alias("pts"), F.sum("poss").alias("poss"))
+    if games is None:
+        by_season = cube.groupBy("lineup_hash", "type_lineup", "game_year").agg(F.sum("pts").alias("pts"), F.sum("poss").alias("poss"))
         rows = _states(lookup).join(by_season, "lineup_hash")
+    else:
+        # The players' team is the one whose game it is.
+        kept = games.select("game_id", F.col("team_id").alias("of"), "game_year").distinct()
+        by_season = cube.drop("game_year").join(kept, "game_id").groupBy("lineup_hash", "type_lineup", "of", "game_year").agg(F.sum("pts").alias("pts"), F.sum("poss").alias("poss"))
+        states = _states(lookup)
+        rows = states.join(by_season, (states["lineup_hash"] == by_season["lineup_hash"]) & (states["team_id"] == by_season["of"]))
     return rows.groupBy("player_id", "team_id", "is_on", "type_lineup", "game_year").agg(F.sum("pts").alias("pts"), F.sum("poss").alias("poss"))
 
 
@@ -85,19 +87,19 @@ def _core(sums: DataFrame, names: DataFrame, min_all: int | None, min_on: int |
     return out.select(*COLUMNS)
 
 
-def onoff_default(long: DataFrame, lookup: DataFrame, rosters: DataFrame, schedule: DataFrame, games: DataFrame, min_on: int = MIN_ON) -> DataFrame:
+def onoff_default(cube: DataFrame, lookup: DataFrame, rosters: DataFrame, games: DataFrame, min_on: int = MIN_ON) -> DataFrame:
     """Whole seasons, players with min_on possessions on court; percentiles are among all players."""
-    rows = _core(player_sums(long, lookup, schedule, False), player_names(rosters, games), None, None)
+    rows = _core(player_sums(cube, lookup), player_names(rosters, games), None, None)
     return rows.where(F.col("on_poss") >= min_on)
 
 
-def opponent_top_bottom(long: DataFrame, games: DataFrame, f: GameFilter) -> DataFrame:
+def opponent_top_bottom(cube: DataFrame, games: DataFrame, f: GameFilter) -> DataFrame:
     """team_id of the top or bottom teams by their average of per-game ratings within the dates, season and game types.
 
     Ties at the cut go to the smaller team_id.
     """
     window = filter_games(games, GameFilter(game_year=f.game_year, start=f.start, end=f.end, game_types=f.game_types)).select("game_id").distinct()
-    sums = long.groupBy("game_id", "team_id", "type_lineup").agg(F.sum("team_score").alias("pts"), F.sum(ended()).alias("poss")).join(window, "game_id")
+    sums = cube.join(window, "game_id", "left_semi").groupBy("game_id", "team_id", "type_lineup").agg(F.sum("pts").alias("pts"), F.sum("poss").alias("poss"))
     ppp = sums.withColumn("ppp", rounded_ratio(F.col("pts"), F.col("poss"), 10000))
     by_game = ppp.groupBy("game_id", "team_id").agg(*(F.max(F.when(F.col("type_lineup") == k, F.col("ppp"))).alias(k) for k in ("offense", "defense")))
     by_game = by_game.withColumn("net", F.col("offense") - F.col("defense"))
@@ -108,13 +110,13 @@ def opponent_top_bottom(long: DataFrame, games: DataFrame, f: GameFilter) -> Dat
     return mean.orderBy(order, "team_id").limit(n).select("team_id")
 
 
-def onoff_compute(long: DataFrame, lookup: DataFrame, rosters: DataFrame, games: DataFrame, p: OnOffParams) -> DataFrame:
+def onoff_compute(cube: DataFrame, lookup: DataFrame, rosters: DataFrame, games: DataFrame, p: OnOffParams) -> DataFrame:
     """On/off impact over the games that pass. Both dates are needed: without one there is no game."""
     f = p.games
     kept = filter_games(games, f) if f.start and f.end else games.where(F.lit(False))
     if f.opp_rank_side is not None and f.opp_rank_n is not None and f.opp_rank_metric is not None:
-        kept = kept.join(opponent_top_bottom(long, games, f).withColumnRenamed("team_id", "opp_team_id"), "opp_team_id", "left_semi")
-    rows = _core(player_sums(long, lookup, kept, True), player_names(rosters, games), p.min_all, p.min_on)
+        kept = kept.join(opponent_top_bottom(cube, games, f).withColumnRenamed("team_id", "opp_team_id"), "opp_team_id", "left_semi")
+    rows = _core(player_sums(cube, lookup, kept), player_names(rosters, games), p.min_all, p.min_on)
     rows = rows.where(F.col("net_rtg_diff").isNotNull())
     return rows if p.min_net is None else rows.where(F.col("net_rtg_diff") >= p.min_net)
 

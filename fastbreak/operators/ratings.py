@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from ..functions.rounding import rounded_ratio
 from ..functions.windows import dense_rank
-from .facts import ended
 from .filters import GameFilter, filter_by_opponent_rank, filter_games
 
 
@@ -29,18 +28,16 @@ def _rated(sums: DataFrame, rosters: DataFrame) -> DataFrame:
     })
 
 
-def _sums(long: DataFrame, games: DataFrame, on: list[str]) -> DataFrame:
-    # Sums by game first: the schedule then joins a few rows a game.
-    by_game = long.groupBy("game_id", "team_id", "type_lineup").agg(F.sum("team_score").alias("pts"), F.sum(ended()).alias("poss"))
-    return by_game.join(games, on).groupBy("game_year", "team_id", "type_lineup").agg(F.sum("pts").alias("pts"), F.sum("poss").alias("poss"))
+def _sums(cube: DataFrame) -> DataFrame:
+    return cube.groupBy("game_year", "team_id", "type_lineup").agg(F.sum("pts").alias("pts"), F.sum("poss").alias("poss"))
 
 
-def team_ppp_ratings(long: DataFrame, schedule: DataFrame, rosters: DataFrame) -> DataFrame:
+def team_ppp_ratings(cube: DataFrame, rosters: DataFrame) -> DataFrame:
     """Season ratings: points per 100 possessions scored and allowed, their difference, and ranks."""
-    return _rated(_sums(long, schedule.select("game_id", "game_year").distinct(), ["game_id"]), rosters)
+    return _rated(_sums(cube), rosters)
 
 
-def team_ratings_dynamic(long: DataFrame, games: DataFrame, ratings: DataFrame, rosters: DataFrame, f: GameFilter) -> DataFrame:
+def team_ratings_dynamic(cube: DataFrame, games: DataFrame, ratings: DataFrame, rosters: DataFrame, f: GameFilter) -> DataFrame:
     """The same over the games that pass the filter. games: the final schedule; ratings: the season's."""
-    kept = filter_by_opponent_rank(filter_games(games, f), ratings, f).select("game_id", "team_id", "game_year").distinct()
-    return _rated(_sums(long, kept, ["game_id", "team_id"]), rosters)
+    kept = filter_by_opponent_rank(filter_games(games, f), ratings, f).select("game_id", "team_id").distinct()
+    return _rated(_sums(cube.join(kept, ["game_id", "team_id"], "left_semi")), rosters)

@@ -15,7 +15,14 @@ from ..operators.onoff import OnOffParams
 from ..sources import fixture
 
 #: In dependency order.
-TABLES = ("actions", "rosters", "schedule", "team_dict", "possessions", "lookup", "stints", "stamped", "long", "games", "totals", "ratings", "members", "subs", "stats", "onoff_default", "advanced")
+TABLES = ("actions", "rosters", "schedule", "team_dict", "possessions", "lookup", "stints", "stamped", "long", "games", "cube", "totals", "ratings", "members", "subs", "stats", "onoff_default", "advanced")
+
+#: What each table is made from.
+PARENTS = {
+    "subs_events": ("actions",), "possessions": ("actions",), "lookup": ("rosters", "subs_events"), "stints": ("possessions", "lookup"), "stamped": ("possessions", "stints"), "long": ("stamped",),
+    "sched_long": ("schedule", "team_dict"), "games": ("schedule", "team_dict"), "cube": ("long", "schedule"), "totals": ("cube",), "ratings": ("cube", "rosters"), "members": ("lookup",), "subs": ("members",),
+    "stats": ("cube", "subs", "members", "rosters"), "onoff_default": ("cube", "lookup", "rosters", "games"), "advanced": ("long", "lookup", "rosters", "schedule"),
+}
 
 
 class Model:
@@ -64,13 +71,17 @@ class Model:
     def games(self) -> DataFrame:
         return facts.final_schedule(self.sched_long)
 
+    @cached_property
+    def cube(self) -> DataFrame:
+        return facts.lineup_cube(self.long, self.schedule)
+
     @cached_property
     def totals(self) -> DataFrame:
-        return facts.lineup_totals_by_day(self.long, self.schedule)
+        return facts.lineup_totals_by_day(self.cube)
 
     @cached_property
     def ratings(self) -> DataFrame:
-        return ratings.team_ppp_ratings(self.long, self.schedule, self.rosters)
+        return ratings.team_ppp_ratings(self.cube, self.rosters)
 
     @cached_property
     def members(self) -> DataFrame:
@@ -82,11 +93,11 @@ class Model:
 
     @cached_property
     def stats(self) -> DataFrame:
-        return groups.sub_lineups_stats(self.long, self.subs, self.members, self.rosters, self.schedule)
+        return groups.sub_lineups_stats(self.cube, self.subs, self.members, self.rosters)
 
     @cached_property
     def onoff_default(self) -> DataFrame:
-        return onoff.onoff_default(self.long, self.lookup, self.rosters, self.schedule, self.games, self.min_on)
+        return onoff.onoff_default(self.cube, self.lookup, self.rosters, self.games, self.min_on)
 
     @cached_property
     def advanced(self) -> DataFrame:
@@ -96,12 +107,12 @@ class Model:
         return onoff.onoff(self.onoff_default, self.onoff_computed, p, self.season, self.min_all, self.min_on)
 
     def onoff_computed(self, p: OnOffParams) -> DataFrame:
-        return onoff.onoff_compute(self.long, self.lookup, self.rosters, self.games, p)
+        return onoff.onoff_compute(self.cube, self.lookup, self.rosters, self.games, p)
 
     def team_ratings(self, f: GameFilter) -> DataFrame:
         """The season's ratings if only season and teams are given."""
         if not f.is_default:
-            return ratings.team_ratings_dynamic(self.long, self.games, self.ratings, self.rosters, f)
+            return ratings.team_ratings_dynamic(self.cube, self.games, self.ratings, self.rosters, f)
         rows = self.ratings if f.game_year is None else self.ratings.where(self.ratings["game_year"] == f.game_year)
         return rows if f.team_ids is None else rows.where(rows["team_id"].isin(list(f.team_ids)))
 

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Callable
 from datetime import date
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -18,10 +19,12 @@ from .operators.groups import LineupParams
 from .operators.onoff import OnOffParams
 from .oracles import ENDED, STATES, core, half_up, lineup_filter, query, rated, sums
 from .plans import jobs
+from .plans.load import Games, load_games, refresh
 from .plans.model import FixtureModel
 from .schemas import KEYS
 from .sources import fixture
 from .sources.feeds import append, games_to_load, merge_by_key, play_by_play_actions, read_play_by_play, read_schedule, unseen, write_merged
+from .sources.store import Store
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -41,7 +44,7 @@ def register(name: str, sql: str | None = None, last: str | None = None):
 
 
 #: Tables that many others are made from; they are kept, as materialised views would be.
-KEPT = ("actions", "possessions", "lookup", "stints", "long", "members", "subs", "stats")
+KEPT = ("actions", "possessions", "lookup", "stints", "long", "cube", "members", "subs", "stats")
 _models: dict[tuple[str, str], FixtureModel] = {}
 
 
@@ -248,6 +251,109 @@ def _(spark, sf):
     return model(spark, sf).stats.select("team_id", "sub_lineup_hash", "game_year", joined(), "num_lineup", "off_poss", "off_pts", "off_ppp", "def_poss", "def_pts", "def_ppp", "player_names_str")
 
 
+# ---------------------------------------------------------------- loads into versioned tables
+
+#: What the store of loaded() holds by versions; a reader of version 0 is opened before version 1 is there.
+_loaded: dict[tuple[str, str], tuple[Store, DataFrame]] = {}
+
+
+def loaded(spark: SparkSession, sf_dir: str) -> tuple[Store, DataFrame]:
+    """Games in two batches: the first season's, then all that are not there yet. Also the first version's ratings."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _loaded:
+        _loaded.clear()
+        m, store = model(spark, sf_dir), Store(spark, scratch(spark, "store"))
+        load_games(store, Games(m, m.schedule.where("game_date < date'2024-01-16'")))
+        first = store.read("ratings")
+        store.follow(["ratings"], "current_")
+        load_games(store, m)
+        _loaded[key] = store, first
+    return _loaded[key]
+
+
+@register("k10_loaded_in_batches", "SELECT game_id, id, team_id, team_id_defense, segment_id, lineup_hash_offense, lineup_hash_defense, final_start_id, final_end_id FROM stamped")
+def _(spark, sf):
+    return loaded(spark, sf)[0].read("stamped").select("game_id", "id", "team_id", "team_id_defense", "segment_id", "lineup_hash_offense", "lineup_hash_defense", "final_start_id", "final_end_id")
+
+
+_LOADED = ("actions", "rosters", "schedule", "possessions", "lookup", "stints", "stamped", "long", "members", "subs", "stats", "games", "ratings")
+
+
+@register("k10_loaded_tables", " UNION ALL ".join(f"SELECT '{t}' AS name, count(*) AS n, sum({'game_id' if t == 'schedule' else 'team_id'})::BIGINT AS ids, min(game_year) AS first_year FROM {t}" if t in ("rosters", "schedule", "lookup", "members", "subs", "stats", "games", "ratings") else f"SELECT '{t}', count(*), sum(team_id)::BIGINT, NULL FROM {t}" for t in _LOADED))
+def _(spark, sf):
+    """Rows and sums of ids of every table that the two batches have filled."""
+    store = loaded(spark, sf)[0]
+
+    def summed(name: str) -> DataFrame:
+        t = store.read(name)
+        return t.agg(F.lit(name).alias("name"), F.count("*").alias("n"), F.sum("game_id" if name == "schedule" else "team_id").alias("ids"), (F.min("game_year") if "game_year" in t.columns else F.lit(None).cast("int")).alias("first_year"))
+
+    return reduce(DataFrame.unionByName, map(summed, _LOADED))
+
+
+@register("k12_members_loaded", "SELECT * FROM members")
+def _(spark, sf):
+    return loaded(spark, sf)[0].read("members")
+
+
+@register("k13_sub_lineups_loaded", "SELECT team_id, lineup_hash, game_year, array_to_string(player_ids, '_') AS lineup_id, len(player_ids) AS num_lineup, md5(array_to_string(player_ids, '_')) AS sub_lineup_hash FROM subs")
+def _(spark, sf):
+    return loaded(spark, sf)[0].read("subs").drop("player_ids")
+
+
+_STATS = "SELECT team_id, sub_lineup_hash, game_year, array_to_string(player_ids, '_') AS player_ids, num_lineup, off_poss, off_pts, off_ppp, def_poss, def_pts, def_ppp, player_names_str FROM stats"
+
+
+def _stats(stats: DataFrame) -> DataFrame:
+    return stats.select("team_id", "sub_lineup_hash", "game_year", joined(), "num_lineup", "off_poss", "off_pts", "off_ppp", "def_poss", "def_pts", "def_ppp", "player_names_str")
+
+
+@register("k21_stats_loaded", _STATS, "stats")
+def _(spark, sf):
+    """Group totals to which the second batch was added."""
+    return _stats(loaded(spark, sf)[0].read("stats"))
+
+
+@register("k21_stats_of_games_loaded_again", _STATS, "stats")
+def _(spark, sf):
+    """Group totals after games with wrong points, one of them without its last actions, were loaded again by their ids."""
+    m, store = model(spark, sf), Store(spark, scratch(spark, "again"))
+    stale = Games(m, m.schedule)
+    odd = F.col("game_id").isin(3, 5, 13)
+    stale.__dict__["actions"] = m.actions.withColumn("parameters_points", F.when(odd, F.col("parameters_points") + 1).otherwise(F.col("parameters_points"))).where("game_id != 5 or id % 3 = 0")
+    load_games(store, stale)
+    load_games(store, m, [5, 3, 13, 21])
+    return _stats(store.read("stats"))
+
+
+@register("k19_onoff_loaded", "SELECT * FROM onoff_season WHERE on_poss >= 100")
+def _(spark, sf):
+    """Made again with the second batch, as its parents had changed."""
+    return loaded(spark, sf)[0].read("onoff_default")
+
+
+@register("a07_versions", "SELECT v AS version, ratings.* FROM ratings JOIN (VALUES (0), (1)) x(v) ON v = 1 OR game_year = 2025")
+def _(spark, sf):
+    """Ratings by a reader of version 0, opened before version 1 was committed, and by the view that followed."""
+    store, first = loaded(spark, sf)
+    store.sync()
+    return first.select(F.lit(0).alias("version"), "*").unionByName(spark.table("current_ratings").select(F.lit(1).alias("version"), "*"))
+
+
+@register("a08_refreshed_snapshot", "SELECT * FROM ratings")
+def _(spark, sf):
+    """Tables materialised twice as versions: the second time nothing has changed and none is written."""
+    store = Store(spark, scratch(spark, "snapshot"))
+    for again in (False, True):
+        m = FixtureModel(spark, sf, min_on=100, min_all=50)
+        m.__dict__["actions"] = model(spark, sf).actions
+        written = refresh(store, m, ("actions", "rosters", "schedule", "team_dict", "subs_events", "possessions", "lookup", "stints", "stamped", "long", "cube", "ratings"))
+        if bool(written) == again:
+            raise ValueError(f"written: {written}")
+    store.follow(["ratings"], "snapshot_")
+    return spark.table("snapshot_ratings")
+
+
 # ---------------------------------------------------------------- filters
 
 
@@ -305,7 +411,7 @@ _TOP_BY_GAME = f"""SELECT team_id FROM (SELECT team_id, {half_up("sum(o - d)", "
 @register("k24_opponent_top_bottom", _TOP_BY_GAME, "long")
 def _(spark, sf):
     m = model(spark, sf)
-    return onoff.opponent_top_bottom(m.long, m.games, GameFilter(start=START, end=END, opp_rank_side="top", opp_rank_n=2))
+    return onoff.opponent_top_bottom(m.cube, m.games, GameFilter(start=START, end=END, opp_rank_side="top", opp_rank_n=2))
 
 
 def _filtered_core(where: str, elig: str) -> str:

@@ -191,7 +191,7 @@ def test_invariants(spark):
     assert long.groupBy("game_id", "id", "type_lineup").count().where("count > 1").count() == 0
     assert long.where("game_id = 14").count() == 0
     assert m.actions.groupBy(*KEYS["actions_clean"]).count().where("count > 1").count() == 0
-    both = facts.lineup_totals_by_day(long, m.schedule)
+    both = facts.lineup_totals_by_day(facts.lineup_cube(long, m.schedule))
     assert both.where("total_poss < 0").count() == 0
     plan = m.stamped._jdf.queryExecution().executedPlan().toString() + m.stints._jdf.queryExecution().executedPlan().toString()
     assert "NestedLoop" not in plan and "Cartesian" not in plan
