@@ -67,10 +67,10 @@ class Stored(Model):
         self.__dict__ |= {name: store._read(entry) for name, entry in manifest["tables"].items()}
 
 
-def load_games(store: Store, source: Model, game_ids: Iterable[int] | None = None) -> int | None:
+def load_games(store: Store, source: Model, game_ids: Iterable[int] | None = None, made: Iterable[str] = SNAPSHOTS) -> int | None:
     """Load the games of the source's schedule that the store doesn't have, or the given ones, those that it has anew.
 
-    Everything is one version, which is returned; without a game to load it is the one that there was.
+    Everything is one version, which is returned; without a game to load it is the one that there was. made: the snapshots that are kept in it.
     """
     change = store.change()
     loaded = change.read("schedule") if change.has("schedule") else source.schedule.limit(0)
@@ -95,7 +95,7 @@ def load_games(store: Store, source: Model, game_ids: Iterable[int] | None = Non
         add_to_groups(change, new)
     else:
         rebuild_groups(change, sorted(set(again) | set(_parts(new.rosters))))
-    snapshots(change, source)
+    snapshots(change, source, made)
     for name in (*GAME_TABLES, *TEAM_TABLES):
         change.compact(name)
     return change.commit()

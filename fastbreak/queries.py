@@ -18,7 +18,7 @@ from .operators.filters import GameFilter, filter_by_opponent_rank, filter_games
 from .operators.groups import LineupParams
 from .operators.onoff import OnOffParams
 from .oracles import ENDED, STATES, core, half_up, lineup_filter, query, rated, sums
-from .plans import jobs
+from .plans import jobs, sql
 from .plans.load import Games, load_games, refresh
 from .plans.model import FixtureModel
 from .schemas import KEYS
@@ -33,11 +33,11 @@ START, END = date(2024, 1, 3), date(2024, 1, 26)
 WINDOW_SQL = f"game_date BETWEEN DATE '{START}' AND DATE '{END}'"
 
 
-def register(name: str, sql: str | None = None, last: str | None = None):
+def register(name: str, text: str | None = None, last: str | None = None):
     def add(f):
         QUERIES[name] = f
-        if sql is not None:
-            ORACLE_SQL[name] = query(sql, last) if last != "" else sql
+        if text is not None:
+            ORACLE_SQL[name] = query(text, last) if last != "" else text
         return f
 
     return add
@@ -279,14 +279,17 @@ def _(spark, sf):
 _LOADED = ("actions", "rosters", "schedule", "possessions", "lookup", "stints", "stamped", "long", "members", "subs", "stats", "games", "ratings")
 
 
-@register("k10_loaded_tables", " UNION ALL ".join(f"SELECT '{t}' AS name, count(*) AS n, sum({'game_id' if t == 'schedule' else 'team_id'})::BIGINT AS ids, min(game_year) AS first_year FROM {t}" if t in ("rosters", "schedule", "lookup", "members", "subs", "stats", "games", "ratings") else f"SELECT '{t}', count(*), sum(team_id)::BIGINT, NULL FROM {t}" for t in _LOADED))
+_WITH_YEARS = ("rosters", "schedule", "lookup", "members", "subs", "stats", "games", "ratings")
+
+
+@register("k10_loaded_tables", " UNION ALL ".join(f"SELECT '{t}' AS name, count(*) AS n, sum({'game_id' if t == 'schedule' else 'team_id'})::BIGINT AS ids, {'min(game_year)' if t in _WITH_YEARS else 'NULL::INT'} AS first_year FROM {t}" for t in _LOADED), "stats")
 def _(spark, sf):
     """Rows and sums of ids of every table that the two batches have filled."""
     store = loaded(spark, sf)[0]
 
     def summed(name: str) -> DataFrame:
         t = store.read(name)
-        return t.agg(F.lit(name).alias("name"), F.count("*").alias("n"), F.sum("game_id" if name == "schedule" else "team_id").alias("ids"), (F.min("game_year") if "game_year" in t.columns else F.lit(None).cast("int")).alias("first_year"))
+        return t.agg(F.lit(name).alias("name"), F.count("*").alias("n"), F.sum("game_id" if name == "schedule" else "team_id").alias("ids"), (F.min("game_year") if name in _WITH_YEARS else F.lit(None).cast("int")).alias("first_year"))
 
     return reduce(DataFrame.unionByName, map(summed, _LOADED))
 
@@ -477,6 +480,49 @@ def _(spark, sf):
     return model(spark, sf).team_ratings(GameFilter(start=START, end=END, outcome="win"))
 
 
+# ---------------------------------------------------------------- the same questions as SQL table functions
+
+
+def _asked(spark, sf, question: str) -> DataFrame:
+    sql.register(model(spark, sf))
+    return spark.sql(f"SELECT * FROM {question}")
+
+
+@register("j1_sql_onoff_compute", ORACLE_SQL["k25_onoff_compute"], "")
+def _(spark, sf):
+    return _asked(spark, sf, f"onoff_compute(DATE '{START}', DATE '{END}', NULL, 20, 40, -50D, NULL, p_game_type_csv => ' 16, 5,')")
+
+
+@register("j1_sql_onoff_top_opponents", ORACLE_SQL["k25_onoff_compute_top_opponents"], "")
+def _(spark, sf):
+    return _asked(spark, sf, f"onoff_compute(DATE '{START}', DATE '{END}', '', 0, 40, NULL, NULL, p_opp_rank_side => 'top', p_opp_rank_n => 2, p_opp_rank_metric => 'net')")
+
+
+@register("j2_sql_lineups_precomputed", ORACLE_SQL["k26_lineups_precomputed"], "")
+def _(spark, sf):
+    return _asked(spark, sf, "fetch_lineups_all(3, p_player_ids => array(102), p_player_off_ids => array(104), p_min_poss => 10, p_game_year => 2025)").drop("player_names").withColumn("player_ids", joined())
+
+
+@register("j2_sql_lineups_filtered", ORACLE_SQL["k26_lineups_filtered"], "")
+def _(spark, sf):
+    return _asked(spark, sf, f"fetch_lineups_all(2, p_start_date => DATE '{START}', p_end_date => DATE '{END}', p_min_poss => 10, p_home_away => 'away')").drop("player_names").withColumn("player_ids", joined())
+
+
+@register("j2_sql_five_players_filtered", ORACLE_SQL["k26_five_players_filtered"], "")
+def _(spark, sf):
+    return _asked(spark, sf, "fetch_lineups_all(5, p_min_poss => 5, p_opp_rank_side => 'bottom', p_opp_rank_n => 2)").drop("player_names").withColumn("player_ids", joined())
+
+
+@register("j3_sql_lineups_csv", ORACLE_SQL["k27_lineups_csv"], "")
+def _(spark, sf):
+    return _asked(spark, sf, "fetch_lineups_csv(2, ' 3, 1,,1 ', ' ', NULL, true, NULL, NULL, 20)").drop("player_names").withColumn("player_ids", joined())
+
+
+@register("j4_sql_team_ratings", rated(sums(f"(SELECT * FROM games WHERE {WINDOW_SQL} AND game_year = 2025 AND has_won IS NOT DISTINCT FROM true)", "g.game_id = l.game_id AND g.team_id = l.team_id")), "long")
+def _(spark, sf):
+    return _asked(spark, sf, f"get_team_ratings_dynamic(2025, DATE '{START}', DATE '{END}', p_outcome => 'win')")
+
+
 # ---------------------------------------------------------------- reports
 
 
