@@ -42,7 +42,7 @@ THRESHOLD = 0.7
 COMMON, ALIKE = 0.02, 0.7
 #: Lengths of the prefixes that count as features.
 PREFIXES = (4, 5, 6, 7)
-#: Words with the same prefix are dense in a text if there is one in so many tokens.
+#: Different words with the same prefix are dense in a text if one in so many tokens is one of them.
 DENSE = 120
 #: Letters of the language model; anything else is one further symbol, and "^" stands before and after a word.
 LETTERS = "^abcdefghijklmnopqrstuvwxyzßàáâäçèéêëíîïñóôöùúûü"
@@ -177,17 +177,24 @@ class Restorer:
         return [self.decode(m[0]) for m in SPACED.finditer(lowered) if SPEAKS.search(m[0])]
 
 
-def features_of(words: set[str], tokens: int) -> set[str]:
-    """Of a text's distinct words: each, its prefixes, and prefixes that 2 or 3 of them share, or 2 and one in DENSE tokens."""
-    words = {w for w in words if len(w) > 2}
-    shared = Counter(w[:n] + "*" for w in words for n in PREFIXES if len(w) >= n)
-    out = words | shared.keys()
+def features_of(words: dict[str, int], tokens: int) -> set[str]:
+    """Of a text's words, with the tokens that each is in: each, its prefixes, and prefixes that 2 or 3 of them share,
+    or 2 that are one in DENSE tokens together."""
+    words = {w: n for w, n in words.items() if len(w) > 2}
+    shared: Counter[str] = Counter()
+    often: Counter[str] = Counter()
+    for w, times in words.items():
+        for n in PREFIXES:
+            if len(w) >= n:
+                shared[w[:n] + "*"] += 1
+                often[w[:n] + "*"] += times
+    out = words.keys() | shared.keys()
     for prefix, n in shared.items():
         if n > 1:
             out.add(prefix + "2")
             if n > 2:
                 out.add(prefix + "3")
-            if n * DENSE >= tokens:
+            if often[prefix] * DENSE >= tokens:
                 out.add(prefix + "d")
     return out
 
@@ -209,7 +216,10 @@ def _count_features(model: np.ndarray):
             for ident, text, label in zip(batch.column(0).to_pylist(), texts(batch.column(1)), batch.column(2).to_pylist(), strict=True):
                 lowered = text.lower()
                 tokens = lowered.split()
-                seen = features_of({restorer.word(t) for t in set(tokens)} | set(restorer.spaced(lowered)), len(tokens))
+                words = Counter(restorer.spaced(lowered))
+                for t, n in Counter(tokens).items():
+                    words[restorer.word(t)] += n
+                seen = features_of(words, len(tokens))
                 if label:
                     for f in seen:
                         toxic.setdefault(f, []).append(ident)
@@ -286,16 +296,20 @@ class Scorer:
     def score(self, text: str) -> float:
         lowered = text.lower()
         tokens = lowered.split()
-        distinct = set(tokens)
+        distinct = Counter(tokens)
         if len(self.hits) > REMEMBERED:
             self.hits = {}
         hits = self.hits
         for t in distinct:
             if t not in hits:
                 hits[t] = self.wanted(self.restorer.word(t))
-        words = {hits[t] for t in distinct}
+        words: Counter[str] = Counter()
+        for t, n in distinct.items():
+            if hit := hits[t]:
+                words[hit] += n
         for run in self.restorer.spaced(lowered):  # where the word begins is not marked
-            words |= {self.wanted(run)} | {w for w in self.words if w in run}
+            for w in {self.wanted(run)} | {w for w in self.words if w in run}:
+                words[w] += 1
         found = sorted(features_of(words, len(tokens)) & self.weights.keys())
         return 1.0 - (1.0 - self.base) * math.prod(1.0 - self.weights[f] for f in found)
 

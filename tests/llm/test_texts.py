@@ -260,12 +260,13 @@ def test_tokens_of_any_length_and_of_signs(spark):
     assert [got[i] for i in range(5)] == [True, True, True, False, False]
 
 
-def test_recall_on_the_given_labels(spark):
-    """Held-out rows of the given tables. Some toxic rows hold no toxic word, so not all are found."""
-    sf = "/root/testdata/sf0.01"
+@pytest.mark.parametrize(("sf", "least"), [("sf0.01", 0.8), ("sf0.1", 0.9)])
+def test_recall_on_the_given_labels(spark, sf, least):
+    """Held-out rows of the given tables, 18 toxic ones in the smaller. Some toxic rows hold no toxic word, so not all are found."""
+    sf = f"/root/testdata/{sf}"
     rows = toxicity.query(spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet").where("toxic is not null"), "doc_id").where("held_out")
     n = {(r.toxic, r.predicted): r["count"] for r in rows.groupBy("toxic", "predicted").count().collect()}
-    assert n.get((0, 1), 0) <= 0.01 * n[0, 0] and n.get((1, 1), 0) >= 0.8 * (n.get((1, 1), 0) + n.get((1, 0), 0))
+    assert n.get((0, 1), 0) <= 0.01 * n[0, 0] and n.get((1, 1), 0) >= least * (n.get((1, 1), 0) + n.get((1, 0), 0))
 
 
 def test_toxicity_without_labels_or_rows(spark):
