@@ -15,12 +15,14 @@ WHOLE = (Window.unboundedPreceding, Window.unboundedFollowing)
 def lineups_lookup(rosters: DataFrame, subs: DataFrame) -> DataFrame:
     """Every rostered player at every substitution of the team, with what is known of them and the lineup then.
 
-    Of several substitutions at one clock reading the last counts. The fan-out is the size of a roster.
+    Of several substitutions at one clock reading the last counts. The fan-out is the size of a roster, so both inputs
+    are dealt by game before it; the join and all windows find their rows where they are.
     """
-    players = rosters.select("player_id", "game_id", "team_id", "game_year").distinct()
-    events = subs.select("game_id", "team_id", "id", "quarter", "quarter_time", "end_game_seconds_remaining", "user_time", "parameters_player_in", "parameters_player_out")
+    players = rosters.select("player_id", "game_id", "team_id", "game_year").repartition("game_id").distinct()
+    events = subs.repartition("game_id").select("game_id", F.col("team_id").alias("of_team"), "id", "quarter", "quarter_time", "end_game_seconds_remaining", "user_time", "parameters_player_in", "parameters_player_out")
     order = ["id", "quarter", F.desc("end_game_seconds_remaining"), "user_time"]
-    rows = players.join(events, ["game_id", "team_id"]).repartition("game_id")  # serves all windows
+    # The team is no key of the join: rows would have to be dealt by it too.
+    rows = players.join(events, "game_id").where("team_id - of_team = 0").drop("of_team")
     rows = rows.withColumn("is_on", F.expr("case when player_id = parameters_player_in then 1 when player_id = parameters_player_out then 0 end"))
     by_player = Window.partitionBy("game_id", "player_id").orderBy(*order)
     rows = rows.withColumns({"is_on": F.last("is_on", ignorenulls=True).over(by_player.rowsBetween(Window.unboundedPreceding, 0)), "nth": F.row_number().over(by_player)})
