@@ -87,5 +87,10 @@ def test_plans_on_written_tables(spark, tmp_path):
         stamped = fresh.stamped
         assert exchanges(stamped)[:2] == (1, 0)
         assert stamped.where(F.col("segment_id").isNotNull()).count() > 0
+        fresh.materialise(str(tmp_path / "more"), ("schedule", "stamped", "long"))
+        assert exchanges(fresh.advanced)[0] <= 8
+        fresh.materialise(str(tmp_path / "more"), ("cube", "members", "subs"))
+        # From the cube, not from the actions: seven for the groups' sums and names.
+        assert exchanges(fresh.stats)[2] < 20 and "long" not in " ".join(fresh.stats.inputFiles())
     finally:
         spark.conf.set("spark.sql.adaptive.enabled", "true")
