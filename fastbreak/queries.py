@@ -12,9 +12,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions.ids import csv_ids_column
-from .functions.windows import percent_rank
+from .functions.windows import percent_rank, with_percent_rank
 from .operators import clean, groups, lineups, onoff, possessions, report
-from .operators.filters import GameFilter, filter_by_opponent_rank, filter_games
+from .operators.filters import GameFilter, filter_by_opponent_rank, filter_games, season_bounds
 from .operators.groups import LineupParams
 from .operators.onoff import OnOffParams
 from .oracles import ENDED, STATES, core, half_up, lineup_filter, query, rated, sums
@@ -23,7 +23,7 @@ from .plans.load import Games, load_games, refresh
 from .plans.model import FixtureModel
 from .schemas import KEYS
 from .sources import fixture
-from .sources.feeds import append, games_to_load, merge_by_key, play_by_play_actions, read_play_by_play, read_schedule, unseen, write_merged
+from .sources.feeds import BROKEN, NO_ACTIONS, NO_GAME, NO_TEAMS, TWICE, append, export_csv, quarantine, quarantined, read_checked, games_to_load, merge_by_key, play_by_play_actions, read_play_by_play, read_schedule, unseen, write_merged
 from .sources.store import Store
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -105,6 +105,43 @@ def _(spark, sf):
     return clean.clean_actions(play_by_play_actions(read_play_by_play(spark, path, lines=True))).select(*ACTION_COLUMNS.split(", "), "parameters_made", "parameters_type", "parameters_points")
 
 
+def _damaged(spark: SparkSession, sf_dir: str) -> str:
+    """All documents landed as lines: some cut off, some without a game's id, teams or actions, some twice, one no object."""
+    documents = fixture.documents(model(spark, sf_dir).events).select("result", F.col("result.gameInfo.gameId").alias("g"))
+    info = F.col("result.gameInfo")
+    plain = F.to_json(F.struct("result"))
+    text = (
+        F.when(F.col("g") % 6 == 0, F.substring(plain, 1, 200))
+        .when(F.col("g") % 6 == 1, F.to_json(F.struct(F.struct(info.dropFields("gameId").alias("gameInfo"), "result.actions").alias("result"))))
+        .when(F.col("g") % 6 == 2, F.to_json(F.struct(F.struct(info.dropFields("awayTeam").alias("gameInfo"), "result.actions").alias("result"))))
+        .when(F.col("g") % 6 == 3, F.to_json(F.struct(F.struct(info.alias("gameInfo"), F.slice("result.actions", 1, 0).alias("actions")).alias("result"))))
+        .otherwise(plain)
+    )
+    rows = documents.select(F.explode(F.when(F.col("g") % 6 == 4, F.array(text, text)).otherwise(F.array(text))).alias("value"))
+    path = scratch(spark, "damaged")
+    rows.write.text(path)
+    spark.createDataFrame([('{"result": {"gameInfo": {"gameId": "x"}}}',)], "value string").write.mode("append").text(path)
+    return path
+
+
+_KINDS = [(0, BROKEN), (1, NO_GAME), (2, NO_TEAMS), (3, NO_ACTIONS), (4, TWICE)]
+
+
+@register("a02_quarantined", "SELECT * FROM (" + " UNION ALL ".join(f"SELECT '{reason}' AS reason, count(*) + {int(k == 0)} AS n FROM schedule WHERE game_id % 6 = {k}" for k, reason in _KINDS) + ") WHERE n > 0", "schedule")
+def _(spark, sf):
+    """Damaged documents by reason."""
+    path = scratch(spark, "quarantine")
+    quarantine(read_checked(spark, _damaged(spark, sf), lines=True), path)
+    return quarantined(spark, path)
+
+
+@register("a02_good_documents", f"SELECT {ACTION_COLUMNS} FROM actions WHERE game_id % 6 >= 4", "actions")
+def _(spark, sf):
+    """Actions of the documents that are not damaged, each game once."""
+    good = quarantine(read_checked(spark, _damaged(spark, sf), lines=True), scratch(spark, "quarantine"))
+    return clean.clean_actions(play_by_play_actions(good)).select(*ACTION_COLUMNS.split(", "))
+
+
 @register("k02_first_of_repeated", f"SELECT {ACTION_COLUMNS} FROM actions", "actions")
 def _(spark, sf):
     """Every action comes again later with other points; the first one counts."""
@@ -619,6 +656,29 @@ def _(spark, sf):
     return model(spark, sf).team_ratings(GameFilter(game_year=2026))
 
 
+@register("a09_report_csv", "SELECT team, players, total_poss, plus_minus, off_ppp, def_ppp, net_rtg, sub_lineup_hash FROM (" + _REPORT + ")", "stats")
+def _(spark, sf):
+    """The lineup report, written as CSV in its order and read again."""
+    path = f"{scratch(spark, 'report')}/csv"
+    export_csv(_report(spark, sf), path, [F.desc("total_poss"), "sub_lineup_hash"])
+    rows = spark.read.schema("team string, players string, total_poss long, plus_minus long, off_poss long, def_poss long, off_pts long, def_pts long, off_ppp double, def_ppp double, net_rtg double, num_lineup short, sub_lineup_hash string").option("header", True).csv(path)
+    return rows.select("team", "players", "total_poss", "plus_minus", "off_ppp", "def_ppp", "net_rtg", "sub_lineup_hash")
+
+
+@register("g06_lineups_settled", f"{_PRECOMPUTED} WHERE num_lineup = 3 AND list_contains(player_ids, 101) AND NOT list_contains(player_ids, 103) AND NOT list_contains(player_ids, 104) AND off_poss + def_poss >= 10", "stats")
+def _(spark, sf):
+    """Player 103 was put into the list of those off court last, and so leaves the other one."""
+    return _lineups(spark, sf, LineupParams.chosen(3, [101, 103], [104, 103], "off", min_poss=10))
+
+
+@register("h21_season_of_orders", "SELECT o_orderkey, y AS game_year FROM orders JOIN (SELECT unnest(range(1990, 2000)) AS y) ON o_orderdate BETWEEN make_date(y - 1, 10, 1) AND make_date(y, 7, 1)", "")
+def _(spark, sf):
+    """Orders of each season, by the bounds that seasons have unless a source says otherwise."""
+    orders = spark.read.parquet(f"{sf}/orders.parquet").select("o_orderkey", F.to_date("o_orderdate").alias("day"))
+    season = F.coalesce(*(F.when(F.col("day").between(*season_bounds(y)), y) for y in range(1990, 2000)))
+    return orders.select("o_orderkey", season.alias("game_year")).where("game_year is not null")
+
+
 # ---------------------------------------------------------------- primitives on the base tables
 
 
@@ -638,6 +698,13 @@ def _(spark, sf):
     return s.select("s_suppkey", percent_rank(F.when(F.col("s_suppkey") % 5 != 0, F.col("s_acctbal")), ["s_nationkey"]).alias("pr"))
 
 
+@register("e03_percent_rank_of_line_items", "SELECT l_linenumber, l_extendedprice, count(*) AS n, max(pr) AS pr FROM (SELECT *, percent_rank() OVER (PARTITION BY l_linenumber ORDER BY l_extendedprice NULLS LAST) AS pr FROM lineitem) GROUP BY ALL", "")
+def _(spark, sf):
+    """Among all line items of a number: groups that are a large part of the table."""
+    items = spark.read.parquet(f"{sf}/lineitem.parquet").select("l_linenumber", "l_extendedprice")
+    return with_percent_rank(items, F.col("l_extendedprice"), ["l_linenumber"], "pr").groupBy("l_linenumber", "l_extendedprice").agg(F.count("*").alias("n"), F.max("pr").alias("pr"))
+
+
 @register("e12_latest_row_per_key", "SELECT l_orderkey, l_linenumber, max(l_shipdate) AS l_shipdate FROM lineitem GROUP BY ALL", "")
 def _(spark, sf):
     items = spark.read.parquet(f"{sf}/lineitem.parquet").select("l_orderkey", "l_linenumber", "l_shipdate")

@@ -13,6 +13,42 @@ from pyspark.sql import types as T
 from ..schemas import PLAY_BY_PLAY, SCHEDULE_FEED
 
 
+#: Why a landed document can't be loaded.
+BROKEN, NO_GAME, NO_TEAMS, NO_ACTIONS, TWICE = "not JSON of the feed", "no game id", "not two teams", "no actions", "another document has the game"
+
+
+def read_checked(spark: SparkSession, paths: str | list[str], lines: bool = False) -> DataFrame:
+    """Landed game documents (result) with file, text of those that can't be parsed, and reason: null for good ones.
+
+    A document is damaged too if a value isn't of its type. Of several documents of one game the first by file and
+    content is good.
+    """
+    reader = spark.read.schema(f"{PLAY_BY_PLAY}, damaged string").option("columnNameOfCorruptRecord", "damaged")
+    rows = reader.json(paths, multiLine=not lines).withColumn("file", F.input_file_name())
+    info = "result.gameInfo"
+    fault = (
+        F.when(F.col("damaged").isNotNull(), BROKEN).when(F.col(f"{info}.gameId").isNull(), NO_GAME)
+        .when(F.col(f"{info}.homeTeam.id").isNull() | F.col(f"{info}.awayTeam.id").isNull(), NO_TEAMS)
+        .when(F.coalesce(F.size("result.actions"), F.lit(0)) <= 0, NO_ACTIONS)
+    )
+    rows = rows.withColumn("fault", fault)
+    nth = F.row_number().over(Window.partitionBy(F.col(f"{info}.gameId")).orderBy("file", F.xxhash64("result")))
+    good = rows.where("fault is null").withColumn("fault", F.when(nth > 1, TWICE))
+    return good.unionByName(rows.where("fault is not null")).withColumnRenamed("fault", "reason")
+
+
+def quarantine(checked: DataFrame, path: str) -> DataFrame:
+    """Append the documents that have a reason to the table under path, with the time; returns the good ones (result)."""
+    bad = checked.where("reason is not null").select("file", "reason", F.coalesce("damaged", F.to_json("result")).alias("document"), F.current_timestamp().alias("at"))
+    append(bad, path)
+    return checked.where("reason is null").select("result")
+
+
+def quarantined(spark: SparkSession, path: str) -> DataFrame:
+    """(reason, n) of what lies in quarantine."""
+    return spark.read.parquet(path).groupBy("reason").agg(F.count("*").alias("n"))
+
+
 def read_play_by_play(spark: SparkSession, paths: str | list[str], lines: bool = False) -> DataFrame:
     """One row per landed game document: a file each, or with lines a line each, so that large files are split."""
     return spark.read.schema(PLAY_BY_PLAY).json(paths, multiLine=not lines)
