@@ -385,6 +385,7 @@ def contexts(docs: DataFrame, spans: DataFrame, opened: Callable, window: int, l
     release(spans.sparkSession)  # the records' shuffle
     sizes = sizes.select("key", (F.floor(F.col("windows") * window / limit) + 1).cast("long").alias("parts"))
     few = sizes.limit(SPLIT + 1).collect()
+    release(spans.sparkSession)  # again: events that were still being handled may have held on to it
     split = {r["key"]: r["parts"] for r in few} if len(few) <= SPLIT else None
     spans = spans.where("doc is not null")
     # Both lists of a document are in the order in which its rows come.
