@@ -208,9 +208,11 @@ def _least_of_groups(rows: DataFrame, key: str, most: int) -> DataFrame:
 
 def simhash_groups(df: DataFrame, ident: str = "doc_id", text: str = "text", most: int = 3) -> DataFrame:
     """(ident, fingerprint: 16 hex digits, component_id: smallest ident reachable by links) for each row."""
-    rows = checkpoint(with_fingerprint(df.select(ident, text), text, "print").select(ident, "print"))
-    named = _least_of_groups(rows, ident, most).withColumnRenamed("least", "component_id")
-    return rows.join(named, "print").select(ident, F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id")
+    # Names of its own: the given ones may be any.
+    rows = df.select(F.col(f"`{ident}`").alias("key"), F.col(f"`{text}`").alias("said"))
+    rows = checkpoint(with_fingerprint(rows, "said", "print").select("key", "print"))
+    named = _least_of_groups(rows, "key", most)
+    return rows.join(named, "print").select(F.col("key").alias(ident), F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), F.col("least").alias("component_id"))
 
 
 def smallest_of_groups(df: DataFrame, ident: str = "doc_id", text: str = "text", most: int = 3) -> DataFrame:

@@ -489,6 +489,14 @@ def test_one_row_of_each_group_stays(spark):
     assert simhash.smallest_of_groups(df.limit(0)).collect() == []
 
 
+@pytest.mark.parametrize(("ident", "text"), [("print", "fingerprint"), ("component", "least"), ("key", "said"), ("node", "u")])
+def test_simhash_columns_may_have_any_names(spark, ident, text):
+    rows = [(3, "the same words are here"), (1, "the same words are here"), (2, "quite other ones stand there"), (4, None)]
+    df = spark.createDataFrame([(*r, 0, 0) for r in rows], f"{ident} long, {text} string, root long, v long")
+    got = {r[0]: r[2] for r in simhash.simhash_groups(df, ident, text).collect()}
+    assert got == {1: 1, 2: 2, 3: 1, 4: 4}
+
+
 # ---------------------------------------------------------------- pipeline
 
 
