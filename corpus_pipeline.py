@@ -6,15 +6,18 @@ the same id are told apart by their texts; rows without id are treated like othe
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fastbreak.llm.common import checkpoint, free_name, table
+from fastbreak.llm.common import free_name, shared_folder, table
 from fastbreak.llm.packing import pack
 from fastbreak.llm.secrets import scan_secrets
 from fastbreak.llm.simhash import smallest_of_groups
 from fastbreak.llm.suffix_array import remove_repeats
 from fastbreak.llm.toxicity import THRESHOLD, fit_toxicity, score_toxicity
+from fastbreak.sources.feeds import exists
 
 
 def _measured(docs: DataFrame, columns: list[str]) -> DataFrame:
@@ -61,9 +64,16 @@ STAGES = [
 ORACLE_SQL = None
 
 
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the whole documents table."""
+def run(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFrame:
+    """All stages over the whole documents table.
+
+    path: a folder that the driver and all executors share, a new one if it is not given. A stage that is written
+    there already is not computed again, so a run that has died goes on where it was.
+    """
+    path = path or f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     docs = table(spark, sf_dir, "documents")
-    for _, stage in STAGES[:-1]:
-        docs = checkpoint(stage(spark, docs, sf_dir))
+    for name, stage in STAGES[:-1]:
+        if not exists(spark, f"{path}/{name}"):
+            stage(spark, docs, sf_dir).write.mode("overwrite").parquet(f"{path}/{name}")
+        docs = spark.read.parquet(f"{path}/{name}")
     return STAGES[-1][1](spark, docs, sf_dir)
