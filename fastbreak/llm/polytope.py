@@ -212,6 +212,8 @@ def nearest_neighbours(df: DataFrame, asked: Column, ident: str = "vec_id", vect
     # Those that found too few are compared with all.
     enough = found.where(F.col("rank") == nearest).select(F.col("query_id").alias("vec_id"))
     short = queries.join(enough, "vec_id", "left_anti")
+    if short.isEmpty():
+        return found.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
     rest = _nearest(_found(residents, short, 1, _BUCKETS, nearest), nearest)
     out = found.join(short.select(F.col("vec_id").alias("query_id")).distinct(), "query_id", "left_anti").unionByName(rest)
     return out.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
