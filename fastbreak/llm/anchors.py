@@ -131,7 +131,7 @@ def _send(symbols_of: Callable, window: int, k: int, buckets: int):
     def rows_of(docs, marks, found, known: bool, deal: int):
         doc, start, n, anchor, left, right = found
         bucket = (anchor.view(np.uint64) >> np.uint64(32)).astype(np.int64) % buckets
-        order = np.argsort(bucket, kind="stable")
+        order = np.argsort(bucket)
         edges = np.searchsorted(bucket[order], np.arange(buckets + 1))
         for b in np.flatnonzero(np.diff(edges)):
             mine = np.sort(order[edges[b] : edges[b + 1]])  # by document and place: long runs of equal numbers compress
@@ -178,7 +178,7 @@ def _with(anchor: np.ndarray, side: np.ndarray) -> np.ndarray:
 
 def _agree(what: np.ndarray, doc: np.ndarray) -> np.ndarray:
     """Records for which another document has the same."""
-    by = np.argsort(what, kind="stable")
+    by = np.argsort(what)
     starts, ends = run_bounds(what[by])
     several = np.minimum.reduceat(doc[by], starts) < np.maximum.reduceat(doc[by], starts)
     out = np.zeros(len(what), bool)
@@ -193,7 +193,7 @@ def _keys(anchor: np.ndarray, doc: np.ndarray, start: np.ndarray, n: np.ndarray,
     keep = keep[wild | _agree(_with(anchor[keep], left[keep]), doc[keep]) | _agree(_with(anchor[keep], right[keep]), doc[keep])] if len(keep) else keep
     if not len(keep):
         return keep, keep
-    by = keep[np.argsort(anchor[keep], kind="stable")]
+    by = keep[np.argsort(anchor[keep])]
     starts, ends = run_bounds(anchor[by])
     sizes = ends - starts
     least = np.minimum.reduceat(doc[by], starts)
