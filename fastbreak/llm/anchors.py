@@ -38,7 +38,7 @@ INVERSE = pow(BASE, -1, 2**64)
 #: Bytes of contents that a task remembers to settle equal ones before they are shuffled.
 KNOWN = 10_000_000
 #: Characters of text that one slice of records is made from, unless a single text is longer.
-SENT = 1_000_000
+SENT = 700_000
 #: Places of a leader that share a key; most records of an anchor that is keyed by its leader.
 BLOCK, FEW = 512, 32
 #: Documents of one slice from which an anchor with one side, or with any, is told of rather than sent.

@@ -33,7 +33,7 @@ from .common import run_bounds, spread, table, texts, tidy, whole_runs
 #: Bytes of the strings that may not repeat, and of the anchors in them.
 WINDOW, ANCHOR = 50, 16
 #: Bytes that are looked through at once, that suffix arrays are built over at once, and that one anchor brings to a task.
-CHUNK, BUILT, LIMIT = 400_000, 1_000_000, 1_000_000
+CHUNK, BUILT, LIMIT = 400_000, 700_000, 1_000_000
 #: Arrays of similar length that are built side by side, at least; fewer are built one by one.
 LANES = 16
 #: Of a key's sequences, the longest ones that others may be part of.
