@@ -1,11 +1,9 @@
 """Best-fit packing of tokenised documents into sequences, in bulk steps.
 
-Documents are tokenised where they are read; only pieces (five numbers each) are shuffled. Best fit by descending
-length depends on how many pieces there are of each length alone, at most 4096 counts whatever the input. On these
-the steps are planned: all pieces of a length go to the smallest gaps they fit in (the successors), gaps shrink, and
-the step repeats until the pieces are placed; new sequences open where no gap is left. Pieces get their rank among
-those of their length from a range sort and the partitions' counts, and the plan says where that rank lies. All
-pieces of a table are packed against the same gaps, and the result is that of one pass over all of them.
+Documents are tokenised where they are read; only pieces (a few numbers each) are shuffled. Pieces and gaps are rows
+that are range-sorted by size together; sweeps over the partitions, and over what these leave to each other, match
+pieces with their successors, conflicts are resolved by rank, gaps shrink, and the round repeats with what is left.
+All pieces of a table are packed against the same gaps. The driver sees counts: of lengths, and two a partition.
 
 Defined cases: a null or empty text is the closing id alone; only texts longer than a sequence are cut; repeated
 rows are packed each; a row without id is packed too; other columns are not needed and not read.
@@ -18,18 +16,18 @@ import unicodedata
 import zlib
 from array import array
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import regex
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from .common import checkpoint, run_bounds, slices, table, texts
+from .common import checkpoint, slices, table, texts
 
 #: Ids a sequence holds, and the id that closes a document.
 CAPACITY, CLOSE = 4096, 1
@@ -121,104 +119,165 @@ def token_pieces(df: DataFrame, ident: str = "doc_id", text: str = "text", path:
     return df.select(F.col(ident).cast("long"), text).mapInArrow(run, _PIECES)
 
 
-#: Of lengths, more than the ranks of one.
-_LENGTH = 1 << 48
+#: A gap (0) comes before a piece (1) of its size; rows are dealt by the numbers given to them, so equal rows are spread.
+_GAP, _PIECE = 0, 1
+_ROW = f"kind int, row long, {_PIECES}, sequence_id long, offset long"
+_SWEPT = f"{_ROW}, part int, nth long, many long"
+_COLUMNS = [c.split()[0] for c in _PIECES.split(", ")]
 
 
-def plan(counts: np.ndarray, capacity: int = CAPACITY) -> np.ndarray:
-    """Rows (length and first rank as one number, first rank, sequence, pieces in each sequence, offset) in ascending order.
+def _sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Match the rows of one partition, largest first: a piece takes a place of the last gap before it that has any.
 
-    counts: pieces of each length from 0 to the capacity. Gaps of a size are a stack of intervals of sequences.
+    Gaps come at the end, with the places they have left (many) and how many are left in those before (nth). A piece
+    that found no gap here is numbered (nth) and has no sequence.
     """
-    rows = []
-    gaps: dict[int, list[tuple[int, int]]] = {}
-    open_gaps = 0  # bit g: there are gaps of size g
-    opened = 0
-    for size in np.flatnonzero(counts)[::-1].tolist():
-        rank, left = 0, int(counts[size])
-        while left:
-            fitting = open_gaps >> size
-            gap = size + (fitting & -fitting).bit_length() - 1 if fitting else capacity
-            each = gap // size
-            need = -(-left // each)
-            if fitting:
-                first, many = gaps[gap].pop()
-                taken = min(need, many)
-                if taken < many:
-                    gaps[gap].append((first + taken, many - taken))
-                elif not gaps[gap]:
-                    open_gaps &= ~(1 << gap)
-            else:
-                first, taken = opened, need
-                opened += need
-            rows.append((size * _LENGTH + rank, rank, first, each, capacity - gap))
-            now = min(left, each * taken)
-            last = now - each * (taken - 1)  # pieces in the last sequence
-            for rest, start, many in ((gap - each * size, first, taken - 1), (gap - last * size, first + taken - 1, 1)):
-                if rest and many:
-                    gaps.setdefault(rest, []).append((start, many))
-                    open_gaps |= 1 << rest
-            rank, left = rank + now, left - now
-    return np.array(sorted(rows), np.int64).reshape(-1, 5)
-
-
-def places(lengths: np.ndarray, ranks: np.ndarray, steps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Sequence and offset of pieces, by their ranks among those of their length."""
-    if not len(lengths):
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    _, first, sequence, each, offset = steps[np.searchsorted(steps[:, 0], lengths * _LENGTH + ranks, "right") - 1].T
-    nth = ranks - first
-    return sequence + nth // each, offset + nth % each * lengths
-
-
-def best_fit(lengths: np.ndarray, capacity: int = CAPACITY) -> tuple[np.ndarray, np.ndarray]:
-    """Sequence and offset of each piece; no length is over the capacity."""
-    ranks = np.zeros(len(lengths), np.int64)
-    order = np.argsort(lengths, kind="stable")
-    starts, ends = run_bounds(lengths[order])
-    if len(starts):
-        ranks[order] = np.arange(len(lengths)) - np.repeat(starts, ends - starts)
-    return places(lengths, ranks, plan(np.bincount(lengths, minlength=capacity + 1), capacity))
-
-
-def _ranked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Add the partition's number and the rank among its pieces of the same length; pieces come by length."""
-    part, last, many = TaskContext.get().partitionId(), -1, 0
+    part = TaskContext.get().partitionId()
+    names = [c.split()[0] for c in _SWEPT.split(", ")]
+    gaps: list[list[int]] = []
+    free: list[int] = []  # gaps that have places left, the smallest on top
+    alone = 0
     for batch in batches:
-        lengths = batch.column("length").to_numpy()
-        starts, ends = run_bounds(lengths)
-        if not len(lengths):
-            continue
-        nth = np.arange(len(lengths)) - np.repeat(starts, ends - starts)
-        if lengths[0] == last:
-            nth[: ends[0]] += many
-        last, many = lengths[-1], nth[-1] + 1
-        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(len(lengths), part, np.int32)), pa.array(nth)], [*batch.schema.names, "part", "nth"])
+        kinds, rows, lengths, places, sequences = (batch.column(c).to_pylist() for c in ("kind", "row", "length", "places", "sequence_id"))
+        nth: list[int] = []
+        for k, kind in enumerate(kinds):
+            if kind == _GAP:
+                if places[k]:
+                    free.append(len(gaps))
+                gaps.append([rows[k], lengths[k], sequences[k], places[k]])
+            elif free:
+                gap = gaps[free[-1]]
+                sequences[k] = gap[2]
+                gap[3] -= 1
+                if not gap[3]:
+                    free.pop()
+                nth.append(0)
+            else:
+                nth.append(alone)
+                alone += 1
+        found = pa.RecordBatch.from_arrays([*batch.columns[:7], pa.array(sequences, pa.int64()), batch.column("offset")], names[:9])
+        found = found.filter(pa.array([k == _PIECE for k in kinds], pa.bool_()))
+        n = len(nth)
+        yield pa.RecordBatch.from_arrays([*found.columns, pa.array(np.full(n, part, np.int32)), pa.array(nth, pa.int64()), pa.array(np.zeros(n, np.int64))], names)
+    below = 0
+    for at in range(0, len(gaps), 10_000):
+        some = gaps[at : at + 10_000]
+        rows, lengths, sequences, many = (np.array(c, np.int64) for c in zip(*some, strict=True))
+        before = below + np.cumsum(many) - many
+        below += int(many.sum())
+        none = [pa.nulls(len(some), t) for t in (pa.int64(), pa.int32(), pa.int64())]
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), _GAP, np.int32)), pa.array(rows), *none, pa.array(lengths), pa.nulls(len(some), pa.int64()), pa.array(sequences), pa.nulls(len(some), pa.int64()), pa.array(np.full(len(some), part, np.int32)), pa.array(before), pa.array(many)], names)
+
+
+def _levels(found: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """Of each partition: the places that are free when it begins, and how far later partitions use them up.
+
+    found: partition, pieces without gap, and places left, in the order of the sweep. Free places are numbered like the
+    entries of a stack: a piece takes the highest number, and a number that is used again belongs to a later gap.
+    """
+    rows, level = [], 0
+    for part, alone, left in found:
+        rows.append((part, level, level - alone))
+        level += left - alone
+    out, lowest = [], 1 << 60
+    for part, level, low in reversed(rows):
+        out.append((part, level, lowest))
+        lowest = min(lowest, low)
+    return out[::-1]
+
+
+def _across(swept: DataFrame) -> DataFrame:
+    """Rows of _ROW of the swept rows, after pieces without a gap have taken places that earlier partitions have left."""
+    names = [c.split()[0] for c in _ROW.split(", ")]
+    lonely = (F.col("kind") == _PIECE) & F.col("sequence_id").isNull()
+    # One row a partition.
+    found = swept.groupBy("part").agg(F.count_if(lonely).alias("alone"), F.sum("many").alias("left")).orderBy("part").collect()
+    levels = _levels([tuple(r) for r in found])
+    if not any(level + r["left"] - r["alone"] > low for r, (_, level, low) in zip(found, levels, strict=True)):
+        return swept.select(names)
+    rows = [(part, level, level - r["alone"], low) for r, (part, level, low) in zip(found, levels, strict=True)]
+    known = F.broadcast(swept.sparkSession.createDataFrame(rows, "part int, level long, rest long, low long"))
+    asked = swept.where(lonely).join(known, "part").select(*names, "part", (F.col("level") - F.col("nth")).alias("level"))
+    # A number for each place that a later partition uses, so there are as many as pieces that take one.
+    first, last = F.greatest(F.col("rest") + F.col("nth"), F.col("low")) + 1, F.col("rest") + F.col("nth") + F.col("many")
+    left = swept.where((F.col("kind") == _GAP) & (F.col("many") > 0)).join(known, "part").where(first <= last)
+    left = left.select(*names, "part", F.explode(F.sequence(first, last)).alias("level"))
+    # At most two rows of each partition have the same level: in the sweep's order a piece, then a place.
+    before = F.lag("sequence_id").over(Window.partitionBy("level").orderBy("part", F.col("kind").desc()))
+    taken = asked.unionByName(left).withColumn("sequence_id", F.when(F.col("kind") == _PIECE, before).otherwise(F.col("sequence_id")))
+    return swept.where(~lonely).select(names).unionByName(taken.where(F.col("kind") == _PIECE).select(names))
+
+
+def _counts(state: DataFrame) -> dict[int, np.ndarray]:
+    """How many gaps (by what is used) and pieces without a sequence (by length) there are: counts by length, whatever the input."""
+    found = state.where((F.col("kind") == _GAP) | F.col("sequence_id").isNull()).groupBy("kind", "length").count().collect()
+    most = max([r["length"] for r in found], default=0)
+    counts = {k: np.zeros(most + 1, np.int64) for k in (_GAP, _PIECE)}
+    for r in found:
+        counts[r["kind"]][r["length"]] = r["count"]
+    return counts
 
 
-def pack(df: DataFrame, ident: str = "doc_id", text: str = "text", path: str | None = None, capacity: int = CAPACITY) -> DataFrame:
-    """Rows of _PIECES with sequence_id and offset: where each piece lies, gapless from 0 in each sequence."""
-    pieces = checkpoint(token_pieces(df, ident, text, path, capacity))
-    by = ["length", F.xxhash64("doc_id", "piece"), "doc_id", "piece"]  # pieces of one length are spread, too
-    ranked = checkpoint(pieces.repartitionByRange(*by).sortWithinPartitions(*by).mapInArrow(_ranked, _PIECES + ", part int, nth long"))
-    # In a range sort there are at most (partitions + lengths) such rows.
-    found = ranked.groupBy("part", "length").count().orderBy("part").collect()
-    counts = np.zeros(capacity + 1, np.int64)
-    before: dict[int, dict[int, int]] = {}
-    for r in found:
-        before.setdefault(r["part"], {})[r["length"]] = int(counts[r["length"]])
-        counts[r["length"]] += r["count"]
-    shared = df.sparkSession.sparkContext.broadcast((before, plan(counts, capacity)))
+def best_fit(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
+    """Pieces with sequence_id and offset, gapless from 0 in each sequence; columns as _PIECES, lengths from 1 to the capacity.
 
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        first, steps = shared.value
-        for batch in batches:
-            lengths, parts, nth = (batch.column(c).to_numpy() for c in ("length", "part", "nth"))
-            ranks = nth + np.array([first[p][n] for p, n in zip(parts.tolist(), lengths.tolist(), strict=True)], np.int64)
-            sequence, offset = places(lengths, ranks, steps)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(sequence), pa.array(offset)], [*batch.schema.names[:5], "sequence_id", "offset"])
+    In rounds, the longer pieces (over an eighth of a sequence) before the others:
+    - A gap offers as many places as it could hold of the longest piece that is left, or one if it is smaller.
+    - Places and pieces are range-sorted by size, descending. A sweep over each partition, and one over what the
+      partitions have left, give each piece its successor: the smallest place before it that no longer piece has taken.
+      Of pieces that want the same place, the first in rank gets it, and the others the next larger ones.
+    - Pieces get their offsets in their sequence, gaps shrink, and the pieces without a place go on to the next round.
+    - Sequences are opened only for what the gaps can't hold: for lengths beyond all gaps together, for pieces over
+      half a sequence, and if a round has placed nothing.
+    """
+    spark = pieces.sparkSession
+    fields = [c.split() for c in _ROW.split(", ")]
+    names = [n for n, _ in fields]
+
+    def rows(df: DataFrame, **given: Column) -> DataFrame:
+        return df.select([given.get(n, F.lit(None)).cast(t).alias(n) for n, t in fields])
+
+    base = rows(pieces, kind=F.lit(_PIECE), row=F.monotonically_increasing_id(), **{c: F.col(c) for c in _COLUMNS})
+    base = checkpoint(base)  # from here on a row keeps its number
+    is_piece, lonely = F.col("kind") == _PIECE, (F.col("kind") == _PIECE) & F.col("sequence_id").isNull()
+    done: list[DataFrame] = []
+    gaps, opened = base.limit(0), 0
+    for low, high in ((capacity // 8, capacity), (0, capacity // 8)):
+        state, before = base.where((F.col("length") > low) & (F.col("length") <= high)).unionByName(gaps), -1
+        while left := int((counts := _counts(state))[_PIECE].sum()):
+            asked, used = counts[_PIECE], counts[_GAP]
+            lengths, at = np.flatnonzero(asked), np.flatnonzero(used)
+            shortest, longest, many, rooms = int(lengths[0]), int(lengths[-1]), used[at], capacity - at
+            total = int((asked * np.arange(len(asked))).sum())
+            room = int((many * rooms)[rooms >= shortest].sum()) if left != before else 0
+            wide = int(asked[capacity // 2 + 1 :].sum())
+            wide -= int(many[rooms > capacity // 2].sum()) if wide else 0
+            need, before = max(-((room - total) // capacity), wide, 0), left
+            new = rows(spark.range(opened, opened + need), kind=F.lit(_GAP), row=F.col("id"), length=F.lit(0), sequence_id=F.col("id"))
+            opened += need
+
+            free = F.lit(capacity) - F.col("length")
+            places = F.when(is_piece | (free < shortest), 0).otherwise(F.greatest(F.lit(1), F.floor(free / longest))).cast("long")
+            size = F.when(is_piece, F.col("length")).otherwise(F.floor(free / F.greatest("places", F.lit(1)))).cast("long")
+            by = [F.col("size").desc(), F.col("kind"), F.xxhash64("row"), F.col("row")]
+            sized = state.unionByName(new).withColumn("places", places).withColumn("size", size)
+            swept = checkpoint(sized.repartitionByRange(*by).sortWithinPartitions(*by).select(*names, "places").mapInArrow(_sweep, _SWEPT))
+
+            # A sequence holds at most as many pieces as ids; pieces without one are groups of their own.
+            own = Window.partitionBy(F.coalesce("sequence_id", -1 - F.col("row"))).orderBy("kind", F.col("length").desc(), "row")
+            ahead = F.coalesce(F.sum("length").over(own.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+            filled = F.sum("length").over(own.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+            laid = _across(swept).withColumn("ahead", ahead).withColumn("filled", filled)
+            laid = checkpoint(rows(laid, **{c: F.col(c) for c in names} | {"length": F.when(is_piece, F.col("length")).otherwise(F.col("filled")), "offset": F.when(is_piece & ~lonely, F.col("ahead"))}))
+            done.append(laid.where(is_piece & ~lonely))
+            gaps = laid.where(~is_piece & (F.col("length") < capacity))
+            state = gaps.unionByName(laid.where(lonely))
+    return reduce(DataFrame.unionByName, done or [base]).select(*_COLUMNS, "sequence_id", "offset")
 
-    return ranked.mapInArrow(place, _PIECES + ", sequence_id long, offset long")
+
+def pack(df: DataFrame, ident: str = "doc_id", text: str = "text", path: str | None = None, capacity: int = CAPACITY) -> DataFrame:
+    """Rows of _PIECES with sequence_id and offset: where each piece lies, gapless from 0 in each sequence."""
+    return best_fit(token_pieces(df, ident, text, path, capacity), capacity)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

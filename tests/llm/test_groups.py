@@ -354,7 +354,7 @@ def test_ids_are_the_librarys_for_every_character():
         mine.known = {}
 
 
-def check_places(rows):
+def check_places(rows, capacity=4096):
     by: dict = {}
     for s, o, n in rows:
         by.setdefault(s, []).append((o, n))
@@ -363,33 +363,56 @@ def check_places(rows):
         for o, n in sorted(places):
             assert o == at
             at += n
-        assert at <= 4096
+        assert at <= capacity
     return len(by)
 
 
-def test_bulk_steps_are_best_fit_by_descending_length():
-    """As a plain loop over single pieces packs them: each into the smallest gap it fits in."""
+def packed(spark, lengths, capacity=4096):
+    """How many sequences the operator takes, after a look at all places, and how many a plain loop over single pieces."""
+    df = spark.createDataFrame([(k % 5 or None, 0, 0, int(n), 7) for k, n in enumerate(lengths)], packing._PIECES).repartition(5)
+    got = packing.best_fit(df, capacity).select("sequence_id", "offset", "length").collect()
+    assert sorted(r.length for r in got) == sorted(int(n) for n in lengths)
+    gaps: list[int] = []
+    for n in sorted(map(int, lengths), reverse=True):
+        fitting = [g for g in gaps if g >= n]
+        if fitting:
+            gaps.remove(min(fitting))
+        gaps.append((min(fitting) if fitting else capacity) - n)
+    return check_places([tuple(r) for r in got], capacity), len(gaps)
+
+
+@pytest.mark.parametrize("coalesced", ["true", "false"])
+def test_rounds_take_as_few_sequences_as_best_fit_by_descending_length(spark, coalesced):
+    """One sequence more at most; with many partitions most pieces find their gap in an earlier one."""
+    key = "spark.sql.adaptive.coalescePartitions.enabled"
     rng = np.random.default_rng(3)
-    for capacity, lengths in ((16, rng.integers(1, 17, 300)), (50, rng.integers(1, 30, 300)), (64, np.repeat(rng.integers(1, 65, 12), 20))):
-        gaps: list[int] = []
-        for n in sorted(lengths.tolist(), reverse=True):
-            fitting = [g for g in gaps if g >= n]
-            if fitting:
-                gaps.remove(min(fitting))
-                gaps.append(min(fitting) - n)
-            else:
-                gaps.append(capacity - n)
-        sequence, offset = packing.best_fit(lengths, capacity)
-        filled = np.bincount(sequence, lengths)
-        assert sorted((capacity - filled).tolist()) == sorted(gaps)
-
-
-def test_best_fit_is_close_to_the_bound():
-    rng = np.random.default_rng(0)
-    for lengths in (rng.integers(1, 4097, 4000), rng.integers(1, 800, 4000), np.full(100, 2049), np.full(7, 4096), np.zeros(0, np.int64)):
-        sequence, offset = packing.best_fit(lengths)
-        n = check_places(list(zip(sequence.tolist(), offset.tolist(), lengths.tolist(), strict=True)))
-        assert n <= max(1.02 * -(-lengths.sum() // 4096) + 1, (lengths > 2048).sum())
+    spark.conf.set(key, coalesced)
+    try:
+        for capacity, lengths in ((16, rng.integers(1, 17, 300)), (50, rng.integers(1, 30, 300)), (4096, np.r_[np.ones(2000), rng.integers(1, 800, 1000), [4096] * 9, [2049] * 30])):
+            mine, plain = packed(spark, lengths, capacity)
+            assert mine <= plain + 1
+    finally:
+        spark.conf.unset(key)
+
+
+def test_levels_of_partitions():
+    """Places are taken from the last partition that has some, as from a stack over all of them."""
+    rng = np.random.default_rng(1)
+    for _ in range(200):
+        found = [(p, int(a), int(b)) for p, (a, b) in enumerate(rng.integers(0, 4, (6, 2)))]
+        stack, taken = [], []
+        for p, alone, left in found:
+            taken += [(p, k, stack.pop()) for k in range(alone) if stack]
+            stack += [(p, k) for k in range(left)]
+        at = {p: (level, low) for p, level, low in packing._levels(found)}
+        events = []
+        for p, alone, left in found:
+            level, low = at[p]
+            events += [(level - k, (p, 0), (p, k)) for k in range(alone)]
+            events += [(n, (p, 1), (p, n - (level - alone) - 1)) for n in range(max(level - alone, low) + 1, level - alone + left + 1)]
+        events.sort()
+        mine = [(p[0], k[1], before[2]) for before, (n, p, k) in zip([None, *events], events) if p[1] == 0 and before and before[0] == n]
+        assert sorted(mine) == sorted(taken) and sum(e[1][1] for e in events) == len(taken)
 
 
 def test_packing_is_one_pass_over_all_pieces(spark):
