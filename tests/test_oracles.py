@@ -37,3 +37,15 @@ def test_against_sql(spark, duck, name):
     columns = sorted(ours.columns)
     assert sorted(theirs.columns) == columns
     assert rows(columns, [r.asDict() for r in ours.collect()]) == rows(columns, [dict(zip(theirs.columns, r)) for r in theirs.fetchall()])
+
+
+@pytest.mark.parametrize("name", ["k02_actions_clean", "k05_possessions"])
+def test_children_of_action_zero(spark, tmp_path, name):
+    """A parent id of 0 means none, also where the first action of a game has this id and a rebound follows."""
+    con = duckdb.connect()
+    kinds = "CASE WHEN event_id = 0 THEN 'view' WHEN event_id <= 30 THEN 'click' ELSE event_type END AS event_type"
+    con.sql(f"COPY (SELECT * REPLACE ({kinds}) FROM '{SF}/events.parquet') TO '{tmp_path}/events.parquet'")
+    con.sql(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet'")
+    ours, theirs = QUERIES[name](spark, str(tmp_path)), con.sql(ORACLE_SQL[name])
+    columns = sorted(ours.columns)
+    assert rows(columns, [r.asDict() for r in ours.collect()]) == rows(columns, [dict(zip(theirs.columns, r)) for r in theirs.fetchall()])
