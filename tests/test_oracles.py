@@ -39,7 +39,7 @@ def test_against_sql(spark, duck, name):
     assert rows(columns, [r.asDict() for r in ours.collect()]) == rows(columns, [dict(zip(theirs.columns, r)) for r in theirs.fetchall()])
 
 
-@pytest.mark.parametrize("name", ["k02_actions_clean", "k02_first_of_repeated", "k05_possessions"])
+@pytest.mark.parametrize("name", ["k02_actions_clean", "k02_first_of_repeated", "k02_landed_actions", "k05_possessions"])
 def test_children_of_action_zero(spark, tmp_path, name):
     """A parent id of 0 means none, also where the first action of a game has this id and a rebound follows."""
     con = duckdb.connect()
