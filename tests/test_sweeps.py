@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from fastbreak.operators import stints
+from fastbreak.operators import lineups, stints
 from fastbreak.plans.model import FixtureModel
 
 
@@ -94,3 +94,39 @@ def test_plans_on_written_tables(spark, tmp_path):
         assert exchanges(fresh.stats)[2] < 20 and "long" not in " ".join(fresh.stats.inputFiles())
     finally:
         spark.conf.set("spark.sql.adaptive.enabled", "true")
+
+
+def test_stamps_sort_once(spark, tmp_path):
+    """All windows of the stamps find their rows in the order of the first one (three sorts of all actions before)."""
+    model = FixtureModel(spark, "/root/testdata/sf0.001")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        model.materialise(str(tmp_path), ("actions", "rosters", "subs_events", "possessions", "lookup", "stints"))
+        plan = model.stamped._jdf.queryExecution().executedPlan().toString()
+        assert plan.count(" Sort [") == 1 and plan.count(" Window [") == 3
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+
+
+def test_lookup_of_shared_clock_readings(spark):
+    """Of several substitutions at one reading the last is shown, but what the others did counts."""
+    rng = np.random.default_rng(6)
+    players = [(p, 1, t, 2025) for t in (1, 2) for p in range(t * 10, t * 10 + 4)]
+    subs = []
+    for i in range(60):
+        team, who = int(rng.integers(1, 3)), int(rng.integers(0, 4))
+        comes = bool(rng.integers(0, 2))
+        subs.append((1, team, i, 1, f"{9 - i // 6}", float(9 - i // 6), f"{i:03}", team * 10 + who if comes else None, None if comes else team * 10 + who))
+    rosters = spark.createDataFrame(players, "player_id int, game_id int, team_id int, game_year int")
+    events = spark.createDataFrame(subs, "game_id int, team_id int, id int, quarter int, quarter_time string, end_game_seconds_remaining double, user_time string, parameters_player_in int, parameters_player_out int")
+    want = set()
+    for t in (1, 2):
+        own = [s for s in subs if s[1] == t]
+        state = {p[0]: None for p in players if p[2] == t}
+        for k, s in enumerate(own):
+            state |= {s[7]: 1} if s[7] else {s[8]: 0}
+            if k + 1 == len(own) or own[k + 1][5] != s[5]:
+                on = "_".join(str(p) for p in sorted(state) if state[p] == 1) or None
+                want |= {(t, p, s[2], state[p], on) for p in state}
+    got = lineups.lineups_lookup(rosters, events).select("team_id", "player_id", "id", "is_on_verdict", "lineup_id").collect()
+    assert len(got) == len(want) and set(map(tuple, got)) == want
