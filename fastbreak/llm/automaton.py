@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .anchors import GONE, POWERS, candidate_spans, contexts, marked, mixed, unmarked, with_spans
+from .anchors import GONE, PACKED, POWERS, candidate_spans, contexts, marked, mixed, packed, settled_rows, spans_gone, unmarked, with_spans
 from .common import run_bounds, table, tidy, whole_runs
 from .suffix_array import covered
 
@@ -126,8 +126,7 @@ class SuffixAutomaton:
 def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows of GONE from contents, which come sorted by key."""
     for part in whole_runs(batches, "key", 5_000):
-        settled = part.filter(part.column("content").is_null()).select(["doc", "mark", "start", "n"])
-        yield from settled.combine_chunks().to_batches()
+        yield from settled_rows(part)
         part = part.filter(part.column("content").is_valid())
         if not part.num_rows:
             continue
@@ -175,8 +174,8 @@ def _opened(text: str):
 def removal_spans(docs: DataFrame) -> DataFrame:
     """(doc, mark, spans): for documents with something to remove, first windows and numbers of windows, in words."""
     spans = candidate_spans(docs, word_hashes, WINDOW, ANCHOR)
-    gone = contexts(docs, spans, _opened, WINDOW, LIMIT).mapInArrow(tidy(_settle), GONE)
-    return gone.groupBy("doc", "mark").agg(F.collect_list(F.struct("start", "n")).alias("spans"))
+    gone = contexts(docs, spans, _opened, WINDOW, LIMIT).mapInArrow(tidy(packed(_settle)), PACKED)
+    return spans_gone(gone)
 
 
 _DIGESTS = pa.struct([("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string())])

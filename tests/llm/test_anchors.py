@@ -89,3 +89,18 @@ def test_every_way_gives_the_same(monkeypatch, hot, wild, few, limit, chunk):
                 assert got[d].tolist() == list(want[d][1]), (seed, module.__name__, d)
             taken = {k: taken.get(k, 0) + v for k, v in ways.items()}
     assert taken["settled"] and taken["anchors"] and taken["leaders"] and (limit > 10**6 or (taken["split"] and taken["again"]))
+
+
+def test_what_goes_leaves_a_task_by_document():
+    """A row for each document, not for each of its stretches; what one task has settled is one row too."""
+    text = " ".join(f"w{i}" for i in range(400))
+    docs = [{"doc": d, "mark": 0, "text": text, "at": [a * anchors.AT + 10 for a in range(0, 300, 20)], "keys": list(range(0, 30, 2))} for d in (1, 2)]
+    contents = [r for b in anchors._cut(suffix_array._opened, 50, {})(iter([pa.RecordBatch.from_pylist(docs)])) for r in b.to_pylist()]
+    settled = [r for r in contents if r["content"] is None]
+    assert len(settled) == 1 and len(settled[0]["more"]) == 30 and len(contents) == 16
+
+    def settle(batches):
+        for _ in batches:
+            yield pa.RecordBatch.from_pydict({"doc": [2, 1, 2], "mark": [0, 0, 0], "start": pa.array([40, 5, 0], pa.int32()), "n": pa.array([3, 1, 7], pa.int32())})
+
+    assert [r for b in anchors.packed(settle)(iter([None, None])) for r in b.to_pylist()] == [{"doc": 1, "mark": 0, "gone": [5, 1, 5, 1]}, {"doc": 2, "mark": 0, "gone": [0, 7, 0, 7, 40, 3, 40, 3]}]
