@@ -49,3 +49,27 @@ def test_children_of_action_zero(spark, tmp_path, name):
     ours, theirs = QUERIES[name](spark, str(tmp_path)), con.sql(ORACLE_SQL[name])
     columns = sorted(ours.columns)
     assert rows(columns, [r.asDict() for r in ours.collect()]) == rows(columns, [dict(zip(theirs.columns, r)) for r in theirs.fetchall()])
+
+
+REPEATS = {
+    "again later": "SELECT * REPLACE (ts + INTERVAL 1 SECOND AS ts, '{\"k\": ' || (event_id * 7) % 100 || '}' AS props) FROM e WHERE event_id % 7 = 0 AND event_type <> 'error'",
+    "at one time by another player": "SELECT * REPLACE (user_id + 4 AS user_id) FROM e WHERE event_id % 5 = 0",
+    "twice, and without a time": "SELECT * FROM e WHERE event_id % 13 = 0 UNION ALL SELECT * REPLACE (NULL::TIMESTAMP AS ts) FROM e WHERE event_id % 11 = 0",
+}
+
+
+def repeated(spark, tmp_path, name, more):
+    """A query's rows and those of its SQL, on events and more of them with the same ids."""
+    con = duckdb.connect()
+    con.sql(f"COPY (WITH e AS (FROM '{SF}/events.parquet') SELECT * FROM e UNION ALL {more}) TO '{tmp_path}/events.parquet'")
+    con.sql(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet'")
+    ours, theirs = QUERIES[name](spark, str(tmp_path)), con.sql(ORACLE_SQL[name])
+    columns = sorted(ours.columns)
+    return rows(columns, [r.asDict() for r in ours.collect()]), rows(columns, [dict(zip(theirs.columns, r)) for r in theirs.fetchall()])
+
+
+@pytest.mark.parametrize("more", REPEATS.values(), ids=REPEATS)
+def test_first_of_repeated(spark, tmp_path, more):
+    """Of actions with one game, team and id the first counts, on both sides."""
+    ours, theirs = repeated(spark, tmp_path, "k02_first_of_repeated", more)
+    assert ours == theirs
