@@ -73,3 +73,10 @@ def test_first_of_repeated(spark, tmp_path, more):
     """Of actions with one game, team and id the first counts, on both sides."""
     ours, theirs = repeated(spark, tmp_path, "k02_first_of_repeated", more)
     assert ours == theirs
+
+
+def test_parents_of_repeated_in_documents(spark, tmp_path):
+    """Where actions of several types have one id in a document, their parent doesn't depend on their order."""
+    mixed = "SELECT * REPLACE ('click' AS event_type) FROM e WHERE event_id % 3 = 0 UNION ALL SELECT * REPLACE ('view' AS event_type, ts + INTERVAL 2 SECOND AS ts) FROM e WHERE event_id % 4 = 0"
+    ours, theirs = repeated(spark, tmp_path, "k02_landed_actions", " UNION ALL ".join([*REPEATS.values(), mixed]))
+    assert ours == theirs
