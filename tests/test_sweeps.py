@@ -130,3 +130,29 @@ def test_lookup_of_shared_clock_readings(spark):
                 want |= {(t, p, s[2], state[p], on) for p in state}
     got = lineups.lineups_lookup(rosters, events).select("team_id", "player_id", "id", "is_on_verdict", "lineup_id").collect()
     assert len(got) == len(want) and set(map(tuple, got)) == want
+
+
+@pytest.mark.parametrize("tangled", [False, True])
+def test_stamps_of_long_stints(spark, tangled):
+    """Stints that reach over many slices of ids, or end and begin at their borders."""
+    size = 1 << stints.SLICE
+    cuts = [-2 * size - 5, -3, 7, size - 1, size, size + 1, 3 * size, 3 * size + 9, 9 * size + 4]
+    spans = [(t, 3 - t, 1, 0, 1.0, 0.0, f"o{a}", f"d{a}", a, b + (2 * size if tangled else 0), k) for t in (1, 2) for k, (a, b) in enumerate(zip(cuts[t - 1 :: 2], cuts[t::2], strict=False))]
+    rows = spark.createDataFrame(spans, "team_id int, team_id_defense int, game_id int, q_bucket int, final_start_seg double, final_end_seg double, lineup_hash_offense string, lineup_hash_defense string, final_start_id int, final_end_id int, segment_id int")
+    near = sorted({i + d for i in [*cuts, *(k * size for k in range(-4, 13))] for d in (-1, 0, 1)})
+    acts = [(1, i, t, 0) for i in near for t in (1, 2)] + [(1, None, 1, 0), (2, 5, 1, 0)]
+    got = stints.stamp(spark.createDataFrame(acts, "game_id int, id int, team_id int, q_bucket int"), rows)
+    want = [(*a, s) for a in acts for s in ([s[10] for s in spans if a[1] is not None and (s[0], s[2], s[3]) == (a[2], a[0], a[3]) and s[8] <= a[1] < s[9]] or [None])]
+    key = lambda r: tuple(str(x) for x in r)
+    assert sorted(map(tuple, got.select("game_id", "id", "team_id", "q_bucket", "segment_id").collect()), key=key) == sorted(want, key=key)
+
+
+def test_stamps_see_slices(spark):
+    """No window of the stamps holds a team's whole game, whose actions grow with the input (an executor's memory before)."""
+    size = 1 << stints.SLICE
+    actions = spark.range(-size, 3 * size).selectExpr("1 as game_id", "cast(id as int) as id", "1 as team_id", "0 as q_bucket")
+    spans = spark.createDataFrame([(1, 2, 1, 0, 1.0, 0.0, "o", "d", 5, 2 * size, 1)], "team_id int, team_id_defense int, game_id int, q_bucket int, final_start_seg double, final_end_seg double, lineup_hash_offense string, lineup_hash_defense string, final_start_id int, final_end_id int, segment_id int")
+    stamped = stints.stamp(actions, spans)
+    windows = [line for line in stamped._jdf.queryExecution().optimizedPlan().toString().split("\n") if "Window [" in line]
+    assert len(windows) == 3 and all("slice#" in line.split("windowspecdefinition(")[1].split("specifiedwindowframe")[0] for line in windows)
+    assert stamped.where("segment_id = 1").count() == 2 * size - 5
