@@ -104,3 +104,23 @@ def test_what_goes_leaves_a_task_by_document():
             yield pa.RecordBatch.from_pydict({"doc": [2, 1, 2], "mark": [0, 0, 0], "start": pa.array([40, 5, 0], pa.int32()), "n": pa.array([3, 1, 7], pa.int32())})
 
     assert [r for b in anchors.packed(settle)(iter([None, None])) for r in b.to_pylist()] == [{"doc": 1, "mark": 0, "gone": [5, 1, 5, 1]}, {"doc": 2, "mark": 0, "gone": [0, 7, 0, 7, 40, 3, 40, 3]}]
+
+
+def test_records_of_many_slices_share_rows(monkeypatch):
+    """Rows don't grow with slices times buckets (they did, so with the square of the input), and hold the same records."""
+    docs = lines_and_passages(random.Random(3), "w")
+    batches = [pa.RecordBatch.from_pylist([{"doc": d, "mark": d % 3, "text": x} for d, x in docs[a : a + 9]]) for a in range(0, len(docs), 9)]
+    monkeypatch.setattr(anchors, "SENT", 1000)
+
+    def sent(**limits):
+        for name, value in limits.items():
+            monkeypatch.setattr(anchors, name, value)
+        rows = [r for b in anchors._send(suffix_array._bytes_of, 50, 16, 40)(iter(batches)) for r in b.to_pylist()]
+        assert all(len(r["docs"]) <= anchors.DOCS and (r["known"] or r["dealt"] == r["bucket"]) for r in rows)
+        return len(rows), sorted((r["known"], r["bucket"], r["docs"][d], r["marks"][d], *rest) for r in rows for d, *rest in zip(*(r[c] for c in ("doc", "low", "high", "n", "anchor", "left", "right")), strict=True))
+
+    n, records = sent()
+    assert n <= 2 * 40
+    for limits in ({"DEALT": 1}, {"DEALT": 10**9, "HELD": 300}, {"DOCS": 2}):
+        more, same = sent(**limits)
+        assert more > n and same == records
